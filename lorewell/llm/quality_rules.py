@@ -111,8 +111,8 @@ def kept(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, bins: int = 32, most_rules: int = 6, most_conditions: int = 3, precision: float = 0.9, least: int = 10) -> list[Rule]:
-    """Rules for label 0, by sequential covering over all labelled rows (labels: doc_id, quality).
+def learn(stats: DataFrame, labels: DataFrame, bins: int = 32, most_rules: int = 6, most_conditions: int = 3, precision: float = 0.9, least: int = 10) -> list[Rule]:
+    """Rules for label 0, by sequential covering over all labelled rows of stats (doc_id, _stats) and labels (doc_id, quality).
 
     Each step counts, in one Spark aggregation over the rows that the rule so far holds for and no earlier rule
     covers, the labels in each bin of each feature (bins: quantiles of the labelled rows); the driver sees those
@@ -123,7 +123,8 @@ def learn(docs: DataFrame, labels: DataFrame, bins: int = 32, most_rules: int =
     named = list(features())
     truth = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
     rows = keep(
-        with_stats(docs.select("doc_id", "text").join(truth.where(F.col("doc_id").isNotNull()), "doc_id"))
+        stats.select("doc_id", "_stats")
+        .join(truth.where(F.col("doc_id").isNotNull()), "doc_id")
         .withColumn("grow", F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0)
         .select("y", "grow", *[x.alias(k) for k, x in features().items()])
     )
@@ -189,16 +190,21 @@ def base_failed() -> Column:
     return (s("n_words") < 20) | (100 * s("n_repeat_words") > 30 * s("n_words"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs with _stats, base_failed and kept: whole texts, counted and then judged by the learned list.
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id and _stats of docs, kept in the shared folder: texts are read once, only counts are joined to labels."""
+    return keep(with_stats(docs.select("doc_id", "text")).select("doc_id", "_stats"))
+
+
+def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """docs, which hold _stats, with base_failed and kept, the decision list's verdict.
 
     Null or blank text has no words and fails the base rule; a row without id or label is judged all the same.
     Rows of an id with two labels count as the lower one. Other columns pass through.
     """
-    rules = learn(docs, labels, **options)
-    return with_stats(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & kept(rules))
+    return docs.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & kept(rules))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    stats = counted(table(spark, sf_dir, "documents"))
+    out = judged(stats, learn(stats, table(spark, sf_dir, "labels")))
     return out.select("doc_id", *[F.col(f"_stats.{k}").alias(k) for k in STATS], "base_failed", "kept")

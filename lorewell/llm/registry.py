@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, quality_rules, sharding
+from . import jaccard, mixing, quality_rules, sharding, substrings
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_mixing_sources": mixing.op3_mixing_sources,
         "op4_sharding": sharding.op4_sharding,
+        "op6_substring_dedup": substrings.op6_substring_dedup,
     }
 
 
