@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import jaccard, mixing, quality_rules, sharding, substrings
+from . import html_text, jaccard, mixing, quality_rules, sentencepieces, sharding, substrings, token_counts, topk
 
 
 def queries() -> dict:
@@ -14,8 +14,12 @@ def queries() -> dict:
         "op3_mixing_sources": mixing.op3_mixing_sources,
         "op4_sharding": sharding.op4_sharding,
         "op6_substring_dedup": substrings.op6_substring_dedup,
+        "op7_exact_topk": topk.op7_exact_topk,
+        "op8_sentencepiece": sentencepieces.op8_sentencepiece,
+        "op9_token_counts": token_counts.op9_token_counts,
+        "op10_html_extraction": html_text.op10_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_sources": mixing.OP3_SQL}
+    return {"op3_mixing_sources": mixing.OP3_SQL, "op7_exact_topk": topk.OP7_SQL}
