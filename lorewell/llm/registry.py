@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import html_text, jaccard, mixing, quality_rules, sentencepieces, sharding, substrings, token_counts, topk
+from . import byte_network, html_text, jaccard, mixing, quality_rules, sentencepieces, sharding, substrings, token_counts, topk
 
 
 def queries() -> dict:
@@ -13,11 +13,13 @@ def queries() -> dict:
         "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_mixing_sources": mixing.op3_mixing_sources,
         "op4_sharding": sharding.op4_sharding,
+        "op5_quality_classifier": byte_network.op5_quality_classifier,
         "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_exact_topk": topk.op7_exact_topk,
         "op8_sentencepiece": sentencepieces.op8_sentencepiece,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_html_extraction": html_text.op10_html_extraction,
+        "pipeline": corpus_pipeline.run,
     }
 
 
