@@ -12,7 +12,7 @@ from lorewell.llm.common import keep, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
     rules = quality_rules.learn(quality_rules.counted(docs), table(spark, sf_dir, "labels"))
-    return quality_rules.judged(quality_rules.with_stats(docs), rules).where("kept").select(*docs.columns)
+    return quality_rules.good(docs, rules)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

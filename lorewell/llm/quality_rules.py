@@ -41,34 +41,27 @@ def repeat_words(w: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(w) <= window, F.lit(0)).otherwise(let(hashes, counted)).cast("long")
 
 
-def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+def with_stats(docs: DataFrame) -> DataFrame:
     """docs with a struct _stats of counts over the whole text (null text: as an empty one)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     left = lambda pattern: F.length(F.regexp_replace(t, pattern, "")).cast("long")  # noqa: E731  code points left
-    return (
-        docs.withColumn("_words", words(F.col(text)))
-        .withColumn("_lines", lines)
-        .withColumn(
-            "_stats",
-            F.struct(
-                F.size("_words").cast("long").alias("n_words"),
-                F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-                left(r"[^#*$%&|<>]+").alias("n_symbols"),
-                (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-                repeat_words(F.col("_words")).alias("n_repeat_words"),
-                left(r"\P{Lu}+").alias("n_upper"),
-                left(r"[^!?]+").alias("n_bangs"),
-                F.size("_lines").cast("long").alias("n_lines"),
-            ),
-        )
-        .drop("_words", "_lines")
+    counts = F.struct(
+        F.size("_words").cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        left(r"[^#*$%&|<>]+").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        repeat_words(F.col("_words")).alias("n_repeat_words"),
+        left(r"\P{Lu}+").alias("n_upper"),
+        left(r"[^!?]+").alias("n_bangs"),
+        F.size("_lines").cast("long").alias("n_lines"),
     )
+    return docs.withColumn("_words", words(F.col("text"))).withColumn("_lines", lines).withColumn("_stats", counts).drop("_words", "_lines")
 
 
-def features() -> dict[str, Column]:
-    """What a rule's conditions test, from the struct _stats; never null or infinite."""
-    s = lambda name: F.col(f"_stats.{name}")
+def features(of: Column) -> dict[str, Column]:
+    """What a rule's conditions test, from a struct of stats(); never null or infinite."""
+    s = of.getField
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)).cast("double")
     return {
         "n_words": s("n_words").cast("double"),
@@ -88,31 +81,31 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        x = features()[self.feature]
+    def column(self, of: Column) -> Column:
+        x = features(of)[self.feature]
         return x > self.threshold if self.above else x <= self.threshold
 
 
 Rule = tuple[Condition, ...]
 
 
-def holds(rule: Rule, of=Condition.column) -> Column:
+def holds(rule: Rule, test) -> Column:
     out = F.lit(True)
     for c in rule:
-        out = out & of(c)
+        out = out & test(c)
     return out
 
 
-def kept(rules: list[Rule]) -> Column:
+def kept(rules: list[Rule], of: Column) -> Column:
     """The decision list as one conditional expression: the first rule that holds rejects, otherwise the text stays."""
     out = F.when(F.lit(False), F.lit(False))
     for rule in rules:
-        out = out.when(holds(rule), F.lit(False))
+        out = out.when(holds(rule, lambda c: c.column(of)), F.lit(False))
     return out.otherwise(F.lit(True))
 
 
-def learn(stats: DataFrame, labels: DataFrame, bins: int = 32, most_rules: int = 6, most_conditions: int = 3, precision: float = 0.9, least: int = 10) -> list[Rule]:
-    """Rules for label 0, by sequential covering over all labelled rows of stats (doc_id, _stats) and labels (doc_id, quality).
+def learn(found: DataFrame, labels: DataFrame, bins: int = 32, most_rules: int = 6, most_conditions: int = 3, precision: float = 0.9, least: int = 10) -> list[Rule]:
+    """Rules for label 0, by sequential covering over all labelled rows of found (doc_id, _stats) and labels (doc_id, quality).
 
     Each step counts, in one Spark aggregation over the rows that the rule so far holds for and no earlier rule
     covers, the labels in each bin of each feature (bins: quantiles of the labelled rows); the driver sees those
@@ -120,13 +113,13 @@ def learn(stats: DataFrame, labels: DataFrame, bins: int = 32, most_rules: int =
     then loses conditions at its end while that serves it on the other third. It joins the list if its precision
     there reaches the bound; covering ends with the first rule that fails. Without labels of both kinds: no rules.
     """
-    named = list(features())
+    named = list(features(F.col("_stats")))
     truth = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
     rows = keep(
-        stats.select("doc_id", "_stats")
+        found.select("doc_id", "_stats")
         .join(truth.where(F.col("doc_id").isNotNull()), "doc_id")
         .withColumn("grow", F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0)
-        .select("y", "grow", *[x.alias(k) for k, x in features().items()])
+        .select("y", "grow", *[x.alias(k) for k, x in features(F.col("_stats")).items()])
     )
     if rows.select("y").distinct().count() < 2:
         return []
@@ -185,9 +178,14 @@ def _best(counts, cuts: dict[str, list[float]], least: int) -> Condition | None:
     return best
 
 
-def base_failed() -> Column:
-    s = lambda name: F.col(f"_stats.{name}")
-    return (s("n_words") < 20) | (100 * s("n_repeat_words") > 30 * s("n_words"))
+def base_failed(of: Column) -> Column:
+    return (of.getField("n_words") < 20) | (100 * of.getField("n_repeat_words") > 30 * of.getField("n_words"))
+
+
+def verdict(rules: list[Rule], of: Column) -> Column:
+    """Whether a text stays, from its stats. Null or blank text has no words and fails the base rule; a row without
+    id or label is judged all the same. In learning, rows of an id with two labels count as the lower one."""
+    return ~base_failed(of) & kept(rules, of)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -195,16 +193,14 @@ def counted(docs: DataFrame) -> DataFrame:
     return keep(with_stats(docs.select("doc_id", "text")).select("doc_id", "_stats"))
 
 
-def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs, which hold _stats, with base_failed and kept, the decision list's verdict.
-
-    Null or blank text has no words and fails the base rule; a row without id or label is judged all the same.
-    Rows of an id with two labels count as the lower one. Other columns pass through.
-    """
-    return docs.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & kept(rules))
+def good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of docs(…, text, …) that the base rules and the decision list keep, with all their columns."""
+    # the row number keeps the optimizer from moving the filter below the counts, which would work them out for each use
+    numbered = with_stats(docs).withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where((F.col("_row") >= 0) & verdict(rules, F.col("_stats"))).select(*docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = counted(table(spark, sf_dir, "documents"))
-    out = judged(stats, learn(stats, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", *[F.col(f"_stats.{k}").alias(k) for k in STATS], "base_failed", "kept")
+    found, of = counted(table(spark, sf_dir, "documents")), F.col("_stats")
+    rules = learn(found, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *[of.getField(k).alias(k) for k in STATS], base_failed(of).alias("base_failed"), verdict(rules, of).alias("kept"))
