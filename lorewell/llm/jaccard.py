@@ -26,7 +26,9 @@ from .components import components
 from .wordhash import hashes, mixed, runs, split
 
 #: Coordinates of a point; texts in a leaf of the tree; texts in a block of a large bucket.
-DIMS, LEAF, BLOCK = 32, 16, 512
+DIMS, LEAF, BLOCK = 64, 16, 512
+#: Bits of the filter that keeps texts without a candidate out of shuffles.
+FILTER_BITS = 1 << 23
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -67,8 +69,8 @@ def group_keys(s: np.ndarray, t: Fraction) -> np.ndarray:
     return np.concatenate(out)
 
 
-def count_vector(s: np.ndarray) -> bytes:
-    return np.bincount((s % np.uint64(DIMS)).astype(np.int64), minlength=DIMS).astype("<u4").tobytes()
+def count_vector(s: np.ndarray) -> list[int]:
+    return np.bincount((s % np.uint64(DIMS)).astype(np.int64), minlength=DIMS).tolist()
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ def _points(k: int):
             sets = [shingles(x, k) for x in batch.column("text").to_pylist()]
             sums = np.array([[x.sum(dtype=np.uint64), mixed(x, 7).sum(dtype=np.uint64)] for x in sets], np.uint64).reshape(-1, 2)
             made = {"n_shingles": [len(x) for x in sets], "s1": _signed(sums[:, 0]), "s2": _signed(sums[:, 1]), "point": [count_vector(x) for x in sets]}
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, kind) for v, kind in zip(made.values(), types, strict=True)]], ["doc_id", *made])
 
     return of
@@ -140,7 +142,7 @@ def _search(t: Fraction):
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["doc_id", "n_shingles", "block"])
-        points = np.frombuffer(b"".join(group["point"]), "<u4").reshape(-1, DIMS).astype(np.int64)
+        points = np.stack(group["point"].to_numpy()).astype(np.int64)
         i, j = tree_pairs(group["n_shingles"].to_numpy(), points, group["component"].to_numpy(), group["block"].to_numpy(), t)
         ids = group["doc_id"].to_numpy()
         return pd.DataFrame({"a": ids[i], "b": ids[j]})
@@ -165,11 +167,32 @@ def _search(t: Fraction):
     return of
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is among ids. Texts of most others are left out before any shuffle.
+
+    A bitmap of FILTER_BITS bits of hashed ids does that: a megabyte at most, whatever the number of ids, so it may
+    be broadcast. It lets through all ids given and some others; a semi join then decides.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = ids.select(spot("doc_id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = F.bitmap_bit_position(F.col("_p"))
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("_p", spot("doc_id")).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(keep(bits)), "_bucket")
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns).join(ids, "doc_id", "left_semi")
+
+
+def bounded(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs whose points allow a link: the summed coordinate minima bound the overlap."""
+    end = lambda x: points.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+    most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    p, q = t.numerator, t.numerator + t.denominator
+    return pairs.join(end("a"), "a").join(end("b"), "b").where(most * q >= p * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets link: whole sets are met by joins, which Spark splits where one text has many pairs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInPandas(_sets(k), "doc_id long, hashes array<long>")
-    sets = keep(sets)
+    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = among(docs, ids).mapInPandas(_sets(k), "doc_id long, hashes array<long>")
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
     inner = F.size(F.array_intersect("x", "y"))
     linked = (t.denominator * inner) >= t.numerator * (F.size("x") + F.size("y") - inner)
@@ -187,7 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> Data
     """
     t = Fraction(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = keep(docs.mapInArrow(_points(k), "doc_id long, n_shingles long, s1 long, s2 long, point binary"))
+    base = keep(docs.mapInArrow(_points(k), "doc_id long, n_shingles long, s1 long, s2 long, point array<int>"))
     same = ["n_shingles", "s1", "s2"]
     some = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = some.groupBy(*same).agg(F.min("doc_id").alias("first"))
@@ -201,7 +224,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> Data
     pivots = pivots.join(once, "doc_id", "left").withColumn("doc_id", F.coalesce("first", "doc_id")).drop("first").where("doc_id <> pivot")
     shared = keep(pivots.distinct())
     tried = keep(shared.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = keep(verified(tried, docs, k, t))
+    one = some.groupBy("doc_id", "n_shingles").agg(F.min("point").alias("point"))
+    links = keep(verified(keep(bounded(tried, one, t)), docs, k, t))
     joined = components(links)
 
     # keys that still hold texts of several components: their points meet in the tree
@@ -210,7 +234,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> Data
     members = keep(members)
     mixed_keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").where("n > 2")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    one = some.groupBy("doc_id", "n_shingles").agg(F.min("point").alias("point"))
     rows = (
         members.join(mixed_keys.select("key", blocks.alias("blocks")), "key")
         .join(one, "doc_id")

@@ -113,7 +113,7 @@ def test_tree_bound_loses_no_pair():
 
     r, t = np.random.default_rng(0), Fraction("0.6")
     sets = [np.unique(r.integers(0, 40, r.integers(5, 25)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(150)]
-    points = np.array([np.frombuffer(jaccard.count_vector(s), "<u4") for s in sets]).astype(np.int64)
+    points = np.array([jaccard.count_vector(s) for s in sets])
     size = np.array([len(s) for s in sets])
     i, j = jaccard.tree_pairs(size, points, np.arange(150), np.zeros(150, int), t)
     found = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
