@@ -17,7 +17,7 @@ MARK = "▁"
 #: A stretch that no merge leaves: marks, then other characters. Checked when a model is loaded.
 STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Stretches that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 class Merger:
@@ -36,6 +36,9 @@ class Merger:
             raise ValueError("a piece of this model runs from one word into the next")
         if lib.normalize("  Åﬁ x ") != f"{MARK * 3}Åﬁ{MARK}x{MARK}":
             raise ValueError("only models that keep the text's characters and put one mark before it are supported")
+        self.raw = [i.to_bytes(4, "little") for i in every]
+        self.shown = [p.replace(MARK, " ") for p in self.pieces]
+        self.plain = set(self.ids.values())
         self.known: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, stretch: str) -> list[int]:
@@ -49,8 +52,10 @@ class Merger:
             if i >= 0 and j >= 0 and (s := score.get(both := parts[i] + parts[j])) is not None:
                 heapq.heappush(agenda, (-s, i, j, len(both)))
 
-        for i in range(len(parts) - 1):
-            offer(i, i + 1)
+        for i, (a, b) in enumerate(zip(stretch, stretch[1:])):  # noqa: B905
+            if (s := score.get(a + b)) is not None:
+                agenda.append((-s, i, i + 1, 2))
+        heapq.heapify(agenda)
         while agenda:
             _, i, j, n = heapq.heappop(agenda)
             if parts[i] is None or parts[j] is None or after[i] != j or len(parts[i]) + len(parts[j]) != n:
@@ -68,6 +73,8 @@ class Merger:
 
     def unmerge(self, ids: list[int]) -> str:
         """The text of one stretch's ids, marks as spaces; runs of byte pieces are UTF-8."""
+        if self.plain.issuperset(ids):
+            return "".join([self.shown[i] for i in ids])
         out, raw = [], bytearray()
         for i in ids:
             if i in self.of_byte:
@@ -90,7 +97,7 @@ class Merger:
             # the library puts no mark before an empty text, so a lone mark can't be asked for
             if (ids := self.merge(s)) != their and s != MARK:
                 raise ValueError(f"the library encodes {s!r} otherwise")
-            self.known[s] = (b"".join([i.to_bytes(4, "little") for i in ids]), self.unmerge(ids))
+            self.known[s] = (b"".join([self.raw[i] for i in ids]), self.unmerge(ids))
 
     def batch(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         """For each text its ids, begin and end included, as little-endian 32-bit numbers, and what they decode to."""
