@@ -46,8 +46,10 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
             if at >= len(upper):
                 break
             if at >= len(order):
-                order = np.argsort(-upper, kind="stable")
-                at = 0 if len(order) != len(upper) else at
+                # ties may stand in another order in the whole list: it is read from its start
+                order, at, found = np.argsort(-upper, kind="stable"), 0, found[:0]
+                step = 512
+                continue
             if len(found) == k and upper[order[at]] < found[-1, 0]:
                 break
         out.append(pd.DataFrame({"query_id": me, "vec_id": found[:, 1], "score": found[:, 0]}))

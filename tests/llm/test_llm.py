@@ -197,6 +197,20 @@ def test_topk_against_brute_force(spark):
         assert got[q] == [(i, -s) for s, i in scores]
 
 
+def test_topk_of_many_equal_vectors():
+    r = np.random.default_rng(2)
+    for n, same in ((300, 200), (64, 64), (65, 0), (700, 70), (3, 3)):
+        order = r.permutation(n)
+        v, ids = r.integers(-300, 300, (n, 6)), order * 7
+        v[:same] = v[0]
+        v, ids = v[order], ids[order]
+        out = topk.search(v[:9], ids[:9], v, ids, 5)
+        for a, i in zip(v[:9], ids[:9], strict=False):
+            want = sorted((-x, j) for x, j in zip((v @ a).tolist(), ids.tolist(), strict=True) if j != i)[:5]
+            got = out[out["query_id"] == i]
+            assert [(-x, j) for x, j in zip(got["score"].tolist(), got["vec_id"].tolist(), strict=True)] == want
+
+
 HARD = ["", " ", "  a  b ", "\t\n\r\n x", "a▁b ▁ ▁▁", "<s>x</s> <0x41>", "<|endoftext|> a<|endoftext|>", "é€𝄞\x00z ﬁ", "it's we'll 'S don't", "aaaa" * 500, "-" * 999, "12 3456 ٣", "　全角 テスト x", "word " * 20_000]
 
 
