@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 from math import floor, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ from .wordhash import hashes, mixed, runs, split
 DIMS, LEAF, BLOCK = 64, 16, 512
 #: Bits of the filter that keeps texts without a candidate out of shuffles.
 FILTER_BITS = 1 << 23
+#: Characters of the texts that a task works on at a time; a longer text is a part of its own.
+PART = 1 << 20
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -51,61 +53,123 @@ def band_top(b: int, t: Fraction) -> int:
     return floor(float(t) ** -(b + 1) * (1 + 1e-9)) + 1
 
 
-def group_keys(s: np.ndarray, t: Fraction) -> np.ndarray:
-    """The hashes that a set files: for the bands of the sizes n to n / t, those of its groups of shingles."""
-    out, n = [], len(s)
-    first, last = band(n, t), band(floor(n / t), t)
-    for b in range(first, last + 1):
+@lru_cache(100_000)
+def dealing(n: int, t: Fraction) -> tuple[tuple[int, int, int], ...]:
+    """For each band of the sizes n to n / t: the band, the groups in it, and how many of them may be empty."""
+    out = []
+    for b in range(band(n, t), band(floor(n / t), t) + 1) if n else ():
         r = differing(band_top(b, t), t)
         spare = 2 + r // 12
-        groups = r + 1 + spare
-        g = ((s >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
-        sums, counts = np.zeros(groups, np.uint64), np.bincount(g, minlength=groups)
-        np.add.at(sums, g, mixed(s, 1))
-        full = np.flatnonzero(counts)
-        if groups - len(full) > spare:
-            full = np.arange(groups)
-        out.append(mixed(sums[full] ^ mixed((np.uint64(b) << np.uint64(40)) + full.astype(np.uint64), 2), 3))
-    return np.concatenate(out)
+        out.append((b, r + 1 + spare, spare))
+    return tuple(out)
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of so many runs starts, and the place within its run of every element."""
+    starts = np.cumsum(counts) - counts
+    return starts, np.arange(counts.sum()) - np.repeat(starts, counts)
+
+
+def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of shingles() of many texts, one after another, and their sizes."""
+    parts = [split(x, lower=True) for x in texts]
+    n_words = np.array([len(x) for x in parts], np.int64)
+    h = hashes([w for x in parts for w in x])
+    whole = np.flatnonzero(n_words >= k)
+    made = n_words[whole] - k + 1
+    starts, within = spread(made)
+    x = runs(h, k)[within + np.repeat((np.cumsum(n_words) - n_words)[whole], made)] if len(whole) else h[:0]
+    for a, n in zip(starts.tolist(), made.tolist(), strict=True):
+        x[a : a + n].sort()
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    new[starts] = True
+    sizes = (n_words > 0).astype(np.int64)
+    sizes[whole] = np.add.reduceat(new.astype(np.int64), starts) if len(whole) else 0
+    out, of_whole = np.empty(sizes.sum(), np.uint64), np.repeat(n_words >= k, sizes)
+    out[of_whole] = x[new]
+    out[~of_whole] = [shingles(texts[i], k)[0] for i in np.flatnonzero((n_words > 0) & (n_words < k))]
+    return out, sizes
+
+
+def group_keys(s: np.ndarray, sizes: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that sets file, and how many each: for the bands of the sizes n to n / t, those of its groups of shingles."""
+    plans = [dealing(n, t) for n in sizes.tolist()]
+    of = np.repeat(np.arange(len(sizes)), [len(p) for p in plans])
+    if not len(of):
+        return np.empty(0, np.uint64), np.zeros(len(sizes), np.int64)
+    bands, groups, spare = np.array([x for p in plans for x in p], np.int64).T
+    _, within = spread(sizes[of])
+    at = within + np.repeat((np.cumsum(sizes) - sizes)[of], sizes[of])
+    cells, number = spread(groups)
+    cell = np.repeat(cells, sizes[of]) + ((s >> np.uint64(32))[at] % np.repeat(groups.astype(np.uint64), sizes[of])).astype(np.int64)
+    sums = np.zeros(len(number), np.uint64)
+    np.add.at(sums, cell, mixed(s, 1)[at])
+    filed = np.bincount(cell, minlength=len(number)) > 0
+    filed |= np.repeat(groups - np.add.reduceat(filed.astype(np.int64), cells) > spare, groups)
+    name = (np.repeat(bands, groups).astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)
+    keys = mixed(sums[filed] ^ mixed(name[filed], 2), 3)
+    each = np.zeros(len(sizes), np.int64)
+    np.add.at(each, of, np.add.reduceat(filed.astype(np.int64), cells))
+    return keys, each
+
+
+def count_vectors(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    at = np.repeat(np.arange(len(sizes)) * DIMS, sizes) + (s % np.uint64(DIMS)).astype(np.int64)
+    return np.bincount(at, minlength=len(sizes) * DIMS).reshape(-1, DIMS)
 
 
 def count_vector(s: np.ndarray) -> list[int]:
-    return np.bincount((s % np.uint64(DIMS)).astype(np.int64), minlength=DIMS).tolist()
+    return count_vectors(s, np.array([len(s)]))[0].tolist()
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """doc_id and text of a batch, in parts of about PART characters."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        start = held = 0
+        for i, x in enumerate(texts, 1):
+            held += len(x or "")
+            if held >= PART or i == len(texts):
+                yield batch.column("doc_id").slice(start, i - start), texts[start:i]
+                start, held = i, 0
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+
+
 def _points(k: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(x, k) for x in batch.column("text").to_pylist()]
-            sums = np.array([[x.sum(dtype=np.uint64), mixed(x, 7).sum(dtype=np.uint64)] for x in sets], np.uint64).reshape(-1, 2)
-            made = {"n_shingles": [len(x) for x in sets], "s1": _signed(sums[:, 0]), "s2": _signed(sums[:, 1]), "point": [count_vector(x) for x in sets]}
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, kind) for v, kind in zip(made.values(), types, strict=True)]], ["doc_id", *made])
+        for ids, texts in _parts(batches):
+            s, sizes = shingle_sets(texts, k)
+            at, s1, s2 = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+            np.add.at(s1, at, s)
+            np.add.at(s2, at, mixed(s, 7))
+            points = _lists(count_vectors(s, sizes).astype(np.int32).ravel(), np.full(len(sizes), DIMS))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(_signed(s1)), pa.array(_signed(s2)), points], ["doc_id", "n_shingles", "s1", "s2", "point"])
 
     return of
 
 
 def _keys(k: int, t: Fraction):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(i, group_keys(x, t)) for i, x in zip(batch["doc_id"], (shingles(x, k) for x in batch["text"]), strict=True) if len(x)]
-            for at in range(0, len(found), 500):
-                part = found[at : at + 500]
-                yield pd.DataFrame({"key": _signed(np.concatenate([x for _, x in part])), "doc_id": np.repeat(np.array([i for i, _ in part], np.int64), [len(x) for _, x in part])})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _parts(batches):
+            keys, each = group_keys(*shingle_sets(texts, k), t)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), each))], ["key", "doc_id"])
 
     return of
 
 
 def _sets(k: int):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "hashes": [_signed(shingles(x, k)) for x in part["text"]]})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _parts(batches):
+            s, sizes = shingle_sets(texts, k)
+            yield pa.RecordBatch.from_arrays([ids, _lists(_signed(s), sizes)], ["doc_id", "hashes"])
 
     return of
 
@@ -118,6 +182,10 @@ def overlap_needed(a, b, t: Fraction):
 
 def tree_pairs(size: np.ndarray, points: np.ndarray, classes: np.ndarray, block: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i, j of points in different classes, and in different blocks if there are two, whose bound allows a link."""
+    if len(size) <= LEAF and block[0] == block[-1]:  # a tree of one leaf
+        m = np.minimum(points[:, None], points[None]).sum(2) >= overlap_needed(size[:, None], size[None], t)
+        i, j = np.nonzero(m & (classes[:, None] != classes[None]))
+        return i[i < j], j[i < j]
     order = np.lexsort((*points.T[:3], size, block))
     starts = np.flatnonzero(np.diff(block[order], prepend=-1))
     leaves = [order[a + i : min(a + i + LEAF, e)] for a, e in zip(starts, [*starts[1:], len(order)], strict=True) for i in range(0, e - a, LEAF)]
@@ -139,30 +207,33 @@ def tree_pairs(size: np.ndarray, points: np.ndarray, classes: np.ndarray, block:
 
 def _search(t: Fraction):
     """Rows sorted by (key, low, high) in; the candidate pairs of each such group of at most two blocks out."""
+    names = ("key", "low", "high", "doc_id", "n_shingles", "component", "block")
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["doc_id", "n_shingles", "block"])
-        points = np.stack(group["point"].to_numpy()).astype(np.int64)
-        i, j = tree_pairs(group["n_shingles"].to_numpy(), points, group["component"].to_numpy(), group["block"].to_numpy(), t)
-        ids = group["doc_id"].to_numpy()
-        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+    def pairs(x: list[np.ndarray], a: int, e: int) -> np.ndarray:
+        i, j = tree_pairs(x[4][a:e], x[7][a:e], x[5][a:e], x[6][a:e], t)
+        return x[3][a:e][np.stack([i, j])]
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(out: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, out, held = None, [], 0
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            at = np.flatnonzero((rest[["key", "low", "high"]].to_numpy()[1:] != rest[["key", "low", "high"]].to_numpy()[:-1]).any(1)) + 1
-            for a, e in zip([0, *at], at, strict=False):
-                out.append(pairs(rest.iloc[a:e]))
-                held += len(out[-1])
+            new = [*[batch.column(c).to_numpy(zero_copy_only=False) for c in names], batch.column("point").flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS)]
+            rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+            at = np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1]) | (rest[2][1:] != rest[2][:-1])) + 1
+            for a, e in zip([0, *at[:-1].tolist()], at.tolist(), strict=False):
+                out.append(pairs(rest, a, e))
+                held += out[-1].shape[1]
                 if held > 50_000:
-                    yield pd.concat(out)
+                    yield made(out)
                     out, held = [], 0
-            rest = rest.iloc[at[-1] :] if len(at) else rest
-        if rest is not None and len(rest):
-            out.append(pairs(rest))
+            rest = [x[at[-1] :] for x in rest] if len(at) else rest
+        if rest is not None and len(rest[0]):
+            out.append(pairs(rest, 0, len(rest[0])))
         if out:
-            yield pd.concat(out)
+            yield made(out)
 
     return of
 
@@ -192,7 +263,7 @@ def bounded(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets link: whole sets are met by joins, which Spark splits where one text has many pairs."""
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = among(docs, ids).mapInPandas(_sets(k), "doc_id long, hashes array<long>")
+    sets = among(docs, ids).mapInArrow(_sets(k), "doc_id long, hashes array<long>")
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
     inner = F.size(F.array_intersect("x", "y"))
     linked = (t.denominator * inner) >= t.numerator * (F.size("x") + F.size("y") - inner)
@@ -217,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> Data
     copies = keep(some.join(first, same).where("doc_id <> first").select("doc_id", "first"))
 
     # one key, many texts: each meets the first of them, whatever their number
-    keys = docs.where("doc_id IS NOT NULL").mapInPandas(_keys(k, t), "key long, doc_id long")
+    keys = docs.where("doc_id IS NOT NULL").mapInArrow(_keys(k, t), "key long, doc_id long")
     by_key = Window.partitionBy("key").orderBy("doc_id")
     pivots = keys.withColumn("pivot", F.first("doc_id").over(by_key)).where("doc_id <> pivot")
     once = copies.groupBy("doc_id").agg(F.min("first").alias("first"))
@@ -242,7 +313,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> Data
         .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "n_shingles", "point", "component", "block")
     )
     rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    found = rows.mapInPandas(_search(t), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = rows.mapInArrow(_search(t), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     found = keep(found.join(tried, ["a", "b"], "left_anti"))
     more = verified(found, docs, k, t) if not found.isEmpty() else links.limit(0)
     # what the tree adds joins whole components; copies follow the first of their texts
