@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,10 +15,34 @@ from pyspark.sql import functions as F
 from .common import table
 
 MARK = "▁"
-#: A stretch that no merge leaves: marks, then other characters. Checked when a model is loaded.
-STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Stretches that a worker remembers.
-REMEMBERED = 600_000
+#: Stretches that a worker remembers: so many new ones, and those used while as many before them were new.
+REMEMBERED = 350_000
+
+
+class _Known(dict):
+    """Ids of stretches, as bytes; works out a stretch it does not know and notes it for the library's check."""
+
+    def __init__(self, merger: Merger):
+        super().__init__()
+        self.merger, self.new, self.changed, self.older, self.was_changed = merger, {}, {}, {}, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        if (out := self.older.get(stretch)) is not None:
+            self[stretch] = out
+            if stretch in self.was_changed:
+                self.changed[stretch] = self.was_changed[stretch]
+            return out
+        merger = self.merger
+        self.new[stretch] = ids = merger.merge(stretch)
+        self[stretch] = out = b"".join([merger.raw[i] for i in ids])
+        if (shown := merger.unmerge(ids)) != stretch.replace(MARK, " "):
+            self.changed[stretch] = shown
+        return out
+
+    def age(self) -> None:
+        """Let go of what has not been used since the last time."""
+        self.older, self.was_changed, self.changed = dict(self), self.changed, {}
+        self.clear()
 
 
 class Merger:
@@ -31,43 +56,45 @@ class Merger:
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in every if lib.is_byte(i)}
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.special and i not in self.of_byte}
-        self.score = {p: lib.get_score(i) for p, i in self.ids.items()}
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
-            raise ValueError("a piece of this model runs from one word into the next")
+        self.cost = {p: -lib.get_score(i) for p, i in self.ids.items()}
+        if any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.ids) or MARK not in self.ids:
+            raise ValueError("a piece of this model runs from one word or line into the next, or it has none for a mark")
         if lib.normalize("  Åﬁ x ") != f"{MARK * 3}Åﬁ{MARK}x{MARK}":
             raise ValueError("only models that keep the text's characters and put one mark before it are supported")
+        # a stretch, which no merge leaves: marks, then other characters, up to a line feed or, after letters, up to a
+        # sign that stands behind a letter in no piece
+        joined = {c for p in self.ids for c in re.findall(r"[^\W\d_](?=(.))", p)}
+        signs = "".join(re.escape(c) for c in string.punctuation if c != "_" and c not in joined)
+        first = f"{MARK}?[^\\W\\d_{MARK}]+(?=[{signs}])|" if signs else ""
+        self.cut = re.compile(f"{first}{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         self.raw = [i.to_bytes(4, "little") for i in every]
         self.shown = [p.replace(MARK, " ") for p in self.pieces]
         self.plain = set(self.ids.values())
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known = _Known(self)
 
     def merge(self, stretch: str) -> list[int]:
         """Ids of one stretch: the best-scored adjacent pair merges first, of equals the leftmost, until none is left."""
-        parts: list[str | None] = list(stretch)
+        parts = list(stretch)
         before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
-        agenda: list[tuple[float, int, int, int]] = []
-        score = self.score
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (s := score.get(both := parts[i] + parts[j])) is not None:
-                heapq.heappush(agenda, (-s, i, j, len(both)))
-
-        for i, (a, b) in enumerate(zip(stretch, stretch[1:])):  # noqa: B905
-            if (s := score.get(a + b)) is not None:
-                agenda.append((-s, i, i + 1, 2))
+        cost, pop, push = self.cost.get, heapq.heappop, heapq.heappush
+        agenda = [(c, i, i + 1, 2) for i, c in enumerate(map(cost, map(str.__add__, parts, parts[1:]))) if c is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, i, j, n = heapq.heappop(agenda)
-            if parts[i] is None or parts[j] is None or after[i] != j or len(parts[i]) + len(parts[j]) != n:
+            _, i, j, n = pop(agenda)
+            left, right = parts[i], parts[j]
+            if not left or after[i] != j or len(left) + len(right) != n:
                 continue
-            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
+            both, k = left + right, after[j]
+            parts[i], parts[j], after[i] = both, "", k
+            if k >= 0:
+                before[k] = i
+                if (c := cost(more := both + parts[k])) is not None:
+                    push(agenda, (c, i, k, len(more)))
+            if (k := before[i]) >= 0 and (c := cost(more := parts[k] + both)) is not None:
+                push(agenda, (c, k, i, len(more)))
         out: list[int] = []
         for p in parts:
-            if p is not None:
+            if p:
                 out += [self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode("utf-8")]
         return out
 
@@ -88,29 +115,35 @@ class Merger:
         return ("".join(out) + raw.decode("utf-8", "replace")).replace(MARK, " ")
 
     def stretches(self, text: str) -> list[str]:
-        return STRETCH.findall(MARK + text.replace(" ", MARK)) if text else []
-
-    def learn(self, new: list[str]) -> None:
-        """Encode stretches not seen before and hold them against the library, all in one call."""
-        theirs = self.library.encode([s[1:].replace(MARK, " ") for s in new])
-        for s, their in zip(new, theirs, strict=True):
+        return self.cut(MARK + text.replace(" ", MARK)) if text else []
+
+    def check(self) -> None:
+        """Hold the stretches worked out since the last check against the library, all in one call."""
+        new, self.known.new = self.known.new, {}
+        # what stands after a line feed is asked for after one: the library puts a mark before a text
+        theirs = self.library.encode([s[1:].replace(MARK, " ") if s[0] == MARK else f"\n{s}" for s in new])
+        for (s, ids), their in zip(new.items(), theirs, strict=True):
             # the library puts no mark before an empty text, so a lone mark can't be asked for
-            if (ids := self.merge(s)) != their and s != MARK:
+            if ids != (their if s[0] == MARK else their[2:]) and s != MARK:
                 raise ValueError(f"the library encodes {s!r} otherwise")
-            self.known[s] = (b"".join([self.raw[i] for i in ids]), self.unmerge(ids))
 
     def batch(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         """For each text its ids, begin and end included, as little-endian 32-bit numbers, and what they decode to."""
-        cut = [self.stretches(t or "") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(dict.fromkeys(s for c in cut for s in c if s not in self.known))
-        for at in range(0, len(new), 50_000):
-            self.learn(new[at : at + 50_000])
-        begin, end = (i.to_bytes(4, "little") for i in (self.library.bos_id(), self.library.eos_id()))
         known = self.known
-        ids = [begin + b"".join([known[s][0] for s in c]) + end for c in cut]
-        return ids, ["".join([known[s][1] for s in c])[1:] for c in cut]
+        if len(known) > REMEMBERED:
+            known.age()
+        begin, end = (i.to_bytes(4, "little") for i in (self.library.bos_id(), self.library.eos_id()))
+        ids, shown = [], []
+        for t in texts:
+            cut = self.stretches(t or "")
+            ids.append(begin + b"".join(map(known.__getitem__, cut)) + end)
+            # stretches decode to themselves with spaces for marks, but for those noted
+            whole = cut if known.changed.keys().isdisjoint(cut) else [known.changed.get(s, s) for s in cut]
+            shown.append("".join(whole).replace(MARK, " ")[1:])
+            if len(known.new) > 50_000:
+                self.check()
+        self.check()
+        return ids, shown
 
 
 _MERGERS: dict[str, Merger] = {}
