@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import jaccard, mixing, quality_rules, sentencepieces, substrings
-from lorewell.llm.common import keep, table
+from lorewell.llm.common import keep, perhaps_among, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned decision list keep."""
-    rules = quality_rules.learn(quality_rules.counted(docs), table(spark, sf_dir, "labels"))
+    """Documents that the base rules and the learned decision list keep; what is learned needs counts of labelled texts only."""
+    labels = table(spark, sf_dir, "labels")
+    rules = quality_rules.learn(quality_rules.counted(perhaps_among(docs, labels.where("quality IS NOT NULL"))), labels)
     return quality_rules.good(docs, rules)
 
 

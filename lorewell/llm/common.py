@@ -29,6 +29,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Bits of the filter that keeps most rows with other ids out of costly steps.
+FILTER_BITS = 1 << 23
+
+
+def perhaps_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids, and some others: an exact join must follow.
+
+    A bitmap of FILTER_BITS bits of hashed ids decides: a megabyte at most, whatever the number of ids, so it may be
+    broadcast. Rows without id go.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+    bits = ids.select(spot("doc_id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = F.bitmap_bit_position(F.col("_p"))
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    named = docs.where("doc_id IS NOT NULL").withColumn("_p", spot("doc_id")).withColumn("_bucket", F.bitmap_bucket_number("_p"))
+    return named.join(F.broadcast(keep(bits)), "_bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a reliable checkpoint in the folder the cluster names.
 

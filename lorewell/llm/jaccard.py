@@ -21,14 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, perhaps_among, table
 from .components import components
 from .wordhash import hashes, mixed, runs, split
 
 #: Coordinates of a point; texts in a leaf of the tree; texts in a block of a large bucket.
 DIMS, LEAF, BLOCK = 64, 16, 512
-#: Bits of the filter that keeps texts without a candidate out of shuffles.
-FILTER_BITS = 1 << 23
 #: Characters of the texts that a task works on at a time; a longer text is a part of its own.
 PART = 1 << 20
 
@@ -239,17 +237,8 @@ def _search(t: Fraction):
 
 
 def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is among ids. Texts of most others are left out before any shuffle.
-
-    A bitmap of FILTER_BITS bits of hashed ids does that: a megabyte at most, whatever the number of ids, so it may
-    be broadcast. It lets through all ids given and some others; a semi join then decides.
-    """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = ids.select(spot("doc_id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
-    at = F.bitmap_bit_position(F.col("_p"))
-    byte = F.conv(F.hex(F.substr("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = docs.withColumn("_p", spot("doc_id")).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(keep(bits)), "_bucket")
-    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns).join(ids, "doc_id", "left_semi")
+    """docs whose doc_id is among ids. Texts of most others are left out before any shuffle."""
+    return perhaps_among(docs, ids).join(ids, "doc_id", "left_semi")
 
 
 def bounded(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
