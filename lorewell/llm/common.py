@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,22 @@ def perhaps_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return named.join(F.broadcast(keep(bits)), "_bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
 
 
+#: Seconds between two collections of the driver's unused frames.
+RELEASE_EVERY = 4.0
+_released = [0.0]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done, at most once in RELEASE_EVERY seconds.
+
+    Spark's cleaner deletes them when the driver's JVM finds that no frame needs them, which it looks for when its
+    memory runs low or every half hour. Many short steps with large shuffles would fill the disks before.
+    """
+    if time.monotonic() - _released[0] >= RELEASE_EVERY:
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = time.monotonic()
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a reliable checkpoint in the folder the cluster names.
 
@@ -56,4 +73,7 @@ def keep(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorewell-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df  # what its plan has shuffled may go
+    release(out.sparkSession)
+    return out
