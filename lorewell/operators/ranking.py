@@ -82,31 +82,45 @@ def render_hints(nodes: list[dict], edges: list[tuple[str, str, str]]) -> str:
     return "\n".join([*lines, "Explain a node by its address to read it."])
 
 
-def choose_hints(semantic: list[dict], lexical: list[dict], opened: set[str], budget: int, edges: Iterable[tuple[str, str, str]] = ()) -> tuple[list[dict], list[tuple[str, str, str]]]:
-    """At most three nodes of two short ranked lists, within a budget of tokens.
+def choose_hints(semantic: list[dict], lexical: list[dict] | DataFrame, opened: set[str], budget: int, edges: Iterable[tuple[str, str, str]] = (), order: Iterable[Column] = ()) -> tuple[list[dict], list[tuple[str, str, str]]]:
+    """At most three nodes of two ranked lanes, within a budget of tokens.
 
-    First of each lane, then one of a branch not seen yet (durable nodes before others), then whatever fits.
+    First of each lane, then one of a branch not seen yet (durable nodes before others), then whatever fits. The
+    lexical lane has no limit: as a data frame (id, key, label, kind, path, owner; ranked by order) it stays in Spark,
+    and each step takes from it the one row that comes first of all that may be added.
     """
     chosen: list[dict] = []
     cost = lambda nodes, links: max(1, (len(render_hints(nodes, links).encode()) + 3) // 4)
     branch = lambda n: (n.get("path") or "").split(".")[0]
-    taken = lambda n: any(c["id"] == n["id"] for c in chosen)
 
-    def add(node: dict, match: str) -> bool:
-        if len(chosen) == 3 or taken(node) or {node["id"], node.get("key")} & opened or cost([*chosen, node | {"match": match}], []) > budget:
-            return False
-        chosen.append(node | {"match": match})
-        return True
+    def first(lane: list[dict] | DataFrame, match: str, durable: bool, met: set[str]) -> dict | None:
+        taken = {c["id"] for c in chosen} | opened
+        if isinstance(lane, DataFrame):
+            # the bytes that path or id, label and kind of one more node may have
+            room = 4 * budget - len(render_hints([*chosen, {"id": "", "label": "", "kind": "", "match": match}], []).encode())
+            path, shown = F.coalesce("path", F.lit("")), [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("label", "kind")]
+            fits = F.octet_length(F.concat(F.when(path == "", F.col("id")).otherwise(path), *shown)) <= room
+            may = fits & ~F.col("id").isin(list(taken)) & ~F.coalesce(F.col("key").isin(list(opened)), F.lit(False)) & ~F.substring_index(path, ".", 1).isin(list(met))
+            row = lane.where(may & F.col("owner").eqNullSafe("durable") if durable else may).orderBy(*order).first()
+            return row and row.asDict()
+        for n in lane:
+            if n["id"] not in taken and n.get("key") not in opened and (n.get("owner") == "durable" or not durable) and branch(n) not in met and cost([*chosen, n | {"match": match}], []) <= budget:
+                return n
+        return None
+
+    def add(lane: list[dict] | DataFrame, match: str, durable: bool = False, fresh: bool = False) -> bool:
+        node = first(lane, match, durable, {branch(c) for c in chosen} if fresh else set()) if len(chosen) < 3 else None
+        if node:
+            chosen.append(node | {"match": match})
+        return bool(node)
 
     lanes = (("semantic", semantic), ("bm25", lexical))
-    if semantic:
-        add(semantic[0], "semantic")
-    any(add(n, "bm25") for n in lexical)
-    fresh = ((n, name) for durable in (True, False) for name, lane in lanes for n in lane if n.get("owner") == "durable" or not durable)
-    any(branch(n) not in {branch(c) for c in chosen} and add(n, f"{name}:alternate-branch") for n, name in fresh)
+    add(semantic[:1], "semantic")
+    add(lexical, "bm25")
+    any(add(lane, f"{name}:alternate-branch", durable, True) for durable in (True, False) for name, lane in lanes)
     for name, lane in lanes:
-        for n in lane:
-            add(n, name)
+        while add(lane, name):
+            pass
     links: list[tuple[str, str, str]] = []
     ids = {c["id"] for c in chosen}
     for e in edges:

@@ -110,10 +110,10 @@ def tiered_find(spark, d):
 
 
 def _lanes(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     vectors = table(spark, d, "embeddings")
     near = ranking.semantic_top(vectors, vectors.where("vec_id = 0").first().embedding, 8, "vec_id", "embedding").select(F.col("vec_id").alias("id"), "score")
-    words = ranking.bm25(docs, ["text"], ASK).select("id", "score")
+    words = ranking.bm25(docs, ["text"], ASK).select("id", "score", "source")
     text = ranking.text_seeds(docs, ["text"], "thing").select("id", F.lit(0.0).alias("score"))
     return text, near, words
 
@@ -133,12 +133,13 @@ def hybrid_query(spark, d):
 @query()
 def hint_map_top3(spark, d):
     _, near, words = _lanes(spark, d)
-    about = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
-    lane = lambda df: [  # noqa: E731  at most 8 rows
-        {"id": str(r.id), "key": f"{r.source}.{r.id}", "label": f"document {r.id}", "kind": "material", "path": f"{r.source}.{r.id}", "owner": "observed"}
-        for r in df.orderBy(F.desc("score"), "id").limit(8).join(about, "id").orderBy(F.desc("score"), "id").collect()
-    ]
-    nodes, _ = ranking.choose_hints(lane(near), lane(words), set(), 512)
+    about = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    name, path = F.col("id").cast("string"), F.concat_ws(".", F.coalesce("source", F.lit("None")), "id")
+    hints = lambda df: df.select(name.alias("id"), path.alias("key"), F.concat(F.lit("document "), name).alias("label"), F.lit("material").alias("kind"), path.alias("path"), F.lit("observed").alias("owner"), "score", F.col("id").alias("n"))
+    order = [F.desc("score"), F.asc("n")]
+    lexical = hints(words).persist()
+    nodes, _ = ranking.choose_hints([r.asDict() for r in hints(near.join(about, "id")).orderBy(*order).collect()], lexical, set(), 512, order=order)
+    lexical.unpersist()
     return spark.createDataFrame([(i, n["id"], n["path"], n["match"]) for i, n in enumerate(nodes)], "place int, id string, path string, match string")
 
 

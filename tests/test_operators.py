@@ -43,6 +43,59 @@ def test_hint_map_takes_an_alternate_branch():
     assert ranking.choose_hints([rule], [], {"rule"}, 512)[0] == []
 
 
+def plain_hints(semantic, lexical, opened, budget):
+    """The reference's choice, node by node over both whole lanes."""
+    chosen = []
+
+    def add(n, match):
+        trial = [*chosen, n | {"match": match}]
+        if len(chosen) == 3 or n["id"] in {c["id"] for c in chosen} | opened or n["key"] in opened or (len(ranking.render_hints(trial, []).encode()) + 3) // 4 > budget:
+            return False
+        chosen.append(trial[-1])
+        return True
+
+    if semantic:
+        add(semantic[0], "semantic")
+    for n in lexical:
+        if add(n, "bm25"):
+            break
+    done = False
+    for durable in (True, False):
+        for name, lane in (("semantic", semantic), ("bm25", lexical)):
+            for n in lane:
+                if not done and (n["owner"] == "durable" or not durable) and n["path"].split(".")[0] not in {c["path"].split(".")[0] for c in chosen}:
+                    done = add(n, name + ":alternate-branch")
+    for name, lane in (("semantic", semantic), ("bm25", lexical)):
+        for n in lane:
+            add(n, name)
+    return [(n["id"], n["match"]) for n in chosen]
+
+
+def test_hints_come_from_the_whole_lexical_lane(spark):
+    import random
+
+    r = random.Random(4)
+    for case in range(6):
+        # one branch takes all places but the last two; many nodes are too long for the budget
+        node = lambda i, b: {"id": str(i), "key": f"k{i}", "label": "가" * r.choice([1, 1, 60]), "kind": "intent", "path": f"{b}.{i}", "owner": r.choice(["observed", "durable"])}
+        lane = [node(i, "hot") for i in range(40)] + [node(40, "cold"), node(41, "mild")]
+        near, opened, budget = [node(i, "hot") for i in range(50, 50 + case % 3)], {"0", "k1"}, r.choice([50, 70, 90, 512])
+        df = spark.createDataFrame([(*n.values(), p) for p, n in enumerate(lane)], "id string, key string, label string, kind string, path string, owner string, p int").repartition(3)
+        want = plain_hints(near, lane, opened, budget)
+        for lexical in (lane, df):
+            assert [(n["id"], n["match"]) for n in ranking.choose_hints(near, lexical, opened, budget, order=[F.asc("p")])[0]] == want
+
+
+def test_hint_map_finds_another_source_behind_a_hot_one(spark, tmp_path):
+    from lorewell.plans.queries import QUERIES
+
+    docs = [(i, "reading signed sessions thing", "hot", "en") for i in range(30)] + [(30, "thing " + "other words " * 30, "cold", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = QUERIES["hint_map_top3"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [(r.path, r.match) for r in rows] == [("hot.0", "semantic"), ("hot.1", "bm25"), ("cold.30", "bm25:alternate-branch")]
+
+
 def test_conflicts_change_nothing(spark):
     now = spark.createDataFrame([("k", "h1")], "key string, hash string")
     change = lambda expected: spark.createDataFrame([("k", "h2", expected), ("n", "h3", None)], "key string, hash string, expected_hash string")
