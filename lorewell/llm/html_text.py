@@ -38,6 +38,8 @@ OTHER_WORDS = set(
 )
 SITE_HEADER = set("header masthead topbar".split())
 ARTICLE_WORDS = set("article post entry content story main".split())
+#: Elements that can be the place of an article; text of all others counts for the place around them.
+PLACES = set("#root html body div section center form fieldset details dialog td article main".split())
 
 
 class Node:
@@ -158,39 +160,76 @@ def merged(a: list, b: list, quantifier: str | None = None) -> list:
     return [a[0], a[1], quantifier, out]
 
 
-def article_path(wrapper: list) -> list[list[str]]:
+def amounts(root: Node) -> dict[str, int]:
+    """Characters of the text that stands directly in the elements of a page, by path, other parts left out."""
+    out: dict[str, int] = {}
+    stack: list[tuple[Node, list]] = [(root, [])]
+    while stack:
+        node, path = stack.pop()
+        path = [*path, [node.tag, " ".join(sorted(node.words))]]
+        size = 0
+        for c in node.children:
+            if isinstance(c, str):
+                size += len(c.strip())
+            elif not other(c):
+                stack.append((c, path))
+        if size:
+            key = json.dumps(path)
+            out[key] = out.get(key, 0) + size
+    return out
+
+
+def article_path(wrapper: list, filled: dict[str, int] | None = None) -> list[list[str]]:
     """The steps (tag, words) from the root to where the host keeps its article; none: the whole page.
 
-    An article element comes first, then main, then an element whose class or id says so, then the element with the
-    most repeated or single text blocks directly in it.
+    An article element comes first, then main, then an element whose class or id says so, then any; among these the
+    one that most text fills, by the characters of each path (filled; without it, each slot counts as one). Text of
+    any markup counts for the nearest place around it. No place is inside a repeated group, as the group is read
+    whole: its text counts for the place around the group.
     """
-    found: list[tuple[tuple, list]] = []
+    found: dict[int, list] = {}  # by number: rank, text, path
 
-    def walk(w: list, path: list) -> None:
+    def walk(w: list, path: list, home: int, named: int, repeated: bool) -> int:
         words = set(w[1].split())
         if w[0] in OTHER or words & (OTHER_WORDS | {"#hidden"}) and w[0] not in ("html", "body", "article", "main"):
-            return
-        path = [*path, [w[0], w[1]]]
-        blocks = sum({"": 1, "?": 1, "+": 8, "*": 8}[c[2]] for c in w[3] if c[0] in ("p", "pre", "blockquote", "h1", "h2", "h3"))
-        rank = 3 if w[0] == "article" else 2 if w[0] == "main" else 1 if words & ARTICLE_WORDS and w[0] != "body" else 0
-        if rank or blocks:
-            found.append(((rank, 0 if rank > 1 else blocks, -len(path)), path))
-        for c in w[3]:
-            walk(c, path)
-
-    walk(wrapper, [])
-    return max(found, key=lambda f: f[0], default=(None, []))[1][1:]
+            return 0
+        path, repeated = [*path, [w[0], w[1]]], repeated or w[2] in ("+", "*")
+        rank = 3 if w[0] == "article" else 2 if w[0] == "main" else 1 if words & ARTICLE_WORDS and w[0] in PLACES and w[0] != "body" else 0
+        place = w[0] in PLACES and not repeated and (w[0] != "td" or any(c[0] in BLOCK for c in w[3]))
+        me = len(found)
+        if rank or place or not found:
+            found[me] = [rank, 0, path]
+            home, named = (me if place or not me else home), (me if rank else named)
+        size = sum(c[0] == "#" for c in w[3]) if filled is None else filled.get(json.dumps(path), 0)
+        for n in {home, named} - {-1}:
+            if found[n][0] < 2:
+                found[n][1] += size
+        size += sum(walk(c, path, home, named, repeated) for c in w[3])
+        if rank > 1:
+            found[me][1] = size
+        return size
+
+    walk(wrapper, [], 0, -1, False)
+    return max((f for f in found.values() if f[1]), key=lambda f: (f[0], f[1], -len(f[2])), default=(0, 0, []))[2][1:]
 
 
 def extract(page: str, path: list[list[str]]) -> str:
-    """The text of the places in a page that the path leads to; where it leads nowhere, of the page's own best place."""
+    """The text of the places in a page that the path leads to. Where that is under half of the page's text, as on a
+    page of another make than most of its host, the page's own best place counts if it has more than twice as much."""
     root = parse(page)
-    places = [root]
-    for tag, words in path:
-        places = [c for p in places for c in p.children if isinstance(c, Node) and c.tag == tag and " ".join(sorted(c.words)) == words]
-    if not places:
-        return extract(page, own) if (own := article_path(skeleton(root))) and own != path else "\n\n".join(blocks([root]))
-    return "\n\n".join(blocks(places))
+
+    def read(path: list[list[str]]) -> str:
+        places = [root]
+        for tag, words in path:
+            places = [c for p in places for c in p.children if isinstance(c, Node) and c.tag == tag and " ".join(sorted(c.words)) == words]
+        return "\n\n".join(blocks(places))
+
+    text, filled = read(path), amounts(root)
+    if 2 * len(text) >= sum(filled.values()):
+        return text
+    own = article_path(skeleton(root), filled)
+    best = read(own) if own != path else text
+    return best if len(best) > 2 * len(text) else text
 
 
 def blocks(places: list[Node]) -> list[str]:
@@ -248,16 +287,31 @@ def wrappers(pages: DataFrame, parts: int = 64) -> DataFrame:
     return partial.groupBy("host").applyInPandas(_wrapper, kind)
 
 
+def _amounts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows: dict[tuple[str, str], int] = {}
+        for u, h in zip(batch["url"], batch["html"], strict=True):
+            for path, n in amounts(parse(h or "")).items():
+                rows[host(u), path] = rows.get((host(u), path), 0) + n
+        yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["host", "path", "n"])
+
+
+def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        paths = [json.dumps(article_path(json.loads(w), {r["path"]: r["n"] for r in ([] if f is None else f)})) for w, f in zip(batch["skeleton"], batch["filled"], strict=True)]
+        yield pd.DataFrame({"host": batch["host"], "path": paths})
+
+
+def article_paths(pages: DataFrame) -> DataFrame:
+    """host and path, where its wrapper has the article: the place that most text of all its pages (url, html) fills."""
+    sums = pages.select("url", "html").mapInPandas(_amounts, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
+    filled = sums.groupBy("host").agg(F.collect_list(F.struct("path", "n")).alias("filled"))
+    return wrappers(pages).join(filled, "host", "left").mapInPandas(_paths, "host string, path string")
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    paths: dict[str | None, list] = {}
     for batch in batches:
-        texts = []
-        for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("skeleton").to_pylist(), strict=True):
-            if wrapper not in paths:
-                if len(paths) > 2000:
-                    paths.clear()
-                paths[wrapper] = article_path(json.loads(wrapper)) if wrapper else []
-            texts.append(extract(page or "", paths[wrapper]))
+        texts = [extract(page or "", json.loads(path or "[]")) for page, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
@@ -267,11 +321,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     Null html gives an empty text, as does a page without an article's text; a null url is a host of its own. White
     space inside a block becomes one space. Every page is read whole, repeated rows each; other columns pass through.
     """
-    found = keep(wrappers(pages))
+    found = keep(article_paths(pages))
     row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "html"]).alias("row")
     # the same host as host() finds
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    whole = pages.select(row, "html", name.alias("host")).join(found, "host", "left").select("row", "html", "skeleton")
+    whole = pages.select(row, "html", name.alias("host")).join(found, "host", "left").select("row", "html", "path")
     out = whole.mapInArrow(_extract, f"row {whole.schema['row'].dataType.simpleString()}, text string")
     return out.select("row.*", F.struct("text").alias("_main"))
 

@@ -255,6 +255,26 @@ def test_html_leaves_out_what_is_no_article():
     assert html_text.extract(page, html_text.article_path(html_text.skeleton(html_text.parse(page)))) == "Title & x\n\nOne two three\n\nFour\n\na\n\nb"
 
 
+def test_html_takes_the_place_that_most_text_fills(spark):
+    """Hosts without article or main: short lists, side boxes and copyright lines lose against the article's text."""
+    side = '<div class="x0"><p>short</p></div><div class="x3"><p>copyright line</p></div>'
+    parts = [f"Part {i} of a text that has more to say than its list." for i in range(12)]
+    makes = {
+        "list": ('<div class="x1"><p>teaser one</p><p>teaser two</p></div><div class="x2">' + "".join(f"<p>{x}</p>" for x in parts) + "</div>", parts),
+        "br": (f'<div class="x2">{"<br>".join(parts)}</div>{side}', [" ".join(parts)]),
+        "div": (f'{side}<div class="x2"><h2>Title</h2>' + "".join(f"<div><div>{x}</div></div>" for x in parts) + "</div>", ["Title", *parts]),
+        "li": (f'{side}<div class="x2"><h2>Title</h2><ul>' + "".join(f"<li>{x}" for x in parts) + "</ul></div>", ["Title", *parts]),
+        "td": (f'<table><tr><td class="x1"><p>menu</p></td><td class="x2">' + "".join(f"<p>{x}</p>" for x in parts) + "</td></tr></table>", parts),
+        "title": (f'<h1 class="entry-title">Title</h1><div class="x2">{"<br>".join(parts)}</div>', [" ".join(parts)]),
+    }
+    rows = [(i, f"http://{name}/{i}", f"<html><body>{body.replace('Part', f'Part {i} ')}</body></html>") for name, (body, _) in makes.items() for i in range(3)]
+    rows += [(9, "http://list/9", '<div class="y"><p>' + "Only this page is made so. " * 9 + '</p></div><div class="x2"><p>short</p></div>')]
+    out = {(r.page_id, r.url): r["_main"].text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out.pop((9, "http://list/9")) == ("Only this page is made so. " * 9).strip()
+    for (i, url), text in out.items():
+        assert text == "\n\n".join(x.replace("Part", f"Part {i} ").replace("  ", " ") for x in makes[url.split("/")[2]][1]), url
+
+
 def test_wrappers_align_pages_of_a_host():
     tree = lambda x: html_text.skeleton(html_text.parse(x))
     w = html_text.merged(tree("<div><p>a</p><p>b</p></div>"), tree("<div><h1>t</h1><p>a</p></div>"))
