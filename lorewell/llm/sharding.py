@@ -5,13 +5,15 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, table
 
 #: Groups stand in order of (CRC-32, MD5) of their text; a cell is a range of CRC-32 values.
 CELL_BITS = 16
+#: Ranges that one round parts, each in 256.
+PARTED = 256
 
 
 def greedy(ends: list[int], capacity: int, shards: int) -> list[int] | None:
@@ -36,34 +38,70 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     return low
 
 
-def _exact_cuts(rows: DataFrame, cells: dict[int, int], shards: int) -> list[tuple[int, str]]:
-    """The first (crc, md5) of each shard but the first.
+def _walk(ends: list[int], single: list[bool] | None, capacity: int, shards: int) -> list[int]:
+    """Where each of so many greedy shards ends: at a border of items, or, with single, anywhere in an item not single."""
+    out, at = [], 0
+    for _ in range(shards):
+        i = bisect_right(ends, at + capacity)
+        at = ends[-1] if i == len(ends) else at + capacity if single and not single[i] else ends[i - 1] if i else 0
+        out.append(at)
+    return out
+
+
+def _least(ends: list[int], single: list[bool] | None, low: int, high: int, shards: int) -> int:
+    """The smallest capacity from low to high with which _walk reaches the end; high must do."""
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if _walk(ends, single, mid, shards)[-1] == ends[-1] else (mid + 1, high)
+    return low
+
+
+def _ranges(rows: DataFrame, of: dict[int, list[str]]) -> list[tuple[str, int, bool]]:
+    """(first digits, bytes, whether it is one group) of the parts of ranges, given by their number of digits, in order."""
+    key = F.concat(F.lpad(F.lower(F.hex("crc")), 8, "0"), F.col("md5"))
+    part = F.lit(None).cast("string")
+    for digits, names in of.items():
+        part = F.when(F.substring(key, 1, digits).isin(names), F.substring(key, 1, digits + 2)).otherwise(part) if digits else F.substring(key, 1, CELL_BITS // 4)
+    parts = rows.select(part.alias("part"), key.alias("key"), "size").where("part IS NOT NULL").groupBy("part")
+    found = parts.agg(F.sum("size").alias("size"), (F.min("key") == F.max("key")).alias("single"))
+    return sorted((r.part, r["size"], r.single) for r in found.toLocalIterator())
+
+
+def _exact_cuts(rows: DataFrame, shards: int, parted: int = PARTED) -> list[str]:
+    """The first key (hex digits of crc and md5) of each shard but the first.
 
-    Cells bound every capacity that can be the answer: it is at least total / shards, at most what cuts at cell
-    borders reach. For capacities between the two, the k-th greedy cut stays inside a short run of cells; only the
-    groups of those cells are read singly, every other cell counts as one item that no cut can enter.
+    Sums of ranges bound the capacity and every cut: from above by cuts at borders of ranges only, from below by cuts
+    anywhere but in a range known to be one group. A cut can only be in a range where a shard can fill up between the
+    two bounds; each round the largest of these ranges are parted, until all of them are single groups. The others
+    join with their neighbours, so the driver holds a fixed number of sums, whatever the sizes of the groups.
     """
-    keys, total = sorted(cells), sum(cells.values())
-    ends = list(accumulate(cells[k] for k in keys))
-    low, high = -(-total // shards), smallest_capacity([cells[k] for k in keys], shards)
-    opened, first, last = set(), 0, 0
-    for _ in range(shards - 1):
-        # where the next cut can lie: the earliest with the low capacity and a cell lost, the latest with the high one
-        opened.update(range(bisect_right(ends, first + low), min(bisect_right(ends, last + high), len(keys) - 1) + 1))
-        a = bisect_right(ends, first + low)
-        first = ends[a - 1] if a else 0
-        last = min(last + high, total)
-    singly = [keys[i] for i in sorted(opened) if i < len(keys)]
-    items: list[tuple[tuple[int, str], int]] = []
-    if singly:
-        at = rows.where(F.col("cell").isin(singly)).groupBy("crc", "md5").agg(F.sum("size").alias("size"))
-        items = [((r.crc, r.md5), r.size) for r in at.toLocalIterator()]
-    shift = 32 - CELL_BITS
-    items += [((k << shift, ""), cells[k]) for k in set(keys) - set(singly)]
-    items.sort()
-    sizes = [s for _, s in items]
-    cuts = greedy(list(accumulate(sizes)), smallest_capacity(sizes, shards), shards) or []
-    return [items[i][0] for i in cuts]
+    items = _ranges(rows, {0: []})
+    low, high = 0, sum(s for _, s, _ in items)
+    while items:
+        ends, single = list(accumulate(s for _, s, _ in items)), [one for _, _, one in items]
+        low, high = _least(ends, single, low, high, shards), _least(ends, None, low, high, shards)
+        starts, stops = _walk(ends, None, low, shards), _walk(ends, single, high, shards)
+        near: set[int] = set()
+        for a, b in zip([0, *starts], [0, *stops[:-1]], strict=False):
+            near.update(range(bisect_right(ends, a + low), min(bisect_right(ends, b + high), len(ends) - 1) + 1))
+        wide = sorted((i for i in near if not single[i]), key=lambda i: -items[i][1])[:parted]
+        if not wide:
+            return [items[i][0] for i in greedy(ends, high, shards) or []]
+        of: dict[int, list[str]] = {}
+        for i in wide:
+            of.setdefault(len(items[i][0]), []).append(items[i][0])
+        kept: list[tuple[str, int, bool]] = []
+        gone, last = set(wide), -2
+        for i, (name, size, one) in enumerate(items):
+            if i in gone:
+                continue
+            if i not in near and last == i - 1:
+                kept[-1] = (kept[-1][0], kept[-1][1] + size, False)
+            else:
+                kept.append((name, size, one))
+            last = i if i not in near else -2
+        items = sorted([*kept, *_ranges(rows, of)])
+    return []
 
 
 def shards(docs: DataFrame, n: int = 16) -> DataFrame:
@@ -97,10 +135,9 @@ def shards(docs: DataFrame, n: int = 16) -> DataFrame:
     light = rows
     for crc, md5 in heavy:
         light = light.where(~((F.col("crc") == crc) & (F.col("md5") == md5)))
-    cuts = _exact_cuts(light, {k: v for k, v in cells.items() if v}, rest)
-    shard: Column = F.lit(len(heavy))
-    for crc, md5 in cuts:
-        shard = shard + ((F.col("crc") > crc) | ((F.col("crc") == crc) & (F.col("md5") >= md5))).cast("int")
+    key, shard = F.concat(F.lpad(F.lower(F.hex("crc")), 8, "0"), F.col("md5")), F.lit(len(heavy))
+    for cut in _exact_cuts(light, rest):
+        shard = shard + (key >= cut).cast("int")
     for i, (crc, md5) in enumerate(heavy):
         shard = F.when((F.col("crc") == crc) & (F.col("md5") == md5), F.lit(i)).otherwise(shard)
     return numbered(rows.select("doc_id", "size", F.col("crc").alias("text_crc32"), "md5", shard.cast("int").alias("shard")))

@@ -157,6 +157,34 @@ def test_shards(spark, docs):
         assert len({(r.text or "", r.shard) for r in rows}) == len({r.text or "" for r in rows})
 
 
+def test_cuts_are_exact_and_few_ranges_are_held(spark, monkeypatch):
+    """One group somewhat below an even share, and others of many sizes, held against one list of all groups."""
+    import zlib
+
+    r = random.Random(8)
+    seen, plain = [], sharding._ranges
+    monkeypatch.setattr(sharding, "_ranges", lambda *a: seen.append(plain(*a)) or seen[-1])
+    monkeypatch.setattr(sharding, "CELL_BITS", 8)
+    for case, (shards, parted) in enumerate([(16, 4), (16, 16), (5, 1), (3, 256), (1, 4)]):
+        n = 4000
+        texts = [f"{case} {i}" for i in range(n)]
+        size = [r.randrange(1, 9) for _ in texts]
+        size[7] = sum(size) // 18  # 5 % of all
+        size[9] = sum(size) // 400 if case % 2 else 3
+        groups = [(zlib.crc32(t.encode()), hashlib.md5(t.encode()).hexdigest(), s) for t, s in zip(texts, size, strict=True)]
+        rows = spark.createDataFrame(groups, "crc long, md5 string, size long").repartition(3).cache()
+        groups.sort()
+        seen.clear()
+        got = sharding._exact_cuts(rows, shards, parted)
+        sizes = [s for *_, s in groups]
+        ends = [sum(sizes[: i + 1]) for i in range(n)]
+        keys = [f"{c:08x}{m}" for c, m, _ in groups]
+        assert [sum(k < x for k in keys) for x in got] == sharding.greedy(ends, sharding.smallest_capacity(sizes, shards), shards)
+        assert max(map(len, seen)) <= max(256, 256 * parted) and sum(map(len, seen)) < n / 2
+        rows.unpersist()
+    assert sharding._exact_cuts(spark.createDataFrame([], "crc long, md5 string, size long"), 4) == []
+
+
 def test_smallest_capacity_is_minimax():
     from itertools import combinations
 
