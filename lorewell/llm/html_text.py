@@ -11,7 +11,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -213,16 +214,21 @@ def article_path(wrapper: list, filled: dict[str, int] | None = None) -> list[li
     return max((f for f in found.values() if f[1]), key=lambda f: (f[0], f[1], -len(f[2])), default=(0, 0, []))[2][1:]
 
 
-def extract(page: str, path: list[list[str]]) -> str:
+def digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def extract(page: str, path: list[list[str]], template: Set[int] = frozenset()) -> str:
     """The text of the places in a page that the path leads to. Where that is under half of the page's text, as on a
-    page of another make than most of its host, the page's own best place counts if it has more than twice as much."""
+    page of another make than most of its host, the page's own best place counts if it has more than twice as much. Blocks of the host's
+    template, given by their digests, are left out."""
     root = parse(page)
 
     def read(path: list[list[str]]) -> str:
         places = [root]
         for tag, words in path:
             places = [c for p in places for c in p.children if isinstance(c, Node) and c.tag == tag and " ".join(sorted(c.words)) == words]
-        return "\n\n".join(blocks(places))
+        return "\n\n".join(b for b in blocks(places) if not template or digest(b) not in template)
 
     text, filled = read(path), amounts(root)
     if 2 * len(text) >= sum(filled.values()):
@@ -266,9 +272,25 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+READ = "host string, kind string, what string, n long, page long"
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the pages of a batch tell of their hosts: skeletons, characters by path, and the digests of each page's blocks."""
     for batch in batches:
-        yield pd.DataFrame({"host": [host(u) for u in batch["url"]], "skeleton": [json.dumps(skeleton(parse(h or ""))) for h in batch["html"]]}).drop_duplicates()
+        sums: dict[tuple[str, str], int] = {}
+        rows: dict[tuple, None] = {}
+        for u, h in zip(batch["url"], batch["html"], strict=True):
+            name, root = host(u), parse(h or "")
+            rows[name, "skeleton", json.dumps(skeleton(root)), None, None] = None
+            for path, n in amounts(root).items():
+                sums[name, path] = sums.get((name, path), 0) + n
+            text = blocks([root])
+            page = digest("\n".join(text))
+            rows.update(((name, "block", str(len(b)), digest(b), page), None) for b in text)
+        rows.update(((name, "filled", path, n, None), None) for (name, path), n in sums.items())
+        out = pd.DataFrame(list(rows), columns=["host", "kind", "what", "n", "page"], dtype=object)
+        yield out.astype({"n": "Int64", "page": "Int64"})
 
 
 def _wrapper(group: pd.DataFrame) -> pd.DataFrame:
@@ -279,21 +301,24 @@ def _wrapper(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [group["host"].iloc[0]], "skeleton": [json.dumps(out)]})
 
 
-def wrappers(pages: DataFrame, parts: int = 64) -> DataFrame:
-    """host and skeleton, its wrapper, from all pages (url, html): distinct skeletons first align in parts, then the parts."""
+def wrappers(read: DataFrame, parts: int = 64) -> DataFrame:
+    """host and skeleton, its wrapper, from all pages: distinct skeletons first align in parts, then the parts."""
     kind = "host string, skeleton string"
-    distinct = pages.select("url", "html").mapInPandas(_skeletons, kind).distinct()
+    distinct = read.where("kind = 'skeleton'").select("host", F.col("what").alias("skeleton")).distinct()
     partial = distinct.groupBy("host", F.pmod(F.xxhash64("skeleton"), F.lit(parts)).alias("part")).applyInPandas(_wrapper, kind)
     return partial.groupBy("host").applyInPandas(_wrapper, kind)
 
 
-def _amounts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows: dict[tuple[str, str], int] = {}
-        for u, h in zip(batch["url"], batch["html"], strict=True):
-            for path, n in amounts(parse(h or "")).items():
-                rows[host(u), path] = rows.get((host(u), path), 0) + n
-        yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["host", "path", "n"])
+def templates(read: DataFrame) -> DataFrame:
+    """host and template: the digests of blocks that stand word for word on nine in ten of its pages, two at least.
+
+    Pages of equal text count as one. Where such blocks have half of a host's text or more, its pages are copies of each
+    other with few changes rather than articles in one template, and nothing is left out.
+    """
+    block = read.where("kind = 'block'").select("host", "n", "page", F.col("what").cast("long").alias("size")).distinct()
+    pages = block.groupBy("host", "page").agg(F.sum("size").alias("size")).groupBy("host").agg(F.count("*").alias("pages"), F.sum("size").alias("all"))
+    often = block.groupBy("host", "n").agg(F.count("*").alias("times"), F.sum("size").alias("size")).where("times > 1").join(pages, "host").where("times * 10 >= pages * 9")
+    return often.groupBy("host").agg(F.collect_list("n").alias("template"), F.sum("size").alias("size"), F.first("all").alias("all")).where("size * 2 < all").select("host", "template")
 
 
 def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,16 +327,17 @@ def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"host": batch["host"], "path": paths})
 
 
-def article_paths(pages: DataFrame) -> DataFrame:
-    """host and path, where its wrapper has the article: the place that most text of all its pages (url, html) fills."""
-    sums = pages.select("url", "html").mapInPandas(_amounts, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
+def article_paths(read: DataFrame) -> DataFrame:
+    """host and path, where its wrapper has the article: the place that most text of all its pages fills."""
+    sums = read.where("kind = 'filled'").groupBy("host", F.col("what").alias("path")).agg(F.sum("n").alias("n"))
     filled = sums.groupBy("host").agg(F.collect_list(F.struct("path", "n")).alias("filled"))
-    return wrappers(pages).join(filled, "host", "left").mapInPandas(_paths, "host string, path string")
+    return wrappers(read).join(filled, "host", "left").mapInPandas(_paths, "host string, path string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(page or "", json.loads(path or "[]")) for page, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        each = zip(*[batch.column(c).to_pylist() for c in ("html", "path", "template")], strict=True)
+        texts = [extract(page or "", json.loads(path or "[]"), frozenset(template or ())) for page, path, template in each]
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
@@ -321,11 +347,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     Null html gives an empty text, as does a page without an article's text; a null url is a host of its own. White
     space inside a block becomes one space. Every page is read whole, repeated rows each; other columns pass through.
     """
-    found = keep(article_paths(pages))
+    read = keep(pages.select("url", "html").mapInPandas(_read, READ))
+    found = keep(article_paths(read).join(templates(read), "host", "left"))
     row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "html"]).alias("row")
     # the same host as host() finds
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    whole = pages.select(row, "html", name.alias("host")).join(found, "host", "left").select("row", "html", "path")
+    whole = pages.select(row, "html", name.alias("host")).join(found, "host", "left").select("row", "html", "path", "template")
     out = whole.mapInArrow(_extract, f"row {whole.schema['row'].dataType.simpleString()}, text string")
     return out.select("row.*", F.struct("text").alias("_main"))
 

@@ -290,8 +290,8 @@ def test_html_takes_the_place_that_most_text_fills(spark):
     makes = {
         "list": ('<div class="x1"><p>teaser one</p><p>teaser two</p></div><div class="x2">' + "".join(f"<p>{x}</p>" for x in parts) + "</div>", parts),
         "br": (f'<div class="x2">{"<br>".join(parts)}</div>{side}', [" ".join(parts)]),
-        "div": (f'{side}<div class="x2"><h2>Title</h2>' + "".join(f"<div><div>{x}</div></div>" for x in parts) + "</div>", ["Title", *parts]),
-        "li": (f'{side}<div class="x2"><h2>Title</h2><ul>' + "".join(f"<li>{x}" for x in parts) + "</ul></div>", ["Title", *parts]),
+        "div": (f'{side}<div class="x2"><h2>Part title</h2>' + "".join(f"<div><div>{x}</div></div>" for x in parts) + "</div>", ["Part title", *parts]),
+        "li": (f'{side}<div class="x2"><h2>Part title</h2><ul>' + "".join(f"<li>{x}" for x in parts) + "</ul></div>", ["Part title", *parts]),
         "td": (f'<table><tr><td class="x1"><p>menu</p></td><td class="x2">' + "".join(f"<p>{x}</p>" for x in parts) + "</td></tr></table>", parts),
         "title": (f'<h1 class="entry-title">Title</h1><div class="x2">{"<br>".join(parts)}</div>', [" ".join(parts)]),
     }
@@ -303,6 +303,18 @@ def test_html_takes_the_place_that_most_text_fills(spark):
         assert text == "\n\n".join(x.replace("Part", f"Part {i} ").replace("  ", " ") for x in makes[url.split("/")[2]][1]), url
 
 
+def test_html_leaves_out_what_all_pages_of_a_host_say(spark):
+    """A notice without a telling name goes; copies of one page, near copies and a host's only page stay whole."""
+    page = lambda *x: "<article>" + "".join(f"<p>{p}</p>" for p in x) + "</article>"
+    say = lambda i: f"Page {i} tells a long story that no other page of this host tells."
+    rows = [(i, "http://many/", page(say(i), "Read on at our desk.")) for i in range(5)] + [(i, "http://same/", page(say(0), "Read on.")) for i in range(3)]
+    rows += [(i, "http://near/", page(say(0), say(1), f"Change {i}")) for i in range(3)] + [(0, "http://one/", page(say(0), "Read on."))]
+    got = {(r.page_id, r.url): r["_main"].text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {(i, "http://many/"): say(i) for i in range(5)} | {(i, "http://same/"): f"{say(0)}\n\nRead on." for i in range(3)}
+    want |= {(i, "http://near/"): f"{say(0)}\n\n{say(1)}\n\nChange {i}" for i in range(3)} | {(0, "http://one/"): f"{say(0)}\n\nRead on."}
+    assert got == want
+
+
 def test_wrappers_align_pages_of_a_host():
     tree = lambda x: html_text.skeleton(html_text.parse(x))
     w = html_text.merged(tree("<div><p>a</p><p>b</p></div>"), tree("<div><h1>t</h1><p>a</p></div>"))
