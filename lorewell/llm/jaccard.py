@@ -1,128 +1,160 @@
-"""N-gram Jaccard join: groups of hashed shingles, a count-vector R-tree, verified links, components.
-
-Exact for any pair of texts. Let two sets of sizes a <= b link, of similarity t or more: at most
-(a + b)(1 - t)/(1 + t) <= 2b(1 - t)/(1 + t) = r shingles lie in one set only. Deal the shingles by hash over
-r + 1 + spare groups: at most r groups differ, so at least 1 + spare agree, and unless more than spare of a text's
-groups are empty, one of them with a shingle in it. (Texts with more empty groups, about one in ten thousand, file
-those too.) The hash of such a group is the root level of the index: the texts
-that share it. Below it, texts are points, their counts of shingles in DIMS fixed groups; the summed minima of two
-points' coordinates, or of two boxes' upper corners, bound the overlap from above. Pairs that pass are verified.
+"""N-gram Jaccard join: an index of count vectors, its tree descended from the top, verified links, components.
+
+Exact for any pair of texts. Shingles have one order for all texts: rare ones first, then by hash. Two sets that link
+with similarity t share at least ceil(t n) shingles, n the size of either; the first shared one is among the first
+n - ceil(t n) + 1 of both. These shingles are the root level of the index. The texts that share one form a group,
+named after the smallest of them, so the groups of copies of one text are few. In a group, texts are points, their
+counts of shingles in DIMS hashed groups, packed into a tree of boxes; the summed minima of two upper corners bound the
+overlap from above, and pairs of boxes are followed down from the root while the bound allows a link. Texts with a
+pair that may link then meet with their whole sets, and only links that join two parts leave the task.
+
+A tree over all texts alone would not do: boxes around unrelated texts bound nothing, so each text would visit all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
-from functools import lru_cache
-from math import floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, perhaps_among, table
 from .components import components
 from .wordhash import hashes, mixed, runs, split
 
-#: Coordinates of a point; texts in a leaf of the tree; texts in a block of a large bucket.
-DIMS, LEAF, BLOCK = 64, 16, 512
+#: Coordinates of a point; points in a leaf of the tree; children of an inner box.
+DIMS, LEAF, FAN = 128, 16, 8
+#: Texts and shingles of a block, the most that one side of a search holds at a time.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 #: Characters of the texts that a task works on at a time; a longer text is a part of its own.
 PART = 1 << 20
+#: A counter that is full: its coordinate bounds nothing.
+FULL = 255
+#: Bits of a shingle's hash that name its counter; counters that may stand as frequent. Both shape the order of
+#: shingles, and with it the work, never the result.
+COUNTER_BITS, FREQUENT = 20, 1 << 16
+#: Bits of a shingle's hash; the five above them hold how frequent it is.
+HASH_BITS = 59
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """The distinct k-word shingles of a text as sorted 64-bit hashes; all its words as one if they are fewer."""
-    h = hashes(split(text, lower=True))
-    return np.unique(runs(h, min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
-
-
-def differing(size: int, t: Fraction) -> int:
-    """The most shingles that lie in one set only, of two that link and have at most size shingles each."""
-    return floor(2 * size * (1 - t) / (1 + t))
-
-
-def band(n: int, t: Fraction) -> int:
-    """The band of a size: sizes that can link lie in the same band or in neighbouring ones."""
-    return floor(log(n) / -log(float(t)) + 1e-9)
-
-
-def band_top(b: int, t: Fraction) -> int:
-    return floor(float(t) ** -(b + 1) * (1 + 1e-9)) + 1
-
-
-@lru_cache(100_000)
-def dealing(n: int, t: Fraction) -> tuple[tuple[int, int, int], ...]:
-    """For each band of the sizes n to n / t: the band, the groups in it, and how many of them may be empty."""
-    out = []
-    for b in range(band(n, t), band(floor(n / t), t) + 1) if n else ():
-        r = differing(band_top(b, t), t)
-        spare = 2 + r // 12
-        out.append((b, r + 1 + spare, spare))
-    return tuple(out)
-
+def _sets(texts: list[str | None], k: int, levels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-word shingles of many texts in order, one text after another, and how many each has.
 
-def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of so many runs starts, and the place within its run of every element."""
-    starts = np.cumsum(counts) - counts
-    return starts, np.arange(counts.sum()) - np.repeat(starts, counts)
-
-
-def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of shingles() of many texts, one after another, and their sizes."""
+    A shingle is its 59-bit hash under its level, how frequent its counter is. A text of fewer than k words is one shingle.
+    """
     parts = [split(x, lower=True) for x in texts]
     n_words = np.array([len(x) for x in parts], np.int64)
     h = hashes([w for x in parts for w in x])
+    begin = np.cumsum(n_words) - n_words
+    made = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
+    starts = np.cumsum(made) - made
+    x = np.empty(made.sum(), np.uint64)
     whole = np.flatnonzero(n_words >= k)
-    made = n_words[whole] - k + 1
-    starts, within = spread(made)
-    x = runs(h, k)[within + np.repeat((np.cumsum(n_words) - n_words)[whole], made)] if len(whole) else h[:0]
+    if len(whole):
+        within = np.arange(made[whole].sum()) - np.repeat(np.cumsum(made[whole]) - made[whole], made[whole])
+        x[np.repeat(starts[whole], made[whole]) + within] = runs(h, k)[np.repeat(begin[whole], made[whole]) + within]
+    for i in np.flatnonzero((n_words > 0) & (n_words < k)):
+        x[starts[i]] = runs(h[begin[i] : begin[i] + n_words[i]], int(n_words[i]))[0]
+    x >>= np.uint64(64 - HASH_BITS)
+    if levels is not None:
+        x |= levels[(x >> np.uint64(HASH_BITS - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS)
     for a, n in zip(starts.tolist(), made.tolist(), strict=True):
         x[a : a + n].sort()
     new = np.ones(len(x), bool)
     new[1:] = x[1:] != x[:-1]
-    new[starts] = True
-    sizes = (n_words > 0).astype(np.int64)
-    sizes[whole] = np.add.reduceat(new.astype(np.int64), starts) if len(whole) else 0
-    out, of_whole = np.empty(sizes.sum(), np.uint64), np.repeat(n_words >= k, sizes)
-    out[of_whole] = x[new]
-    out[~of_whole] = [shingles(texts[i], k)[0] for i in np.flatnonzero((n_words > 0) & (n_words < k))]
-    return out, sizes
-
-
-def group_keys(s: np.ndarray, sizes: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes that sets file, and how many each: for the bands of the sizes n to n / t, those of its groups of shingles."""
-    plans = [dealing(n, t) for n in sizes.tolist()]
-    of = np.repeat(np.arange(len(sizes)), [len(p) for p in plans])
-    if not len(of):
-        return np.empty(0, np.uint64), np.zeros(len(sizes), np.int64)
-    bands, groups, spare = np.array([x for p in plans for x in p], np.int64).T
-    _, within = spread(sizes[of])
-    at = within + np.repeat((np.cumsum(sizes) - sizes)[of], sizes[of])
-    cells, number = spread(groups)
-    cell = np.repeat(cells, sizes[of]) + ((s >> np.uint64(32))[at] % np.repeat(groups.astype(np.uint64), sizes[of])).astype(np.int64)
-    sums = np.zeros(len(number), np.uint64)
-    np.add.at(sums, cell, mixed(s, 1)[at])
-    filed = np.bincount(cell, minlength=len(number)) > 0
-    filed |= np.repeat(groups - np.add.reduceat(filed.astype(np.int64), cells) > spare, groups)
-    name = (np.repeat(bands, groups).astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)
-    keys = mixed(sums[filed] ^ mixed(name[filed], 2), 3)
-    each = np.zeros(len(sizes), np.int64)
-    np.add.at(each, of, np.add.reduceat(filed.astype(np.int64), cells))
-    return keys, each
+    some = np.flatnonzero(made)
+    new[starts[some]] = True
+    sizes = np.zeros(len(texts), np.int64)
+    if len(some):
+        sizes[some] = np.add.reduceat(new.astype(np.int64), starts[some])
+    return x[new], sizes
+
+
+def _digests(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit digest of each set, whatever the order of its shingles."""
+    sums = np.zeros(len(sizes), np.uint64)
+    np.add.at(sums, np.repeat(np.arange(len(sizes)), sizes), mixed(s & np.uint64((1 << HASH_BITS) - 1), 7))
+    return mixed(sums ^ sizes.astype(np.uint64), 9).view(np.int64)
+
+
+def prefix(n: np.ndarray, t: Fraction) -> np.ndarray:
+    """How many of the first shingles of sets of n include the first one that a linked set shares."""
+    return np.where(n > 0, n - -((-t.numerator * n) // t.denominator) + 1, 0)
 
 
 def count_vectors(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The points of sets: how many shingles each has in each of DIMS groups, up to FULL."""
     at = np.repeat(np.arange(len(sizes)) * DIMS, sizes) + (s % np.uint64(DIMS)).astype(np.int64)
-    return np.bincount(at, minlength=len(sizes) * DIMS).reshape(-1, DIMS)
+    return np.minimum(np.bincount(at, minlength=len(sizes) * DIMS), FULL).astype(np.uint8).reshape(-1, DIMS)
 
 
-def count_vector(s: np.ndarray) -> list[int]:
-    return count_vectors(s, np.array([len(s)]))[0].tolist()
+def overlap_needed(a, b, t: Fraction):
+    """The smallest overlap of sets of sizes a and b that link."""
+    p, q = t.numerator, t.numerator + t.denominator
+    return -((-p * (a + b)) // q)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+class Tree:
+    """Points packed into boxes: levels[0] are the points in order, each level above bounds FAN (LEAF at first) of the one below."""
+
+    def __init__(self, size: np.ndarray, points: np.ndarray) -> None:
+        self.order = np.lexsort((points[:, 1], points[:, 0], size)) if len(size) else np.empty(0, np.int64)
+        tops, least, most = points[self.order].astype(np.int32), size[self.order], size[self.order]
+        tops[tops == FULL] = 1 << 20
+        self.levels = [(tops, least, most)]
+        while len(least) > LEAF:
+            at = np.arange(0, len(least), FAN if len(self.levels) > 1 else LEAF)
+            tops, least, most = np.maximum.reduceat(tops, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+            self.levels.append((tops, least, most))
+
+
+def _allowed(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
+    """Which pairs of boxes may hold a link, by sizes and by the summed minima of their upper corners."""
+    (tops, least, most), (tops2, least2, most2) = x, y
+    p, q = t.numerator, t.denominator
+    ok = (q * most[i] >= p * least2[j]) & (q * most2[j] >= p * least[i])
+    left = np.flatnonzero(ok)
+    for a in range(0, len(left), 8192):
+        part = left[a : a + 8192]
+        bound = np.minimum(tops[i[part]], tops2[j[part]]).sum(1, dtype=np.int64)
+        ok[part] = bound >= overlap_needed(least[i[part]], least2[j[part]], t)
+    return ok
+
+
+def tree_pairs(x: Tree, y: Tree, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points of x and y whose bound allows a link, part by part; within one tree (x is y) each pair once."""
+    top = max(len(x.levels), len(y.levels)) - 1
+    level = lambda tree, n: min(n, len(tree.levels) - 1)
+    a, b = len(x.levels[-1][1]), len(y.levels[-1][1])
+    i, j = np.divmod(np.arange(a * b), b) if b else (np.empty(0, np.int64),) * 2
+    stack = [(top, i, j)]
+    while stack:
+        n, i, j = stack.pop()
+        if x is y:
+            ok = i < j if n == 0 else i <= j
+            i, j = i[ok], j[ok]
+        ok = _allowed(x.levels[level(x, n)], y.levels[level(y, n)], i, j, t)
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        if n == 0:
+            yield x.order[i], y.order[j]
+            continue
+        for at in range(0, len(i), 4096):
+            below = []
+            for tree, k in ((x, i[at : at + 4096]), (y, j[at : at + 4096])):
+                if n < len(tree.levels):
+                    fan = FAN if n > 1 else LEAF
+                    below.append((k * fan, np.minimum(fan, len(tree.levels[n - 1][1]) - k * fan)))
+                else:
+                    below.append((k, np.ones(len(k), np.int64)))
+            (a, m), (b, l) = below
+            each = m * l
+            within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            stack.append((n - 1, np.repeat(a, each) + within // np.repeat(l, each), np.repeat(b, each) + within % np.repeat(l, each)))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
@@ -137,126 +169,199 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
                 start, held = i, 0
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+BASE = "doc_id long, n_shingles long, d long, counter int, times long"
+
 
+def _base(k: int):
+    """Rows of texts, then of counters: those that fill in this task above what chance would do."""
 
-def _points(k: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
         for ids, texts in _parts(batches):
-            s, sizes = shingle_sets(texts, k)
-            at, s1, s2 = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
-            np.add.at(s1, at, s)
-            np.add.at(s2, at, mixed(s, 7))
-            points = _lists(count_vectors(s, sizes).astype(np.int32).ravel(), np.full(len(sizes), DIMS))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(_signed(s1)), pa.array(_signed(s2)), points], ["doc_id", "n_shingles", "s1", "s2", "point"])
+            s, sizes = _sets(texts, k, None)
+            counts += np.bincount((s >> np.uint64(HASH_BITS - COUNTER_BITS)).astype(np.int64), minlength=len(counts))
+            none = lambda kind: pa.nulls(len(texts), kind)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(_digests(s, sizes)), none(pa.int32()), none(pa.int64())], ["doc_id", "n_shingles", "d", "counter", "times"])
+        usual = counts.sum() / len(counts)
+        often = np.flatnonzero(counts > usual + 6 * np.sqrt(usual) + 4)
+        none = pa.nulls(len(often), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(often.astype(np.int32)), pa.array(counts[often])], ["doc_id", "n_shingles", "d", "counter", "times"])
 
     return of
 
 
-def _keys(k: int, t: Fraction):
+def frequent(base: DataFrame) -> np.ndarray:
+    """The level of each counter: 0, or for the FREQUENT fullest 1 and up by the number of times."""
+    sums = base.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("times").alias("times"))
+    rows = sums.orderBy(F.desc("times"), "counter").limit(FREQUENT).toArrow()
+    levels = np.zeros(1 << COUNTER_BITS, np.uint8)
+    levels[rows.column("counter").to_numpy()] = np.minimum(1 + np.log2(rows.column("times").to_numpy()), 31)
+    return levels
+
+
+def _keys(k: int, t: Fraction, levels: np.ndarray):
+    """The first shingles of each text, with the digest of its set."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _parts(batches):
-            keys, each = group_keys(*shingle_sets(texts, k), t)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), each))], ["key", "doc_id"])
+        for _, texts in _parts(batches):
+            s, sizes = _sets(texts, k, levels)
+            n = prefix(sizes, t)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keys = s[np.repeat(np.cumsum(sizes) - sizes, n) + within]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(_digests(s, sizes), n))], ["key", "d"])
 
     return of
 
 
-def _sets(k: int):
+def _payload(k: int, levels: np.ndarray, points: bool):
+    """Each set once a task: its digest, its size and its point, or its shingles whole."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _parts(batches):
-            s, sizes = shingle_sets(texts, k)
-            yield pa.RecordBatch.from_arrays([ids, _lists(_signed(s), sizes)], ["doc_id", "hashes"])
+        seen: set[int] = set()
+        for _, texts in _parts(batches):
+            s, sizes = _sets(texts, k, levels)
+            d = _digests(s, sizes)
+            new = [i for i, x in enumerate(d.tolist()) if not (x in seen or seen.add(x))]
+            if points:
+                load = [x.tobytes() for x in count_vectors(s, sizes)[new]]
+            else:
+                at = np.append(0, np.cumsum(sizes))
+                load = [s[at[i] : at[i + 1]].tobytes() for i in new]
+            yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(sizes[new]), pa.array(load, pa.binary())], ["d", "n", "load"])
 
     return of
 
 
-def overlap_needed(a, b, t: Fraction):
-    """The smallest overlap of sets of sizes a and b that link."""
-    p, q = t.numerator, t.numerator + t.denominator
-    return -((-p * (a + b)) // q)
+def _by_group(work: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], names: list[str]):
+    """Rows in order of (pivot, low, high) in; for each such group what work makes of its blocks out.
 
+    work gets pivot, block, d, n and load of one block and of the other, or twice the same if low is high.
+    """
 
-def tree_pairs(size: np.ndarray, points: np.ndarray, classes: np.ndarray, block: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i, j of points in different classes, and in different blocks if there are two, whose bound allows a link."""
-    if len(size) <= LEAF and block[0] == block[-1]:  # a tree of one leaf
-        m = np.minimum(points[:, None], points[None]).sum(2) >= overlap_needed(size[:, None], size[None], t)
-        i, j = np.nonzero(m & (classes[:, None] != classes[None]))
-        return i[i < j], j[i < j]
-    order = np.lexsort((*points.T[:3], size, block))
-    starts = np.flatnonzero(np.diff(block[order], prepend=-1))
-    leaves = [order[a + i : min(a + i + LEAF, e)] for a, e in zip(starts, [*starts[1:], len(order)], strict=True) for i in range(0, e - a, LEAF)]
-    tops, least, of = np.array([points[x].max(0) for x in leaves]), np.array([size[x].min() for x in leaves]), np.array([block[x[0]] for x in leaves])
-    left, right = [], []
-    for i, leaf in enumerate(leaves):
-        ok = np.minimum(tops[i], tops[i:]).sum(1) >= overlap_needed(least[i], least[i:], t)
-        if len(starts) > 1:
-            ok &= of[i:] != of[i]
-        for j in np.flatnonzero(ok) + i:
-            other = leaves[j]
-            m = np.minimum(points[leaf][:, None], points[other][None]).sum(2) >= overlap_needed(size[leaf][:, None], size[other][None], t)
-            m &= classes[leaf][:, None] != classes[other][None]
-            x, y = np.nonzero(m if i != j else np.triu(m, 1))
-            left.append(leaf[x])
-            right.append(other[y])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
-
-
-def _search(t: Fraction):
-    """Rows sorted by (key, low, high) in; the candidate pairs of each such group of at most two blocks out."""
-    names = ("key", "low", "high", "doc_id", "n_shingles", "component", "block")
-
-    def pairs(x: list[np.ndarray], a: int, e: int) -> np.ndarray:
-        i, j = tree_pairs(x[4][a:e], x[7][a:e], x[5][a:e], x[6][a:e], t)
-        return x[3][a:e][np.stack([i, j])]
-
-    def made(out: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = np.concatenate(out, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def made(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, out, held = None, [], 0
+        rest: list[list[np.ndarray]] = []
+        now, out, held = None, [], 0
+
+        def ended() -> None:
+            nonlocal rest, held
+            if rest:
+                x = [np.concatenate(c) for c in zip(*rest, strict=True)]
+                own = x[1] == x[1][0]
+                one = [c[own] for c in x]
+                out.append(work(one, [c[~own] for c in x] if now[1] != now[2] else one))
+                held += len(out[-1][0])
+            rest = []
+
         for batch in batches:
-            new = [*[batch.column(c).to_numpy(zero_copy_only=False) for c in names], batch.column("point").flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS)]
-            rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            at = np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1]) | (rest[2][1:] != rest[2][:-1])) + 1
-            for a, e in zip([0, *at[:-1].tolist()], at.tolist(), strict=False):
-                out.append(pairs(rest, a, e))
-                held += out[-1].shape[1]
-                if held > 50_000:
-                    yield made(out)
-                    out, held = [], 0
-            rest = [x[at[-1] :] for x in rest] if len(at) else rest
-        if rest is not None and len(rest[0]):
-            out.append(pairs(rest, 0, len(rest[0])))
+            key = [batch.column(c).to_numpy() for c in ("pivot", "low", "high")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "block", "d", "n", "load")]
+            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in key], axis=0)) + 1
+            for a, e in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
+                if a == e:
+                    continue
+                if now != (new := tuple(int(x[a]) for x in key)):
+                    ended()
+                    now = new
+                rest.append([c[a:e] for c in cols])
+            if held > 20_000:
+                yield made(out)
+                out, held = [], 0
+        ended()
         if out:
             yield made(out)
 
     return of
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is among ids. Texts of most others are left out before any shuffle."""
-    return perhaps_among(docs, ids).join(ids, "doc_id", "left_semi")
-
-
-def bounded(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs whose points allow a link: the summed coordinate minima bound the overlap."""
-    end = lambda x: points.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-    most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    p, q = t.numerator, t.numerator + t.denominator
-    return pairs.join(end("a"), "a").join(end("b"), "b").where(most * q >= p * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets link: whole sets are met by joins, which Spark splits where one text has many pairs."""
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = among(docs, ids).mapInArrow(_sets(k), "doc_id long, hashes array<long>")
-    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-    inner = F.size(F.array_intersect("x", "y"))
-    linked = (t.denominator * inner) >= t.numerator * (F.size("x") + F.size("y") - inner)
-    return met.where(linked).select("a", "b")
+def _tree(n: np.ndarray, loads: np.ndarray) -> Tree:
+    return Tree(n, np.frombuffer(b"".join(loads), np.uint8).reshape(-1, DIMS))
+
+
+def _flags(t: Fraction):
+    """The texts of a group with a pair that the tree's bounds allow."""
+
+    def work(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
+        one = _tree(x[3], x[4])
+        two = one if x is y else _tree(y[3], y[4])
+        here, there = np.zeros(len(x[2]), bool), np.zeros(len(y[2]), bool)
+        for i, j in tree_pairs(one, two, t):
+            here[i] = True
+            (here if x is y else there)[j] = True
+        d = np.concatenate([x[2][here], y[2][there]])
+        return [np.full(len(d), x[0][0]), d, np.concatenate([x[3][here], y[3][there]])]
+
+    return _by_group(work, ["pivot", "d", "n"])
+
+
+def _verify(t: Fraction):
+    """Links between whole sets that join two parts of a group: a forest, no more edges than texts."""
+
+    def work(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
+        d = x[2] if x is y else np.concatenate([x[2], y[2]])
+        sets = [np.frombuffer(b, np.uint64) for b in (x[4] if x is y else np.concatenate([x[4], y[4]]))]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        points = count_vectors(np.concatenate(sets), sizes)
+        m = len(x[2])
+        one = Tree(sizes[:m], points[:m])
+        two = one if x is y else Tree(sizes[m:], points[m:])
+        of, a, b = np.arange(len(d)), [], []
+
+        def top(i: int) -> int:
+            while of[i] != i:
+                of[i] = i = of[of[i]]
+            return i
+
+        for left, right in tree_pairs(one, two, t):
+            right = right if x is y else right + m
+            for at in range(0, len(left), 1024):
+                i, j = left[at : at + 1024], right[at : at + 1024]
+                open_ = of[i] != of[j]
+                i, j = i[open_], j[open_]
+                need = overlap_needed(sizes[i], sizes[j], t)
+                for p, q, o in zip(i.tolist(), j.tolist(), need.tolist(), strict=True):
+                    u, v = top(p), top(q)
+                    if u != v and len(np.intersect1d(sets[p], sets[q], assume_unique=True)) >= o:
+                        of[max(u, v)] = min(u, v)
+                        a.append(d[p])
+                        b.append(d[q])
+        return [np.array(a, np.int64), np.array(b, np.int64)]
+
+    return _by_group(work, ["a", "b"])
+
+
+def dealt(members: DataFrame, load: DataFrame, t: Fraction) -> DataFrame:
+    """Rows of members(pivot, d, n) with their loads(d, load), in order of (pivot, low, high), the blocks that meet.
+
+    A group is one block unless it has more than BLOCK texts or BLOCK_SHINGLES shingles. Then each band of sizes, so
+    wide that sets which link lie in one or in two next to each other, is dealt by hash over as many blocks as it
+    needs, and a block meets the others of its band and of its neighbours. The work of a group thus grows with the
+    square of its blocks; nothing grows with pairs of texts.
+    """
+    total = members.groupBy("pivot").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    blocks = lambda a, b: F.greatest(F.ceil(F.col(a) / BLOCK), F.ceil(F.col(b) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    large = keep(total.where(blocks("texts", "shingles") > 1).select("pivot"))
+    sets = members.join(load, "d")
+    if large.isEmpty():
+        rows = sets.select("pivot", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("block"), "d", "n", "load")
+    else:
+        width = 1 << 16
+        band = F.floor(F.log("n") / -F.log(F.lit(float(t))) + 1e-9).cast("int")
+        bands = members.join(large, "pivot").groupBy("pivot", band.alias("band")).agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+        bands = keep(bands.select("pivot", "band", blocks("texts", "shingles").alias("blocks")))
+        beside = lambda by, name: bands.select("pivot", (F.col("band") - by).alias("band"), F.col("blocks").alias(name))
+        plan = bands.join(beside(1, "above"), ["pivot", "band"], "left").join(beside(-1, "under"), ["pivot", "band"], "left")
+        rows = sets.withColumn("band", band).join(plan, ["pivot", "band"], "left")
+        own = F.when(F.col("blocks").isNull(), 0).otherwise(F.col("band") * width + F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+        of = lambda name, by: F.transform(F.sequence(F.lit(1), F.greatest(F.coalesce(name, F.lit(0)), F.lit(1))), lambda i: (F.col("band") + by) * width + i - 1)
+        met = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
+            F.concat(of("blocks", 0), F.when(F.col("above").isNotNull(), of("above", 1)).otherwise(F.array().cast("array<int>")), F.when(F.col("under").isNotNull(), of("under", -1)).otherwise(F.array().cast("array<int>")))
+        )
+        rows = rows.withColumn("block", own).withColumn("other", F.explode(met))
+        rows = rows.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "d", "n", "load")
+    return rows.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "block")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> DataFrame:
@@ -265,59 +370,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> Data
     Two texts link if their sets of k-word shingles (words lower-cased in A-Z) have a Jaccard similarity of threshold
     or more; component_id is the smallest id that links reach. Null or blank texts have no shingles and link with
     nothing. Rows of one id count as one document, which links where any of them does. A row without id links with
-    nothing and has a null component. Hashes have 64 bits: shingles that differ are taken for equal about once in
-    2**64 comparisons.
+    nothing and has a null component. Shingles are told apart by 59 bits of hash, sets by 64.
     """
     t = Fraction(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = keep(docs.mapInArrow(_points(k), "doc_id long, n_shingles long, s1 long, s2 long, point array<int>"))
-    same = ["n_shingles", "s1", "s2"]
-    some = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = some.groupBy(*same).agg(F.min("doc_id").alias("first"))
-    copies = keep(some.join(first, same).where("doc_id <> first").select("doc_id", "first"))
-
-    # one key, many texts: each meets the first of them, whatever their number
-    keys = docs.where("doc_id IS NOT NULL").mapInArrow(_keys(k, t), "key long, doc_id long")
-    by_key = Window.partitionBy("key").orderBy("doc_id")
-    pivots = keys.withColumn("pivot", F.first("doc_id").over(by_key)).where("doc_id <> pivot")
-    once = copies.groupBy("doc_id").agg(F.min("first").alias("first"))
-    pivots = pivots.join(once, "doc_id", "left").withColumn("doc_id", F.coalesce("first", "doc_id")).drop("first").where("doc_id <> pivot")
-    shared = keep(pivots.distinct())
-    tried = keep(shared.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
-    one = some.groupBy("doc_id", "n_shingles").agg(F.min("point").alias("point"))
-    links = keep(verified(keep(bounded(tried, one, t)), docs, k, t))
+    read = keep(docs.mapInArrow(_base(k), BASE))
+    levels = frequent(read)
+    d = F.when(F.col("n_shingles") > 0, F.col("d")).otherwise(F.xxhash64("doc_id", F.lit("no text")))
+    base = read.where("counter IS NULL").select("doc_id", "n_shingles", d.alias("d"))
+    some = base.where("doc_id IS NOT NULL")
+    texts = keep(some.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("times")))
+    named = docs.where("doc_id IS NOT NULL")
+
+    # groups: texts that share one of their first shingles, named after the smallest of them
+    keys = named.mapInArrow(_keys(k, t, levels), "key long, d long")
+    pivots = keys.groupBy("key").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot < last").select("key", "pivot")
+    members = keep(keys.join(pivots, "key").select("pivot", "d").distinct())
+
+    def loads(of: DataFrame, points: bool) -> DataFrame:
+        ids = keep(texts.join(of.select("d").distinct(), "d", "left_semi").select(F.col("first").alias("doc_id")))
+        return perhaps_among(named, ids).mapInArrow(_payload(k, levels, points), "d long, n long, load binary").groupBy("d").agg(F.min("load").alias("load"))
+
+    sized = keep(members.join(texts.select("d", "n"), "d"))
+    flagged = keep(dealt(sized, loads(members, True), t).mapInArrow(_flags(t), "pivot long, d long, n long").distinct())
+    links = dealt(flagged, loads(flagged, False), t).mapInArrow(_verify(t), "a long, b long")
+
+    # an id with several texts joins them
+    many = some.groupBy("doc_id").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("doc_id", "low")
+    links = links.unionByName(some.join(many, "doc_id").where("d <> low").select(F.col("d").alias("a"), F.col("low").alias("b")))
     joined = components(links)
-
-    # keys that still hold texts of several components: their points meet in the tree
-    members = shared.select("key", "doc_id").unionByName(shared.select("key", F.col("pivot").alias("doc_id"))).distinct()
-    members = members.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    members = keep(members)
-    mixed_keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").where("n > 2")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    rows = (
-        members.join(mixed_keys.select("key", blocks.alias("blocks")), "key")
-        .join(one, "doc_id")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "n_shingles", "point", "component", "block")
-    )
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    found = rows.mapInArrow(_search(t), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    found = keep(found.join(tried, ["a", "b"], "left_anti"))
-    more = verified(found, docs, k, t) if not found.isEmpty() else links.limit(0)
-    # what the tree adds joins whole components; copies follow the first of their texts
-    end = lambda x: more.join(joined.select(F.col("node").alias(x), F.col("component").alias("c")), x, "left").select("a", "b", F.coalesce("c", x).alias(f"c{x}"))
-    over = keep(end("a").join(end("b"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct())
-    if not over.isEmpty():
-        above = components(over).select(F.col("node").alias("component"), F.col("component").alias("top"))
-        alone = above.select(F.col("component").alias("node"), "component")
-        joined = joined.unionByName(alone).distinct().join(above, "component", "left").groupBy("node").agg(F.min(F.coalesce("top", "component")).alias("component"))
-        joined = keep(joined)
-    copied = once.join(joined.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component"))
-    known = joined.unionByName(copied).groupBy("node").agg(F.min("component").alias("component"))
-    out = base.select("doc_id", "n_shingles").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    first = joined.join(texts, F.col("node") == F.col("d")).groupBy("component").agg(F.min("first").alias("label"))
+    label = joined.join(first, "component").select(F.col("node").alias("d"), "label")
+    known = texts.join(label, "d", "left").where("times > 1 OR label IS NOT NULL").select("d", F.coalesce("label", "first").alias("label"))
+    out = base.join(keep(known), "d", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document: 4-word shingles, links at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold="0.85")

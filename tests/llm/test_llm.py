@@ -108,17 +108,42 @@ def test_near_duplicates_in_chains(spark):
     assert out == brute_components(rows, 1, 0.85)
 
 
-def test_tree_bound_loses_no_pair():
+@pytest.mark.parametrize("n", [1, 17, 150, 700])
+def test_tree_bound_loses_no_pair(n):
+    """Within a tree and between two of unlike height: every linked pair is found once, and not all pairs are."""
     from fractions import Fraction
 
     r, t = np.random.default_rng(0), Fraction("0.6")
-    sets = [np.unique(r.integers(0, 40, r.integers(5, 25)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(150)]
-    points = np.array([jaccard.count_vector(s) for s in sets])
+    sets = [np.unique(r.integers(0, 40, r.integers(5, 25)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(n)]
     size = np.array([len(s) for s in sets])
-    i, j = jaccard.tree_pairs(size, points, np.arange(150), np.zeros(150, int), t)
-    found = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
-    linked = {(a, b) for a in range(150) for b in range(a + 1, 150) if 10 * len(np.intersect1d(sets[a], sets[b])) >= 6 * len(np.union1d(sets[a], sets[b]))}
-    assert linked <= found and len(found) < 150 * 149 / 2
+    points = jaccard.count_vectors(np.concatenate(sets), size)
+    linked = {(a, b) for a in range(n) for b in range(a + 1, n) if 10 * len(np.intersect1d(sets[a], sets[b])) >= 6 * len(np.union1d(sets[a], sets[b]))}
+    tree = jaccard.Tree(size, points)
+    within = [tuple(sorted(p)) for x in jaccard.tree_pairs(tree, tree, t) for p in zip(*(y.tolist() for y in x), strict=True)]
+    assert linked <= set(within) and len(within) == len(set(within)) <= n * (n - 1) / 4
+    cut = n // 9
+    one, two = jaccard.Tree(size[:cut], points[:cut]), jaccard.Tree(size[cut:], points[cut:])
+    across = [(a, b + cut) for x in jaccard.tree_pairs(one, two, t) for a, b in zip(*(y.tolist() for y in x), strict=True)]
+    assert {(a, b) for a, b in linked if a < cut <= b} <= set(across) and len(across) == len(set(across))
+
+
+def test_large_groups_are_searched_block_by_block(spark, monkeypatch):
+    """One phrase that all texts hold, near copies and strangers, with blocks of seven texts."""
+    r = random.Random(4)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    rows = []
+    for i in range(90):
+        w = ["same"] * 3 + [f"c{i % 3}x{j}" if i % 2 else f"u{i}x{j}" for j in range(r.randrange(4, 30))]
+        rows.append((i, " ".join(w)))
+    out = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, "0.8").collect()}
+    assert out == brute_components(rows, 1, 0.8)
+
+
+def test_rows_of_one_id_join_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (3, a), (9, b), (4, c), (8, None), (8, c), (7, None), (7, "")]
+    out = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, "0.85").collect()}
+    assert out == {(5, 27, 3), (3, 27, 3), (9, 27, 3), (4, 27, 4), (8, 0, 4), (8, 27, 4), (7, 0, 7)}
 
 
 def test_substrings(docs):
