@@ -1,9 +1,11 @@
 """HTML extraction by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page is read as a tree of elements; its skeleton keeps tags and marks text slots. Neighbouring siblings of one kind
-fold into a repeated group. The distinct skeletons of a host, few however many pages it has, are aligned one after the
-other: children that match merge, children that do not become optional, text becomes a slot. The wrapper shows where
-the host keeps its article; a page's text is what fills the slots there, outside what the markup names as other parts.
+A page is read as a tree of elements and texts. The pages of a host are aligned one after the other: children that
+match merge, neighbours of one kind fold into a repeated group, children that do not match become optional, a text that
+is equal on all pages stays a constant, one that differs becomes a slot. A task aligns the pages of its batches, then
+wrappers meet in groups of bounded size until a host has one. The wrapper shows where the host keeps its article: an
+article or main element, or else the smallest place that holds nearly all that fills its slots. A page's text is what
+stands there, without the host's template and the parts that the markup itself names as menus, notices and the like.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator, Set
 from hashlib import blake2b
 
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import keep, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 # The elements of HTML by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,15 +36,22 @@ BLOCK = set(
 CLOSES_P = BLOCK - set("body head html td th tr tbody tfoot thead caption dd dt li".split())
 AGAIN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-#: Elements, and words in class, id or role, of parts other than the article.
+#: Elements of parts other than the article.
 OTHER = set("nav footer aside form script style noscript template iframe button select textarea input object svg head dialog menu title".split())
-OTHER_WORDS = set(
-    "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert advertisement adverts banner promo promotion sponsor sponsored sponsors cookie cookies consent notice notices gdpr comment comments respond disqus replies share sharing social related recommended newsletter subscribe signup popup modal overlay toolbar pagination pager widget contentinfo complementary search form alert".split()
+#: Words that tell of such a part wherever they stand in a class, id or role, and those that do if all other words of the name are theirs or say nothing.
+SURE = set("nav navbar navigation breadcrumb breadcrumbs footer sidebar advert advertisement adverts sponsored cookie cookies gdpr comment comments disqus newsletter popup modal pagination pager contentinfo".split())
+PERHAPS = set("menu aside ad ads banner promo promotion sponsor sponsors consent notice notices respond replies share sharing social related recommended subscribe signup overlay toolbar widget complementary search form alert".split())
+SAYS_NOTHING = set(
+    "0 area articles bar block bottom box button buttons center col container content fixed float frame google group header icon icons inner item items js label left links link list media message module news outer panel policy posts row right section site slot space sticky stories text title top unit widget wrap wrapper zone".split()
 )
 SITE_HEADER = set("header masthead topbar".split())
 ARTICLE_WORDS = set("article post entry content story main".split())
 #: Elements that can be the place of an article; text of all others counts for the place around them.
 PLACES = set("#root html body div section center form fieldset details dialog td article main".split())
+#: Elements nested deeper stand side by side at this depth, as in browsers.
+DEEPEST = 200
+#: Wrappers that meet in one group; hosts whose wrappers a task holds at a time; share of the text, in hundredths, that a place must hold.
+FAN_IN, HOSTS, NEARLY_ALL = 64, 2000, 95
 
 
 class Node:
@@ -50,57 +61,104 @@ class Node:
         self.tag, self.words, self.children, self.parent = tag, words, [], parent
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the > of a tag stands that goes on at a place, past quoted values; -1 if it never ends."""
+    while m := STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at, before = m.end(), m.start() - 1
+        while page[before].isspace():
+            before -= 1
+        if page[before] == "=" and at <= last[m[0]]:
+            at = page.find(m[0], at) + 1
+    return -1
+
+
 def parse(page: str) -> Node:
-    """The tree of a page, in one pass, with the end tags that HTML lets authors leave out; text stands as str children."""
-    root = now = Node("#root", frozenset(), None)
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            now.children.append(page[at:])
-            break
-        if m.start() > at:
-            now.children.append(page[at : m.start()])
-        at = m.end()
-        if not (tag := (m[2] or "").lower()):
+    """The tree of a page, in one pass whose time is in proportion to its length, with the end tags that HTML lets
+    authors leave out; text stands as str children. A tag that never ends is no text."""
+    root = Node("#root", frozenset(), None)
+    now, count = [root], Counter()  # open elements, and how many of each tag
+    last = {x: page.rfind(x) for x in ('"', "'", "-->")}
+    start = at = 0
+    n = len(page)
+
+    def add(text: str) -> None:
+        if len(now) <= DEEPEST:
+            now[-1].children.append(text)
+        else:
+            deep = Node(now[-1].tag, now[-1].words, now[DEEPEST - 1])
+            deep.children.append(text)
+            now[DEEPEST - 1].children.append(deep)
+
+    while (at := page.find("<", at)) >= 0:
+        m = NAME.match(page, at + 1) or page.startswith("/", at + 1) and NAME.match(page, at + 2)
+        if not m and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
             continue
-        if m[1]:
-            node = now
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                now = node.parent
-            elif tag == "p":
-                now.children.append(Node("p", frozenset(), now))
+        if at > start:
+            add(page[start:at])
+        if not m:
+            if page.startswith("<!--", at):
+                at = page.find("-->", at + 4) + 3 if at + 4 <= last["-->"] else n
+            else:
+                at = page.find(">", at) + 1 or n
+            start = at
             continue
-        closing = AGAIN.get(tag, {"p"} if tag in CLOSES_P else ())
-        node, stop = now, WITHIN.get(tag, BLOCK - {"p"})
-        while closing and node is not root:
-            if node.tag in closing:
-                now = node.parent
-                break
-            if node.tag in stop:
-                break
-            node = node.parent
-        words = frozenset(w for a in ATTRIBUTE.finditer(m[3]) for w in _words(a)) if m[3].strip(" /") else frozenset()
-        new = Node(tag, words, now)
-        now.children.append(new)
+        end, opens, tag = _tag_end(page, m.end(), last), page[at + 1] != "/", m[0].lower()
+        start = at = end + 1 or n
+        if end < 0:
+            break
+        if not opens:
+            if count[tag]:
+                while now[-1].tag != tag:
+                    count[now.pop().tag] -= 1
+                count[now.pop().tag] -= 1
+            elif tag == "p" and len(now) <= DEEPEST:
+                now[-1].children.append(Node("p", frozenset(), now[-1]))
+            continue
+        closing, stop = AGAIN.get(tag, {"p"} if tag in CLOSES_P else ()), WITHIN.get(tag, BLOCK - {"p"})
+        if any(count[c] for c in closing):
+            for i in range(len(now) - 1, max(0, len(now) - 1 - DEEPEST), -1):
+                if now[i].tag in closing:
+                    for x in now[i:]:
+                        count[x.tag] -= 1
+                    del now[i:]
+                    break
+                if now[i].tag in stop:
+                    break
+        attributes = page[m.end() : end].strip(" /")
+        new = Node(tag, frozenset(w for a in ATTRIBUTE.finditer(attributes) for w in _words(a)) if attributes else frozenset(), now[min(len(now), DEEPEST) - 1])
+        if len(now) <= DEEPEST:
+            now[-1].children.append(new)
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            start = at = over.end() if over else n
             continue
-        now = new
+        now.append(new)
+        count[tag] += 1
+    if start < n:
+        add(page[start:])
     return root
 
 
 def _words(attribute: re.Match) -> list[str]:
+    """The words of a class, id or role; #other if a name tells of another part than the article, #hidden if nothing shows.
+
+    Numbers that tell pages apart do not count, nor do other ids than those that name a part.
+    """
     name, value = attribute[1].lower(), attribute[2] or attribute[3] or attribute[4] or ""
     if name in ("hidden", "aria-hidden", "style"):
         return ["#hidden"] if (name == "hidden" or value.strip().lower() == "true" or re.search(r"display\s*:\s*none", value, re.I)) and value.lower() != "false" else []
-    # whole names and their parts, as in comment-list
-    return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
+    out = []
+    for whole in value.split():
+        parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"\d{2,}", "0", re.sub(r"([a-z])([A-Z])", r"\1-\2", whole).lower())) if w]
+        if SURE.intersection(parts) or PERHAPS.intersection(parts) and all(w in PERHAPS or w in SAYS_NOTHING for w in parts):
+            out.append("#other")
+        out.extend(parts if name != "id" else [w for w in parts if w in ARTICLE_WORDS or w in SITE_HEADER])
+    return out
 
 
 def other(node: Node) -> bool:
@@ -111,21 +169,25 @@ def other(node: Node) -> bool:
         p = node.parent
         while p is not None and p.tag not in ("article", "main"):
             p = p.parent
-        return p is None or bool(node.words & SITE_HEADER)
-    return node.tag not in ("html", "body", "article", "main") and bool(node.words & OTHER_WORDS)
+        return p is None
+    return node.tag not in ("html", "body", "article", "main") and "#other" in node.words
 
 
 # A wrapper is [tag, words, quantifier, children]: the quantifier is "" (once), "?" (optional), "+" or "*" (repeated).
-# A text slot has the tag "#".
+# A text has the tag "#" and, in place of words, its digest while it is a constant, nothing once it is a slot.
+
+
+def _kind(w: list) -> tuple:
+    return (w[0], w[1] if w[0] != "#" else "")
 
 
 def skeleton(node: Node) -> list:
     out: list[list] = []
     for c in node.children:
-        new = ["#", "", "", []] if isinstance(c, str) else skeleton(c)
-        if isinstance(c, str) and not c.strip():
+        if isinstance(c, str) and not (c := " ".join(html.unescape(c).split())):
             continue
-        if out and out[-1][:2] == new[:2]:
+        new = ["#", str(digest(c)), "", []] if isinstance(c, str) else skeleton(c)
+        if out and _kind(out[-1]) == _kind(new):
             out[-1] = merged(out[-1], new, "+" if out[-1][2] in ("", "+") else "*")
         else:
             out.append(new)
@@ -133,28 +195,34 @@ def skeleton(node: Node) -> list:
 
 
 def merged(a: list, b: list, quantifier: str | None = None) -> list:
-    """Two wrappers of one element as one: a mismatch among their children becomes an optional group."""
+    """Two wrappers of one element as one: a mismatch of texts becomes a slot, one among its children an optional group."""
     if quantifier is None:
         some, many = "?" in (a[2], b[2]) or "*" in (a[2], b[2]), bool({"+", "*"} & {a[2], b[2]})
         quantifier = ("*" if some else "+") if many else ("?" if some else "")
     x, y = a[3], b[3]
+    if a[0] == "#":
+        return ["#", a[1] if a[1] == b[1] else "", quantifier, []]
     if x == y:
         return [a[0], a[1], quantifier, x]
+    kx, ky = [_kind(w) for w in x], [_kind(w) for w in y]
     n, m = len(x), len(y)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if x[i][:2] == y[j][:2] else 0)
     out, i, j = [], 0, 0
     optional = lambda w: [w[0], w[1], {"": "?", "+": "*"}.get(w[2], w[2]), w[3]]
+    best = None
+    if kx != ky:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if kx[i] == ky[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
     while i < n or j < m:
-        if i < n and j < m and x[i][:2] == y[j][:2] and best[i][j] == best[i + 1][j + 1] + 1:
+        if i < n and j < m and kx[i] == ky[j]:
             new, i, j = merged(x[i], y[j]), i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             new, i = optional(x[i]), i + 1
         else:
             new, j = optional(y[j]), j + 1
-        if out and out[-1][:2] == new[:2]:
+        if out and _kind(out[-1]) == _kind(new):
             out[-1] = merged(out[-1], new, "*" if {out[-1][2], new[2]} <= {"?", "*"} else "+")
         else:
             out.append(new)
@@ -180,38 +248,39 @@ def amounts(root: Node) -> dict[str, int]:
     return out
 
 
-def article_path(wrapper: list, filled: dict[str, int] | None = None) -> list[list[str]]:
+def article_path(wrapper: list, filled: dict[str, int] | None = None, pages: int = 1) -> list[list[str]]:
     """The steps (tag, words) from the root to where the host keeps its article; none: the whole page.
 
-    An article element comes first, then main, then an element whose class or id says so, then any; among these the
-    one that most text fills, by the characters of each path (filled; without it, each slot counts as one). Text of
-    any markup counts for the nearest place around it. No place is inside a repeated group, as the group is read
-    whole: its text counts for the place around the group.
+    An article element comes first, then main, then an element whose class or id says so, then any, if it holds half
+    of the text at least; of these the deepest that holds NEARLY_ALL of what the largest one holds. Text is counted by
+    the characters of each path (filled; without it, each text is one). Constants of a host with several pages are
+    none. No place is inside a repeated group, as the group is read whole.
     """
-    found: dict[int, list] = {}  # by number: rank, text, path
+    found: list[list] = []  # rank, text, path
 
-    def walk(w: list, path: list, home: int, named: int, repeated: bool) -> int:
+    def walk(w: list, path: list, repeated: bool) -> int:
         words = set(w[1].split())
-        if w[0] in OTHER or words & (OTHER_WORDS | {"#hidden"}) and w[0] not in ("html", "body", "article", "main"):
+        if w[0] in OTHER or "#hidden" in words or "#other" in words and w[0] not in ("html", "body", "article", "main"):
             return 0
         path, repeated = [*path, [w[0], w[1]]], repeated or w[2] in ("+", "*")
         rank = 3 if w[0] == "article" else 2 if w[0] == "main" else 1 if words & ARTICLE_WORDS and w[0] in PLACES and w[0] != "body" else 0
         place = w[0] in PLACES and not repeated and (w[0] != "td" or any(c[0] in BLOCK for c in w[3]))
-        me = len(found)
+        me = [rank, 0, path]
         if rank or place or not found:
-            found[me] = [rank, 0, path]
-            home, named = (me if place or not me else home), (me if rank else named)
-        size = sum(c[0] == "#" for c in w[3]) if filled is None else filled.get(json.dumps(path), 0)
-        for n in {home, named} - {-1}:
-            if found[n][0] < 2:
-                found[n][1] += size
-        size += sum(walk(c, path, home, named, repeated) for c in w[3])
-        if rank > 1:
-            found[me][1] = size
-        return size
-
-    walk(wrapper, [], 0, -1, False)
-    return max((f for f in found.values() if f[1]), key=lambda f: (f[0], f[1], -len(f[2])), default=(0, 0, []))[2][1:]
+            found.append(me)
+        texts = [c for c in w[3] if c[0] == "#"]
+        if texts and (pages < 2 or any(not c[1] for c in texts)):
+            me[1] = len(texts) if filled is None else filled.get(json.dumps(path), 0)
+        me[1] += sum(walk(c, path, repeated) for c in w[3] if c[0] != "#")
+        return me[1]
+
+    total = walk(wrapper, [], False)
+    for rank in (3, 2, 1, 0):
+        of = [f for f in found if f[0] == rank or not rank]
+        most = max((f[1] for f in of), default=0)
+        if most and (2 * most >= total or not rank):
+            return max((f for f in of if 100 * f[1] >= NEARLY_ALL * most), key=lambda f: len(f[2]))[2][1:]
+    return []
 
 
 def digest(text: str) -> int:
@@ -276,37 +345,50 @@ READ = "host string, kind string, what string, n long, page long"
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What the pages of a batch tell of their hosts: skeletons, characters by path, and the digests of each page's blocks."""
+    """What pages tell of their hosts: wrappers of those of a task, characters by path, and the digests of each page's blocks."""
+    wrapped: dict[str, list] = {}
+    sums: dict[tuple[str, str], int] = {}
+
+    def made(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["host", "kind", "what", "n", "page"], dtype=object).astype({"n": "Int64", "page": "Int64"})
+
+    def ended() -> list[tuple]:
+        out = [(name, "wrapper", json.dumps(w), None, None) for name, w in wrapped.items()]
+        out += [(name, "filled", path, n, None) for (name, path), n in sums.items()]
+        wrapped.clear()
+        sums.clear()
+        return out
+
     for batch in batches:
-        sums: dict[tuple[str, str], int] = {}
         rows: dict[tuple, None] = {}
         for u, h in zip(batch["url"], batch["html"], strict=True):
             name, root = host(u), parse(h or "")
-            rows[name, "skeleton", json.dumps(skeleton(root)), None, None] = None
+            new = skeleton(root)
+            wrapped[name] = merged(wrapped[name], new) if name in wrapped else new
             for path, n in amounts(root).items():
                 sums[name, path] = sums.get((name, path), 0) + n
             text = blocks([root])
             page = digest("\n".join(text))
             rows.update(((name, "block", str(len(b)), digest(b), page), None) for b in text)
-        rows.update(((name, "filled", path, n, None), None) for (name, path), n in sums.items())
-        out = pd.DataFrame(list(rows), columns=["host", "kind", "what", "n", "page"], dtype=object)
-        yield out.astype({"n": "Int64", "page": "Int64"})
+        yield made([*rows, *(ended() if len(wrapped) > HOSTS or len(sums) > 50 * HOSTS else ())])
+    yield made(ended())
 
 
 def _wrapper(group: pd.DataFrame) -> pd.DataFrame:
-    """One partial or final wrapper of a host from its distinct skeletons, in order."""
+    """Wrappers of a host as one, in order."""
     out = None
-    for s in sorted(group["skeleton"]):
+    for s in sorted(group["wrapper"]):
         out = json.loads(s) if out is None else merged(out, json.loads(s))
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "skeleton": [json.dumps(out)]})
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(out)]})
 
 
-def wrappers(read: DataFrame, parts: int = 64) -> DataFrame:
-    """host and skeleton, its wrapper, from all pages: distinct skeletons first align in parts, then the parts."""
-    kind = "host string, skeleton string"
-    distinct = read.where("kind = 'skeleton'").select("host", F.col("what").alias("skeleton")).distinct()
-    partial = distinct.groupBy("host", F.pmod(F.xxhash64("skeleton"), F.lit(parts)).alias("part")).applyInPandas(_wrapper, kind)
-    return partial.groupBy("host").applyInPandas(_wrapper, kind)
+def wrappers(read: DataFrame) -> DataFrame:
+    """host and wrapper: about FAN_IN wrappers of a host become one, again and again until each host has one."""
+    now = keep(read.where("kind = 'wrapper'").select("host", F.col("what").alias("wrapper")).distinct())
+    while (most := now.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        part = F.pmod(F.xxhash64("wrapper"), F.lit(-(-most // FAN_IN)))
+        now = keep(now.groupBy("host", part.alias("part")).applyInPandas(_wrapper, "host string, wrapper string").distinct())
+    return now
 
 
 def templates(read: DataFrame) -> DataFrame:
@@ -323,15 +405,17 @@ def templates(read: DataFrame) -> DataFrame:
 
 def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        paths = [json.dumps(article_path(json.loads(w), {r["path"]: r["n"] for r in ([] if f is None else f)})) for w, f in zip(batch["skeleton"], batch["filled"], strict=True)]
+        of = lambda w, f, n: article_path(json.loads(w), {r["path"]: r["n"] for r in ([] if f is None else f)}, 1 if pd.isna(n) else int(n))
+        paths = [json.dumps(of(*x)) for x in zip(batch["wrapper"], batch["filled"], batch["pages"], strict=True)]
         yield pd.DataFrame({"host": batch["host"], "path": paths})
 
 
 def article_paths(read: DataFrame) -> DataFrame:
-    """host and path, where its wrapper has the article: the place that most text of all its pages fills."""
+    """host and path, where its wrapper has the article."""
     sums = read.where("kind = 'filled'").groupBy("host", F.col("what").alias("path")).agg(F.sum("n").alias("n"))
-    filled = sums.groupBy("host").agg(F.collect_list(F.struct("path", "n")).alias("filled"))
-    return wrappers(read).join(filled, "host", "left").mapInPandas(_paths, "host string, path string")
+    filled = sums.groupBy("host").agg(F.collect_list(F.struct("path", "n")).alias("filled"))  # as many as the wrapper has elements
+    pages = read.where("kind = 'block'").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    return wrappers(read).join(filled, "host", "left").join(pages, "host", "left").mapInPandas(_paths, "host string, path string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,22 +425,30 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
+#: Bytes of paths and templates of all hosts up to which they go to every task; with more, pages and hosts meet in a join.
+SMALL = 16 << 20
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """pages without html, with text, in a struct _main: the article's blocks joined by two line feeds, whole.
 
     Null html gives an empty text, as does a page without an article's text; a null url is a host of its own. White
-    space inside a block becomes one space. Every page is read whole, repeated rows each; other columns pass through.
+    space inside a block becomes one space. Every page is read whole, repeated rows each; other columns pass through,
+    but for a column _main of the input.
     """
     read = keep(pages.select("url", "html").mapInPandas(_read, READ))
     found = keep(article_paths(read).join(templates(read), "host", "left"))
-    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "html"]).alias("row")
+    size = found.agg(F.sum(F.length("host") + F.length("path") + 8 * F.coalesce(F.size("template"), F.lit(0)))).first()[0] or 0
+    others = [c for c in pages.columns if c not in ("html", "_main")]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")
     # the same host as host() finds
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    whole = pages.select(row, "html", name.alias("host")).join(found, "host", "left").select("row", "html", "path", "template")
+    whole = pages.select(row, "html", name.alias("host")).join(F.broadcast(found) if size <= SMALL else found, "host", "left").select("row", "html", "path", "template")
     out = whole.mapInArrow(_extract, f"row {whole.schema['row'].dataType.simpleString()}, text string")
     return out.select("row.*", F.struct("text").alias("_main"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars (code points) of every page: the main text of its whole html."""
     out = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("_main.text").alias("text"), F.length("_main.text").cast("long").alias("n_chars"))

@@ -344,6 +344,34 @@ def test_wrappers_align_pages_of_a_host():
     tree = lambda x: html_text.skeleton(html_text.parse(x))
     w = html_text.merged(tree("<div><p>a</p><p>b</p></div>"), tree("<div><h1>t</h1><p>a</p></div>"))
     assert [(c[0], c[2]) for c in w[3][0][3]] == [("h1", "?"), ("p", "+")]
+    w = html_text.merged(tree("<p>same</p><i>one</i>"), tree("<p>same</p><i>two</i>"))
+    assert [bool(c[3][0][1]) for c in w[3]] == [True, False]  # a constant and a slot
+
+
+def test_html_keeps_all_parts_of_an_article_without_a_name(spark):
+    """Paragraphs beside the largest container stay; sections whose class only sounds like another part stay too."""
+    body = '<p>Intro {i} to what follows.</p><div class="x"><p>First {i} of it.</p><p>Second {i} of it.</p></div><div class="y"><p>Third {i} of it.</p></div><p>Share this story</p>'
+    named = '<article><section class="social-history"><p>Old {i}</p></section><div class="share-price">Up {i}</div><div class="share-buttons">tweet {i}</div><div class="article__comments">No {i}</div></article>'
+    rows = [(i, "http://plain/", body.replace("{i}", str(i))) for i in range(4)] + [(i, "http://named/", named.replace("{i}", str(i))) for i in range(4)]
+    got = {(r.page_id, r.url): r["_main"].text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(4):
+        assert got[i, "http://plain/"] == f"Intro {i} to what follows.\n\nFirst {i} of it.\n\nSecond {i} of it.\n\nThird {i} of it."
+        assert got[i, "http://named/"] == f"Old {i}\n\nUp {i}"
+
+
+def test_html_takes_deep_broken_and_long_pages_in_time(spark):
+    import time
+
+    deep = "<div>" * 5000 + "end" + "</div>" * 5000
+    pages = [deep, "<b " * 350_000, '<a x="' * 150_000, "<!--" * 200_000, "</x>" * 250_000, "<i>" * 20_000 + "<hr>" * 20_000, "<p>a<" + "<" * 500_000, "<script>" * 90_000, "<a href='x" + "<p>y" * 60_000]
+    for x in pages:
+        start = time.process_time()
+        root = html_text.parse(x)
+        assert time.process_time() - start < 2, x[:9]
+    rows = [(i, "http://deep/", x) for i, x in enumerate([deep, deep.replace("end", "other"), "<p>it's <b title='a > b'>a < b</b> &lt;c&gt;"])]
+    got = [r["_main"].text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert got == ["end", "other", "it's a < b <c>"]
+    assert root is not None
 
 
 def test_pipeline_keeps_clean_documents_once(spark):
