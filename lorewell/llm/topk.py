@@ -1,7 +1,15 @@
-"""Exact top-k search with a vector-approximation file."""
+"""Exact top-k search with a vector-approximation file.
+
+A grid parts the range of each dimension into CELLS cells. The file holds one byte for each dimension of each vector,
+its cell; only the file meets the queries, block by block, and bounds every inner product from both sides. What may be
+among the k best of a query by these bounds is then read exactly, in their order: the k best upper bounds first, and
+after them only what may still reach the kth exact score.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,82 +17,107 @@ from pyspark.sql import functions as F
 
 from .common import keep, table
 
-#: Cells of each dimension; the most queries and candidates that meet in one task, about.
-CELLS, QUERIES, CANDIDATES = 64, 2048, 4096
+#: Cells of each dimension; queries and candidates of a block; the most tasks that blocks are dealt over.
+CELLS, QUERIES, CANDIDATES, TASKS = 256, 1024, 8192, 10_000
 
 
-def _cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell numbers of the vectors, the lowest corner and the width of the cells of each dimension."""
-    low = x.min(0)
-    width = np.maximum((x.max(0) - low) / CELLS, 1e-9)
-    return np.minimum(((x - low) / width).astype(np.int64), CELLS - 1).astype(np.uint8), low, width
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.empty((0, 0))
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of the integer vectors for each query, other than itself, ties to smaller ids.
+def grid(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of the vectors the lowest corner and the width of the cells of each dimension.
 
-    Scanning the cells bounds each inner product from both sides. Exact vectors are read in order of the upper
-    bound until it falls below the kth exact score.
+    The driver gets two numbers for each dimension of each length that vectors have.
     """
-    codes, low, width = _cells(vectors.astype(np.float64))
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n, part in batch["v"].groupby(batch["v"].map(len)):
+                if n:
+                    x = _matrix(part)
+                    yield pd.DataFrame({"n": n, "at": np.arange(n), "low": x.min(0), "high": x.max(0)})
+
+    found = vectors.select("v").mapInPandas(ranges, "n int, at int, low double, high double").groupBy("n", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = found.toPandas().sort_values(["n", "at"])
+    return {int(n): (x["low"].to_numpy(), np.maximum((x["high"] - x["low"]).to_numpy() / CELLS, 1e-9)) for n, x in rows.groupby("n")}
+
+
+def cells(x: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    return np.clip((x - low) / width, 0, CELLS - 1).astype(np.uint8)
+
+
+def bounds(queries: np.ndarray, codes: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inner product with each cell's middle, one row for each query, and how far the exact one may be from it."""
     q = queries.astype(np.float64)
     middle = q @ (low + (codes + 0.5) * width).T
-    slack = np.abs(q) @ width / 2 * (1 + 1e-9) + np.abs(q).sum(1) * np.abs(vectors).max(initial=0) * 1e-12 + 1e-6
-    out = []
-    for i, me in enumerate(query_ids):
-        upper = np.where(ids == me, -np.inf, middle[i] + slack[i])
-        found = np.empty((0, 2), np.int64)
-        order, at, step = np.argpartition(-upper, min(64, len(upper) - 1))[:64], 0, 64
-        order = order[np.argsort(-upper[order], kind="stable")]
-        while True:
-            new = order[at : at + step]
-            new = new[upper[new] > -np.inf]
-            exact = vectors[new] @ queries[i]
-            found = np.concatenate([found, np.column_stack([exact, ids[new]])])
-            found = found[np.lexsort((found[:, 1], -found[:, 0]))][:k]
-            at += step
-            if at >= len(upper):
-                break
-            if at >= len(order):
-                # ties may stand in another order in the whole list: it is read from its start
-                order, at, found = np.argsort(-upper, kind="stable"), 0, found[:0]
-                step = 512
-                continue
-            if len(found) == k and upper[order[at]] < found[-1, 0]:
-                break
-        out.append(pd.DataFrame({"query_id": me, "vec_id": found[:, 1], "score": found[:, 0]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    most = np.abs(low).max(initial=0) + CELLS * width.max(initial=0)
+    return middle, np.abs(q) @ width / 2 * (1 + 1e-9) + np.abs(q).sum(1) * most * 1e-12 + 1e-6
+
+
+def candidates(queries: np.ndarray, query_ids: np.ndarray, codes: np.ndarray, ids: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> pd.DataFrame:
+    """What may be among the k best of each query in a block: whose upper bound reaches the kth best lower bound."""
+    middle, slack = bounds(queries, codes, low, width)
+    middle[query_ids[:, None] == ids[None]] = -np.inf
+    kth = np.full(len(queries), -np.inf) if len(ids) < k else np.partition(middle, len(ids) - k, axis=1)[:, len(ids) - k]
+    i, j = np.nonzero((middle + slack[:, None] >= (kth - slack)[:, None]) & (middle > -np.inf))
+    return pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[j], "middle": middle[i, j], "slack": slack[i]})
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, v) its k best by inner product among vectors (vec_id, v).
 
     v is an array of long. Vectors of another length than the query's are no candidates for it. Rows that repeat an
-    id are candidates each, except for the query of that id. Queries and candidates meet in blocks: every query is in
-    the state of no more tasks than there are blocks of candidates.
+    id are candidates each, except for the query of that id; queries that repeat an id share its k ranks. Every query
+    meets every block of the file, which is what a search of all rows asks for; exact vectors go only where the
+    bounds leave them in.
     """
-    count = lambda df: df.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
-    blocks = keep(count(vectors).join(count(queries).withColumnRenamed("n", "m"), "dim").select("dim", F.ceil(F.col("n") / CANDIDATES).cast("int").alias("cb"), F.ceil(F.col("m") / QUERIES).cast("int").alias("qb")))
-    dealt = lambda df, own, other, kind: (
-        df.withColumn("dim", F.size("v"))
-        .join(blocks, "dim")
-        .withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(f"{own}b")).cast("int"))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}b") - 1)))
-        .select("dim", "c", "q", F.lit(kind).alias("is_query"), "vec_id", "v")
-    )
-    met = dealt(queries, "q", "c", True).unionByName(dealt(vectors, "c", "q", False))
+    of_length = grid(vectors)
 
-    def of(group: pd.DataFrame) -> pd.DataFrame:
-        at = group["is_query"].to_numpy(bool)
-        if at.all() or not at.any():
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
-        x = np.stack(group["v"].to_numpy()).astype(np.int64) if len(group["v"].iloc[0]) else np.zeros((len(group), 1), np.int64)
-        ids = group["vec_id"].to_numpy(np.int64)
-        return search(x[at], ids[at], x[~at], ids[~at], k)
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [cells(np.asarray(v, np.float64), *of_length[len(v)]).tobytes() if len(v) else b"" for v in batch["v"]]
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "dim": batch["v"].map(len), "code": made})
 
-    best = met.groupBy("dim", "c", "q").applyInPandas(of, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    codes = vectors.mapInPandas(file, "vec_id long, dim int, code binary")
+    asked = queries.withColumn("dim", F.size("v"))
+    count = lambda df: df.groupBy("dim").agg(F.count("*").alias("n"))
+    blocks = count(codes).join(count(asked).withColumnRenamed("n", "m"), "dim")
+    blocks = keep(blocks.select("dim", F.ceil(F.col("n") / CANDIDATES).cast("int").alias("cb"), F.ceil(F.col("m") / QUERIES).cast("int").alias("qb")))
+    met = blocks.agg(F.sum(F.col("cb") * F.col("qb"))).first()[0] or 1
+    tasks = max(2, min(TASKS, int(met)))
+
+    def dealt(df: DataFrame, own: str, other: str, *payload) -> DataFrame:
+        near = df.join(F.broadcast(blocks), "dim").withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(f"{own}b")).cast("int"))
+        return near.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}b") - 1))).select("dim", "c", "q", "vec_id", *payload)
+
+    sides = dealt(asked, "q", "c", F.lit(None).cast("binary").alias("code"), "v").unionByName(dealt(codes, "c", "q", "code", F.lit(None).cast("array<long>").alias("v")))
+
+    def of(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["v"].notna().to_numpy()
+        q, c, n = group[asks], group[~asks], int(group["dim"].iloc[0])
+        x = _matrix(q["v"]).reshape(len(q), n)
+        stored = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), n)
+        return candidates(x, q["vec_id"].to_numpy(np.int64), stored, c["vec_id"].to_numpy(np.int64), *of_length.get(n, (np.zeros(n), np.ones(n))), k)
+
+    left = sides.repartition(tasks, "dim", "c", "q").groupBy("dim", "c", "q").applyInPandas(of, "query_id long, vec_id long, middle double, slack double")
+    upper, lower = F.col("middle") + F.col("slack"), F.col("middle") - F.col("slack")
+    left = keep(left.groupBy("query_id", "vec_id").agg(F.max(upper).alias("upper"), F.min(lower).alias("lower")))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """The inner products of pairs (query_id, vec_id), one for each row of either id."""
+        a = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("x"))
+        b = vectors.select("vec_id", F.col("v").alias("y"))
+        product = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+        return pairs.join(a, "query_id").join(b, "vec_id").where(F.size("x") == F.size("y")).select("query_id", "vec_id", product.alias("score"))
+
+    place = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    first = keep(exact(left.withColumn("place", place(F.desc("upper"), "vec_id")).where(F.col("place") <= k).select("query_id", "vec_id")))
+    certain = first.withColumn("place", place(F.desc("score"), "vec_id")).where(F.col("place") == k).select("query_id", F.col("score").alias("kth"))
+    rest = left.join(first.select("query_id", "vec_id").distinct(), ["query_id", "vec_id"], "left_anti").join(certain, "query_id", "left")
+    rest = rest.where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).select("query_id", "vec_id")
+    best = first.unionByName(exact(rest)).withColumn("rank", place(F.desc("score"), "vec_id"))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -96,6 +129,7 @@ def integers(vectors: DataFrame) -> DataFrame:
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score: the 5 best of all other vectors for each vec_id divisible by 50."""
     rows = integers(table(spark, sf_dir, "embeddings"))
     return top_k(rows.where(F.col("vec_id") % 50 == 0), rows)
 
