@@ -6,17 +6,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep, table
 
 #: Bytes in a chunk and between the starts of chunks; bytes a filter spans and moves by; filters.
 CHUNK, STEP, WIDTH, STRIDE, FILTERS = 512, 448, 6, 2, 16
-#: Bounds of the sample that the network is fitted on: rows of each label, and chunks of each row.
-ROWS, CHUNKS = 1500, 6
+#: Bounds of the sample of labelled rows that the network is fitted on: rows of each label, and bytes of all their texts.
+ROWS, BYTES = 1500, 1 << 26
 
 
 def chunks(text: str | None) -> np.ndarray:
@@ -53,6 +52,11 @@ class Network:
         at = z.argmax(1)
         return np.take_along_axis(z, at[:, None], 1)[:, 0], at
 
+    def responses(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As pooled, some chunks at a time."""
+        parts = [self.pooled(x[a : a + 512]) for a in range(0, len(x), 512)]
+        return np.concatenate([m for m, _ in parts]), np.concatenate([at for _, at in parts])
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         """One probability for each whole text."""
         cut = [chunks(t) for t in texts]
@@ -63,7 +67,7 @@ class Network:
             if i == len(cut) or held > 256:
                 if held:
                     x = np.concatenate(cut[first:i])
-                    h = np.concatenate([np.maximum(self.pooled(x[a : a + 512])[0] + self.bias, 0) for a in range(0, len(x), 512)])
+                    h = np.maximum(self.responses(x)[0] + self.bias, 0)
                     some = first + np.flatnonzero(sizes[first:i])
                     starts = np.r_[0, np.cumsum(sizes[some])[:-1]]
                     out[some] = np.hstack([np.add.reduceat(h, starts) / sizes[some][:, None], np.maximum.reduceat(h, starts)])
@@ -83,7 +87,7 @@ class Network:
                 pick = order[a : a + batch]
                 x, sizes = np.concatenate([rows[i] for i in pick]), np.array([len(rows[i]) for i in pick])
                 starts, row = np.r_[0, np.cumsum(sizes)[:-1]], np.repeat(np.arange(len(pick)), sizes)
-                m, at = self.pooled(x)
+                m, at = self.responses(x)
                 h = np.maximum(m + self.bias, 0)
                 top = np.maximum.reduceat(h, starts)
                 f = np.hstack([np.add.reduceat(h, starts) / sizes[:, None], top])
@@ -106,11 +110,12 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | None:
-    """A network fitted on at most so many rows of each quality whose fold is not 0, the first by a hash of the id.
+def trained(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = BYTES) -> Network | None:
+    """A network fitted on a sample of labelled rows whose fold is not 0, each with all chunks of its whole text.
 
-    The sample is chosen from the labels alone, so texts are filtered by a broadcast list of at most twice as many
-    ids. Of each text at most CHUNKS chunks, evenly spread over it, go to the driver. None without both labels.
+    The sample holds at most rows of each quality, the first by a hash of the id, chosen from the labels alone, so
+    texts are filtered by a broadcast list of at most twice as many ids; and of these, in that order, as many as
+    have most bytes together (a row that would go beyond is left out). None without rows of both qualities.
     """
     ids = []
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
@@ -119,23 +124,24 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | N
     if {y for _, y in ids} != {0, 1}:
         return None
     sample = docs.sparkSession.createDataFrame(ids, "doc_id long, quality int")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [chunks(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "bytes": [c[np.unique(np.linspace(0, len(c) - 1, CHUNKS).astype(int))].tobytes() if len(c) else b"" for c in made]})
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").mapInPandas(cut, "doc_id long, quality int, bytes binary")
-    got = sorted((r.doc_id, r.quality, bytes(r.bytes)) for r in found.where(F.length("bytes") > 0).collect())
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    found = keep(found.withColumn("size", F.octet_length("text")).where("size > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * rows))
+    picked, held = set(), 0
+    for r in found.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if held + r.size <= most:
+            picked.add(r.doc_id)
+            held += r.size
+    got = sorted((r.doc_id, r.quality, r.text) for r in found.where(F.col("doc_id").isin(list(picked))).collect()) if picked else []
     if {q for _, q, _ in got} != {0, 1}:
         return None
-    return Network.new().fit([np.frombuffer(b, np.uint8).reshape(-1, CHUNK) for *_, b in got], np.array([q for _, q, _ in got]))
+    return Network.new().fit([chunks(x) for *_, x in got], np.array([q for _, q, _ in got]))
 
 
 def scored(docs: DataFrame, network: Network | None) -> DataFrame:
     """docs without text, with score: the network's probability for the whole text, 0.5 if there is none.
 
-    Null and empty texts have no chunks: their score is the network's for nothing found. Other columns pass through.
+    Null and empty texts have no chunks: their score is the network's for nothing found. Other columns pass through,
+    but for a column _score of the input.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(network)  # some 100 kB, whatever the data
@@ -146,12 +152,13 @@ def scored(docs: DataFrame, network: Network | None) -> DataFrame:
             score = np.full(len(texts), 0.5) if held.value is None else held.value.score(texts)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], ["row", "score"])
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "_score")]).alias("row")
     whole = docs.select(row, "text")
     return whole.mapInArrow(of, f"row {whole.schema['row'].dataType.simpleString()}, score double").select("row.*", F.col("score").alias("_score"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; labels of held-out rows are not learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, trained(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
