@@ -182,9 +182,7 @@ class Counter:
         return len(parts) - 1 + sum(map(self.ordinary, parts))
 
     def ordinary(self, text: str) -> int:
-        if len(text) <= CHUNK:
-            return self.stretch(text)
-        maps = [self.map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
+        maps = [self.map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)] or [Map("", 0, None)]
         while len(maps) > 1:
             maps = [self.joined(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         head, inner, tail = maps[0]
@@ -198,7 +196,7 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
     """docs without text, with n_bytes and n_tokens in a struct _tokens. Null text counts as empty: no bytes, no tokens.
 
     Strings of special tokens inside a text count as that token, as is the library's default. Other columns pass
-    through; path must be readable where tasks run.
+    through, but for a column _tokens of the input; path must be readable where tasks run.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,13 +206,14 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
             sizes = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(map(counter.count, texts), pa.int64())], ["row", "n_bytes", "n_tokens"])
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "_tokens")]).alias("row")
     whole = docs.select(row, "text")
     out = whole.mapInArrow(of, f"row {whole.schema['row'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.select("row.*", F.struct("n_bytes", "n_tokens").alias("_tokens"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of every document, counted as the library for byte_bpe_50k.json does."""
     import public_tokenizers
 
     out = counted(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
