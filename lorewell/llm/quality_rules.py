@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, let, table, words
+from .common import keep, let, table, unused, words
 
 #: Words in a window of repeats.
 WINDOW = 8
@@ -41,22 +41,23 @@ def repeat_words(w: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(w) <= window, F.lit(0)).otherwise(let(hashes, counted)).cast("long")
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
-    """docs with a struct _stats of counts over the whole text (null text: as an empty one)."""
+def with_stats(docs: DataFrame, name: str = "_stats") -> DataFrame:
+    """docs with a struct of counts over the whole text (null text: as an empty one), in place of a column of that name."""
+    parts, rows = unused(docs, "words", "lines")
     t = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     left = lambda pattern: F.length(F.regexp_replace(t, pattern, "")).cast("long")  # noqa: E731  code points left
     counts = F.struct(
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size(parts).cast("long").alias("n_words"),
+        F.length(F.array_join(parts, "")).cast("long").alias("word_chars"),
         left(r"[^#*$%&|<>]+").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_words")).alias("n_repeat_words"),
+        (F.size(rows) - F.size(F.array_distinct(rows))).cast("long").alias("n_dup_lines"),
+        repeat_words(F.col(parts)).alias("n_repeat_words"),
         left(r"\P{Lu}+").alias("n_upper"),
         left(r"[^!?]+").alias("n_bangs"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        F.size(rows).cast("long").alias("n_lines"),
     )
-    return docs.withColumn("_words", words(F.col("text"))).withColumn("_lines", lines).withColumn("_stats", counts).drop("_words", "_lines")
+    return docs.withColumn(parts, words(F.col("text"))).withColumn(rows, lines).withColumn(name, counts).drop(parts, rows)
 
 
 def features(of: Column) -> dict[str, Column]:
@@ -104,14 +105,16 @@ def kept(rules: list[Rule], of: Column) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def learn(found: DataFrame, labels: DataFrame, bins: int = 32, most_rules: int = 6, most_conditions: int = 3, precision: float = 0.9, least: int = 10) -> list[Rule]:
+def learn(found: DataFrame, labels: DataFrame, bins: int = 32, most_conditions: int = 3, precision: float = 0.9, least: int = 10, patience: int = 6) -> list[Rule]:
     """Rules for label 0, by sequential covering over all labelled rows of found (doc_id, _stats) and labels (doc_id, quality).
 
     Each step counts, in one Spark aggregation over the rows that the rule so far holds for and no earlier rule
     covers, the labels in each bin of each feature (bins: quantiles of the labelled rows); the driver sees those
-    counts only. A rule grows on two thirds of the rows, dealt by hash, by the condition of best information gain,
-    then loses conditions at its end while that serves it on the other third. It joins the list if its precision
-    there reaches the bound; covering ends with the first rule that fails. Without labels of both kinds: no rules.
+    counts only. A rule grows on two thirds of the rows, dealt by hash, by the condition of best information gain, to
+    most_conditions at most, then loses conditions at its end while that serves it on the other third. It joins the
+    list if its precision there reaches the bound; if not, covering goes on from the next best first condition. It
+    ends when no condition gains anything, or after so many failures (patience) without a rule between them. Later
+    starts need twice the support. Without labels of both kinds: no rules.
     """
     named = list(features(F.col("_stats")))
     truth = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
@@ -133,12 +136,13 @@ def learn(found: DataFrame, labels: DataFrame, bins: int = 32, most_rules: int =
         return F.col(c.feature) > i if c.above else F.col(c.feature) <= i
 
     rules: list[Rule] = []
+    failed: set[Condition] = set()
     open_rows = binned
-    while len(rules) < most_rules:
+    while len(failed) <= patience:
         rule: Rule = ()
         while len(rule) < most_conditions:
             cells = open_rows.where("grow").where(holds(rule, test)).select("y", "count", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("bin")) for k in named])).alias("c"))
-            best = _best(cells.groupBy("c.k", "c.bin", "y").agg(F.sum("count").alias("n")).collect(), cuts, least)
+            best = _best(cells.groupBy("c.k", "c.bin", "y").agg(F.sum("count").alias("n")).collect(), cuts, least, () if rule else failed)
             if best is None or best in rule:
                 break
             rule += (best,)
@@ -149,15 +153,17 @@ def learn(found: DataFrame, labels: DataFrame, bins: int = 32, most_rules: int =
         worth = [(sums[2 * i] - sums[2 * i + 1]) / max(1, sums[2 * i] + sums[2 * i + 1]) for i in range(len(tries))]
         i = max(range(len(tries)), key=lambda i: (worth[i], -i))
         low, high = sums[2 * i], sums[2 * i + 1]
-        if low < max(1, least // 2) or low < precision * (low + high):
-            break
+        if low < max(1, least if failed else least // 2) or low < precision * (low + high):
+            failed.add(rule[0])
+            continue
+        failed.clear()
         rules.append(tries[i])
         open_rows = open_rows.where(~holds(tries[i], test))
     return rules
 
 
-def _best(counts, cuts: dict[str, list[float]], least: int) -> Condition | None:
-    """The condition of the highest FOIL gain for label 0; ties to the first in name and threshold."""
+def _best(counts, cuts: dict[str, list[float]], least: int, but=()) -> Condition | None:
+    """The condition of the highest FOIL gain for label 0, but for some; ties to the first in name and threshold."""
     from math import log2
 
     by: dict[str, dict[int, list[int]]] = {}
@@ -173,7 +179,7 @@ def _best(counts, cuts: dict[str, list[float]], least: int) -> Condition | None:
         for i, t in enumerate(cuts[k]):
             a, b = a + by[k].get(i, (0, 0))[0], b + by[k].get(i, (0, 0))[1]
             for above, p, q in ((False, a, b), (True, low - a, high - b)):
-                if p + q >= least and p and p + q < low + high and (gain := p * (log2(p / (p + q)) - before)) > most:
+                if p + q >= least and p and p + q < low + high and (gain := p * (log2(p / (p + q)) - before)) > most and Condition(k, above, t) not in but:
                     best, most = Condition(k, above, t), gain
     return best
 
@@ -196,11 +202,13 @@ def counted(docs: DataFrame) -> DataFrame:
 def good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs(…, text, …) that the base rules and the decision list keep, with all their columns."""
     # the row number keeps the optimizer from moving the filter below the counts, which would work them out for each use
-    numbered = with_stats(docs).withColumn("_row", F.monotonically_increasing_id())
-    return numbered.where((F.col("_row") >= 0) & verdict(rules, F.col("_stats"))).select(*docs.columns)
+    stats, row = unused(docs, "stats", "row")
+    numbered = with_stats(docs, stats).withColumn(row, F.monotonically_increasing_id())
+    return numbered.where((F.col(row) >= 0) & verdict(rules, F.col(stats))).drop(stats, row)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts of the base rules, base_failed and kept of every document."""
     found, of = counted(table(spark, sf_dir, "documents")), F.col("_stats")
     rules = learn(found, table(spark, sf_dir, "labels"))
     return found.select("doc_id", *[of.getField(k).alias(k) for k in STATS], base_failed(of).alias("base_failed"), verdict(rules, of).alias("kept"))
