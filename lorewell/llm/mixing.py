@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import table, unused, words
 
 
 def source_rates(sizes: DataFrame, weights: tuple[int, ...], epochs: float, most: float) -> DataFrame:
@@ -45,30 +45,35 @@ def chance(doc_id: Column, seed: str) -> Column:
 
 
 def with_copies(docs: DataFrame, weights=(5, 2, 1), epochs: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, target and copies: floor(rate), plus one with the rate's fraction as probability.
+    """docs with a struct _mix: size, source_size, target, rate and copies, which is floor(rate) plus one with the rate's fraction as probability.
 
     Null text has size 0; a null source is a source of its own, last in order. Rows that repeat an id draw the same
-    number. No rows give no rows; other columns pass through untouched, as the working columns live in one struct.
+    number, as do all rows without id. No rows give no rows. Other columns pass through untouched, but for a column
+    _mix of the input. The table of sources meets in one sort, so sources must be few against documents.
     """
+    named, mine = unused(docs, "mixed", "mine")
     size = F.size(words(F.col("text"))).cast("long")
-    rates = source_rates(docs.select("source", size.alias("size")), weights, epochs, most).select(F.struct("*").alias("_mix"))
-    joined = docs.withColumn("_size", size).join(rates, F.col("source").eqNullSafe(F.col("_mix.source")))
-    rate = F.col("_mix.rate")
+    rates = source_rates(docs.select("source", size.alias("size")), weights, epochs, most).select(F.struct("*").alias(named))
+    others = [c for c in docs.columns if c != "_mix"]
+    joined = docs.select(*[F.col(f"`{c}`") for c in others], size.alias(mine)).join(rates, F.col("source").eqNullSafe(F.col(f"{named}.source")))
+    rate = F.col(f"{named}.rate")
     extra = (chance(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("_copies", F.floor(rate) + extra)
+    made = F.struct(F.col(mine).alias("size"), f"{named}.source_size", f"{named}.target", f"{named}.rate", (F.floor(rate) + extra).alias("copies"))
+    return joined.select(*[F.col(f"`{c}`") for c in others], made.alias("_mix"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of docs as often as the mix takes it, with the columns of docs."""
-    copies = F.array_repeat(F.lit(0), F.col("_copies").cast("int"))
-    return with_copies(docs, **options).withColumn("_copy", F.explode(copies)).select(*docs.columns)
+    """The mixed corpus: each row of docs as often as the mix takes it, with the columns of docs (_mix, if any, left out)."""
+    copies = F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int"))
+    (copy,) = unused(docs, "copy")
+    return with_copies(docs, **options).withColumn(copy, F.explode(copies)).drop(copy, "_mix")
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every document."""
     out = with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_mix.source_size").alias("source_size"), F.col("_mix.target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken")
-    )
+    m = F.col("_mix")
+    return out.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"))
 
 
 OP3_SQL = r"""

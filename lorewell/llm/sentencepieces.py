@@ -159,7 +159,7 @@ def encoded(docs: DataFrame, model_path: str, rows: int = 256) -> DataFrame:
     """docs with ids (binary: little-endian unsigned 32-bit numbers, begin and end included) and decoded, in a struct _pieces.
 
     Null text is read as empty: begin and end only, decoded to an empty text. Texts are whole, of any length; other
-    columns pass through. model_path must be readable where tasks run. A batch works on so many rows at a time.
+    columns pass through, but for a column _pieces of the input. model_path must be readable where tasks run. A batch works on so many rows at a time.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def encoded(docs: DataFrame, model_path: str, rows: int = 256) -> DataFrame:
                 ids, texts = merger.batch(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "_pieces")]).alias("row")
     whole = docs.select(row, "text")
     out = whole.mapInArrow(of, f"row {whole.schema['row'].dataType.simpleString()}, ids binary, decoded string")
     return out.select("row.*", F.struct("ids", "decoded").alias("_pieces"))
@@ -183,6 +183,7 @@ def model() -> str:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded by piece_bpe_32k.model."""
     out = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model())
     return out.select(
         "doc_id", F.floor(F.octet_length("_pieces.ids") / 4).cast("long").alias("n_tokens"), F.sha2("_pieces.ids", 256).alias("ids_sha256"), F.sha2("_pieces.decoded", 256).alias("decoded_sha256")
