@@ -5,8 +5,9 @@ with similarity t share at least ceil(t n) shingles, n the size of either; the f
 n - ceil(t n) + 1 of both. These shingles are the root level of the index. The texts that share one form a group,
 named after the smallest of them, so the groups of copies of one text are few. In a group, texts are points, their
 counts of shingles in DIMS hashed groups, packed into a tree of boxes; the summed minima of two upper corners bound the
-overlap from above, and pairs of boxes are followed down from the root while the bound allows a link. Texts with a
-pair that may link then meet with their whole sets, and only links that join two parts leave the task.
+overlap from above, and pairs of boxes are followed down from the root while the bound allows a link. Texts that pairs
+which may link connect form a cell. A text is in one cell at most, where it meets the others with its whole set, and
+only links that join two parts leave the task.
 
 A tree over all texts alone would not do: boxes around unrelated texts bound nothing, so each text would visit all.
 """
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import keep, perhaps_among, table
 from .components import components
-from .wordhash import hashes, mixed, runs, split
+from .wordhash import mixed, runs, text_hashes
 
-#: Coordinates of a point; points in a leaf of the tree; children of an inner box.
-DIMS, LEAF, FAN = 128, 16, 8
+#: Coordinates of a point, twice as many for each doubling of SMALL shingles; points in a leaf; children of an inner box.
+DIMS, SMALL, LEAF, FAN = 128, 1024, 16, 8
 #: Texts and shingles of a block, the most that one side of a search holds at a time.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 #: Characters of the texts that a task works on at a time; a longer text is a part of its own.
@@ -45,9 +46,7 @@ def _sets(texts: list[str | None], k: int, levels: np.ndarray | None) -> tuple[n
 
     A shingle is its 59-bit hash under its level, how frequent its counter is. A text of fewer than k words is one shingle.
     """
-    parts = [split(x, lower=True) for x in texts]
-    n_words = np.array([len(x) for x in parts], np.int64)
-    h = hashes([w for x in parts for w in x])
+    h, n_words = text_hashes(texts, lower=True)
     begin = np.cumsum(n_words) - n_words
     made = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
     starts = np.cumsum(made) - made
@@ -85,10 +84,23 @@ def prefix(n: np.ndarray, t: Fraction) -> np.ndarray:
     return np.where(n > 0, n - -((-t.numerator * n) // t.denominator) + 1, 0)
 
 
-def count_vectors(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The points of sets: how many shingles each has in each of DIMS groups, up to FULL."""
-    at = np.repeat(np.arange(len(sizes)) * DIMS, sizes) + (s % np.uint64(DIMS)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=len(sizes) * DIMS), FULL).astype(np.uint8).reshape(-1, DIMS)
+def dims(n: np.ndarray) -> np.ndarray:
+    """The coordinates of the points of sets of n shingles."""
+    return DIMS << np.ceil(np.log2(np.maximum(n, SMALL) / SMALL)).astype(np.int64)
+
+
+def count_vectors(s: np.ndarray, sizes: np.ndarray, d: int = DIMS) -> np.ndarray:
+    """Points with d coordinates of sets: how many shingles each has in each of d groups, up to FULL."""
+    at = np.repeat(np.arange(len(sizes)) * d, sizes) + (s % np.uint64(d)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=len(sizes) * d), FULL).astype(np.uint8).reshape(-1, d)
+
+
+def folded(points: np.ndarray, d: int) -> np.ndarray:
+    """The same sets' points with d coordinates, a smaller power of two."""
+    while points.shape[1] > d:
+        half = points.shape[1] // 2
+        points = np.minimum(points[:, :half].astype(np.uint16) + points[:, half:], FULL).astype(np.uint8)
+    return points
 
 
 def overlap_needed(a, b, t: Fraction):
@@ -116,9 +128,9 @@ def _allowed(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, t: Fraction) -> n
     (tops, least, most), (tops2, least2, most2) = x, y
     p, q = t.numerator, t.denominator
     ok = (q * most[i] >= p * least2[j]) & (q * most2[j] >= p * least[i])
-    left = np.flatnonzero(ok)
-    for a in range(0, len(left), 8192):
-        part = left[a : a + 8192]
+    left, step = np.flatnonzero(ok), max(1, (1 << 20) // tops.shape[1])
+    for a in range(0, len(left), step):
+        part = left[a : a + step]
         bound = np.minimum(tops[i[part]], tops2[j[part]]).sum(1, dtype=np.int64)
         ok[part] = bound >= overlap_needed(least[i[part]], least2[j[part]], t)
     return ok
@@ -157,6 +169,28 @@ def tree_pairs(x: Tree, y: Tree, t: Fraction) -> Iterator[tuple[np.ndarray, np.n
             stack.append((n - 1, np.repeat(a, each) + within // np.repeat(l, each), np.repeat(b, each) + within % np.repeat(l, each)))
 
 
+class Forest:
+    """The trees of a block of sets: one for each number of coordinates that their points have."""
+
+    def __init__(self, sizes: np.ndarray, points: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.sizes, self.points, self.made = sizes, points, {}
+
+    def tree(self, own: int, d: int) -> Tree:
+        if (own, d) not in self.made:
+            at, points = self.points[own]
+            self.made[own, d] = Tree(self.sizes[at], folded(points, d))
+        return self.made[own, d]
+
+
+def forest_pairs(x: Forest, y: Forest, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As tree_pairs, for two blocks, or one (x is y); points of unlike numbers of coordinates meet in the smaller one."""
+    for a in x.points:
+        for b in y.points:
+            if x is not y or a <= b:
+                for i, j in tree_pairs(x.tree(a, min(a, b)), y.tree(b, min(a, b)), t):
+                    yield x.points[a][0][i], y.points[b][0][j]
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """doc_id and text of a batch, in parts of about PART characters."""
     for batch in batches:
@@ -222,11 +256,11 @@ def _payload(k: int, levels: np.ndarray, points: bool):
             s, sizes = _sets(texts, k, levels)
             d = _digests(s, sizes)
             new = [i for i, x in enumerate(d.tolist()) if not (x in seen or seen.add(x))]
+            at = np.append(0, np.cumsum(sizes))
+            load = [s[at[i] : at[i + 1]] for i in new]
             if points:
-                load = [x.tobytes() for x in count_vectors(s, sizes)[new]]
-            else:
-                at = np.append(0, np.cumsum(sizes))
-                load = [s[at[i] : at[i + 1]].tobytes() for i in new]
+                load = [count_vectors(x, np.array([len(x)]), int(d))[0] for x, d in zip(load, dims(sizes[new]), strict=True)]
+            load = [x.tobytes() for x in load]
             yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(sizes[new]), pa.array(load, pa.binary())], ["d", "n", "load"])
 
     return of
@@ -276,24 +310,39 @@ def _by_group(work: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarr
     return of
 
 
-def _tree(n: np.ndarray, loads: np.ndarray) -> Tree:
-    return Tree(n, np.frombuffer(b"".join(loads), np.uint8).reshape(-1, DIMS))
+def _grown(x: list[np.ndarray]) -> Forest:
+    """The forest of a block whose loads are points."""
+    d = dims(x[3])
+    return Forest(x[3], {int(n): (np.flatnonzero(d == n), np.frombuffer(b"".join(x[4][d == n]), np.uint8).reshape(-1, n)) for n in np.unique(d)})
+
+
+def united(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """labels, each the smallest index of a part, after the parts of every i and j are joined."""
+    while True:
+        low, high = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
+        apart = low != high
+        if not apart.any():
+            return labels
+        i, j = i[apart], j[apart]
+        np.minimum.at(labels, high[apart], low[apart])
+        while (labels != (up := labels[labels])).any():
+            labels = up
 
 
-def _flags(t: Fraction):
-    """The texts of a group with a pair that the tree's bounds allow."""
+def _near(t: Fraction):
+    """Edges (a, b) that tie the texts of a group together which pairs allowed by the trees' bounds connect; no more than texts."""
 
     def work(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
-        one = _tree(x[3], x[4])
-        two = one if x is y else _tree(y[3], y[4])
-        here, there = np.zeros(len(x[2]), bool), np.zeros(len(y[2]), bool)
-        for i, j in tree_pairs(one, two, t):
-            here[i] = True
-            (here if x is y else there)[j] = True
-        d = np.concatenate([x[2][here], y[2][there]])
-        return [np.full(len(d), x[0][0]), d, np.concatenate([x[3][here], y[3][there]])]
+        one = _grown(x)
+        two = one if x is y else _grown(y)
+        d = x[2] if x is y else np.concatenate([x[2], y[2]])
+        labels = np.arange(len(d))
+        for i, j in forest_pairs(one, two, t):
+            labels = united(labels, i, j if x is y else j + len(x[2]))
+        at = np.flatnonzero(labels != np.arange(len(d)))
+        return [d[at], d[labels[at]]]
 
-    return _by_group(work, ["pivot", "d", "n"])
+    return _by_group(work, ["a", "b"])
 
 
 def _verify(t: Fraction):
@@ -303,10 +352,17 @@ def _verify(t: Fraction):
         d = x[2] if x is y else np.concatenate([x[2], y[2]])
         sets = [np.frombuffer(b, np.uint64) for b in (x[4] if x is y else np.concatenate([x[4], y[4]]))]
         sizes = np.array([len(s) for s in sets], np.int64)
-        points = count_vectors(np.concatenate(sets), sizes)
         m = len(x[2])
-        one = Tree(sizes[:m], points[:m])
-        two = one if x is y else Tree(sizes[m:], points[m:])
+
+        def grown(a: int, e: int) -> Forest:
+            d, out = dims(sizes[a:e]), {}
+            for n in np.unique(d).tolist():
+                at = np.flatnonzero(d == n)
+                out[n] = at, count_vectors(np.concatenate([sets[a + i] for i in at.tolist()]), sizes[a:e][at], n)
+            return Forest(sizes[a:e], out)
+
+        one = grown(0, m)
+        two = one if x is y else grown(m, len(d))
         of, a, b = np.arange(len(d)), [], []
 
         def top(i: int) -> int:
@@ -314,7 +370,7 @@ def _verify(t: Fraction):
                 of[i] = i = of[of[i]]
             return i
 
-        for left, right in tree_pairs(one, two, t):
+        for left, right in forest_pairs(one, two, t):
             right = right if x is y else right + m
             for at in range(0, len(left), 1024):
                 i, j = left[at : at + 1024], right[at : at + 1024]
@@ -392,8 +448,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> Data
         return perhaps_among(named, ids).mapInArrow(_payload(k, levels, points), "d long, n long, load binary").groupBy("d").agg(F.min("load").alias("load"))
 
     sized = keep(members.join(texts.select("d", "n"), "d"))
-    flagged = keep(dealt(sized, loads(members, True), t).mapInArrow(_flags(t), "pivot long, d long, n long").distinct())
-    links = dealt(flagged, loads(flagged, False), t).mapInArrow(_verify(t), "a long, b long")
+    near = components(dealt(sized, loads(members, True), t).mapInArrow(_near(t), "a long, b long"))
+    cells = keep(near.select(F.col("component").alias("pivot"), F.col("node").alias("d")).join(texts.select("d", "n"), "d"))
+    links = dealt(cells, loads(cells, False), t).mapInArrow(_verify(t), "a long, b long")
 
     # an id with several texts joins them
     many = some.groupBy("doc_id").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("doc_id", "low")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, table
-from .wordhash import digest, hashes, runs, split
+from .wordhash import digest, hashes, runs, split, text_hashes
 
 #: Words of a window; words of the runs among which its anchor is chosen.
 WINDOW, RUN = 20, 10
@@ -158,7 +158,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
     A word goes if a window of so many words covers it whose words also start earlier: in a smaller doc_id, or in
     the same document at an earlier start. Windows are judged on the input. Null text has no words. Rows of one
     doc_id count as one document, in which equal places do not precede each other; a row without id is compared with
-    itself only. Other columns pass through, whatever their names.
+    itself only. Other columns pass through, but for a column _dedup of the input.
     """
     run = min(run, window)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -188,7 +188,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
     cover = cover.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     known = cover.join(copies, "doc_id", "full_outer").withColumnRenamed("doc_id", "_known_id")
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "_dedup"])
     whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text"), row.alias("row"))
     ready = whole.join(known, F.col("_id") == F.col("_known_id"), "left").select("row", "text", "copy", "spans")
     kind = ready.schema["row"].dataType.simpleString()
@@ -196,5 +196,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every document, windows of 20 words."""
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_dedup.n_words").alias("n_words"), F.col("_dedup.n_removed").alias("n_removed"), F.sha2("_dedup.kept_text", 256).alias("kept_sha256"))
