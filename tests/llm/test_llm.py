@@ -127,6 +127,23 @@ def test_tree_bound_loses_no_pair(n):
     assert {(a, b) for a, b in linked if a < cut <= b} <= set(across) and len(across) == len(set(across))
 
 
+def test_parts_are_united():
+    r = np.random.default_rng(5)
+    for n in (2, 30, 200):
+        i, j = r.integers(0, n, (2, n // 2))
+        labels = jaccard.united(jaccard.united(np.arange(n), i[::2], j[::2]), i[1::2], j[1::2])
+        of = brute_parts(n, zip(i.tolist(), j.tolist(), strict=True))
+        assert labels.tolist() == of
+
+
+def brute_parts(n, pairs):
+    of = list(range(n))
+    for a, b in pairs:
+        x, y = sorted((of[a], of[b]))
+        of = [x if v == y else v for v in of]
+    return of
+
+
 def test_large_groups_are_searched_block_by_block(spark, monkeypatch):
     """One phrase that all texts hold, near copies and strangers, with blocks of seven texts."""
     r = random.Random(4)
@@ -165,7 +182,7 @@ def test_substrings(docs):
 def test_mix_takes_near_its_targets(spark):
     rows = [(i, "a b c", "big" if i < 2000 else f"s{i % 3}") for i in range(4000)] + [(9999, None, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.with_copies(d).groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.first("_mix.target").alias("target"), F.max("_copies").alias("most")).collect()
+    out = mixing.with_copies(d).groupBy("source").agg(F.sum(F.col("_mix.size") * F.col("_mix.copies")).alias("taken"), F.first("_mix.target").alias("target"), F.max("_mix.copies").alias("most")).collect()
     for r in out:
         assert r.most <= 2 and abs(r.taken - r.target) <= 0.1 * r.target + 1
     assert abs(sum(r.target for r in out) - 1.5 * 12000) < 1e-6
@@ -229,6 +246,20 @@ def test_classifier_on_held_out_rows(spark):
     assert sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
 
 
+def test_classifier_learns_from_the_middle_of_long_texts(spark):
+    """What tells good from bad stands far from either end; an empty table scores, and so does one without labels."""
+    r = random.Random(6)
+    noise = lambda n: " ".join(r.choices(["alpha", "beta", "gamma", "delta", "rho"], k=n))
+    rows = [(i, noise(900) + (" zz%z%zz" * 60 if i % 2 else " ") + noise(900)) for i in range(160)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1 - i % 2) for i in range(160)], "doc_id long, quality int")
+    net = byte_network.trained(docs, labels)
+    score = {x.doc_id: x["_score"] for x in byte_network.scored(docs.withColumn("_score", F.lit("x")), net).collect()}
+    assert sum((s >= 0.5) == (i % 2 == 0) for i, s in score.items()) >= 152
+    assert byte_network.scored(docs.limit(0), net).count() == 0 and byte_network.trained(docs.limit(0), labels) is None
+    few = byte_network.trained(docs, labels, most=40_000)
+    assert few is not None and byte_network.trained(docs, labels, most=10) is None
+
+
 def test_classifier_scores_whole_texts_in_any_batch(docs):
     net = byte_network.Network.new(3)
     texts = [t for _, t in rows_of(docs)] + ["x" * 200_000]
@@ -250,18 +281,34 @@ def test_topk_against_brute_force(spark):
         assert got[q] == [(i, -s) for s, i in scores]
 
 
-def test_topk_of_many_equal_vectors():
+def test_topk_of_many_equal_vectors(spark, monkeypatch):
+    """Ties at the kth score, in blocks of a few vectors each; rows that repeat an id; no rows at all."""
     r = np.random.default_rng(2)
-    for n, same in ((300, 200), (64, 64), (65, 0), (700, 70), (3, 3)):
-        order = r.permutation(n)
-        v, ids = r.integers(-300, 300, (n, 6)), order * 7
+    for n, same, block in ((300, 200, 64), (64, 64, 9), (65, 0, 1000), (3, 3, 1)):
+        monkeypatch.setattr(topk, "CANDIDATES", block)
+        monkeypatch.setattr(topk, "QUERIES", 3)
+        v = r.integers(-300, 300, (n, 6))
         v[:same] = v[0]
-        v, ids = v[order], ids[order]
-        out = topk.search(v[:9], ids[:9], v, ids, 5)
-        for a, i in zip(v[:9], ids[:9], strict=False):
-            want = sorted((-x, j) for x, j in zip((v @ a).tolist(), ids.tolist(), strict=True) if j != i)[:5]
-            got = out[out["query_id"] == i]
-            assert [(-x, j) for x, j in zip(got["score"].tolist(), got["vec_id"].tolist(), strict=True)] == want
+        v, ids = v[r.permutation(n)], r.permutation(n) * 7
+        rows = spark.createDataFrame([(i, x) for i, x in zip(ids.tolist(), v.tolist(), strict=True)], "vec_id long, v array<long>")
+        got = {}
+        for x in topk.top_k(rows.where("vec_id < 63"), rows).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+        for a, i in zip(v, ids.tolist(), strict=True):
+            if i < 63:
+                want = sorted((-x, j) for x, j in zip((v @ a).tolist(), ids.tolist(), strict=True) if j != i)[:5]
+                assert got[i] == [(j, -x) for x, j in want]
+    twice = spark.createDataFrame([(0, [1]), (0, [1]), (1, [5]), (1, [4]), (1, [5])], "vec_id long, v array<long>")
+    assert [(x.vec_id, x.score) for x in topk.top_k(twice.where("vec_id = 0").limit(1), twice).orderBy("rank").collect()] == [(1, 5), (1, 5), (1, 4)]
+    assert topk.top_k(twice.limit(0), twice).count() == topk.top_k(twice, twice.limit(0)).count() == 0
+
+
+def test_bounds_hold_the_exact_products():
+    r = np.random.default_rng(3)
+    q, v = r.integers(-90, 90, (20, 12)), r.integers(-200, 200, (500, 12))
+    low, width = v.min(0).astype(float), np.maximum((v.max(0) - v.min(0)) / topk.CELLS, 1e-9)
+    middle, slack = topk.bounds(q, topk.cells(v, low, width), low, width)
+    assert (np.abs(middle - q @ v.T) <= slack[:, None]).all() and slack.max() < np.abs(q @ v.T).max() / 20
 
 
 HARD = ["", " ", "  a  b ", "\t\n\r\n x", "a▁b ▁ ▁▁", "<s>x</s> <0x41>", "<|endoftext|> a<|endoftext|>", "é€𝄞\x00z ﬁ", "it's we'll 'S don't", "aaaa" * 500, "-" * 999, "12 3456 ٣", "　全角 テスト x", "word " * 20_000]
@@ -293,8 +340,16 @@ def test_operators_take_empty_and_clashing_tables(spark, docs):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "http://a/b", "", "y"), (2, "http://a/b", "<article><p>x &amp; y</article>", None)], "page_id long, url string, html string, text string")
     assert sorted(r["_main"].text for r in html_text.main_text(pages).collect()) == ["", "", "x & y"]
     assert html_text.main_text(pages.limit(0)).count() == 0
-    for d in (docs, docs.limit(0)):
+    clash = docs.select("*", *[F.lit("mine").alias(c) for c in ("_dedup", "_pieces", "_tokens", "_mix", "_size", "_copies", "_stats", "_words", "_row", "_copy", "stats", "words", "lines", "row_", "spot", "held")])
+    for d in (clash, docs, docs.limit(0)):
         n = d.count()
+        rules = [(quality_rules.Condition("n_words", False, 3.0),)]
+        assert quality_rules.good(d, rules).columns == d.columns
+        assert quality_rules.good(d, rules).where("text is null").count() == 0
+        if "_stats" in d.columns:
+            assert quality_rules.good(d, rules).select("_stats", "_words", "stats", "spot").distinct().collect() == [("mine",) * 4]
+            assert mixing.with_copies(d).select("_size", "_copies").distinct().collect() == [("mine",) * 2]
+        assert set(mixing.mix(d).columns) == set(d.columns) - {"_mix"}
         assert sentencepieces.encoded(d, sentencepieces.model()).count() == n
         assert token_counts.counted(d, public_tokenizers.path("byte_bpe_50k.json")).count() == n
         assert jaccard.near_duplicates(d).count() == n
@@ -376,16 +431,18 @@ def test_html_takes_deep_broken_and_long_pages_in_time(spark):
 
 def test_pipeline_keeps_clean_documents_once(spark):
     import corpus_pipeline
+    from lorewell.llm import pipeline
 
+    assert corpus_pipeline.STAGES is pipeline.STAGES and len(pipeline.STAGES) == 5
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    good = corpus_pipeline.quality(spark, d, DATA)
+    good = pipeline.quality(spark, d, DATA)
     assert good.columns == d.columns and 0 < good.count() < d.count()
-    one = corpus_pipeline.near_duplicates(spark, d, DATA)
+    one = pipeline.near_duplicates(spark, d, DATA)
     firsts = {c for _, c in brute_components([(r.doc_id, r.text) for r in d.collect()], 5, 0.8).values()}
     assert one.columns == d.columns and sorted(r.doc_id for r in one.collect()) == sorted(firsts)
-    cut = corpus_pipeline.substring_dedup(spark, one, DATA)
+    cut = pipeline.substring_dedup(spark, one, DATA)
     assert cut.columns == d.columns and cut.where("n_chars <> length(text)").count() == 0
-    out = corpus_pipeline.sentencepiece(spark, cut, DATA)
+    out = pipeline.sentencepiece(spark, cut, DATA)
     assert out.join(cut.select("doc_id", "text"), "doc_id").where("decoded <> text").count() == 0
 
 
