@@ -234,7 +234,7 @@ def frequent(base: DataFrame) -> np.ndarray:
 
 
 def _keys(k: int, t: Fraction, levels: np.ndarray):
-    """The first shingles of each text, with the digest of its set."""
+    """The first shingles of each text, with the digest and the size of its set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _parts(batches):
@@ -242,7 +242,7 @@ def _keys(k: int, t: Fraction, levels: np.ndarray):
             n = prefix(sizes, t)
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             keys = s[np.repeat(np.cumsum(sizes) - sizes, n) + within]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(_digests(s, sizes), n))], ["key", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(_digests(s, sizes), n)), pa.array(np.repeat(sizes.astype(np.int32), n))], ["key", "d", "n"])
 
     return of
 
@@ -439,8 +439,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> Data
     named = docs.where("doc_id IS NOT NULL")
 
     # groups: texts that share one of their first shingles, named after the smallest of them
-    keys = named.mapInArrow(_keys(k, t, levels), "key long, d long")
-    pivots = keys.groupBy("key").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot < last").select("key", "pivot")
+    # a shingle of just two texts ties them only if their sizes allow a link
+    keys = named.mapInArrow(_keys(k, t, levels), "key long, d long, n int")
+    near_size = t.denominator * F.col("least").cast("long") >= t.numerator * F.col("most").cast("long")
+    pivots = keys.groupBy("key").agg(F.min("d").alias("pivot"), F.max("d").alias("last"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("times"))
+    pivots = pivots.where((F.col("pivot") < F.col("last")) & ((F.col("times") > 2) | near_size)).select("key", "pivot")
     members = keep(keys.join(pivots, "key").select("pivot", "d").distinct())
 
     def loads(of: DataFrame, points: bool) -> DataFrame:
