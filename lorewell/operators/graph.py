@@ -5,7 +5,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import kept
+from ..functions.text import node_id, topic_path
+
 EDGE = ["source_id", "target_id", "relation"]
+# Kinds of nodes that links may join, and relations from an intent to material.
+LINK_KINDS = ("intent", "material", "knowledge", "reference")
+RELATIONS = ("applies_to", "realized_by", "verified_by", "contradicted_by")
+
+
+def context(nodes: DataFrame) -> DataFrame:
+    """nodes with path, the dotted address of durable ones and the material's address of others; missing ones stay."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return nodes.withColumn("path", topic_path(F.col("owner"), F.col("kind"), F.col("ref"), blank("material_uri"), blank("locator")))
+
+
+def in_order(nodes: DataFrame) -> DataFrame:
+    """A graph's nodes: intents first, then by label."""
+    return nodes.orderBy((F.col("kind") != "intent"), "label", "id")
+
+
+def find(nodes: DataFrame, query: str) -> DataFrame:
+    """The node of a context that a query names, one row at most, with its tier.
+
+    The tiers: 1 id, label or path; 2 a material's address; 3 an address with a place in it; 4 text within label,
+    kind, address, place or content, whatever its case. In the first tier that has any, the first node in order.
+    """
+    q = query.strip()
+    if not q:
+        return nodes.withColumn("tier", F.lit(0)).limit(0)
+    c = lambda name: F.coalesce(F.col(name), F.lit(""))
+    hay = F.lower(F.concat_ws(" ", *map(c, ("label", "kind", "material_uri", "locator", "content"))))
+    tier = (
+        F.when((F.col("id") == q) | (c("label") == q) | (c("path") == q), 1)
+        .when((c("kind") == "material") & (c("material_uri") == q), 2)
+        .when((c("material_uri") != "") & (c("locator") != "") & (F.concat_ws("#", "material_uri", "locator") == q), 3)
+        .when(F.contains(hay, F.lit(q.lower())), 4)
+    )
+    return nodes.withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", (c("kind") != "intent"), "label", "id").limit(1)
+
+
+def link(state, source: tuple[str, str], target: tuple[str, str], relation: str, provenance: str) -> tuple[bool, dict[str, DataFrame]]:
+    """A durable edge between two nodes (kind, ref) of a state; whether it is new, and the tables changed.
+
+    An end that is not there becomes a durable node that is missing; an observed edge is promoted.
+    """
+    if any(k not in LINK_KINDS or not r.strip() for k, r in (source, target)) or not relation.strip():
+        raise ValueError("a link needs two kinds, two references and a relation")
+    if (source[0], target[0]) == ("intent", "material") and relation not in RELATIONS:
+        raise ValueError("no relation of an intent to material")
+    nodes, edges, spark = state["nodes"], state["edges"], state["nodes"].sparkSession
+    ends = spark.createDataFrame([(i, *e) for i, e in enumerate((source, target))], "end int, kind string, ref string")
+    met = ends.join(nodes.select("kind", "ref", "id"), ["kind", "ref"], "left").groupBy("end", "kind", "ref").agg(F.min("id").alias("id"))
+    rows = {r.end: r for r in met.withColumn("own", node_id(F.col("kind"), F.col("ref"))).collect()}
+    ids = [rows[i].id or rows[i].own for i in (0, 1)]
+    new = list({(rows[i].own, rows[i].kind, rows[i].ref) for i in (0, 1) if rows[i].id is None})
+    changes = {}
+    if new:
+        fresh = spark.createDataFrame([(i, r, k, r, "durable", "missing", provenance) for i, k, r in new], "id string, label string, kind string, ref string, owner string, state string, provenance string")
+        changes["nodes"] = nodes.unionByName(fresh, allowMissingColumns=True)
+    same = (F.col("source_id") == ids[0]) & (F.col("target_id") == ids[1]) & (F.col("relation") == relation)
+    owners = {r.owner for r in edges.where(same).select("owner").collect()}
+    if "durable" in owners:
+        return False, changes
+    row = spark.createDataFrame([(*ids, relation, "durable", provenance)], edges.schema)
+    changes["edges"] = (edges.where(~same) if owners else edges).unionByName(row)
+    return True, changes
 
 
 def resolve_claims(nodes: DataFrame, claims: DataFrame) -> DataFrame:
@@ -34,9 +99,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def hop_distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(id, hops) of every node within depth hops of seeds(id), edges read both ways; one join and one anti join a hop."""
     ways = both_ways(edges).select("at", "next").distinct()
-    seen = frontier = seeds.select("id").distinct().withColumn("hops", F.lit(0))
+    seen = frontier = kept(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
     for level in range(1, depth + 1):
-        frontier = frontier.join(ways, frontier["id"] == ways["at"]).select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(level))
+        frontier = frontier.join(ways, frontier["id"] == ways["at"]).select(F.col("next").alias("id")).distinct()
+        frontier = kept(frontier.join(seen, "id", "left_anti").withColumn("hops", F.lit(level)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -77,37 +145,100 @@ def induced(edges: DataFrame, ids: list[str]) -> DataFrame:
     return edges.where(F.col("source_id").isin(ids) & F.col("target_id").isin(ids))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 16) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(step, source_id, target_id, relation): the first shortest path in breadth-first order, edges read both ways.
 
-    Each reached node keeps the smallest list of edges that leads to it; lists of one length compare as the order of
-    discovery does. No rows if the target is not reached within so many hops.
+    However long it is; no rows if there is none. A level holds its nodes with the edge that reached each first, and
+    its place: the order of discovery is that of the node before, then of the edge. Levels are checkpointed, and once
+    the target is met they are read back to front, one row each.
     """
     if source == target:
         raise ValueError("a path needs two different nodes")
     ways, spark = both_ways(edges), edges.sparkSession
-    kind = ways.schema["edge"].dataType.simpleString()
-    frontier = spark.range(1).select(F.lit(source).alias("id"), F.array().cast(f"array<{kind}>").alias("path"))
-    seen = frontier.select("id")
-    for _ in range(most):
-        step = frontier.join(ways, frontier["id"] == ways["at"]).select(F.col("next").alias("id"), F.concat("path", F.array("edge")).alias("path"))
-        frontier = step.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti").persist()
-        hit = frontier.where(F.col("id") == target).limit(1)
-        if not hit.isEmpty():
-            return hit.select(F.posexplode("path").alias("step", "e")).select("step", "e.*")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier.select("id"))
-    return hit.select(F.posexplode("path").alias("step", "e")).select("step", "e.*")
+    levels = [kept(spark.createDataFrame([(source, 0)], "id string, place long"))]
+    seen, hit = levels[0].select("id"), None
+    while hit is None:
+        last = levels[-1].select("id", "place")
+        ahead = last.join(ways, last["id"] == ways["at"]).select(F.col("next").alias("id"), F.struct("place", "edge").alias("by"), F.col("at").alias("before"))
+        first = ahead.groupBy("id").agg(F.min(F.struct("by", "before")).alias("x")).join(seen, "id", "left_anti")
+        # places in a level: sorted by range over all tasks, then numbered within and across them
+        placed = kept(first.select("id", "x.before", "x.by.edge", F.col("x.by").alias("by")).orderBy("by").withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+        if placed.isEmpty():
+            return placed.select(F.lit(0).alias("step"), "edge.*")
+        level = placed.select("id", "before", "edge", F.col("at").alias("place"))
+        hit = level.where(F.col("id") == target).first()
+        levels.append(level)
+        seen = kept(seen.unionByName(level.select("id"))) if len(levels) % 8 == 0 else seen.unionByName(level.select("id"))
+    steps = []
+    for level in reversed(levels[1:]):
+        row = hit if not steps else level.where(F.col("id") == steps[-1].before).first()
+        steps.append(row)
+    rows = [(i, *row.edge) for i, row in enumerate(reversed(steps))]
+    return spark.createDataFrame(rows, "step int, source_id string, target_id string, relation string")
+
+
+def path(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> tuple[DataFrame, list[str] | None]:
+    """The shortest path between two nodes of a context that queries name, and the bridge of their topics.
+
+    Either may be missing, the path as no rows, the bridge as None; both missing is an error, as is a node not found.
+    """
+    ends = [find(nodes, q).first() for q in (source, target)]
+    if None in ends:
+        raise LookupError("no such node")
+    steps = shortest_path(edges, ends[0].id, ends[1].id)
+    pair = edges.sparkSession.createDataFrame([(ends[0].path or "", ends[1].path or "")], "source string, target string")
+    bridge = topic_bridge(pair.where("source <> '' AND target <> ''")).first()
+    bridge = bridge and bridge.bridge
+    if bridge is None and steps.isEmpty():
+        raise LookupError("no path between the two nodes")
+    return steps, bridge
 
 
 def connections(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
-    """What a node is linked with, by direction: the other node's id and label; edges to unknown nodes go."""
+    """What a node is linked with, by direction: the other node's id and label; a loop is out; edges to unknown nodes go."""
     out = edges.where(F.col("source_id") == node).select(F.lit("out").alias("direction"), "relation", F.col("target_id").alias("id"))
-    into = edges.where(F.col("target_id") == node).select(F.lit("in").alias("direction"), "relation", F.col("source_id").alias("id"))
+    into = edges.where((F.col("target_id") == node) & (F.col("source_id") != node)).select(F.lit("in").alias("direction"), "relation", F.col("source_id").alias("id"))
     return out.unionByName(into).join(nodes.select("id", "label"), "id").select("direction", "relation", "id", "label")
 
 
+def explanation(nodes: DataFrame, edges: DataFrame, node: str, siblings: int = 12) -> tuple[DataFrame, list[str]]:
+    """A node's connections in order, and up to so many branches of the topic that its path lies in."""
+    order = F.concat("direction", "relation", "label")
+    met = connections(nodes, edges, node).orderBy(order, "id")
+    own = nodes.where(F.col("id") == node).select("path").first()
+    parent = (own and own.path or "").rpartition(".")[0]
+    return met, [r.branch for r in branches(nodes.select("path"), parent, siblings).collect()] if parent else []
+
+
+def clamped(limit: int, usual: int, most: int) -> int:
+    """A limit within 1 and most, or else the usual one."""
+    return limit if 0 < limit <= most else usual
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, scope: str, limit: int = 0) -> dict:
+    """The nodes around those whose text holds scope (all nodes for an empty one): ids in order, edges, totals, truncated.
+
+    No node matches: an empty graph. limit: 80 nodes if it is not within 1 and 200.
+    """
+    limit = clamped(limit, 80, 200)
+    seeds = [r.id for r in in_order(seeded(nodes, scope)).select("id").limit(limit).collect()]
+    ids = neighborhood(edges, seeds, 2, limit)
+    known = {r.id for r in nodes.where(F.col("id").isin(ids)).select("id").collect()} if ids else set()
+    ids = [i for i in ids if i in known]
+    total = nodes.count()
+    return {"ids": ids, "edges": induced(edges, ids), "nodes_total": total, "edges_total": edges.count(), "truncated": len(ids) < total}
+
+
+#: The parts of a node in which a query is looked for.
+HAY = ("id", "path", "label", "kind", "material_uri", "locator", "content")
+
+
+def seeded(nodes: DataFrame, query: str) -> DataFrame:
+    """The nodes of a context in whose parts a query stands, whatever its case, missing ones too; all for an empty query."""
+    hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in HAY]))
+    return nodes.where(F.contains(hay, F.lit(query.strip().lower())))
+
+
 def branches(paths: DataFrame, prefix: str, limit: int) -> DataFrame:
     """The next step below a dotted prefix of every path(path) at or under it, distinct and in order."""
     prefix = prefix.strip().removesuffix(".")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import kept
 from ..functions.text import lexical_tokens
 
 
@@ -24,23 +25,28 @@ def query_terms(df: DataFrame, query: str, keywords: Iterable[str] = ()) -> list
 def bm25(candidates: DataFrame, fields: list[str], query: str, keywords: Iterable[str] = ()) -> DataFrame:
     """candidates with a score that matches the query (k1 = 1.2, b = 0.75), those without a match left out.
 
-    The statistics cover all candidates, also those without tokens. Only the counts of the query's terms leave a
-    row, so the corpus is never exploded: one aggregation to a single row, then a projection.
+    The statistics cover all candidates, also those without tokens. A text is tokenized once: tokens fold into a
+    length and the counts of the query's terms, and only rows with a term keep their columns for the projection that
+    scores them. The corpus is never exploded, and no text is read a second time.
     """
     terms = query_terms(candidates, query, keywords)
-    tokens = F.concat(*[lexical_tokens(F.col(f)) for f in fields])
-    times = lambda w: F.size(F.filter("_tokens", lambda t: t == w))
-    counts = F.struct(F.size("_tokens").alias("dl"), *[times(w).alias(f"t{i}") for i, w in enumerate(terms)])
-    counted = candidates.withColumn("_tokens", tokens).withColumn("_bm", counts).drop("_tokens")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("_bm.dl").alias("avg"), *[F.count_if(F.col(f"_bm.t{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
-    if not terms or not stats.avg:
+    if not terms:
         return candidates.withColumn("score", F.lit(0.0)).limit(0)
+    tokens = F.concat(*[lexical_tokens(F.col(f)) for f in fields])
+    at = F.map_from_arrays(F.array(*map(F.lit, terms)), F.array(*[F.lit(i) for i in range(len(terms))]))
+    # places of the query's terms among the tokens, worked out once: transform() binds its result to one variable
+    counts = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("dl"), F.transform(F.filter(t, lambda w: w.isin(terms)), lambda w: F.element_at(at, w)).alias("hits")))[0]
+    # the row number keeps the optimizer from copying the tokens into each use of them
+    row, bm = "_bm_row", "_bm"
+    counted = kept(candidates.withColumn(bm, counts).withColumn(row, F.monotonically_increasing_id()).where(f"{row} >= 0").drop(row).select(*[F.when(F.size(f"{bm}.hits") > 0, F.col(f"`{c}`")).alias(c) for c in candidates.columns], bm))
+    stats = counted.agg(F.count("*").alias("n"), F.avg(f"{bm}.dl").alias("avg"), *[F.count_if(F.array_contains(f"{bm}.hits", i)).alias(f"d{i}") for i in range(len(terms))]).first()
+    times = lambda i: F.size(F.filter(f"{bm}.hits", lambda h: h == i)).cast("double")
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"_bm.t{i}").cast("double"), float(stats[f"d{i}"])
+        tf, df = times(i), float(stats[f"d{i}"])
         idf = F.log(1 + (F.lit(float(stats.n)) - df + 0.5) / (F.lit(df) + 0.5))
-        score = score + F.when(tf > 0, idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * F.col("_bm.dl") / stats.avg))).otherwise(F.lit(0.0))
-    return counted.withColumn("score", half_away(score)).where("score > 0").drop("_bm")
+        score = score + F.when(tf > 0, idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * F.col(f"{bm}.dl") / (stats.avg or 1.0)))).otherwise(F.lit(0.0))
+    return counted.where(F.size(f"{bm}.hits") > 0).withColumn("score", half_away(score)).where("score > 0").drop(bm)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -72,22 +78,38 @@ def fuse(lanes: list[tuple[str, DataFrame]], key: str, order: list[Column], limi
     return merged.orderBy("place", key).limit(limit).select(key, "signals", F.col("place.lane").alias("lane"))
 
 
+#: Lines around a hint map; with their line ends they have a fixed number of bytes, which a budget counts.
+HEAD = ["[PROJECT MEMORY MAP — CONTENT NOT LOADED]", "Addresses, not evidence. Open just the nodes the task at hand needs", "Nodes:"]
+TAIL = [
+    'Open nodes by address: `lorewell explain "<path or node ID>" ["<path or node ID>" ...]`',
+    'Search or list a branch: `lorewell query "<path prefix or question>"`',
+    'How two nodes connect: `lorewell path "<path or node ID>" "<path or node ID>"`',
+]
+
+
 def render_hints(nodes: list[dict], edges: list[tuple[str, str, str]]) -> str:
-    """The text of a hint map: aliases and addresses, never content."""
+    """The text of a hint map: aliases, addresses and what kind of node each is, never content."""
+    if not nodes:
+        return ""
     alias = {n["id"]: f"N{i}" for i, n in enumerate(nodes, 1)}
-    lines = ["Context hints (addresses only; open a node before relying on it):"]
-    lines += [f"- {alias[n['id']]} {n.get('path') or n['id']} | {n['label']} | {n['kind']} | {n['match']}" for n in nodes]
+    lines = [*HEAD]
+    for n in nodes:
+        kind = f"{n['kind']}/{n['subkind']}" if n.get("subkind") else n["kind"]
+        state = n.get("state") if n.get("state") != "active" else None
+        about = "; ".join(str(x) for x in (kind, n.get("match"), state, n.get("source")) if x)
+        lines.append(f"- {alias[n['id']]} `{n.get('path') or n['id']}` [{about}] {n['label']}")
     if edges:
-        lines += ["Paths:"] + [f"- {alias[s]} -{r}-> {alias[t]}" for s, t, r in edges]
-    return "\n".join([*lines, "Explain a node by its address to read it."])
+        lines += ["Paths:"] + [f"- {alias[s]} --{r}--> {alias[t]}" for s, t, r in edges if s in alias and t in alias]
+    return "\n".join([*lines, *TAIL])
 
 
-def choose_hints(semantic: list[dict], lexical: list[dict] | DataFrame, opened: set[str], budget: int, edges: Iterable[tuple[str, str, str]] = (), order: Iterable[Column] = ()) -> tuple[list[dict], list[tuple[str, str, str]]]:
+def choose_hints(semantic: list[dict], lexical: list[dict] | DataFrame, opened: set[str], budget: int, edges: Iterable[tuple[str, str, str]] | Callable = (), order: Iterable[Column] = ()) -> tuple[list[dict], list[tuple[str, str, str]]]:
     """At most three nodes of two ranked lanes, within a budget of tokens.
 
     First of each lane, then one of a branch not seen yet (durable nodes before others), then whatever fits. The
     lexical lane has no limit: as a data frame (id, key, label, kind, path, owner; ranked by order) it stays in Spark,
-    and each step takes from it the one row that comes first of all that may be added.
+    and each step takes from it the one row that comes first of all that may be added. edges may be a function of the
+    chosen ids.
     """
     chosen: list[dict] = []
     cost = lambda nodes, links: max(1, (len(render_hints(nodes, links).encode()) + 3) // 4)
@@ -99,6 +121,10 @@ def choose_hints(semantic: list[dict], lexical: list[dict] | DataFrame, opened:
             # the bytes that path or id, label and kind of one more node may have
             room = 4 * budget - len(render_hints([*chosen, {"id": "", "label": "", "kind": "", "match": match}], []).encode())
             path, shown = F.coalesce("path", F.lit("")), [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("label", "kind")]
+            for c, sign in (("subkind", "/"), ("state", "; "), ("source", "; ")):
+                if c in lane.columns:
+                    none = (F.coalesce(F.col(c), F.lit("")) == "") | (F.col(c) == "active" if c == "state" else F.lit(False))
+                    shown.append(F.when(none, F.lit("")).otherwise(F.concat(F.lit(sign), F.col(c))))
             fits = F.octet_length(F.concat(F.when(path == "", F.col("id")).otherwise(path), *shown)) <= room
             may = fits & ~F.col("id").isin(list(taken)) & ~F.coalesce(F.col("key").isin(list(opened)), F.lit(False)) & ~F.substring_index(path, ".", 1).isin(list(met))
             row = lane.where(may & F.col("owner").eqNullSafe("durable") if durable else may).orderBy(*order).first()
@@ -123,7 +149,7 @@ def choose_hints(semantic: list[dict], lexical: list[dict] | DataFrame, opened:
             pass
     links: list[tuple[str, str, str]] = []
     ids = {c["id"] for c in chosen}
-    for e in edges:
+    for e in edges(list(ids)) if callable(edges) and ids else () if callable(edges) else edges:
         if e[0] in ids and e[1] in ids and cost(chosen, [*links, e]) <= budget:
             links.append(e)
     return chosen, links

@@ -35,68 +35,38 @@ def reusable(facts: DataFrame, before: DataFrame, now: DataFrame, key: str, comp
     return facts.join(same, key, "left_semi")
 
 
-def publish(nodes: DataFrame, fresh: DataFrame, edges: DataFrame, fresh_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after a snapshot: (id, label, owner, state) and (source_id, target_id, relation, owner).
-
-    Observed nodes that a durable edge touches stay as durable and missing, other observed ones go, fresh ones are
-    observed and active. Durable edges stay, and win over a fresh edge of the same ends and relation; edges whose
-    end is gone go too.
-    """
-    durable = edges.where("owner = 'durable'")
-    touched = durable.select(F.col("source_id").alias("id")).unionByName(durable.select(F.col("target_id").alias("id"))).distinct()
-    held = nodes.where("owner = 'observed'").join(touched, "id", "left_semi").withColumn("owner", F.lit("durable")).withColumn("state", F.lit("missing"))
-    old = nodes.where("owner = 'durable'").unionByName(held)
-    now = upsert(old, fresh.select(*nodes.columns), ["id"])
-    keys = ["source_id", "target_id", "relation"]
-    links = durable.unionByName(fresh_edges.withColumn("owner", F.lit("observed")).select(*durable.columns).join(durable, keys, "left_anti"))
-    ids = now.select("id")
-    return now, links.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(*durable.columns)
-
-
-def batch_preview(changes: DataFrame, current: DataFrame) -> DataFrame:
-    """changes(key, hash, expected_hash) against current(key, hash): conflict, created, updated or unchanged.
-
-    A null expectation means that the key must not exist; the check is null-safe.
-    """
-    met = changes.join(current.select("key", F.col("hash").alias("_now")), "key", "left")
-    action = F.when(~F.col("expected_hash").eqNullSafe(F.col("_now")), "conflict").when(F.col("_now").isNull(), "created").when(F.col("_now") == F.col("hash"), "unchanged").otherwise("updated")
-    return met.select("key", "expected_hash", F.col("_now").alias("current_hash"), action.alias("action"))
-
-
-def applied(current: DataFrame, changes: DataFrame) -> DataFrame:
-    """current after the changes, all of them or, if any conflicts, none; one aggregate decides."""
-    conflicts = batch_preview(changes, current).where("action = 'conflict'")
-    return upsert(current, changes.select(*current.columns), ["key"]) if conflicts.isEmpty() else current
-
-
 def namespace_counts(keys: DataFrame, key: str, limit: int = 32) -> DataFrame:
     return keys.groupBy(F.substring_index(key, ".", 1).alias("name")).count().orderBy(F.desc("count"), "name").limit(limit)
 
 
-def longest_prefix(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
-    """For each path the longest root that holds it, or none.
-
-    A path's ancestors are few, so they are exploded and met by equality: no join compares every path with every root.
-    """
-    parts = paths.withColumn("_parts", F.split(path, "/"))
-    ancestors = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda i: F.array_join(F.slice("_parts", F.lit(1), i), "/"))
-    above = parts.withColumn("_at", F.explode(ancestors)).drop("_parts")
-    found = above.join(roots.select(F.col(root).alias("_at"), F.col(root)).distinct(), "_at").groupBy(path).agg(F.max_by(root, F.length(root)).alias(root))
-    return paths.join(found, path, "left")
+#: Characters by whose run, at most, a needle of few words is looked up.
+GRAM = 6
 
 
 def mentioned(texts: DataFrame, needles: DataFrame, text: str, needle: str, words: int = 3) -> DataFrame:
-    """Pairs of texts and needles that stand in them literally.
+    """Pairs of texts and needles that stand in them literally. Null and empty ones meet nothing.
 
     A needle's second and following words, if another follows them, are whole words of any text that holds it; so
     candidates come from an equality join on such runs of words, and the literal test follows. Needles of fewer words
-    are tested against every text: meant for short lists of names.
+    are looked up by their first GRAM characters, or all if they have fewer, among the runs of as many characters of
+    the texts. No join compares every text with every needle.
     """
     w, tw = F.split(F.col(needle), " "), F.col("_words")
-    long = F.size(w) > words + 1
+    long, holds = F.size(w) > words + 1, F.contains(F.col(text), F.col(needle))
     keyed = needles.where(long).withColumn("_key", F.concat_ws(" ", F.slice(w, 2, words)))
     starts = F.sequence(F.lit(1), F.greatest(F.size(tw) - words + 1, F.lit(1)))
-    runs = texts.withColumn("_words", F.split(F.col(text), " ")).withColumn("_key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tw, i, words)))))).drop("_words")
-    holds = F.contains(F.col(text), F.col(needle))
-    short = texts.join(needles.where(~long & (F.col(needle) != "")), holds)
-    return runs.join(keyed, "_key").where(holds).drop("_key").unionByName(short)
+    runs = texts.where(F.col(text).isNotNull()).withColumn("_words", F.split(F.col(text), " ")).withColumn("_key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tw, i, words)))))).drop("_words")
+    out = runs.join(keyed, "_key").where(holds).drop("_key")
+    size = F.least(F.length(needle), F.lit(GRAM))
+    short = needles.where(~long & (F.col(needle) != "")).withColumn("_key", F.left(F.col(needle), size))
+    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, F.lit(n))))
+    for (n,) in short.select(F.length("_key")).distinct().collect():  # GRAM at most
+        met = texts.where(F.length(text) >= n).withColumn("_key", F.explode(grams(n))).join(short.where(F.length("_key") == n), "_key")
+        out = out.unionByName(met.where(holds).drop("_key"))
+    return out
+
+
+def mentioned_refs(texts: DataFrame, materials: DataFrame, text: str, key: str, most: int = 64) -> DataFrame:
+    """(key, uri): for each text the materials(uri, path) whose path it holds, the first most by address; more is no use to a model."""
+    found = mentioned(texts.select(key, text), materials.select("uri", "path"), text, "path").select(key, "uri").distinct()
+    return found.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy("uri"))).where(F.col("_place") <= most).drop("_place")

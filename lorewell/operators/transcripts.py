@@ -2,31 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_space
 
 
+# Parts of a message that are text, and types of a record that tell who speaks.
+PARTS = ("text", "input_text", "output_text")
+SPEAKERS = {"user": "user", "user_message": "user", "assistant": "assistant", "assistant_message": "assistant"}
+#: Where in a record a message may lie, as it is looked for a role; for a text from the last to the first.
+PLACES = ("$", "$.payload", "$.payload.message", "$.message")
+
+
+def _is(record: Column, at: str, kind: str) -> Column:
+    """Whether the value at a path is of a JSON kind (STRING, ARRAY, OBJECT), told by its type, not its first character."""
+    made = F.schema_of_variant(F.try_variant_get(F.try_parse_json(record), at, "variant"))
+    return F.coalesce(F.startswith(made, F.lit(kind)), F.lit(False))
+
+
+def _text_at(record: Column, at: str) -> Column:
+    raw = F.get_json_object(record, at)
+    parts = F.from_json(raw, "array<string>")  # a part that is an object stays as its JSON
+
+    def part(p: Column) -> Column:
+        is_object = F.startswith(p, F.lit("{")) & F.try_parse_json(p).isNotNull()
+        kind, text = F.get_json_object(p, "$.type"), F.get_json_object(p, "$.text")
+        shown = F.coalesce(kind, F.lit("")).isin("", *PARTS) & _is(p, "$.text", "STRING")
+        return trim_space(F.when(is_object, F.when(shown, text)).otherwise(p))
+
+    made = F.filter(F.transform(parts, part), lambda p: p.isNotNull() & (p != ""))
+    return F.nullif(F.when(_is(record, at, "STRING"), trim_space(raw)).when(_is(record, at, "ARRAY"), F.array_join(made, "\n")), F.lit(""))
+
+
 def message_text(record: Column) -> Column:
-    """The text of a JSON record in any of its shapes: a string, or parts {type, text} of type text."""
-    out = None
-    for at in ("$", "$.message", "$.payload", "$.payload.message"):
-        for field in ("content", "text", "message"):
-            raw = F.get_json_object(record, f"{at}.{field}")
-            parts = F.from_json(raw, "array<struct<type:string,text:string>>")
-            texts = F.filter(parts, lambda p: p["text"].isNotNull() & (F.coalesce(p["type"], F.lit("text")).isin("text", "input_text", "output_text")))
-            text = F.when(F.startswith(raw, F.lit("[")), F.array_join(F.transform(texts, lambda p: p["text"]), "\n")).when(~F.startswith(raw, F.lit("{")), raw)
-            one = F.nullif(trim_space(text), F.lit(""))
-            out = one if out is None else F.coalesce(out, one)
-    return out
+    """The text of a JSON record in any of its shapes: a string, or parts that are strings or objects of a type of text.
+
+    The innermost place that has one counts: message, then payload.message, payload and the record itself; in each,
+    content before text before message. Each part is trimmed; null without text.
+    """
+    return F.coalesce(*[_text_at(record, f"{at}.{field}") for at in reversed(PLACES) for field in ("content", "text", "message")])
 
 
 def message_role(record: Column) -> Column:
-    return F.coalesce(*[F.get_json_object(record, f"{at}.role") for at in ("$", "$.message", "$.payload", "$.payload.message")])
+    """user or assistant: the first place whose role says so, else the last whose type does; null without."""
+    said = [F.get_json_object(record, f"{at}.role") for at in PLACES]
+    roles = [F.when(r.isin("user", "assistant"), r) for r in said]
+    types = [F.element_at(F.create_map(*[F.lit(x) for kv in SPEAKERS.items() for x in kv]), F.lower(F.get_json_object(record, f"{at}.type"))) for at in reversed(PLACES)]
+    return F.coalesce(*roles, *types)
+
+
+#: The longest line of a transcript, in bytes.
+LINE = 16 << 20
+
+
+def read_transcript(spark: SparkSession, path: str) -> DataFrame:
+    """(line, seq, id, role, text) of a transcript of JSON records, one a line; blank lines are passed over.
+
+    A line that is no JSON object, or longer than LINE, is an error that names its number. Messages without a role or
+    a text are left out and not numbered. One transcript's lines are numbered by one task, in the file's order.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "record"))
+    lines = whole.where(trim_space(F.col("record")) != "").select((F.col("at") + 1).alias("line"), "record")
+    bad = ~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("record")), F.lit("OBJECT")), F.lit(False)) | (F.octet_length("record") > LINE)
+    first = lines.where(bad).agg(F.min("line")).first()[0]
+    if first is not None:
+        raise ValueError(f"line {first} of {path} is no JSON object, or too long")
+    said = lines.select(F.lit(0).alias("transcript"), "line", message_role(F.col("record")).alias("role"), message_text(F.col("record")).alias("text"))
+    return numbered_messages(said, "transcript", "line").select("line", "seq", "id", "role", "text")
 
 
 def numbered_messages(turns: DataFrame, group: str, order: str) -> DataFrame:
@@ -72,22 +119,68 @@ def chunks(messages: DataFrame, group: str, size: int) -> DataFrame:
 
 
 def candidate_groups(candidates: DataFrame, key: str, seq: str, value: str) -> DataFrame:
-    """One row for each key in order of first sight: its values in order, joined by a bar, and their number."""
-    return candidates.groupBy(key).agg(F.min(seq).alias("first_seq"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, value))), lambda x: x[value]), "|").alias("values"))
+    """One row for each key in order of first sight: its values in order, as an array, and their number."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct(seq, value))), lambda x: x[value])
+    return candidates.groupBy(key).agg(F.min(seq).alias("first_seq"), F.count("*").alias("n"), values.alias("values"))
+
+
+class Candidate(NamedTuple):
+    """A memory that a model proposes: its value, what it rests on, links to material, and the candidates it comes from."""
+
+    value: str
+    evidence: tuple[str, ...] = ()
+    links: tuple[tuple[str, str], ...] = ()
+    sources: tuple[str, ...] = ()
+
 
+def same_set(a: Sequence, b: Sequence) -> bool:
+    """Whether two lists have the same values, none of them twice."""
+    return len(a) == len(b) == len(set(a)) == len(set(b)) and set(a) == set(b)
 
-def reduced(groups: DataFrame, key: str, merge: Callable[[str, str], str | None]) -> DataFrame:
-    """Each key's values joined pair by pair, round by round, with merge; a key for which it gives None goes."""
+
+def sound(made: Candidate | None, pair: tuple[Candidate, Candidate]) -> bool:
+    """Whether what a model made of two candidates rests on them alone: evidence and links within theirs, sources just these."""
+    if made is None:
+        return False
+    evidence, links = ({x for c in pair for x in getattr(c, name)} for name in ("evidence", "links"))
+    return bool(made.value.strip()) and set(made.evidence) <= evidence and set(made.links) <= links and same_set(made.sources, ("left", "right"))
+
+
+def reduced(groups: DataFrame, key: str, merge: Callable[[str, str], str | None], values: str = "values") -> DataFrame:
+    """Each key's array of values joined pair by pair, round by round, with merge; a key for which it gives None goes.
+
+    The values of one key are few, those that one round of a model proposed; a key without any gives no row.
+    """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for name, values in zip(pdf[key], pdf["values"], strict=True):
-                level = values.split("|")
+            for name, level in zip(pdf[key], pdf[values], strict=True):
+                level = list(level)
                 while len(level) > 1 and None not in level:
                     level = [merge(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-                if None not in level:
+                if level and None not in level:
                     rows.append((name, level[0]))
             yield pd.DataFrame(rows, columns=[key, "value"])
 
     return groups.mapInPandas(of, f"{key} {groups.schema[key].dataType.simpleString()}, value string")
+
+
+def consolidated(candidates: list[Candidate], merge: Callable[[Candidate, Candidate], Candidate | None]) -> Candidate | None:
+    """A key's candidates as one, pair by pair; None as soon as what merge gives is not sound. Links and evidence once each."""
+    level = list(candidates)
+    while len(level) > 1:
+        made = []
+        for i in range(0, len(level), 2):
+            pair = tuple(level[i : i + 2])
+            if len(pair) == 2:
+                one = merge(*pair)
+                if not sound(one, pair):
+                    return None
+                sources = tuple(dict.fromkeys(s for c in pair for s in c.sources))
+                one = one._replace(evidence=tuple(dict.fromkeys(one.evidence)), links=tuple(dict.fromkeys(one.links)), sources=sources)
+            else:
+                one = pair[0]
+            made.append(one)
+        level = made
+    return level[0] if level else None

@@ -45,7 +45,7 @@ DECLARATIONS = {
         (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", "function", "()"),
         (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Za-z_][A-Za-z0-9_]*)\b", "type", ""),
     ],
-    # an approximation: no Go parser is at hand, so bodies are not read for calls
+    # an approximation by lines: no Go parser is at hand
     "text/x-go": [(r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*(?:\[[^\]]*\])?\(", "function", "()"), (r"^type\s+([A-Za-z_][A-Za-z0-9_]*)\b", "type", "")],
 }
 
@@ -64,13 +64,19 @@ def media_type(path: Column) -> Column:
     return out.otherwise(F.lit("application/octet-stream"))
 
 
+def _prune(folders: list[str]) -> bool:
+    """Folders in order, without those that are left out: a walk does not enter them."""
+    folders[:] = sorted(f for f in folders if f not in IGNORED)
+    return True
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """One row for each file under root that is not ignored: id, uri, media_type, size, modified_at, content_hash.
 
     The driver lists names only (Spark's file sources leave out names with a leading point); tasks read the bytes,
     so root must be readable where they run. Links are not followed.
     """
-    names = [os.path.relpath(os.path.join(d, f), root).replace(os.sep, "/") for d, sub, files in os.walk(root) if sub.sort() is None for f in files if not os.path.islink(os.path.join(d, f))]
+    names = [os.path.relpath(os.path.join(d, f), root).replace(os.sep, "/") for d, sub, files in os.walk(root) if _prune(sub) for f in files if not os.path.islink(os.path.join(d, f))]
     paths = spark.createDataFrame([(n,) for n in sorted(names)], "path string").where(~ignored(F.col("path")))
 
     def read(batches):
@@ -98,6 +104,54 @@ def scoped(uri: Column, resource: Column) -> Column:
     return F.concat(F.lit("resource:"), resource, F.lit("/"), uri)
 
 
+def relative_path(uri: Column) -> Column:
+    """The path in an address, with or without a resource; null if it would lead out of its root or is no file's."""
+    path = F.regexp_extract(uri, r"^(?:resource:[^/]+/)?file:(.*)$", 1)
+    out = F.exists(F.split(path, "/"), lambda p: p == "..") | F.startswith(path, F.lit("/")) | (path == "")
+    return F.when(~out, path)
+
+
+def full_path(root: str, uri: str) -> str:
+    """Where the file of an address lies below root; an address that leads out of it, by links too, is an error."""
+    m = re.fullmatch(r"(?:resource:[^/]+/)?file:(.+)", uri)
+    top = os.path.realpath(root)
+    full = os.path.realpath(os.path.join(top, m[1])) if m else ""
+    if not m or m[1].startswith("/") or os.path.commonpath([top, full]) != top or full == top:
+        raise ValueError(f"{uri!r} leads out of its root")
+    return full
+
+
+def read_texts(paths: DataFrame, root: str) -> DataFrame:
+    """(material_id, text) of paths(material_id, path, processor) below root, read by tasks.
+
+    Plain text is cut at 256 KiB, other texts come whole; a file that holds NUL or is gone has none.
+    """
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for i, path, kind in zip(pdf["material_id"], pdf["path"], pdf["processor"], strict=True):
+                try:
+                    with open(os.path.join(root, path), "rb") as file:
+                        raw = file.read((256 << 10) if kind == "text/v1" else -1)
+                except OSError:
+                    continue
+                if kind == "text/v1":
+                    rows.append((i, text_content(raw)))
+                elif b"\0" not in raw:
+                    rows.append((i, raw.decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["material_id", "text"])
+
+    return paths.mapInPandas(read, "material_id string, text string")
+
+
+def occurrence(rows: DataFrame, same: list[str], order: str) -> DataFrame:
+    """rows with the number of each among those that are the same, in order."""
+    return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*same).orderBy(order)))
+
+
 def lines(files: DataFrame, text: str = "text") -> DataFrame:
     """files(material_id, …) with line, from 1, and its content in place of the text."""
     return files.select("material_id", F.posexplode(F.split(text, "\n")).alias("_at", "content")).withColumn("line", F.col("_at") + 1).drop("_at")
@@ -140,11 +194,36 @@ def declarations(files: DataFrame) -> DataFrame:
             name = F.regexp_extract("content", pattern, 1)
             found = found.when((F.col("media_type") == media) & F.col("content").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.concat(name, F.lit(suffix)).alias("label")))
     rows = files.select("material_id", "media_type", F.posexplode(F.split("text", "\n")).alias("_at", "content")).withColumn("d", found).where("d IS NOT NULL")
-    count = F.row_number().over(Window.partitionBy("material_id", "d.kind", "d.label").orderBy("_at"))
-    out = rows.select("material_id", (F.col("_at") + 1).alias("line"), "d.kind", "d.label", count.alias("occurrence"))
+    receiver = F.regexp_extract("content", RECEIVER, 1)
+    label = F.when((F.col("media_type") == "text/x-go") & (receiver != ""), F.concat(receiver, F.lit("."), F.col("d.label"))).otherwise(F.col("d.label"))
+    out = occurrence(rows.select("material_id", (F.col("_at") + 1).alias("line"), "d.kind", label.alias("label")), ["material_id", "kind", "label"], "line")
     return out.withColumn("ref", identity("entity", F.col("material_id"), F.col("kind"), F.col("label"), F.col("occurrence")))
 
 
+# The receiver of a Go method, and words of Go before a parenthesis that call nothing of a project.
+RECEIVER = r"^func\s+\((?:\s*[A-Za-z_][A-Za-z0-9_]*\s+)?\s*\*?\s*([A-Za-z_][A-Za-z0-9_]*)(?:\[[^\]]*\])?\s*\)"
+NO_CALLS = "func if for switch select return go defer range case map chan struct interface var const type import package".split()
+
+
+def go_calls(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(material_id, source_id, target): each name that a function of found in a Go file calls, once for each function.
+
+    By lines, as no parser of Go is at hand: what stands in strings of one line and in comments does not count, a
+    name before a parenthesis does, in a chain of names the last. Functions begin where they are declared at the
+    start of a line and end with a line that begins with a brace.
+    """
+    starts = found.where("kind = 'function'").select("material_id", F.col("line").alias("start"), F.col("ref").alias("source_id"))
+    by_line = Window.partitionBy("material_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines(files).join(starts.withColumnRenamed("start", "line"), ["material_id", "line"], "left")
+    ends = F.startswith("content", F.lit("}"))
+    rows = rows.withColumn("now", F.last(F.when(F.col("source_id").isNotNull(), F.col("source_id")).when(ends, F.lit("")), ignorenulls=True).over(by_line)).where("now <> ''")
+    plain = F.regexp_replace(F.regexp_replace("content", r'"(?:[^"\\\\]|\\\\.)*"|`[^`]*`', '""'), r"//.*$", "")
+    own = F.when(F.col("source_id").isNotNull(), F.regexp_replace(plain, r"^func\s+(?:\([^)]*\)\s*)?[A-Za-z_][A-Za-z0-9_]*(?:\[[^\]]*\])?\([^)]*\)", "")).otherwise(plain)
+    names = F.regexp_extract_all(own, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1))
+    called = rows.select("material_id", F.col("now").alias("source_id"), F.explode(names).alias("name")).where(~F.col("name").isin(NO_CALLS))
+    return called.select("material_id", "source_id", F.concat("name", F.lit("()")).alias("target")).distinct()
+
+
 def text_content(raw: bytes | None) -> str:
     """The text of a file's first 256 KiB: none if it holds NUL, runs of invalid bytes as one replacement each."""
     part = (raw or b"")[: 256 << 10]
