@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from hashlib import sha256
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +16,147 @@ JOB = "id string, key string, phase string, seq long"
 
 
 def drain(spark: SparkSession, source: str, state: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Read what is new in source (Parquet files of JOB), deduplicate by id, work it, and append the outcome to state.
+    """Read what is new in source (Parquet files of JOB), leave out ids that were done, work the rest, append the outcome.
 
     Progress lives in checkpoint, so a second call reads only new files; each batch is written under its own number,
-    so a batch that is run again after a failure replaces what it wrote. Rows without id or key go to quarantine.
+    so a batch that is run again after a failure replaces what it wrote: work may run twice for a batch and must
+    give the same then. Rows without id or key go to quarantine.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         good = F.col("id").isNotNull() & F.col("key").isNotNull()
-        done = work(batch.where(good).dropDuplicates(["id"])) if work else batch.where(good).dropDuplicates(["id"])
-        done.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        new = batch.where(good).dropDuplicates(["id"])
+        fs, path = _files(spark, state)
+        if fs.exists(path):
+            done = spark.read.option("basePath", state).parquet(state)
+            new = new.join(done.where(F.col("batch") != number).select("id"), "id", "left_anti") if "batch" in done.columns else new
+        (work(new) if work else new).write.mode("overwrite").parquet(f"{state}/batch={number}")
         batch.where(~good).write.mode("overwrite").parquet(f"{state}-quarantine/batch={number}")
 
     query = spark.readStream.schema(JOB).parquet(source).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def _files(spark: SparkSession, place: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+#: A job of the queue; what must not be empty in it.
+QUEUED = "id string, agent string, session_id string, project_id string, cwd string, transcript string, reason string, queued_at long, phase string, detail string, updated_at long"
+REQUIRED = ("id", "agent", "session_id", "project_id", "cwd", "transcript")
+
+
+def job_id(content: str, session: str, project: str) -> str:
+    """What a job is known by: the content of its transcript, its session and project."""
+    return sha256("\0".join((project, session, sha256(content.encode()).hexdigest())).encode()).hexdigest()
+
+
+def enqueue(spark: SparkSession, folder: str, transcript: str, agent: str, session: str, project: str, cwd: str, reason: str, at: int) -> str:
+    """A job with a copy of its transcript; the same content again is the same job and changes nothing. Its id."""
+    content = spark.read.text(transcript, wholetext=True).first()[0]
+    name = job_id(content, session, project)
+    write_once(spark, f"{folder}/transcripts/{name}.jsonl", content)
+    job = {"id": name, "agent": agent, "session_id": session, "project_id": project, "cwd": cwd, "transcript": f"{folder}/transcripts/{name}.jsonl", "reason": reason, "queued_at": at, "phase": "queued", "detail": "", "updated_at": at}
+    write_once(spark, f"{folder}/jobs/{name}.json", json.dumps(job, ensure_ascii=False))
+    return name
+
+
+def write_once(spark: SparkSession, place: str, text: str) -> bool:
+    """A small file whole or not at all: written beside its place, then renamed; False if it is there already."""
+    fs, path = _files(spark, place)
+    if fs.exists(path):
+        return False
+    beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}.{uuid4().hex}.tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode("utf-8", "surrogatepass")))
+    out.close()
+    fs.mkdirs(path.getParent())
+    return fs.rename(beside, path)
+
+
+def jobs_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The jobs of a queue's folder, and the files (file) that are none: no JSON, or a required field without text."""
+    fs, path = _files(spark, f"{folder}/jobs")
+    if not fs.exists(path):
+        return spark.createDataFrame([], QUEUED), spark.createDataFrame([], "file string")
+    read = spark.read.text(f"{folder}/jobs", wholetext=True, pathGlobFilter="*.json").select(F.input_file_name().alias("file"), F.from_json("value", QUEUED).alias("job"))
+    whole = F.col("job").isNotNull()
+    for c in REQUIRED:
+        whole = whole & (F.coalesce(F.trim(F.col("job")[c]), F.lit("")) != "")
+    return read.where(whole).select("job.*"), read.where(~whole).select("file")
+
+
+def marked(spark: SparkSession, folder: str, job: str, phase: str, detail: str, at: int) -> None:
+    """Note a phase of a job: completed and failed are kept beside the queue, one file for each change."""
+    write_once(spark, f"{folder}/marks/{job}-{at:012d}-{phase}.json", json.dumps({"id": job, "phase": phase, "detail": detail, "updated_at": at}, ensure_ascii=False))
+
+
+def runs(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
+    """The jobs with their last phase, pending and completed ones together, newest first; 20 if limit is not within 1 and 100."""
+    jobs, _ = jobs_of(spark, folder)
+    fs, path = _files(spark, f"{folder}/marks")
+    marks = spark.read.schema("id string, phase string, detail string, updated_at long").json(f"{folder}/marks") if fs.exists(path) else spark.createDataFrame([], "id string, phase string, detail string, updated_at long")
+    return newest_runs(*with_phases(jobs, marks), limit)
+
+
+def with_phases(jobs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pending and completed jobs: each with the phase, detail and time of its last mark, if it has any."""
+    last = marks.groupBy("id").agg(F.max_by(F.struct("phase", "detail", "updated_at"), F.struct("updated_at", "phase")).alias("m"))
+    met = jobs.join(last, "id", "left").select(*[F.coalesce(F.col(f"m.{c}"), F.col(c)).alias(c) if c in ("phase", "detail", "updated_at") else F.col(c) for c in jobs.columns])
+    done = F.coalesce(F.col("phase"), F.lit("")) == "completed"
+    return met.where(~done), met.where(done)
+
+
+def newest_runs(pending: DataFrame, completed: DataFrame, limit: int = 0, newest: str = "updated_at") -> DataFrame:
+    kind = lambda df, name: df.withColumn("kind", F.lit(name))
+    return kind(pending, "pending").unionByName(kind(completed, "completed")).orderBy(F.desc(newest), F.desc("id")).limit(limit if 0 < limit <= 100 else 20)
+
+
+#: Seconds after which a worker's lock counts as left behind.
+STALE = 3600
+
+
+def process(spark: SparkSession, folder: str, work: Callable[[dict], str], at: int) -> dict[str, int]:
+    """Work every pending job in the order of queueing, under one lock; the counts of completed, failed and quarantined.
+
+    A job that fails stays with its error and is tried again by the next call; a file that is no job is moved to
+    quarantine. A lock that another worker holds ends the call with nothing done, unless it is older than STALE.
+    """
+    fs, lock = _files(spark, f"{folder}/lock")
+    if fs.exists(lock):
+        if at - fs.getFileStatus(lock).getModificationTime() // 1000 < STALE:
+            return {"completed": 0, "failed": 0, "quarantined": 0}
+        fs.delete(lock, False)
+    fs.create(lock, False).close()
+    try:
+        jobs, bad = jobs_of(spark, folder)
+        counts = {"completed": 0, "failed": 0, "quarantined": 0}
+        for row in bad.collect():
+            _, there = _files(spark, row.file)
+            fs.mkdirs(_files(spark, f"{folder}/quarantine")[1])
+            fs.rename(there, _files(spark, f"{folder}/quarantine/{there.getName()}")[1])
+            counts["quarantined"] += 1
+        for job in jobs.join(runs_done(spark, folder), "id", "left_anti").orderBy("queued_at", "id").collect():
+            try:
+                detail = work(job.asDict())
+                marked(spark, folder, job.id, "completed", detail or "", at)
+                counts["completed"] += 1
+            except Exception as error:  # noqa: BLE001  whatever work raises is the job's failure
+                marked(spark, folder, job.id, "failed", str(error), at)
+                counts["failed"] += 1
+        return counts
+    finally:
+        fs.delete(lock, False)
+
+
+def runs_done(spark: SparkSession, folder: str) -> DataFrame:
+    fs, path = _files(spark, f"{folder}/marks")
+    if not fs.exists(path):
+        return spark.createDataFrame([], "id string")
+    return spark.read.schema("id string, phase string").json(f"{folder}/marks").where("phase = 'completed'").select("id").distinct()
+
+
 def current(spark: SparkSession, state: str) -> DataFrame:
     """The last phase of each key over all batches."""
     return latest(spark.read.parquet(state).select("key", "id", "phase", "seq"), ["key"], F.struct("seq", "id"))
