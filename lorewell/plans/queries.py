@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import folder
 from ..functions import text as tx
 from ..operators import graph, ranking, records, transcripts
 from ..sources import files
@@ -60,8 +60,11 @@ def bm25_documents(spark, d):
 
 @query(f"SELECT token, count(*) AS n_docs, sum(n)::BIGINT AS n FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY ALL) GROUP BY token")
 def lexical_token_counts(spark, d):
-    tokens = table(spark, d, "documents").select("doc_id", F.explode(tx.lexical_tokens(F.col("text"))).alias("token"))
-    return tokens.groupBy("doc_id", "token").count().groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("count").alias("n"))
+    """A token is marked where it stands first in its document, so tokens are shuffled once, summed before."""
+    k = F.array(F.array_sort(tx.lexical_tokens(F.col("text"))))
+    marked = F.transform(k, lambda k: F.transform(k, lambda t, i: F.struct(t.alias("token"), F.when((i > 0) & (F.get(k, i - 1) == t), 0).otherwise(1).alias("first"))))[0]
+    tokens = table(spark, d, "documents").select(F.explode(marked).alias("x")).select("x.*")
+    return tokens.groupBy("token").agg(F.sum("first").alias("n_docs"), F.count("*").alias("n"))
 
 
 COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -74,41 +77,11 @@ def semantic_topk(spark, d):
     return ranking.semantic_top(vectors, ask.embedding, 8, "vec_id", "embedding").select("vec_id", "score")
 
 
-def _nodes(spark, d):
-    """Documents as nodes with the hash of their text; every third has a stored vector, every ninth a stale one."""
-    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), tx.content_hash(F.col("source"), F.col("text")).alias("content_hash"))
-    stored = nodes.where("node_id % 3 = 0").select("node_id", F.when(F.col("node_id") % 9 == 0, "stale").otherwise(F.col("content_hash")).alias("stored_hash"))
-    return nodes, stored
-
-
-NODES = "n AS (SELECT doc_id AS node_id, sha256(coalesce(source, '') || chr(10) || coalesce(text, '')) AS content_hash FROM documents), s AS (SELECT node_id, CASE WHEN node_id % 9 = 0 THEN 'stale' ELSE content_hash END AS stored_hash FROM n WHERE node_id % 3 = 0)"
-
-
-@query(f"WITH {NODES} SELECT count(*) AS total, count(*) FILTER (WHERE stored_hash = content_hash) AS current, count(*) FILTER (WHERE stored_hash IS DISTINCT FROM content_hash) AS pending FROM n LEFT JOIN s USING (node_id)")
-def embedding_status(spark, d):
-    nodes, stored = _nodes(spark, d)
-    same = F.col("stored_hash").eqNullSafe(F.col("content_hash"))
-    return nodes.join(stored, "node_id", "left").agg(F.count("*").alias("total"), F.count_if(same).alias("current"), F.count_if(~same).alias("pending"))
-
-
-@query(f"WITH {NODES} SELECT node_id, content_hash FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.node_id = n.node_id AND stored_hash = content_hash)")
-def embedding_pending(spark, d):
-    nodes, stored = _nodes(spark, d)
-    return nodes.join(stored.withColumnRenamed("stored_hash", "content_hash"), ["node_id", "content_hash"], "left_anti").select("node_id", "content_hash")
-
-
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1')")
 def text_seeds(spark, d):
     return ranking.text_seeds(table(spark, d, "part"), ["p_name", "p_brand", "p_type"], "Brand#1").select("p_partkey", "p_name")
 
 
-@query("SELECT n_nationkey, n_name, CASE WHEN n_name = 'NATION_1' THEN 1 ELSE 4 END AS tier FROM nation WHERE contains(lower(n_name), lower('NATION_1')) ORDER BY tier, n_name, n_nationkey LIMIT 1")
-def tiered_find(spark, d):
-    name = F.col("n_name")
-    tier = F.when(name == "NATION_1", 1).when(F.contains(F.lower(name), F.lit("nation_1")), 4)
-    return table(spark, d, "nation").withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", "n_name", "n_nationkey").limit(1).select("n_nationkey", "n_name", "tier")
-
-
 def _lanes(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     vectors = table(spark, d, "embeddings")
@@ -130,19 +103,6 @@ def hybrid_query(spark, d):
     return ranking.fuse([("text", text), ("semantic", near), ("bm25", words)], "id", [-F.col("score")], 20)
 
 
-@query()
-def hint_map_top3(spark, d):
-    _, near, words = _lanes(spark, d)
-    about = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
-    name, path = F.col("id").cast("string"), F.concat_ws(".", F.coalesce("source", F.lit("None")), "id")
-    hints = lambda df: df.select(name.alias("id"), path.alias("key"), F.concat(F.lit("document "), name).alias("label"), F.lit("material").alias("kind"), path.alias("path"), F.lit("observed").alias("owner"), "score", F.col("id").alias("n"))
-    order = [F.desc("score"), F.asc("n")]
-    lexical = hints(words).persist()
-    nodes, _ = ranking.choose_hints([r.asDict() for r in hints(near.join(about, "id")).orderBy(*order).collect()], lexical, set(), 512, order=order)
-    lexical.unpersist()
-    return spark.createDataFrame([(i, n["id"], n["path"], n["match"]) for i, n in enumerate(nodes)], "place int, id string, path string, match string")
-
-
 def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
     """Regions, nations and customers as nodes with dotted paths; each is linked to what it lies in, regions to a world
     that is no node itself."""
@@ -258,24 +218,6 @@ def resolve_claims(spark, d):
     return graph.resolve_claims(nodes, claims)
 
 
-PUBLISH = """WITH old AS (SELECT 'c:' || c_custkey AS id FROM customer), durable AS (SELECT DISTINCT 'o:' || o_orderkey AS s, 'c:' || o_custkey AS t FROM orders WHERE o_orderkey % 4 = 0),
-fresh AS (SELECT id FROM old WHERE CAST(substr(id, 3) AS BIGINT) % 3 <> 0)
-SELECT id, 'observed' AS owner, 'active' AS state FROM fresh UNION ALL SELECT 'o:' || o_orderkey, 'durable', 'active' FROM orders
-UNION ALL SELECT id, 'durable', 'missing' FROM old WHERE id IN (SELECT t FROM durable) AND id NOT IN (SELECT id FROM fresh)"""
-
-
-@query(PUBLISH)
-def publish_snapshot(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    person, order = F.concat(F.lit("c:"), F.col("c_custkey").cast("string")), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string"))
-    node = lambda df, key, label, owner: df.select(key.alias("id"), F.col(label).alias("label"), F.lit(owner).alias("owner"), F.lit("active").alias("state"))
-    nodes = node(c, person, "c_name", "observed").unionByName(node(o, order, "o_orderpriority", "durable"))
-    links = o.where("o_orderkey % 4 = 0").select(order.alias("source_id"), F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("target_id"), F.lit("applies_to").alias("relation"), F.lit("durable").alias("owner")).distinct()
-    fresh = node(c.where("c_custkey % 3 <> 0"), person, "c_name", "observed")
-    now, _ = records.publish(nodes, fresh, links, links.limit(0).drop("owner"))
-    return now.select("id", "owner", "state")
-
-
 def _log(spark, d):
     e = table(spark, d, "events")
     return e.select(F.concat(F.lit("user."), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), tx.memory_hash(F.lit("note"), F.col("event_type"), F.lit("")).alias("hash"), F.col("event_type").alias("value"))
@@ -295,76 +237,12 @@ def memory_current(spark, d):
 
 
 
-@query(f"WITH {LOG}, c AS (SELECT key, arg_max(hash, seq) AS h FROM g WHERE seq % 2 = 0 GROUP BY key), f AS (SELECT key, arg_min(hash, seq) AS e, arg_max(hash, seq) AS n FROM g GROUP BY key) SELECT f.key, e AS expected_hash, h AS current_hash, CASE WHEN e IS DISTINCT FROM h THEN 'conflict' WHEN h = n THEN 'unchanged' ELSE 'updated' END AS action FROM f LEFT JOIN c USING (key)")
-def batch_conflicts(spark, d):
-    log = _log(spark, d)
-    now = records.latest(log.where("seq % 2 = 0"), ["key"], F.col("seq")).select("key", "hash")
-    changes = log.groupBy("key").agg(F.min_by("hash", "seq").alias("expected_hash"), F.max_by("hash", "seq").alias("hash"))
-    return records.batch_preview(changes, now)
-
-
-@query("SELECT user_id, event_type AS need, min(event_id) AS id, max(event_id) AS updated, CASE WHEN arg_max(value, event_id) > 50 THEN 'resolved' ELSE 'open' END AS status FROM events GROUP BY user_id, event_type")
-def context_requests(spark, d):
-    """Requests, one for each session and need: asked again they open again, answered they are resolved."""
-    return table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("need")).agg(
-        F.min("event_id").alias("id"), F.max("event_id").alias("updated"), F.when(F.max_by("value", "event_id") > 50, "resolved").otherwise("open").alias("status")
-    )
-
-
-@query("SELECT user_id, event_type, min(event_id) AS first_id FROM events WHERE event_type IN ('error', 'click') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY ALL")
-def needs_reviews(spark, d):
-    """Reviews of memories that exist, the first of each kind only: a duplicate neither adds nor opens again."""
-    e = table(spark, d, "events")
-    asked = e.where(F.col("event_type").isin("error", "click")).join(e.where("event_type = 'signup'").select("user_id"), "user_id", "left_semi")
-    return asked.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
-
-
-@query("SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) ORDER BY doc_id DESC LIMIT 100")
-def decisions_feedback(spark, d):
-    """Decisions with their feedback where there is one, newest first."""
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").orderBy(F.desc("doc_id")).limit(100).select("doc_id", "quality", "toxic")
-
-
 @query("SELECT split_part(c_mktsegment || '.' || c_name, '.', 1) AS name, count(*) AS count FROM customer GROUP BY 1 ORDER BY count DESC, name LIMIT 32")
 def catalog_namespaces(spark, d):
     keys = table(spark, d, "customer").select(F.concat_ws(".", "c_mktsegment", "c_name").alias("key"))
     return records.namespace_counts(keys, "key")
 
 
-@query(
-    """WITH r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[a-z]+)/', 1) FROM pages WHERE page_id % 2 = 0)
-SELECT url, max_by(root, len(root)) AS root FROM (SELECT DISTINCT url FROM pages) p LEFT JOIN (SELECT * FROM r WHERE root <> '') r ON url = root OR starts_with(url, root || '/') GROUP BY url"""
-)
-def project_longest_prefix(spark, d):
-    p = table(spark, d, "pages")
-    roots = p.select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("root")).unionByName(p.where("page_id % 2 = 0").select(F.regexp_extract("url", "^(https?://[^/]+/[a-z]+)/", 1).alias("root")))
-    return records.longest_prefix(p.select("url").distinct(), roots.where("root <> ''"), "url", "root").select("url", "root")
-
-
-@query(
-    """SELECT c_custkey, count(o_orderkey) AS views, coalesce(string_agg(o_orderkey || '(' || n || ')', ' ' ORDER BY o_orderkey), '') AS document FROM customer
-LEFT JOIN (SELECT o_custkey, o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) ON o_custkey = c_custkey GROUP BY c_custkey"""
-)
-def workspace_document(spark, d):
-    """The nested document resource, view, session as one text for each resource."""
-    o, li = table(spark, d, "orders").select("o_custkey", "o_orderkey"), table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    views = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.coalesce("n", F.lit(0)).alias("n")))).alias("v"))
-    doc = F.array_join(F.transform("v", lambda x: F.concat(x["o_orderkey"].cast("string"), F.lit("("), x["n"].cast("string"), F.lit(")"))), " ")
-    c = table(spark, d, "customer").select("c_custkey")
-    return c.join(views, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce(F.size("v"), F.lit(0)).cast("long").alias("views"), F.coalesce(doc, F.lit("")).alias("document"))
-
-
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) GROUP BY l_orderkey")
-def unmapped_sessions(spark, d):
-    known = table(spark, d, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").join(known, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-
-
-@query("SELECT DISTINCT user_id, event_type AS key FROM events WHERE event_type <> 'signup'")
-def session_opened_keys(spark, d):
-    return table(spark, d, "events").where("event_type <> 'signup'").select("user_id", F.col("event_type").alias("key")).distinct()
-
-
 @query("SELECT user_id, event_type, sha256(coalesce(props, '')) AS value_hash, max(event_id) AS delivered FROM events GROUP BY ALL")
 def delivery_upsert(spark, d):
     """Deliveries by session, key and hash, the last of each, in two rounds of an upsert."""
@@ -383,17 +261,6 @@ def transcript_messages(spark, d):
     return transcripts.numbered_messages(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "id")
 
 
-@query()
-def transcript_chunks(spark, d):
-    return transcripts.chunks(transcripts.numbered_messages(table(spark, d, "conversations"), "conv_id", "turn"), "conv_id", 2000)
-
-
-@query(f"WITH {TURNS} SELECT left(text, 1) AS key, min(conv_id * 1000 + seq) AS first_seq, count(*) AS n, string_agg(role, '|' ORDER BY conv_id * 1000 + seq, role) AS values FROM m GROUP BY 1")
-def candidate_groups(spark, d):
-    m = transcripts.numbered_messages(table(spark, d, "conversations"), "conv_id", "turn")
-    return transcripts.candidate_groups(m.select(F.left("text", F.lit(1)).alias("key"), (F.col("conv_id") * 1000 + F.col("seq")).alias("seq"), "role"), "key", "seq", "role")
-
-
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
 def mentioned_refs(spark, d):
     needles = table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"))
@@ -424,19 +291,10 @@ def _jobs(spark, d):
     return table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("phase"), F.col("event_id").alias("seq"))
 
 
-@query("SELECT 's' || user_id AS key, event_id::VARCHAR AS id, event_type AS phase, CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'pending' END AS kind FROM events ORDER BY event_id DESC LIMIT 100")
-def reconcile_runs(spark, d):
-    """Pending and completed runs together, newest first."""
-    j = _jobs(spark, d)
-    part = lambda cond, kind: j.where(cond).withColumn("kind", F.lit(kind))
-    return part(F.col("phase") != "purchase", "pending").unionByName(part(F.col("phase") == "purchase", "completed")).orderBy(F.desc("seq")).limit(100).select("key", "id", "phase", "kind")
-
-
 @query("SELECT 's' || user_id AS key, max(event_id)::VARCHAR AS id, arg_max(event_type, event_id) AS phase, max(event_id) AS seq FROM events GROUP BY user_id")
 def session_stream(spark, d):
     """The jobs drained through a stream from files; the last phase of each session."""
-    top = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorewell-")).rstrip("/")
-    at = f"{top}/session-stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    at = f"{folder(spark)}/session-stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     _jobs(spark, d).write.parquet(f"{at}/in")
     jobs.drain(spark, f"{at}/in", f"{at}/state", f"{at}/progress")
     return jobs.current(spark, f"{at}/state").select("key", "id", "phase", "seq")
