@@ -101,7 +101,7 @@ def update(state: State, observed: DataFrame, texts: DataFrame) -> tuple[dict[st
 def update_folder(state: State, root: str, resource: str | None = None) -> tuple[dict[str, int], dict[str, DataFrame]]:
     """update() from the files below root, which tasks must be able to read; addresses are scoped by the resource, if any."""
     spark = state["nodes"].sparkSession
-    found = files.discover(spark, root)
+    found = kept(files.discover(spark, root))  # what was seen, whatever becomes of the files
     paths = F.regexp_replace("uri", "^file:", "")
     if resource:
         uri = files.scoped(F.col("uri"), F.lit(resource))

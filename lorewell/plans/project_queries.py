@@ -11,7 +11,7 @@ from ..operators import embeddings, graph, memory, prepare, project, ranking, re
 from ..sources import files
 from ..state import new_state
 from ..streaming import jobs
-from .queries import ASK, COS, TURNS, _bm25_sql, _round, query, table
+from .queries import ASK, COS, QUERIES, TURNS, _bm25_sql, _round, query, table  # noqa: F401  QUERIES: with those added here
 
 AT = 1_000
 

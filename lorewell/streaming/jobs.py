@@ -130,13 +130,14 @@ def process(spark: SparkSession, folder: str, work: Callable[[dict], str], at: i
         fs.delete(lock, False)
     fs.create(lock, False).close()
     try:
-        jobs, bad = jobs_of(spark, folder)
+        _, bad = jobs_of(spark, folder)
         counts = {"completed": 0, "failed": 0, "quarantined": 0}
         for row in bad.collect():
             _, there = _files(spark, row.file)
             fs.mkdirs(_files(spark, f"{folder}/quarantine")[1])
             fs.rename(there, _files(spark, f"{folder}/quarantine/{there.getName()}")[1])
             counts["quarantined"] += 1
+        jobs, _ = jobs_of(spark, folder)  # the files that are left
         for job in jobs.join(runs_done(spark, folder), "id", "left_anti").orderBy("queued_at", "id").collect():
             try:
                 detail = work(job.asDict())

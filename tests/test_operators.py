@@ -87,7 +87,7 @@ def test_hints_come_from_the_whole_lexical_lane(spark):
 
 
 def test_hint_map_finds_another_source_behind_a_hot_one(spark, tmp_path):
-    from lorewell.plans.queries import QUERIES
+    from lorewell.plans.project_queries import QUERIES
 
     docs = [(i, "reading signed sessions thing", "hot", "en") for i in range(30)] + [(30, "thing " + "other words " * 30, "cold", "en")]
     spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -118,7 +118,7 @@ def test_declarations_in_several_languages(spark):
         ("t", "text/typescript", "export const f = async (x) => 1\nclass C {}"),
     ]
     rows = files.declarations(spark.createDataFrame(data, "material_id string, media_type string, text string")).collect()
-    assert {(r.material_id, r.label) for r in rows} == {("j", "A"), ("j", "run()"), ("k", "B"), ("k", "process()"), ("r", "S"), ("r", "go()"), ("g", "Help()"), ("g", "T"), ("t", "f()"), ("t", "C")}
+    assert {(r.material_id, r.label) for r in rows} == {("j", "A"), ("j", "run()"), ("k", "B"), ("k", "process()"), ("r", "S"), ("r", "go()"), ("g", "S.Help()"), ("g", "T"), ("t", "f()"), ("t", "C")}
 
 
 def test_discovery_leaves_out_ignored_and_sensitive_files(spark, tmp_path):
