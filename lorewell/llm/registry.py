@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_network, html_text, jaccard, mixing, pipeline, quality_rules, sentencepieces, sharding, substrings, token_counts, topk
+from . import byte_network, html_text, jaccard, mixing, pipeline, quality_rules, sentencepieces, sharding, substrings, token_counts, topk, winnowing
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_sentencepiece": sentencepieces.op8_sentencepiece,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_html_extraction": html_text.op10_html_extraction,
+        "op13_fingerprints": winnowing.op13_fingerprints,
         "pipeline": pipeline.run,
     }
 
