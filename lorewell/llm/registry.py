@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_network, html_text, jaccard, mixing, pipeline, quality_rules, sentencepieces, sharding, substrings, token_counts, topk, winnowing
+from . import byte_network, html_text, jaccard, mixing, phrases, pipeline, quality_rules, sentencepieces, sharding, spelling, substrings, token_counts, topk, winnowing
 
 
 def queries() -> dict:
@@ -17,10 +17,12 @@ def queries() -> dict:
         "op8_sentencepiece": sentencepieces.op8_sentencepiece,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_html_extraction": html_text.op10_html_extraction,
+        "op11_phrase_collocations": phrases.op11_phrase_collocations,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_fingerprints": winnowing.op13_fingerprints,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_sources": mixing.OP3_SQL, "op7_exact_topk": topk.OP7_SQL}
+    return {"op3_mixing_sources": mixing.OP3_SQL, "op7_exact_topk": topk.OP7_SQL, "op11_phrase_collocations": phrases.OP11_SQL, "op12_spelling_variants": spelling.OP12_SQL}

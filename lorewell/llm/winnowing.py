@@ -85,7 +85,7 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, str, str, WindowSpec]:
     begins = keep(ids.repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id().alias(at)).agg(F.min("doc_id").alias(begin)))
     bounds = begins.agg(F.sort_array(F.collect_list(begin)).alias(firsts))
     size = F.size(firsts)
-    halves = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(MOST_BLOCKS.bit_length()))])
 
     def further(low: Column, step: Column) -> Column:
         return F.when((low + step < size) & (F.get(F.col(firsts), low + step) <= F.col("doc_id")), low + step).otherwise(low)
