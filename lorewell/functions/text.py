@@ -62,8 +62,22 @@ def topic_path(owner: Column, kind: Column, ref: Column, uri: Column, locator: C
     return F.when(owner == "durable", own).otherwise(at)
 
 
-def estimated_tokens(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.octet_length(text) / 4)).cast("long")
+def byte_prefix(text: Column, size: Column | int) -> Column:
+    """The longest start of a text that has no more than so many bytes as UTF-8; whole characters only."""
+    size = F.lit(size) if isinstance(size, int) else size
+    raw = F.encode(text, "utf-8")
+    # A character starts at each byte that is no continuation (10xxxxxx): the cut goes before one of them.
+    inside = lambda back: (size - back >= 0) & F.hex(F.substr(raw, size + 1 - back, F.lit(1))).rlike("^[89AB]")
+    cut = F.when(~inside(0), size).when(~inside(1), size - 1).when(~inside(2), size - 2).otherwise(size - 3)
+    return F.when(F.octet_length(text) <= size, text).when(size <= 0, F.lit("")).otherwise(F.decode(F.substr(raw, F.lit(1), cut), "utf-8"))
+
+
+def shown_time(seconds: Column) -> Column:
+    """Seconds since 1970 as RFC 3339 text in UTC, to the second; null stays null."""
+    days = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    rest = F.pmod(seconds, F.lit(86400))
+    part = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    return F.concat(F.date_format(days, "yyyy-MM-dd"), F.lit("T"), part(F.floor(rest / 3600)), F.lit(":"), part(F.floor(rest / 60) % 60), F.lit(":"), part(rest % 60), F.lit("Z"))
 
 
 def preview(text: Column, size: int = 320) -> Column:

@@ -19,8 +19,11 @@ Model = Callable[[list[str]], list[list[float]]]
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(node_id, text, content_hash) of active intents and knowledge, their content empty or not."""
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("label", "content")]
+    """(node_id, text, content_hash) of active intents and knowledge, their content empty or not.
+
+    The text has label, kind, finer kind, address, place and content, each on a line; columns that nodes lack are empty.
+    """
+    parts = [F.coalesce(F.col(c), F.lit("")) if c in nodes.columns else F.lit("") for c in ("label", "kind", "subkind", "material_uri", "locator", "content")]
     kept = nodes.where((F.col("state") == "active") & F.col("kind").isin("intent", "knowledge"))
     return kept.select(F.col("id").alias("node_id"), F.concat_ws("\n", *parts).alias("text"), content_hash(*parts).alias("content_hash"))
 

@@ -64,26 +64,31 @@ def query(state: State, text: str, limit: int = 20, name: str = "default", model
     nodes, edges = graph.context(state["nodes"]), state["edges"]
     near = embeddings.matches(nodes.sparkSession, state["embeddings"], nodes, text, name, model, limit)
     words = bm25(candidates(nodes), FIELDS, text)
-    # what may be visible is bounded, so each lane gives no more rows than that, in its own order
+    # Each seed that is taken is visible itself, so no more seeds than visible nodes are ever taken: the heads of the
+    # lanes in order decide what is visible. Then every lane tells, whole, which of these nodes it matches.
     room = 4 * limit
+    texts = graph.seeded(nodes, text)
+    heads = [r.id for r in graph.in_order(texts).select("id").limit(room).collect()]
+    likest = [(r.node_id, r.score) for r in near.orderBy(F.desc("score"), "node_id").collect()]
+    heads += [i for i, _ in likest]
+    if len(set(heads)) < room:
+        heads += [r.id for r in words.orderBy(F.desc("score"), "key").select("id").limit(room).collect()]
+    around = graph.neighborhood(edges, heads, 2, room)
+    here = F.col("id").isin(around) if around else F.lit(False)
     lanes = [
-        ("text", [(r.id, None) for r in graph.in_order(graph.seeded(nodes, text)).select("id").limit(room).collect()]),
-        ("semantic", [(r.node_id, r.score) for r in near.orderBy(F.desc("score"), "node_id").collect()]),
-        ("bm25", [(r.id, r.score) for r in words.orderBy(F.desc("score"), "key").select("id", "score").limit(room).collect()]),
+        ("text", [(r.id, None) for r in graph.in_order(texts.where(here)).select("id").collect()]),
+        ("semantic", [(i, score) for i, score in likest if i in set(around)]),
+        ("bm25", [(r.id, r.score) for r in words.where(here).orderBy(F.desc("score"), "key").select("id", "score").collect()]),
     ]
-    ids = [i for _, lane in lanes for i, _ in lane]
-    around = graph.neighborhood(edges, ids, 2, room)
-    # a text match beyond the rows read may have other signals; it cannot be visible, or it would have been read
     signals: dict[str, dict[str, float | None]] = {}
     for kind, lane in lanes:
         for i, score in lane:
             signals.setdefault(i, {}).setdefault(kind, score)
-    here = set(around)
     return {
-        "seeds": [i for i, _ in lanes[1][1]],
-        "matches": [(i, s) for i, s in signals.items() if i in here],
+        "seeds": [i for i, _ in likest],
+        "matches": list(signals.items()),
         "ids": around,
-        "nodes": nodes.where(F.col("id").isin(around)) if around else nodes.limit(0),
+        "nodes": nodes.where(here),
         "edges": graph.induced(edges, around) if around else edges.limit(0),
         "paths": [r.branch for r in graph.branches(nodes.select("path"), text, limit).collect()],
     }

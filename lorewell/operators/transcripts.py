@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import kept
 from ..functions.text import trim_space
 
 
@@ -19,24 +20,29 @@ SPEAKERS = {"user": "user", "user_message": "user", "assistant": "assistant", "a
 PLACES = ("$", "$.payload", "$.payload.message", "$.message")
 
 
-def _is(record: Column, at: str, kind: str) -> Column:
-    """Whether the value at a path is of a JSON kind (STRING, ARRAY, OBJECT), told by its type, not its first character."""
-    made = F.schema_of_variant(F.try_variant_get(F.try_parse_json(record), at, "variant"))
-    return F.coalesce(F.startswith(made, F.lit(kind)), F.lit(False))
+def _is(value: Column, kind: str) -> Column:
+    """Whether a variant is of a JSON kind (STRING, ARRAY, OBJECT), told by its type, not by how it looks."""
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit(kind)), F.lit(False))
 
 
-def _text_at(record: Column, at: str) -> Column:
-    raw = F.get_json_object(record, at)
-    parts = F.from_json(raw, "array<string>")  # a part that is an object stays as its JSON
+def _at(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "variant")
+
+
+def _string(value: Column) -> Column:
+    """A variant's string; null if it is anything else."""
+    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
+
+
+def _text_at(record: Column, path: str) -> Column:
+    value = _at(record, path)
 
     def part(p: Column) -> Column:
-        is_object = F.startswith(p, F.lit("{")) & F.try_parse_json(p).isNotNull()
-        kind, text = F.get_json_object(p, "$.type"), F.get_json_object(p, "$.text")
-        shown = F.coalesce(kind, F.lit("")).isin("", *PARTS) & _is(p, "$.text", "STRING")
-        return trim_space(F.when(is_object, F.when(shown, text)).otherwise(p))
+        shown = F.coalesce(_string(_at(p, "$.type")), F.lit("")).isin("", *PARTS)
+        return trim_space(F.when(_is(p, "OBJECT"), F.when(shown, _string(_at(p, "$.text")))).otherwise(_string(p)))
 
-    made = F.filter(F.transform(parts, part), lambda p: p.isNotNull() & (p != ""))
-    return F.nullif(F.when(_is(record, at, "STRING"), trim_space(raw)).when(_is(record, at, "ARRAY"), F.array_join(made, "\n")), F.lit(""))
+    made = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), part), lambda p: p.isNotNull() & (p != ""))
+    return F.nullif(F.when(_is(value, "STRING"), trim_space(_string(value))).when(_is(value, "ARRAY"), F.array_join(made, "\n")), F.lit(""))
 
 
 def message_text(record: Column) -> Column:
@@ -45,14 +51,16 @@ def message_text(record: Column) -> Column:
     The innermost place that has one counts: message, then payload.message, payload and the record itself; in each,
     content before text before message. Each part is trimmed; null without text.
     """
-    return F.coalesce(*[_text_at(record, f"{at}.{field}") for at in reversed(PLACES) for field in ("content", "text", "message")])
+    parsed = F.try_parse_json(record)
+    return F.coalesce(*[F.when(_is(_at(parsed, at), "OBJECT"), _text_at(parsed, f"{at}.{field}")) for at in reversed(PLACES) for field in ("content", "text", "message")])
 
 
 def message_role(record: Column) -> Column:
     """user or assistant: the first place whose role says so, else the last whose type does; null without."""
-    said = [F.get_json_object(record, f"{at}.role") for at in PLACES]
+    parsed = F.try_parse_json(record)
+    said = [_string(_at(parsed, f"{at}.role")) for at in PLACES]
     roles = [F.when(r.isin("user", "assistant"), r) for r in said]
-    types = [F.element_at(F.create_map(*[F.lit(x) for kv in SPEAKERS.items() for x in kv]), F.lower(F.get_json_object(record, f"{at}.type"))) for at in reversed(PLACES)]
+    types = [F.element_at(F.create_map(*[F.lit(x) for kv in SPEAKERS.items() for x in kv]), F.lower(_string(_at(parsed, f"{at}.type")))) for at in reversed(PLACES)]
     return F.coalesce(*roles, *types)
 
 
@@ -60,27 +68,46 @@ def message_role(record: Column) -> Column:
 LINE = 16 << 20
 
 
+def numbered(rows: DataFrame, part: str, place: str, counted: dict[str, Column]) -> DataFrame:
+    """rows with a running number for each name of counted, over the rows for which its condition holds, in the order of (part, place).
+
+    Counts of parts are summed first, one row for each part, and rows are numbered within their part, so no task ever
+    sees more of the rows than one part of them. Where a condition does not hold the number is null.
+    """
+    per_part = kept(rows.groupBy(part).agg(*[F.count_if(c).alias(f"_{name}") for name, c in counted.items()]))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    per_part = per_part.select(part, *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in counted])
+    here = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumns({f"_at_{name}": F.when(c, F.count_if(c).over(here)) for name, c in counted.items()}).join(per_part, part)
+    return met.select(*rows.columns, *[(F.col(f"_{name}") + F.col(f"_at_{name}")).cast("long").alias(name) for name in counted])
+
+
 def read_transcript(spark: SparkSession, path: str) -> DataFrame:
     """(line, seq, id, role, text) of a transcript of JSON records, one a line; blank lines are passed over.
 
-    A line that is no JSON object, or longer than LINE, is an error that names its number. Messages without a role or
-    a text are left out and not numbered. One transcript's lines are numbered by one task, in the file's order.
+    A line that is no JSON object, or longer than LINE, is an error that names the first one's number. Messages without
+    a role or a text are left out and not numbered. A file is read in splits by as many tasks; lines and messages are
+    numbered from the counts of the splits before, whose first bytes order them.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "record"))
-    lines = whole.where(trim_space(F.col("record")) != "").select((F.col("at") + 1).alias("line"), "record")
-    bad = ~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("record")), F.lit("OBJECT")), F.lit(False)) | (F.octet_length("record") > LINE)
-    first = lines.where(bad).agg(F.min("line")).first()[0]
-    if first is not None:
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    record = F.regexp_replace("value", "\r$", "")
+    filled = trim_space(F.col("record")) != ""
+    fine = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("record")), F.lit("OBJECT")), F.lit(False)) & (F.octet_length("record") <= LINE)
+    said = raw.select("split", "place", record.alias("record")).select("split", "place", (filled & ~fine).alias("bad"), F.when(filled & fine, F.struct(message_role(F.col("record")).alias("role"), message_text(F.col("record")).alias("text"))).alias("m"))
+    said = kept(said)
+    lined = numbered(said, "split", "place", {"line": F.lit(True), "seq": F.col("m.role").isNotNull() & F.col("m.text").isNotNull()})
+    if not said.where("bad").isEmpty():
+        first = lined.where("bad").agg(F.min("line")).first()[0]
         raise ValueError(f"line {first} of {path} is no JSON object, or too long")
-    said = lines.select(F.lit(0).alias("transcript"), "line", message_role(F.col("record")).alias("role"), message_text(F.col("record")).alias("text"))
-    return numbered_messages(said, "transcript", "line").select("line", "seq", "id", "role", "text")
+    mark = F.when(F.col("m.role") == "user", "U").otherwise("A")
+    return lined.where("seq IS NOT NULL").select("line", "seq", F.concat(mark, F.lpad(F.col("seq").cast("string"), F.greatest(F.lit(6), F.length(F.col("seq").cast("string"))), F.lit("0"))).alias("id"), "m.role", "m.text")
 
 
 def numbered_messages(turns: DataFrame, group: str, order: str) -> DataFrame:
     """User and assistant turns with text, numbered in one sequence for each transcript: U000001, A000002, …"""
-    kept = turns.where(F.col("role").isin("user", "assistant") & (trim_space(F.col("text")) != ""))
+    said = turns.where(F.col("role").isin("user", "assistant") & (trim_space(F.col("text")) != ""))
     seq = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return kept.withColumn("seq", seq).withColumn("id", F.concat(F.when(F.col("role") == "user", "U").otherwise("A"), F.lpad(F.col("seq").cast("string"), 6, "0")))
+    return said.withColumn("seq", seq).withColumn("id", F.concat(F.when(F.col("role") == "user", "U").otherwise("A"), F.lpad(F.col("seq").cast("string"), 6, "0")))
 
 
 def packed(messages: list[tuple[str, str]], size: int) -> list[str]:

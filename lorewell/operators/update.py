@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import kept
-from ..functions.text import identity, material_id
+from ..functions.text import identity, material_id, node_id
 from ..sources import files
 from ..state import State
 from .graph import EDGE, resolve_claims
-from .records import reusable, snapshot_diff, upsert
+from .records import snapshot_diff, upsert
 
 #: What of a material tells that it must be read again.
 COMPARED = ["content_hash", "media_type", "processor"]
@@ -29,33 +29,50 @@ def processor(media_type: Column) -> Column:
     return out.when(F.startswith(media_type, F.lit("text/")) | media_type.isin(*AS_TEXT), F.lit("text/v1")).otherwise("catalog/v1")
 
 
-NODE = "material_id string, id string, label string, subkind string, ref string, material_uri string, locator string, content string"
+#: What an observed node has beside the columns that publishing sets.
+NODE = ["material_id", "id", "label", "kind", "subkind", "ref", "material_uri", "locator", "content"]
 
 
 def facts(materials: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and claims of materials(id, uri, media_type, processor) with texts(material_id, text), each read by its processor.
 
     Every material is a node itself, named after its file; Markdown adds sections, sources add declarations and, in
-    Go, calls. A material without a text, or with one that cannot be read, is that node only.
+    Go, calls: these are knowledge. A material without a text, or with one that cannot be read, is that node only. A
+    section and another of the same label and occurrence in a deeper or higher level share an id: the last one stays.
     """
     met = materials.select(F.col("id").alias("material_id"), "uri", "media_type", "processor").join(texts, "material_id", "left")
-    whole = F.when(F.col("processor") == "text/v1", F.coalesce("text", F.lit(""))).otherwise(F.lit(""))
-    root = met.select("material_id", F.col("material_id").alias("id"), F.substring_index("uri", "/", -1).alias("label"), F.lit("").alias("subkind"), F.col("uri").alias("ref"), F.col("uri").alias("material_uri"), F.lit("").alias("locator"), whole.alias("content"))
-    root = root.withColumn("label", F.regexp_replace("label", "^file:", ""))
-    address = materials.select(F.col("id").alias("material_id"), F.col("uri").alias("material_uri"))
-    line = lambda c: F.concat(F.lit("line:"), F.col(c).cast("string"))
-    # sections: of one level and label in a file, the number of the occurrence tells them apart
-    marked = files.sections(met.where("processor = 'markdown/v1' AND text IS NOT NULL").select("material_id", "text"))
-    marked = files.occurrence(marked, ["material_id", "level", "label"], "line").withColumn("id", identity("section", F.col("material_id"), F.col("level"), F.col("label"), F.col("occurrence")))
-    parents = marked.select("material_id", F.col("line").alias("parent_line"), F.col("id").alias("parent"))
-    sections = marked.join(address, "material_id").select("material_id", "id", "label", F.lit("section").alias("subkind"), F.col("id").alias("ref"), "material_uri", line("line").alias("locator"), "content")
-    inside = marked.join(parents, ["material_id", "parent_line"], "left").select("material_id", F.coalesce("parent", "material_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("").alias("target"), F.lit("contains").alias("relation"))
+    own = node_id(F.lit("material"), F.col("uri"))
+    marked = kept(files.markdown(met.where("processor = 'markdown/v1' AND text IS NOT NULL").select("material_id", "text")))
+    before = marked.where("line = 0").select("material_id", F.col("content").alias("before"))
+    whole = F.when(F.col("processor") == "text/v1", F.coalesce("text", F.lit(""))).otherwise(F.coalesce("before", F.lit("")))
+    label = F.regexp_replace(F.regexp_replace(F.substring_index("uri", "/", -1), "^resource:.*?/file:", ""), "^file:", "")
+    root = met.join(before, "material_id", "left").select("material_id", own.alias("id"), label.alias("label"), F.lit("material").alias("kind"), F.lit("").alias("subkind"), F.col("uri").alias("ref"), F.col("uri").alias("material_uri"), F.lit("").alias("locator"), whole.alias("content"))
+    address = materials.select(F.col("id").alias("material_id"), F.col("uri").alias("material_uri"), own.alias("root"))
+    claim = lambda rows, source, target, name, relation: rows.select("material_id", source.alias("source_id"), target.alias("target_id"), name.alias("target"), F.lit(relation).alias("relation"))
+
+    def known(rows: DataFrame, subkind, text) -> DataFrame:
+        """Knowledge of rows(material_id, material_uri, ref, label, line): its last line counts where it stands twice."""
+        last = F.max_by(F.struct("label", subkind.alias("subkind"), F.concat(F.lit("line:"), F.col("line").cast("string")).alias("locator"), text.alias("content")), "line")
+        made = rows.groupBy("material_id", "material_uri", "ref").agg(last.alias("x"))
+        return made.select("material_id", node_id(F.lit("knowledge"), F.col("ref")).alias("id"), "x.label", F.lit("knowledge").alias("kind"), "x.subkind", "ref", "material_uri", "x.locator", "x.content")
+
+    heads = files.occurrence(marked.where("line > 0"), ["material_id", "level", "label"], "line")
+    heads = heads.withColumn("ref", identity("entity", F.col("material_id"), "section", F.col("label"), F.col("occurrence"))).join(address, "material_id")
+    parents = heads.select("material_id", F.col("line").alias("parent_line"), node_id(F.lit("knowledge"), F.col("ref")).alias("parent"))
+    inside = claim(heads.join(parents, ["material_id", "parent_line"], "left"), F.coalesce("parent", "root"), node_id(F.lit("knowledge"), F.col("ref")), F.lit(""), "contains")
     code = met.where("processor IN ('source-declarations/v1', 'go/v1') AND text IS NOT NULL").select("material_id", "media_type", "text")
-    found = files.declarations(code)
-    named = found.join(address, "material_id").select("material_id", F.col("ref").alias("id"), "label", F.col("kind").alias("subkind"), "ref", "material_uri", line("line").alias("locator"), F.lit("").alias("content"))
-    holds = found.select("material_id", F.col("material_id").alias("source_id"), F.col("ref").alias("target_id"), F.lit("").alias("target"), F.lit("contains").alias("relation"))
-    calls = files.go_calls(code.where("media_type = 'text/x-go'"), found).select("material_id", "source_id", F.lit("").alias("target_id"), "target", F.lit("calls").alias("relation"))
-    return root.unionByName(sections).unionByName(named), inside.unionByName(holds).unionByName(calls)
+    found = kept(files.declarations(code)).join(address, "material_id")
+    self = node_id(F.lit("knowledge"), F.col("ref"))
+    holds = claim(found, F.col("root"), self, F.lit(""), "contains")
+    calls = claim(found.select("*", F.explode("calls").alias("call")), self, F.lit(""), F.col("call"), "calls")
+    nodes = root.unionByName(known(heads, F.lit("section"), F.col("content"))).unionByName(known(found, F.col("kind"), F.lit("")))
+    return nodes, inside.unionByName(holds).unionByName(calls).distinct()
+
+
+def warnings(materials: DataFrame, texts: DataFrame) -> DataFrame:
+    """(uri, reason) of the materials, as facts() takes them, that should have been read and could not be."""
+    met = materials.where("processor <> 'catalog/v1'").select(F.col("id").alias("material_id"), "uri", "media_type").join(texts, "material_id", "left")
+    return files.unreadable(met).join(met.select("material_id", "uri"), "material_id").select("uri", "reason")
 
 
 def publish(state: State, materials: DataFrame, nodes: DataFrame, claims: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
@@ -69,7 +86,7 @@ def publish(state: State, materials: DataFrame, nodes: DataFrame, claims: DataFr
     touched = durable.select(F.col("source_id").alias("id")).unionByName(durable.select(F.col("target_id").alias("id"))).distinct()
     blank = {"owner": "durable", "state": "missing", "provenance": "durable-link", "material_id": "", "locator": "", "content": ""}
     held = state["nodes"].where("owner = 'observed'").join(touched, "id", "left_semi").withColumns({c: F.lit(v) for c, v in blank.items()})
-    fresh = nodes.select("id", "label", F.lit("material").alias("kind"), "subkind", F.coalesce(F.nullif("ref", F.lit("")), "id").alias("ref"), F.lit("observed").alias("owner"), F.lit("active").alias("state"), F.col("material_uri").alias("provenance"), "material_id", "material_uri", "locator", "content")
+    fresh = nodes.select("id", "label", "kind", "subkind", F.coalesce(F.nullif("ref", F.lit("")), "id").alias("ref"), F.lit("observed").alias("owner"), F.lit("active").alias("state"), F.col("material_uri").alias("provenance"), "material_id", "material_uri", "locator", "content")
     now = upsert(state["nodes"].where("owner = 'durable'").unionByName(held.select(*state["nodes"].columns)), fresh, ["id"])
     new = edges.select(*EDGE).distinct().join(durable, EDGE, "left_anti").select(*EDGE, F.lit("observed").alias("owner"), F.lit("update").alias("provenance"))
     ids = now.select("id")
@@ -81,21 +98,48 @@ def update(state: State, observed: DataFrame, texts: DataFrame) -> tuple[dict[st
     """The counts of added, modified, unchanged and removed materials, and the tables after an update.
 
     observed has the materials that are there now (as files.discover gives them), texts(material_id, text) the texts
-    of those that changed at least. Facts of unchanged ones are kept, others are read; all claims are resolved anew,
-    as a new label may make an old one ambiguous.
+    of those that changed at least. Facts of unchanged ones are kept, others are read; claims are resolved anew where
+    what changed can have changed their end.
     """
     now = observed.withColumn("processor", processor(F.col("media_type"))).select(*state["materials"].columns)
     diff = kept(snapshot_diff(state["materials"], now, "id", COMPARED))
     counts = {s: 0 for s in ("added", "modified", "unchanged", "removed")} | {r.status: r["count"] for r in diff.groupBy("status").count().collect()}
     changed = now.join(diff.where("status IN ('added', 'modified')"), "id", "left_semi")
     nodes, claims = map(kept, facts(changed, texts))
-    before = [df.withColumnRenamed("id", "material_id") for df in (state["materials"], now)]
-    same = lambda df: reusable(df, *before, "material_id", COMPARED)
-    old = same(state["nodes"].where("owner = 'observed'")).select("material_id", "id", "label", "subkind", "ref", "material_uri", "locator", "content")
-    all_nodes = old.unionByName(nodes)
-    all_claims = same(state["claims"]).select(*state["claims"].columns).unionByName(claims.select(*state["claims"].columns))
-    edges = resolve_claims(all_nodes.select("id", "label"), all_claims)
-    return counts, publish(state, now, all_nodes, all_claims, edges)
+    claims = claims.select(*state["claims"].columns)
+    same = diff.where("status = 'unchanged'").select(F.col("id").alias("material_id"))
+    observed_nodes = state["nodes"].where("owner = 'observed'").select(*NODE)
+    all_nodes = observed_nodes.join(same, "material_id", "left_semi").unionByName(nodes.select(*NODE))
+    gone = lambda df: df.join(same, "material_id", "left_anti")
+    old_claims = state["claims"].join(same, "material_id", "left_semi").select(*claims.columns)
+    edges = resolved_again(state["edges"], all_nodes, gone(observed_nodes).unionByName(nodes.select(*NODE)), old_claims, gone(state["claims"]), claims)
+    return counts, publish(state, now, all_nodes, old_claims.unionByName(claims), edges)
+
+
+def resolved_again(edges: DataFrame, nodes: DataFrame, touched: DataFrame, old: DataFrame, lost: DataFrame, new: DataFrame) -> DataFrame:
+    """The edges of claims old and new, as resolve_claims() gives them for all nodes, worked out for what changed only.
+
+    edges are those of claims old and lost; touched are the nodes that came or went. A source is done again if it
+    lost or got a claim, or if one of its claims names a touched label, what follows the last point of one, or a
+    touched id: all its claims are then resolved, among the nodes that bear one of their names. The other sources keep
+    their observed edges.
+    """
+    name, tail = F.col("label"), F.when(F.contains("label", F.lit(".")), F.substring_index("label", ".", -1))
+    names = touched.select(F.explode(F.array_compact(F.array(name, tail))).alias("target")).distinct()
+    ids = touched.select("id").distinct()
+    hit = old.join(names, "target", "left_semi").select("source_id")
+    for end in ("source_id", "target_id"):
+        hit = hit.unionByName(old.join(ids.withColumnRenamed("id", end), end, "left_semi").select("source_id"))
+    sources = kept(hit.unionByName(lost.select("source_id")).unionByName(new.select("source_id")).distinct())
+    again = kept(old.unionByName(new).join(sources, "source_id", "left_semi"))
+    wanted = again.select("target").where("target <> ''").distinct()
+    ends = again.select(F.explode(F.array("source_id", "target_id")).alias("id")).where("id <> ''").distinct()
+    bare = nodes.select("id", "label", tail.alias("tail"))
+    bearers = bare.join(wanted.withColumnRenamed("target", "label"), "label", "left_semi").select("id", "label")
+    bearers = bearers.unionByName(bare.join(wanted.withColumnRenamed("target", "tail"), "tail", "left_semi").select("id", "label"))
+    bearers = bearers.unionByName(bare.join(ends, "id", "left_semi").select("id", "label")).distinct()
+    still = edges.where("owner = 'observed'").join(sources, "source_id", "left_anti").select(*EDGE)
+    return still.unionByName(resolve_claims(bearers, again)).distinct()
 
 
 def update_folder(state: State, root: str, resource: str | None = None) -> tuple[dict[str, int], dict[str, DataFrame]]:

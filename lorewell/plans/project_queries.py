@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import kept
+from ..checkpoints import folder, kept
 from ..functions import text as tx
-from ..operators import embeddings, graph, memory, prepare, project, ranking, records, transcripts, update
+from ..operators import embeddings, graph, memory, postings, prepare, project, ranking, records, transcripts, update
 from ..sources import files
 from ..state import new_state
 from ..streaming import jobs
@@ -32,7 +32,7 @@ def _wanted(spark, d) -> tuple[DataFrame, DataFrame]:
     return wanted, stored
 
 
-NODES = """n AS (SELECT doc_id::VARCHAR AS node_id, doc_id AS i, sha256(coalesce(source, '') || chr(10) || coalesce(text, '')) AS content_hash FROM documents),
+NODES = """n AS (SELECT doc_id::VARCHAR AS node_id, doc_id AS i, sha256(coalesce(source, '') || chr(10) || 'knowledge' || repeat(chr(10), 4) || coalesce(text, '')) AS content_hash FROM documents),
 s AS (SELECT node_id, CASE WHEN i % 9 = 0 THEN 'stale' ELSE content_hash END AS stored_hash FROM n WHERE i % 3 = 0 AND i % 15 <> 0)"""
 
 
@@ -48,7 +48,7 @@ def embedding_pending(spark, d):
     return embeddings.pending(stored, wanted, "stub").select("node_id", "content_hash")
 
 
-@query(f"WITH {NODES}, o AS (SELECT node_id, CASE WHEN i % 9 = 0 THEN 'stale' ELSE content_hash END AS h, CASE WHEN i % 15 = 0 THEN 'old' ELSE 'stub' END AS m, i FROM n WHERE i % 3 = 0) SELECT n.node_id, n.content_hash, 'stub' AS model, CASE WHEN o.h = n.content_hash AND o.m = 'stub' THEN 1.0::DOUBLE ELSE (length(d.text) + length(coalesce(d.source, '')) + 1)::DOUBLE END AS first FROM n JOIN documents d ON d.doc_id = n.i LEFT JOIN o ON o.node_id = n.node_id WHERE trim(coalesce(d.text, '') || coalesce(d.source, '')) <> ''")
+@query(f"WITH {NODES}, o AS (SELECT node_id, CASE WHEN i % 9 = 0 THEN 'stale' ELSE content_hash END AS h, CASE WHEN i % 15 = 0 THEN 'old' ELSE 'stub' END AS m, i FROM n WHERE i % 3 = 0) SELECT n.node_id, n.content_hash, 'stub' AS model, CASE WHEN o.h = n.content_hash AND o.m = 'stub' THEN 1.0::DOUBLE ELSE (length(coalesce(d.text, '')) + length(coalesce(d.source, '')) + 14)::DOUBLE END AS first FROM n JOIN documents d ON d.doc_id = n.i LEFT JOIN o ON o.node_id = n.node_id")
 def embedding_backfill(spark, d):
     """All that is pending gets its vector from a model, here the length of the text."""
     wanted, stored = _wanted(spark, d)
@@ -317,12 +317,19 @@ def link_saved(spark, d):
     return state["edges"].select("source_id", "target_id", "relation", "owner")
 
 
-@query(f"WITH {WORLD}, m AS (SELECT id, label, kind FROM nodes WHERE contains(lower(id || ' ' || path || ' ' || label || ' ' || kind || ' ' || uri || ' ' || locator || ' ' || content), 'all about nation_7')) SELECT id, 'text' AS signal FROM m UNION ALL SELECT id, 'bm25' FROM m")
+@query(
+    """WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT n_nationkey AS k, 'intent:geo.' || n_nationkey AS id, coalesce(c.n, 0) + 1 AS n FROM nation LEFT JOIN c ON c.k = n_nationkey),
+o AS (SELECT id, row_number() OVER w AS place, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM s WINDOW w AS (ORDER BY k <> 7, length(k::VARCHAR), id))
+SELECT place, id, 'bm25' AS signal FROM o WHERE taken < 400 UNION ALL SELECT 1, 'intent:geo.7', 'text'"""
+)
 def query_context(spark, d):
-    """One call for a question: matches with their signals, of which those count that stand in the neighborhood."""
+    """One call for a question: all its matches in order, each with its signals, as far as the neighborhood reaches.
+
+    The nation asked for comes first, then those whose words match, each with its customers, until 400 nodes are visible.
+    """
     found = prepare.query(_world(spark, d), "all about NATION_7", 100)
-    rows = [(i, k) for i, s in found["matches"] for k in s if i == "intent:geo.7"]
-    return spark.createDataFrame(rows, "id string, signal string")
+    rows = [(place, i, k) for place, (i, s) in enumerate(found["matches"], 1) for k in s]
+    return spark.createDataFrame(rows, "place long, id string, signal string")
 
 
 @query("SELECT 'retrieve' AS action, 1 AS place, 'intent:geo.7' AS id, 'bm25' AS match")
@@ -393,7 +400,7 @@ def _files(spark, d, mark: str, keep: str):
     c = table(spark, d, "customer").where(keep)
     n = F.col("c_custkey").cast("string")
     text = F.concat(F.lit("package p\n\nfunc run"), n, F.lit("() {\n\thelp"), F.col("c_nationkey").cast("string"), F.lit("()\n\thelp"), F.col("c_nationkey").cast("string"), F.lit("() // other()\n}\n"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("// "), F.lit(mark))).otherwise(""))
-    lib = table(spark, d, "nation").select(F.concat(F.lit("file:lib"), F.col("n_nationkey").cast("string"), F.lit(".go")).alias("uri"), F.concat(F.lit("func (s *Lib) help"), F.col("n_nationkey").cast("string"), F.lit("() {\n}\n")).alias("text"))
+    lib = table(spark, d, "nation").select(F.concat(F.lit("file:lib"), F.col("n_nationkey").cast("string"), F.lit(".go")).alias("uri"), F.concat(F.lit("package p\n\nfunc (s *Lib) help"), F.col("n_nationkey").cast("string"), F.lit("() {\n}\n")).alias("text"))
     all_ = c.select(F.concat(F.lit("file:c"), n, F.lit(".go")).alias("uri"), text.alias("text")).unionByName(lib)
     ids = all_.withColumn("id", tx.material_id(F.col("uri")))
     observed = ids.select("id", "uri", files.media_type(F.col("uri")).alias("media_type"), F.sha2("text", 256).alias("content_hash"), F.length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("modified_at"))
@@ -420,6 +427,79 @@ def update_call_edges(spark, d):
     return changes["edges"].where("relation = 'calls'").join(label("source"), "source_id").join(label("target"), "target_id").select("source", "target")
 
 
+@query(
+    """WITH f AS (SELECT CASE WHEN c_custkey % 3 <> 0 THEN 1 ELSE 0 END AS here FROM customer)
+SELECT 'material' AS kind, '' AS subkind, (SELECT sum(here) FROM f) + (SELECT count(*) FROM nation) AS n, 0 AS wanted UNION ALL SELECT 'knowledge', 'function', (SELECT sum(here) FROM f) + (SELECT count(*) FROM nation), (SELECT sum(here) FROM f) + (SELECT count(*) FROM nation)"""
+)
+def update_kinds(spark, d):
+    """Kinds of nodes after an update, and how many of them are to have a vector: files are material, what stands in them is knowledge."""
+    nodes = _updated(spark, d)[1]["nodes"]
+    wanted = embeddings.candidates(nodes).select(F.col("node_id").alias("id"), F.lit(1).alias("wanted"))
+    return nodes.join(wanted, "id", "left").groupBy("kind", "subkind").agg(F.count("*").alias("n"), F.count("wanted").alias("wanted"))
+
+
+@query(
+    """SELECT 'c' || c_custkey AS material_id, 'function' AS kind, CASE WHEN c_custkey % 2 = 0 THEN 'Box.' ELSE '' END || 'run' || c_custkey || '()' AS label, 8 AS line,
+CASE c_custkey % 3 WHEN 0 THEN 'Get()|f' || c_nationkey || '()|inner()|len()' WHEN 1 THEN 'Get()|after()|g' || c_nationkey || '()|inner()|len()' ELSE 'Get()|g' || c_nationkey || '()|inner()|len()' END AS calls FROM customer
+UNION ALL SELECT 'c' || c_custkey, 'type', t, CASE t WHEN 'A' THEN 3 ELSE 4 END, '' FROM customer, (SELECT unnest(['A', 'Box']) AS t)
+UNION ALL SELECT 'c' || c_custkey, 'function', 'one()', CASE c_custkey % 3 WHEN 0 THEN 16 ELSE 17 END, 'two()' FROM customer"""
+)
+def go_facts(spark, d):
+    """Customers as Go files with raw strings, comments, grouped types, methods, type arguments, conversions and literals of functions."""
+    n, k = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    receiver = F.when(F.col("c_custkey") % 2 == 0, "(b *Box[T]) ").otherwise("")
+    call = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("f"), k, F.lit("[int](x)"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("/* gone()\n*/ g"), k, F.lit("(x); after(1)"))).otherwise(F.concat(F.lit("pkg.g"), k, F.lit("[int, string](\n\tx)")))
+    text = F.concat(
+        F.lit("package p\n\ntype ( A int; B_ = struct{ f func(int) }\n\tBox[T any] struct { T }\n)\n\nvar raw = `\nfunc hidden() { nope() }`; func "), receiver, F.lit("run"), n,
+        F.lit("(f func(a int) int) (x []byte, err error) {\n\t// other()\n\tx = []byte(\"call()\"); y := map[string]p.T(x)\n\tgo func() { inner() }()\n\tdefer x.y.Get()\n\tif (len(x)) > '(' { return }\n\ttype I interface { Meth() }; "), call,
+        F.lit("\n}\nfunc one() { two(); two() }\n"),
+    )
+    made = table(spark, d, "customer").select(F.concat(F.lit("c"), n).alias("material_id"), F.lit("text/x-go").alias("media_type"), text.alias("text"))
+    return files.declarations(made).where("label <> 'B_'").select("material_id", "kind", "label", "line", F.array_join("calls", "|").alias("calls"))
+
+
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '[#`~
+
+]', ' ', 'g') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE text IS NOT NULL),
+t AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS said FROM c)
+SELECT 'conv' || conv_id AS material_id, 1 AS level, 'conv ' || conv_id AS label, 2 AS line, 0 AS parent_line, '' AS content FROM t GROUP BY conv_id
+UNION ALL SELECT 'conv' || conv_id, 3, 'turn ' || turn || ' ' || role, (10 * i - 7)::INT, 2, concat_ws(chr(10), nullif(said, ''), '# no heading in a fence', '#hashtag', '##') FROM t
+UNION ALL SELECT 'conv' || conv_id, 6, 'end', (10 * i + 1)::INT, (10 * i - 7)::INT, '####### seven' FROM t"""
+)
+def markdown_structure(spark, d):
+    """Fences of either kind, indented and deep headings, closing signs, blank lines, and what looks like a heading and is none."""
+    c = table(spark, d, "conversations").where("text IS NOT NULL").withColumn("text", F.regexp_replace("text", r"[#`~\n\r]", " "))
+    turn = F.concat(F.lit("  ### turn "), F.col("turn").cast("string"), F.lit(" "), "role", F.lit(" ##\n\n  "), "text", F.lit("\n~~~\n  # no heading in a fence\n```\n#hashtag\n## \n###### end #\n####### seven"))
+    made = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    docs = made.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("material_id"), F.concat(F.lit("\n# conv "), F.col("conv_id").cast("string"), F.lit("\n"), "body").alias("text"))
+    return files.sections(docs)
+
+
+@query(
+    r"""WITH l AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn, role, text) AS i FROM conversations WHERE text IS NOT NULL),
+m AS (SELECT 2 * i - 1 AS line, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM l WHERE role IN ('user', 'assistant') AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '')
+SELECT line, row_number() OVER (ORDER BY line) AS seq, CASE role WHEN 'user' THEN 'U' ELSE 'A' END || lpad((row_number() OVER (ORDER BY line))::VARCHAR, 6, '0') AS id, role, text FROM m"""
+)
+def transcript_file(spark, d):
+    """All turns as one file of JSON records, a blank line behind each, read by splits and numbered over all of it."""
+    at = f"{folder(spark)}/transcript-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    record = F.concat(F.to_json(F.struct("role", F.col("text").alias("content"))), F.lit("\n"))
+    table(spark, d, "conversations").where("text IS NOT NULL").repartitionByRange(1, "conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text").select(record.alias("value")).write.text(at)
+    return transcripts.read_transcript(spark, at)
+
+
+@query(_bm25_sql(sorted({"reading", "signed", "sessions", "thing"}), 20))
+def bm25_indexed(spark, d):
+    """Full-text search by postings: an index of an earlier state of the documents, brought up to date, answers as a scan does."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    before = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" signed earlier"))).otherwise(F.col("text"))).unionByName(spark.createDataFrame([(-1, "signed sessions, gone since")], docs.schema))
+    index = postings.Index(spark, f"{folder(spark)}/index-{spark.range(1).select(F.expr('uuid()')).first()[0]}", 64)
+    index.update(before, "doc_id", ["text"])
+    index.update(docs, "doc_id", ["text"])
+    return index.search(ASK).select(F.col("id").cast("long").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
 PUBLISH = """WITH old AS (SELECT 'c:' || c_custkey AS id FROM customer), durable AS (SELECT DISTINCT 'o:' || o_orderkey AS s, 'c:' || o_custkey AS t FROM orders WHERE o_orderkey % 4 = 0),
 fresh AS (SELECT id FROM old WHERE CAST(substr(id, 3) AS BIGINT) % 3 <> 0), new AS (SELECT DISTINCT 'o:' || o_orderkey AS s, 'c:' || o_custkey AS t FROM orders WHERE o_orderkey % 6 = 0),
 now AS (SELECT id, 'observed' AS owner, 'active' AS state FROM fresh UNION ALL SELECT 'o:' || o_orderkey, 'durable', 'active' FROM orders UNION ALL SELECT id, 'durable', 'missing' FROM old WHERE id IN (SELECT t FROM durable) AND id NOT IN (SELECT id FROM fresh))"""

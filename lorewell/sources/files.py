@@ -8,7 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import identity, material_id, trim_space
+from ..functions.text import byte_prefix, identity, material_id, trim_space
+from . import golang
 
 # Folders that are left out, and media types by extension.
 IGNORED = [".git", ".idea", ".vscode", "build", "dist", "node_modules", "vendor", "wailsjs"]
@@ -45,8 +46,6 @@ DECLARATIONS = {
         (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", "function", "()"),
         (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Za-z_][A-Za-z0-9_]*)\b", "type", ""),
     ],
-    # an approximation by lines: no Go parser is at hand
-    "text/x-go": [(r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*(?:\[[^\]]*\])?\(", "function", "()"), (r"^type\s+([A-Za-z_][A-Za-z0-9_]*)\b", "type", "")],
 }
 
 
@@ -157,74 +156,86 @@ def lines(files: DataFrame, text: str = "text") -> DataFrame:
     return files.select("material_id", F.posexplode(F.split(text, "\n")).alias("_at", "content")).withColumn("line", F.col("_at") + 1).drop("_at")
 
 
-def sections(files: DataFrame) -> DataFrame:
-    """Markdown sections of files(material_id, text): level, label, line, parent_line (0: the file), content.
+#: The longest line of a source that is read line by line, and the most bytes of a section's content.
+LONGEST_LINE, CONTENT = 1 << 20, 32 << 10
+
+
+def short_lines(text: Column) -> Column:
+    """Whether no line of a text is too long to be read line by line."""
+    return ~F.exists(F.split(text, "\n"), lambda line: F.octet_length(line) >= LONGEST_LINE)
+
+
+def content(rows: Column) -> Column:
+    """Lines as content: each trimmed, blank ones left out, together CONTENT bytes at most, cut between characters."""
+
+    def more(made: Column, line: Column) -> Column:
+        room = CONTENT - F.octet_length(made) - F.when(made == "", 0).otherwise(1)
+        return F.when(room > 0, F.concat(made, F.when(made == "", "").otherwise("\n"), byte_prefix(line, room))).otherwise(made)
+
+    return F.aggregate(F.filter(F.transform(rows, trim_space), lambda line: line != ""), F.lit(""), more)
+
+
+def markdown(files: DataFrame) -> DataFrame:
+    """(material_id, line, level, label, parent_line, content) of Markdown files(material_id, text).
 
-    A fence line of either kind opens or closes a fence; inside, headings are text. Running aggregates over a file's
-    lines find fences, the section of a line, and for each heading the last shallower one. Content is trimmed and
-    cut at 32 KiB.
+    One row for each heading, and one of line 0 for what stands before the first. A line that begins a fence of either
+    kind opens or closes one; inside, headings are text. A heading is up to six signs and a space on a line that may
+    be indented; one without a label is no content either. Running aggregates over a file's lines find fences, the
+    heading that a line stands under, and for each heading the last shallower one.
     """
     by_line = Window.partitionBy("material_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("material_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    t = lines(files).withColumn("fence", F.trim("content").rlike("^(```|~~~)"))
+    t = lines(files.where(short_lines(F.col("text")))).withColumn("plain", trim_space(F.col("content")))
+    t = t.withColumn("fence", F.col("plain").rlike("^(```|~~~)"))
     t = t.withColumn("inside", F.sum(F.col("fence").cast("int")).over(by_line) % 2 == 1)
-    head = ~F.col("inside") & ~F.col("fence") & F.col("content").rlike(r"^#{1,6} ")
-    label = F.trim(F.regexp_replace(F.regexp_replace("content", r"^#{1,6} ", ""), r"#+\s*$", ""))
-    t = t.withColumn("level", F.when(head, F.length(F.regexp_extract("content", r"^(#{1,6}) ", 1)))).withColumn("label", F.when(head, label))
-    t = t.where(~(head & (F.coalesce(F.trim("label"), F.lit("")) == "")) & ~F.col("fence"))
-    t = t.withColumn("section", F.coalesce(F.last(F.when(F.col("level").isNotNull(), F.col("line")), ignorenulls=True).over(by_line), F.lit(0)))
-    heads = t.where("level IS NOT NULL")
+    head = ~F.col("inside") & ~F.col("fence") & F.col("plain").rlike(r"^#{1,6} ")
+    label = trim_space(F.regexp_replace(F.regexp_replace("plain", r"^#{1,6} ", ""), r"#+$", ""))
+    t = t.withColumn("label", F.when(head, label)).where(~F.col("fence") & ((F.col("label") != "") | F.col("label").isNull()))
+    t = t.withColumn("level", F.when(F.col("label").isNotNull(), F.length(F.regexp_extract("plain", r"^(#{1,6}) ", 1))))
+    t = t.withColumn("under", F.coalesce(F.last(F.when(F.col("level").isNotNull(), F.col("line")), ignorenulls=True).over(by_line), F.lit(0)))
     # the nearest open shallower heading: of each level, the last one before
-    last = [F.last(F.when(F.col("level") == n, F.col("line")), ignorenulls=True).over(before).alias(f"l{n}") for n in range(1, 7)]
-    heads = heads.select("material_id", "line", "level", "label", *last)
-    above = F.greatest(F.lit(0), *[F.when(F.col("level") > n, F.coalesce(f"l{n}", F.lit(0))).otherwise(0) for n in range(1, 7)])
-    body = t.where("level IS NULL").groupBy("material_id", F.col("section").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("body"))
-    text = trim_space(F.coalesce("body", F.lit("")))
-    return heads.withColumn("parent_line", above).join(body, ["material_id", "line"], "left").select("material_id", "level", "label", "line", "parent_line", F.left(text, F.lit(32768)).alias("content"))
+    last = [F.last(F.when(F.col("level") == n, F.col("line")), ignorenulls=True).over(before) for n in range(1, 7)]
+    above = F.greatest(F.lit(0), *[F.when(F.col("level") > n, F.coalesce(at, F.lit(0))).otherwise(0) for n, at in enumerate(last, 1)])
+    t = t.withColumn("above", F.when(F.col("level").isNotNull(), above))
+    body = F.transform(F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("line", F.col("content").alias("x"))))), lambda r: r["x"])
+    made = t.groupBy("material_id", F.col("under").alias("line")).agg(F.max("level").alias("level"), F.max("label").alias("label"), F.max("above").alias("parent_line"), body.alias("body"))
+    return made.select("material_id", "line", "level", "label", "parent_line", content(F.col("body")).alias("content"))
+
+
+def sections(files: DataFrame) -> DataFrame:
+    """Markdown sections of files(material_id, text): level, label, line, parent_line (0: the file), content."""
+    return markdown(files).where("line > 0").select("material_id", "level", "label", "line", "parent_line", "content")
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """Functions and types that files(material_id, media_type, text) declare: line, kind, label, occurrence, ref.
+    """Functions and types that files(material_id, media_type, text) declare: line, kind, label, occurrence, ref, calls.
 
-    The first pattern of the file's language that a line matches names it.
+    In Go they are read by its syntax, with the names that each function calls; a file that cannot be read gives none,
+    and names that stand twice are one. In other languages the first pattern that a line matches names it.
     """
     found = F.when(F.lit(False), F.struct(F.lit("").alias("kind"), F.lit("").alias("label")))
     for media, patterns in DECLARATIONS.items():
         for pattern, kind, suffix in patterns:
             name = F.regexp_extract("content", pattern, 1)
             found = found.when((F.col("media_type") == media) & F.col("content").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.concat(name, F.lit(suffix)).alias("label")))
-    rows = files.select("material_id", "media_type", F.posexplode(F.split("text", "\n")).alias("_at", "content")).withColumn("d", found).where("d IS NOT NULL")
-    receiver = F.regexp_extract("content", RECEIVER, 1)
-    label = F.when((F.col("media_type") == "text/x-go") & (receiver != ""), F.concat(receiver, F.lit("."), F.col("d.label"))).otherwise(F.col("d.label"))
-    out = occurrence(rows.select("material_id", (F.col("_at") + 1).alias("line"), "d.kind", label.alias("label")), ["material_id", "kind", "label"], "line")
+    by_lines = files.where((F.col("media_type") != "text/x-go") & short_lines(F.col("text")))
+    rows = by_lines.select("material_id", "media_type", F.posexplode(F.split("text", "\n")).alias("_at", "content")).withColumn("d", found).where("d IS NOT NULL")
+    out = occurrence(rows.select("material_id", (F.col("_at") + 1).alias("line"), "d.kind", "d.label"), ["material_id", "kind", "label"], "line").withColumn("calls", F.array().cast("array<string>"))
+    go = golang.facts(files.where("media_type = 'text/x-go'")).where("kind <> 'error'")
+    go = go.groupBy("material_id", "kind", "label").agg(F.min("line").alias("line"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("calls")))).alias("calls")).withColumn("occurrence", F.lit(1))
+    out = out.unionByName(go.select(*out.columns))
     return out.withColumn("ref", identity("entity", F.col("material_id"), F.col("kind"), F.col("label"), F.col("occurrence")))
 
 
-# The receiver of a Go method, and words of Go before a parenthesis that call nothing of a project.
-RECEIVER = r"^func\s+\((?:\s*[A-Za-z_][A-Za-z0-9_]*\s+)?\s*\*?\s*([A-Za-z_][A-Za-z0-9_]*)(?:\[[^\]]*\])?\s*\)"
-NO_CALLS = "func if for switch select return go defer range case map chan struct interface var const type import package".split()
-
-
-def go_calls(files: DataFrame, found: DataFrame) -> DataFrame:
-    """(material_id, source_id, target): each name that a function of found in a Go file calls, once for each function.
-
-    By lines, as no parser of Go is at hand: what stands in strings of one line and in comments does not count, a
-    name before a parenthesis does, in a chain of names the last. Functions begin where they are declared at the
-    start of a line and end with a line that begins with a brace.
-    """
-    starts = found.where("kind = 'function'").select("material_id", F.col("line").alias("start"), F.col("ref").alias("source_id"))
-    by_line = Window.partitionBy("material_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines(files).join(starts.withColumnRenamed("start", "line"), ["material_id", "line"], "left")
-    ends = F.startswith("content", F.lit("}"))
-    rows = rows.withColumn("now", F.last(F.when(F.col("source_id").isNotNull(), F.col("source_id")).when(ends, F.lit("")), ignorenulls=True).over(by_line)).where("now <> ''")
-    plain = F.regexp_replace(F.regexp_replace("content", r'"(?:[^"\\\\]|\\\\.)*"|`[^`]*`', '""'), r"//.*$", "")
-    own = F.when(F.col("source_id").isNotNull(), F.regexp_replace(plain, r"^func\s+(?:\([^)]*\)\s*)?[A-Za-z_][A-Za-z0-9_]*(?:\[[^\]]*\])?\([^)]*\)", "")).otherwise(plain)
-    names = F.regexp_extract_all(own, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1))
-    called = rows.select("material_id", F.col("now").alias("source_id"), F.explode(names).alias("name")).where(~F.col("name").isin(NO_CALLS))
-    return called.select("material_id", "source_id", F.concat("name", F.lit("()")).alias("target")).distinct()
+def unreadable(files: DataFrame) -> DataFrame:
+    """(material_id, reason) of files(material_id, media_type, text) that give no more than themselves: no text, a line too long, no Go."""
+    go = golang.facts(files.where("media_type = 'text/x-go' AND text IS NOT NULL")).where("kind = 'error'").select("material_id", F.col("label").alias("reason"))
+    by_lines = F.col("media_type").isin("text/markdown", *DECLARATIONS)
+    reason = F.when(F.col("text").isNull(), "its text cannot be read").when(by_lines & ~short_lines(F.col("text")), "a line is too long")
+    return files.select("material_id", reason.alias("reason")).where("reason IS NOT NULL").unionByName(go)
 
 
 def text_content(raw: bytes | None) -> str:
-    """The text of a file's first 256 KiB: none if it holds NUL, runs of invalid bytes as one replacement each."""
+    """The text of a file's first 256 KiB: none if it holds NUL, each run of invalid bytes as one replacement character."""
     part = (raw or b"")[: 256 << 10]
-    return "" if b"\0" in part else re.sub("�+", "�", part.decode("utf-8", "replace")).strip()
+    return "" if b"\0" in part else re.sub("[\udc80-\udcff]+", "\ufffd", part.decode("utf-8", "surrogateescape")).strip()

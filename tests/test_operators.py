@@ -114,7 +114,7 @@ def test_declarations_in_several_languages(spark):
         ("j", "text/x-java", "public class A {\n  void run() {\n}"),
         ("k", "text/x-kotlin", "data class B(val x: Int)\nsuspend fun process() {}"),
         ("r", "text/x-rust", "pub struct S;\npub async fn go() {}"),
-        ("g", "text/x-go", "func (s *S) Help() {}\ntype T struct {}"),
+        ("g", "text/x-go", "package g\n\nfunc (s *S) Help() {}\ntype T struct {}"),
         ("t", "text/typescript", "export const f = async (x) => 1\nclass C {}"),
     ]
     rows = files.declarations(spark.createDataFrame(data, "material_id string, media_type string, text string")).collect()
