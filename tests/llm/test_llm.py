@@ -378,21 +378,72 @@ def test_html_takes_the_place_that_most_text_fills(spark):
     rows = [(i, f"http://{name}/{i}", f"<html><body>{body.replace('Part', f'Part {i} ')}</body></html>") for name, (body, _) in makes.items() for i in range(3)]
     rows += [(9, "http://list/9", '<div class="y"><p>' + "Only this page is made so. " * 9 + '</p></div><div class="x2"><p>short</p></div>')]
     out = {(r.page_id, r.url): r["_main"].text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out.pop((9, "http://list/9")) == ("Only this page is made so. " * 9).strip()
+    assert out.pop((9, "http://list/9")) == ("Only this page is made so. " * 9).strip() + "\n\nshort"
     for (i, url), text in out.items():
         assert text == "\n\n".join(x.replace("Part", f"Part {i} ").replace("  ", " ") for x in makes[url.split("/")[2]][1]), url
 
 
-def test_html_leaves_out_what_all_pages_of_a_host_say(spark):
-    """A notice without a telling name goes; copies of one page, near copies and a host's only page stay whole."""
-    page = lambda *x: "<article>" + "".join(f"<p>{p}</p>" for p in x) + "</article>"
+def test_html_leaves_out_what_a_host_puts_around_its_articles(spark):
+    """Shared blocks around a place without a name go; in an article they stay, as do copies of one page and a host's only page."""
+    page = lambda tag, *x: f"<{tag}>" + "".join(f"<p>{p}</p>" for p in x) + f"</{tag}>"
     say = lambda i: f"Page {i} tells a long story that no other page of this host tells."
-    rows = [(i, "http://many/", page(say(i), "Read on at our desk.")) for i in range(5)] + [(i, "http://same/", page(say(0), "Read on.")) for i in range(3)]
-    rows += [(i, "http://near/", page(say(0), say(1), f"Change {i}")) for i in range(3)] + [(0, "http://one/", page(say(0), "Read on."))]
+    rows = [(i, "http://many/", page("div", "Welcome.", say(i), "Shared heading", say(i + 9), "Read on at our desk.")) for i in range(5)] + [(i, "http://same/", page("div", say(0), "Read on.")) for i in range(3)]
+    rows += [(i, "http://near/", page("article", say(0), say(1), f"Change {i}")) for i in range(3)] + [(0, "http://one/", page("div", say(0), "Read on."))]
+    rows += [(i, "http://intro/", f"<article><h2>Introduction</h2><p>{say(i)}</p></article>") for i in range(2)]
     got = {(r.page_id, r.url): r["_main"].text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
-    want = {(i, "http://many/"): say(i) for i in range(5)} | {(i, "http://same/"): f"{say(0)}\n\nRead on." for i in range(3)}
+    want = {(i, "http://many/"): f"{say(i)}\n\nShared heading\n\n{say(i + 9)}" for i in range(5)} | {(i, "http://same/"): f"{say(0)}\n\nRead on." for i in range(3)}
     want |= {(i, "http://near/"): f"{say(0)}\n\n{say(1)}\n\nChange {i}" for i in range(3)} | {(0, "http://one/"): f"{say(0)}\n\nRead on."}
-    assert got == want
+    assert got == want | {(i, "http://intro/"): f"Introduction\n\n{say(i)}" for i in range(2)}
+
+
+def test_html_keeps_what_stands_around_the_largest_part_and_named_parts_that_speak(spark):
+    body = "<p>Opening {i} words.</p><div>" + "".join(f"<p>Part {k} of {{i}}.</p>" for k in range(40)) + "</div><p>Closing {i} words.</p>"
+    named = '<article><p>Lead {i}</p><div class="navigation-history"><p>How maps of {i} were drawn</p></div><div class="alert">Storm {i} is near</div><div class="related"><a href="x">Other {i}</a></div><div class="notice">All rights reserved</div><section class="comments"><p>Nice {i}</p></section></article>'
+    rows = [(i, "http://plain/", body.replace("{i}", str(i))) for i in range(4)] + [(i, "http://named/", named.replace("{i}", str(i))) for i in range(4)]
+    got = {(r.page_id, r.url): r["_main"].text.split("\n\n") for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(4):
+        assert got[i, "http://plain/"] == [f"Opening {i} words.", *[f"Part {k} of {i}." for k in range(40)], f"Closing {i} words."]
+        assert got[i, "http://named/"] == [f"Lead {i}", f"How maps of {i} were drawn", f"Storm {i} is near"]
+
+
+def test_html_wrappers_decide_where_names_say_nothing(spark):
+    """Hosts made by chance: columns, menus of links and shared boxes without a telling name. The wrapper gives the text, pages read alone do not."""
+    r = np.random.default_rng(5)
+    word = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    rows, want = [], {}
+    for h in range(6):
+        box = "".join(f"<p>{word(30)}</p>" for _ in range(int(r.integers(2, 6))))
+        for i in range(5):
+            parts = [word(int(r.integers(3, 12))) for _ in range(int(r.integers(1, 6)))]
+            links = "".join(f'<li><a href="/x">{word(6)}</a></li>' for _ in range(int(r.integers(3, 9))))
+            columns = [f'<div class="q1">{box}</div>', f'<div class="q2"><ul>{links}</ul></div>', '<div class="q3">' + "".join(f"<p>{p}</p>" for p in parts) + "</div>"]
+            rows.append((len(rows), f"http://h{h}/{i}", f"<html><body><div>{''.join(columns[(k + h) % 3] for k in range(3))}</div></body></html>"))
+            want[rows[-1][0]] = "\n\n".join(parts)
+    run = lambda some: {x.page_id: x["_main"].text for x in html_text.main_text(spark.createDataFrame(some, "page_id long, url string, html string")).collect()}
+    assert run(rows) == want
+    alone = run([(i, f"http://own{i}/", page) for i, _, page in rows])
+    assert sum(alone[i] == want[i] for i in want) < len(want) / 2
+
+
+@pytest.mark.parametrize("part", ["line{i}<br>", "<h2>h{i}</h2><p>p{i}</p>", "<i>a{i}</i><b>b</b><u>c</u>"])
+def test_html_wrappers_of_long_pages_meet_in_time(part):
+    import time
+    import tracemalloc
+
+    trees = [html_text.skeleton(html_text.parse("<div>" + "".join(part.replace("{i}", str(i * k)) for i in range(n)) + "</div>")) for k, n in ((1, 20_000), (2, 19_000))]
+    start = time.process_time()
+    tracemalloc.start()
+    html_text.merged(*trees)
+    assert time.process_time() - start < 20 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def test_html_alignment_keeps_order():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        x, y = (list(r.integers(0, 6, int(r.integers(0, 30)))) for _ in range(2))
+        pairs = html_text.aligned(x, y)
+        assert all(x[i] == y[j] for i, j in pairs) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
 
 
 def test_wrappers_align_pages_of_a_host():
