@@ -303,6 +303,21 @@ def test_topk_of_many_equal_vectors(spark, monkeypatch):
     assert topk.top_k(twice.limit(0), twice).count() == topk.top_k(twice, twice.limit(0)).count() == 0
 
 
+def test_topk_searches_equal_vectors_once(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [3, -2, 5]) for i in range(3000)] + [(i, r.integers(-9, 9, 3).tolist()) for i in range(3000, 3040)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    stored = topk.classes(v, 6)
+    asked = v.where("vec_id % 50 = 0").select("v").distinct().select(F.monotonically_increasing_id().alias("query"), "v")
+    assert stored.count() <= 41 and topk.best_classes(asked, stored, 6).count() <= 6 * asked.count()
+    out = {}
+    for x in topk.top_k(v.where("vec_id % 50 = 0"), v).orderBy("query_id", "rank").collect():
+        out.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    for q in (0, 50, 2950, 3000):
+        own = np.array(dict(rows)[q])
+        assert out[q] == [(i, -s) for s, i in sorted((-int(own @ np.array(e)), i) for i, e in rows if i != q)[:5]]
+
+
 def test_bounds_hold_the_exact_products():
     r = np.random.default_rng(3)
     q, v = r.integers(-90, 90, (20, 12)), r.integers(-200, 200, (500, 12))
