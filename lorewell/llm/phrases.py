@@ -24,9 +24,11 @@ from .common import keep, table
 #: Words of a phrase at most, its least count, the share of its count at which a longer one covers it, phrases of a language.
 LONGEST, LEAST, COVERED, TOP, SCALE = 4, 30, (80, 100), 2000, 2_000_000
 #: Words of a shard, pairs of bitmap bytes that meet at a time, bytes of text that are split at a time.
-SHARD, MEETING, SLICE = 400_000, 1 << 20, 1 << 22
+SHARD, MEETING, SLICE = 250_000, 1 << 19, 1 << 22
 #: Bits of the filter of frequent phrases: at least, at most, and for each phrase.
 FILTER_BITS, MOST_FILTER_BITS, BITS_PER_PHRASE = 1 << 20, 1 << 28, 16
+#: Numbers that pairs are counted by at first, for each word there is; pairs that share one are told apart afterwards.
+KEYS_PER_WORD = 16
 #: Parts the languages of a top list are cut into before they meet.
 SALTS = 64
 UNKNOWN = "und"
@@ -34,7 +36,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
-_FOUND = "lang string, phrase string, f long"
+_FOUND, _KEYED = "lang string, phrase string, f long", "key long, f long"
 
 
 def slices(raw: bytes) -> Iterator[bytes]:
@@ -116,29 +118,36 @@ class Frequent:
         self.bits = bits
 
     def __call__(self, lang: str, hashes: np.ndarray) -> np.ndarray:
-        at = _filter_key(lang, hashes) % np.uint64(len(self.bits) * 8)
+        return self.holds(_filter_key(lang, hashes))
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = keys % np.uint64(len(self.bits) * 8)
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def frequent(phrases: DataFrame) -> Frequent:
-    """The filter of phrases (lang, phrase), one length of phrase at a time; MOST_FILTER_BITS (32 MB) at most whatever their number."""
-    n_bits = FILTER_BITS
-    most = min(MOST_FILTER_BITS, BITS_PER_PHRASE * phrases.count())
-    while n_bits < most:
-        n_bits *= 2
+def word_keys(words: DataFrame) -> DataFrame:
+    """(key) of words (lang, phrase): the number that tasks know each of them by."""
 
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in pc.unique(batch["lang"]).to_pylist():
-                of_lang = batch["phrase"].filter(pc.equal(batch["lang"], lang)).to_pylist()
-                parts = [x.encode("utf-8").split(b" ") for x in of_lang]
-                flat = wordhash.hashes([w for p in parts for w in p]).reshape(len(parts), -1)
-                yield pa.RecordBatch.from_arrays([pa.array((_filter_key(lang, flat) % np.uint64(n_bits)).astype(np.int64))], ["spot"])
+                found = batch["phrase"].filter(pc.equal(batch["lang"], lang)).to_pylist()
+                at = _filter_key(lang, wordhash.hashes([x.encode("utf-8") for x in found])[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array((at % np.uint64(MOST_FILTER_BITS)).astype(np.int64))], ["key"])
 
+    return words.select("lang", "phrase").mapInArrow(keys, "key long")
+
+
+def frequent(keys: DataFrame) -> Frequent:
+    """The filter of what has these keys; MOST_FILTER_BITS (32 MB) at most, whatever their number."""
+    n_bits = FILTER_BITS
+    most = min(MOST_FILTER_BITS, BITS_PER_PHRASE * keys.count())
+    while n_bits < most:
+        n_bits *= 2
     # Spark counts the bits of its bitmaps from 1.
-    held = phrases.select("lang", "phrase").mapInArrow(spots, "spot long").select((F.col("spot") + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("number"))
+    spot = keys.select((F.col("key") % n_bits + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("number"))
     bits = np.zeros(n_bits // 8, np.uint8)
-    for r in held.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).toLocalIterator():
+    for r in spot.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).toLocalIterator():
         bits[(r.number - 1) * 4096 : (r.number - 1) * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)[: len(bits)]
     return Frequent(bits)
 
@@ -174,8 +183,8 @@ def word_counts(shard: Shard) -> Iterator[pa.RecordBatch]:
     yield _rows(shard.lang, pa.array([None], pa.binary()), np.array([len(codes)]))
 
 
-def phrase_counts(shard: Shard, words_kept: Frequent, pairs_kept: Frequent | None) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs of frequent words, or with pairs_kept of longer phrases whose pairs are all frequent."""
+def phrase_counts(shard: Shard, words_kept: Frequent, pairs_kept: Frequent | None, keys: int = 0) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases whose words and pairs are all frequent; without pairs_kept, of the numbers (below keys) of pairs of frequent words."""
     words, codes, place = shard.coded()
     hashes = wordhash.hashes(words.to_pylist())
     fine = words_kept(shard.lang, hashes[:, None])[codes]
@@ -197,26 +206,26 @@ def phrase_counts(shard: Shard, words_kept: Frequent, pairs_kept: Frequent | Non
             item, word, byte, mask = prefix.shifted().met(single)
             if not len(item):
                 break
-            if pairs_kept is not None:
-                # Every phrase here ends in a word whose pair with the next one has to be frequent.
-                last = phrases[item, -1] * len(words) + word
-                pairs, of = np.unique(last, return_inverse=True)
-                fine = pairs_kept(shard.lang, np.stack([hashes[pairs // len(words)], hashes[pairs % len(words)]], 1))[of]
-                item, word, byte, mask = item[fine], word[fine], byte[fine], mask[fine]
-                if not len(item):
-                    break
-            longer, of = np.unique(item * len(words) + word, return_inverse=True)
-            phrases = np.column_stack([phrases[longer // len(words)], longer % len(words)])
-            if length > 2 or pairs_kept is None:
-                counts = np.bincount(of, np.bitwise_count(mask), len(longer))
-                yield _rows(shard.lang, pc.binary_join_element_wise(*[words.take(pa.array(phrases[:, i])) for i in range(length)], b" "), counts)
+            # Every phrase here ends in a word whose pair with the next one has to be frequent.
+            pairs, of = np.unique(phrases[item, -1] * len(words) + word, return_inverse=True)
+            named = _filter_key(shard.lang, np.stack([hashes[pairs // len(words)], hashes[pairs % len(words)]], 1))
             if pairs_kept is None:
+                counts = np.bincount(of, np.bitwise_count(mask), len(pairs))
+                yield pa.RecordBatch.from_arrays([pa.array((named % np.uint64(keys)).astype(np.int64)), pa.array(counts.astype(np.int64))], ["key", "f"])
                 break
+            fine = pairs_kept.holds(named)[of]
+            item, word, byte, mask = item[fine], word[fine], byte[fine], mask[fine]
+            if not len(item):
+                break
+            longer, of = np.unique(item * len(words) + word, return_inverse=True)
+            phrases = np.column_stack([phrases[longer // len(words)], longer % len(words)])
+            counts = np.bincount(of, np.bitwise_count(mask), len(longer))
+            yield _rows(shard.lang, pc.binary_join_element_wise(*[words.take(pa.array(phrases[:, i])) for i in range(length)], b" "), counts)
             prefix = Bitmaps(of.astype(np.int64), byte, mask)
 
 
-def counted(docs: DataFrame, of_shard) -> DataFrame:
-    """(lang, phrase, f): what of_shard finds in the shards of docs (lang, text), summed over all of them."""
+def counted(docs: DataFrame, of_shard, schema: str = _FOUND) -> DataFrame:
+    """What of_shard counts in the shards of docs (lang, text), summed over all of them: f by the other columns of schema."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, Shard] = {}
@@ -232,25 +241,31 @@ def counted(docs: DataFrame, of_shard) -> DataFrame:
             if shard.size:
                 yield from of_shard(shard)
 
-    return docs.mapInArrow(found, _FOUND).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    made = docs.mapInArrow(found, schema)
+    return made.groupBy(*[c for c in made.columns if c != "f"]).agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all words and phrases that stand LEAST times or more, and (lang, n), the number of all words.
 
-    Null languages are one, a null text has no words. Pairs are counted after words, longer phrases after pairs, as each
-    has parts that are frequent too; filters of bounded size tell tasks which, and the sums decide.
+    Null languages are one, a null text has no words. Words are counted first. Then pairs of frequent words are counted
+    by numbers, of which there are more than words, so that little is shuffled; a number may stand for several pairs,
+    which lets a few more pass. Last, phrases of which all pairs pass are counted as they are, and these sums decide.
     """
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     sc = docs.sparkSession.sparkContext
     singles = keep(counted(texts, word_counts).where(f"phrase IS NULL OR f >= {LEAST}"))
     totals = singles.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
     singles = singles.where("phrase IS NOT NULL")
-    words_kept = sc.broadcast(frequent(singles))
-    pairs = keep(counted(texts, lambda shard: phrase_counts(shard, words_kept.value, None)).where(f"f >= {LEAST}"))
+    words_kept = sc.broadcast(frequent(word_keys(singles)))
+    keys = MOST_FILTER_BITS
+    most = KEYS_PER_WORD * (totals.agg(F.sum("n")).first()[0] or 0)
+    while keys < most:
+        keys *= 2
+    pairs = keep(counted(texts, lambda shard: phrase_counts(shard, words_kept.value, None, keys), _KEYED).where(f"f >= {LEAST}").select("key"))
     pairs_kept = sc.broadcast(frequent(pairs))
     longer = keep(counted(texts, lambda shard: phrase_counts(shard, words_kept.value, pairs_kept.value)).where(f"f >= {LEAST}"))
-    return singles.unionByName(pairs).unionByName(longer), totals
+    return singles.unionByName(longer), totals
 
 
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
