@@ -280,11 +280,11 @@ def test_queue_works_each_job_once(spark, tmp_path):
     assert "user" in spark.read.text(jobs.jobs_of(spark, top)[0].first().transcript, wholetext=True).first()[0]
     (tmp_path / "q/jobs/bad.json").write_text("{}")
     fail = lambda job: 1 / 0
-    assert jobs.process(spark, top, fail, 10) == {"completed": 0, "failed": 1, "quarantined": 1}
+    assert jobs.process(spark, top, fail, 10) == {"completed": 0, "failed": 1, "quarantined": 1, "held": 0}
     assert jobs.runs(spark, top).first().phase == "failed"
-    assert jobs.process(spark, top, lambda job: "done", 11) == {"completed": 1, "failed": 0, "quarantined": 0}
+    assert jobs.process(spark, top, lambda job: "done", 11) == {"completed": 1, "failed": 0, "quarantined": 0, "held": 0}
     assert [(r.kind, r.detail) for r in jobs.runs(spark, top).collect()] == [("completed", "done")]
-    assert jobs.process(spark, top, fail, 12) == {"completed": 0, "failed": 0, "quarantined": 0}
+    assert jobs.process(spark, top, fail, 12) == {"completed": 0, "failed": 0, "quarantined": 0, "held": 0}
 
 
 def test_mentions_of_short_names(spark):

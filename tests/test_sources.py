@@ -2,6 +2,9 @@
 
 import json
 import random
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from lorewell.functions.text import byte_prefix, shown_time
 from lorewell.operators import embeddings, graph, postings, prepare, ranking, transcripts, update
 from lorewell.sources import files, golang
 from lorewell.state import new_state
+from lorewell.streaming import jobs
 
 GO = """// c
 package p
@@ -244,3 +248,60 @@ def test_sections_can_be_found_by_meaning(spark):
     assert [x.text for x in wanted] == ["Signed sessions\nknowledge\nsection\nfile:a.md\nline:1\nhow they work"]
     stored = embeddings.backfilled(new_state(spark)["embeddings"], embeddings.candidates(changes["nodes"]), "stub", lambda texts: [[1.0, 0.0] for _ in texts], dimensions=2)
     assert [m.node_id for m in embeddings.matches(spark, stored, changes["nodes"], "any", "stub", lambda t: [[1.0, 0.0]], 8).collect()] == [wanted[0].node_id]
+
+
+def queue(spark, tmp_path, n):
+    for i in range(n):
+        (tmp_path / f"t{i}.jsonl").write_text(json.dumps({"role": "user", "content": str(i)}))
+        jobs.enqueue(spark, f"file://{tmp_path}/q", f"file://{tmp_path}/t{i}.jsonl", "agent", "s", "p", "/w", "end", i)
+    return f"file://{tmp_path}/q"
+
+
+def test_workers_at_once_work_each_job_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "ROUND", 3)
+    top, seen, lock = queue(spark, tmp_path, 8), [], threading.Lock()
+
+    def work(job):
+        with lock:
+            seen.append(job["id"])
+        time.sleep(0.05)
+        return "done"
+
+    with ThreadPoolExecutor(3) as pool:
+        counts = list(pool.map(lambda _: jobs.process(spark, top, work, 100), range(3)))
+    assert len(seen) == len(set(seen)) == 8 == sum(c["completed"] for c in counts) and sum(c["failed"] for c in counts) == 0
+    assert jobs.process(spark, top, work, 101)["completed"] == 0
+
+
+def test_leases_end_and_are_taken_over(spark, tmp_path):
+    top = queue(spark, tmp_path, 1)
+    job = jobs.jobs_of(spark, top)[0].first().id
+    assert jobs.lease(spark, top, job, "a", 100, 50).endswith("-000000.json")
+    assert jobs.lease(spark, top, job, "b", 149, 50) is None
+    assert jobs.process(spark, top, lambda j: "x", 149) == {"completed": 0, "failed": 0, "quarantined": 0, "held": 1}
+    with ThreadPoolExecutor(4) as pool:
+        taken = [x for x in pool.map(lambda w: jobs.lease(spark, top, job, str(w), 151, 50), range(4)) if x]
+    assert len(taken) == 1 and taken[0].endswith("-000001.json")
+    assert jobs.process(spark, top, lambda j: "x", 300)["completed"] == 1
+
+
+def test_files_are_made_once(spark, tmp_path):
+    place = f"file://{tmp_path}/made/once.json"
+    with ThreadPoolExecutor(6) as pool:
+        assert sum(pool.map(lambda i: jobs.write_once(spark, place, str(i)), range(12))) == 1
+    assert len(list((tmp_path / "made").glob("*tmp*"))) == 0
+
+
+def test_ids_are_worked_once_over_batches_and_restarts(spark, tmp_path):
+    add = lambda *rows: spark.createDataFrame(rows, jobs.JOB).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    at = [f"{tmp_path}/{x}" for x in ("in", "out", "progress")]
+    add(("1", "k", "queued", 1), ("2", "k", "queued", 2), ("1", "k", "queued", 3), (None, "k", "x", 4), (None, None, "x", 5))
+    jobs.drain(spark, *at)
+    add(("1", "k", "again", 6), ("3", "j", "queued", 7), ("4", None, "x", 8))
+    jobs.drain(spark, *at, work=lambda batch: batch.withColumn("phase", F.lit("worked")))
+    jobs.drain(spark, *at)
+    rows = spark.read.parquet(at[1])
+    assert sorted(r.id for r in rows.collect()) == ["1", "2", "3"] and {r.phase for r in rows.where("id = '3'").collect()} == {"worked"}
+    assert sorted(r.seq for r in spark.read.parquet(f"{at[1]}-quarantine").collect()) == [4, 5, 8]
+    state = [p for p in (tmp_path / "progress" / "state").rglob("*.delta")]
+    assert state
