@@ -148,32 +148,42 @@ def induced(edges: DataFrame, ids: list[str]) -> DataFrame:
 def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(step, source_id, target_id, relation): the first shortest path in breadth-first order, edges read both ways.
 
-    However long it is; no rows if there is none. A level holds its nodes with the edge that reached each first, and
-    its place: the order of discovery is that of the node before, then of the edge. Levels are checkpointed, and once
-    the target is met they are read back to front, one row each.
+    However long it is; no rows if there is none. Nodes are found level by level from both ends, always at the end whose
+    last level is smaller, until the last levels meet: a node with very many neighbours at one end is only read if the
+    other end has more. Breadth-first order takes of all shortest paths the one whose edges come first, step by step, so
+    the path is then read off: of each level the nodes that lead on, and at each step the first edge to one of them.
     """
     if source == target:
         raise ValueError("a path needs two different nodes")
     ways, spark = both_ways(edges), edges.sparkSession
-    levels = [kept(spark.createDataFrame([(source, 0)], "id string, place long"))]
-    seen, hit = levels[0].select("id"), None
-    while hit is None:
-        last = levels[-1].select("id", "place")
-        ahead = last.join(ways, last["id"] == ways["at"]).select(F.col("next").alias("id"), F.struct("place", "edge").alias("by"), F.col("at").alias("before"))
-        first = ahead.groupBy("id").agg(F.min(F.struct("by", "before")).alias("x")).join(seen, "id", "left_anti")
-        # places in a level: sorted by range over all tasks, then numbered within and across them
-        placed = kept(first.select("id", "x.before", "x.by.edge", F.col("x.by").alias("by")).orderBy("by").withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
-        if placed.isEmpty():
-            return placed.select(F.lit(0).alias("step"), "edge.*")
-        level = placed.select("id", "before", "edge", F.col("at").alias("place"))
-        hit = level.where(F.col("id") == target).first()
-        levels.append(level)
-        seen = kept(seen.unionByName(level.select("id"))) if len(levels) % 8 == 0 else seen.unionByName(level.select("id"))
-    steps = []
-    for level in reversed(levels[1:]):
-        row = hit if not steps else level.where(F.col("id") == steps[-1].before).first()
-        steps.append(row)
-    rows = [(i, *row.edge) for i, row in enumerate(reversed(steps))]
+    neighbours = ways.select("at", "next").distinct()
+    start = lambda x: kept(spark.createDataFrame([(x,)], "id string"))
+    levels, seen, size = ([start(source)], [start(target)]), [None, None], [1, 1]
+    while True:
+        meeting = kept(levels[0][-1].join(levels[1][-1], "id", "left_semi"))
+        if not meeting.isEmpty():
+            break
+        end = 0 if size[0] <= size[1] else 1
+        last = levels[end][-1]
+        seen[end] = last if seen[end] is None else seen[end].unionByName(last)
+        if len(levels[end]) % 8 == 0:
+            seen[end] = kept(seen[end])
+        ahead = last.join(neighbours, last["id"] == neighbours["at"]).select(F.col("next").alias("id")).distinct()
+        levels[end].append(kept(ahead.join(seen[end], "id", "left_anti")))
+        size[end] = levels[end][-1].count()
+        if not size[end]:
+            return spark.createDataFrame([], "step int, source_id string, target_id string, relation string")
+    # nodes that lead on, from the source's side: back from where the levels met
+    on = [meeting]
+    for level in reversed(levels[0][:-1]):
+        back = on[0].join(neighbours, on[0]["id"] == neighbours["at"]).select(F.col("next").alias("id")).distinct()
+        on.insert(0, kept(level.join(back, "id", "left_semi")))
+    rows, here = [], source
+    for step, level in enumerate([*on[1:], *reversed(levels[1][:-1])]):
+        leads = ways.where(F.col("at") == here).join(level.select(F.col("id").alias("next")), "next", "left_semi")
+        first = leads.agg(F.min(F.struct("edge", "next")).alias("x")).first().x
+        rows.append((step, *first.edge))
+        here = first.next
     return spark.createDataFrame(rows, "step int, source_id string, target_id string, relation string")
 
 

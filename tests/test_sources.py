@@ -305,3 +305,31 @@ def test_ids_are_worked_once_over_batches_and_restarts(spark, tmp_path):
     assert sorted(r.seq for r in spark.read.parquet(f"{at[1]}-quarantine").collect()) == [4, 5, 8]
     state = [p for p in (tmp_path / "progress" / "state").rglob("*.delta")]
     assert state
+
+
+def plain_path(links, source, target):
+    near = {}
+    for e in sorted(links):
+        near.setdefault(e[0], []).append((e, e[1]))
+        near.setdefault(e[1], []).append((e, e[0]))
+    found, frontier = {source: []}, [source]
+    while frontier and target not in found:
+        nodes, frontier = frontier, []
+        for i in nodes:
+            for e, n in near.get(i, []):
+                if n not in found:
+                    found[n] = [*found[i], e]
+                    frontier.append(n)
+    return found.get(target)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shortest_paths_from_both_ends_are_the_first_in_order(spark, seed):
+    r = random.Random(seed)
+    n = 30
+    links = {(f"n{r.randrange(n)}", f"n{r.randrange(n)}", r.choice("ab")) for _ in range([30, 45, 70, 26][seed])}
+    links |= {("n0", f"hub{i}", "a") for i in range(60)}
+    edges = spark.createDataFrame(sorted(links), "source_id string, target_id string, relation string")
+    for source, target in [("n0", "n7"), ("n7", "n0"), ("n3", "hub5"), ("n1", "nowhere")]:
+        want = plain_path(links, source, target)
+        assert [tuple(x)[1:] for x in graph.shortest_path(edges, source, target).orderBy("step").collect()] == (want or [])
