@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from hashlib import sha256
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,13 +182,18 @@ def normal_path(path: Column) -> Column:
 
 
 def active_paths(root: str, paths) -> list[str]:
-    """Paths as addresses below root, each once and sorted; those outside of it go."""
-    top, out = os.path.realpath(root), set()
+    """Paths as they are compared, each once in order: those below root relative to it, links resolved as far as they exist."""
+    top, out = os.path.realpath(root), []
     for p in paths:
-        full = os.path.realpath(os.path.join(top, re.sub(r"^(@repo/|@root/|file:)", "", p.strip())))
-        if os.path.commonpath([top, full]) == top and full != top:
-            out.add(os.path.relpath(full, top).replace(os.sep, "/").lower())
-    return sorted(out)
+        clean = os.path.normpath(p.strip())
+        if os.path.isabs(clean):
+            full = os.path.realpath(clean)
+            clean = os.path.relpath(full, top) if os.path.commonpath([top, full]) == top else full
+        name = clean.replace("\\", "/").lower().strip("/")
+        for head in ("@repo/", "@root/", "file:"):
+            name = name.removeprefix(head)
+        out.append(name.strip("/"))
+    return list(distinct(out))
 
 
 def session_id(given: str | None = None) -> str:
@@ -223,11 +229,12 @@ ASKING = "There is not enough in the project's memory. Which decision or informa
 def prepare(state: State, request: Request, at: int, gate: Callable[[Request, dict], Proposal] | None = None, name: str = "default", model: embeddings.Model | None = None) -> tuple[Prepared, dict[str, DataFrame]]:
     """What a message should have at hand, and the tables changed: a decision is written down, an ask is a request too.
 
-    A gate proposes; where there is none, or it fails or proposes what is not valid, the message itself is searched.
+    A gate proposes, told of the paths that are worked on as they are compared; where there is none, or it fails or proposes what is not valid, the message itself is searched.
     A search finds hints within the token budget, never what the session has opened. Without hints it is skipped if
     no gate was there to judge, else the user is asked.
     """
     request = checked_request(request)
+    request = replace(request, paths=tuple(active_paths(request.directory, request.paths)))
     nodes, spark = graph.context(state["nodes"]), state["nodes"].sparkSession
     opened = {r.key for r in opened_keys(state["deliveries"], request.session).collect()}  # of one session
     proposal, why = fallback(request.message), None
@@ -265,7 +272,8 @@ def prepare(state: State, request: Request, at: int, gate: Callable[[Request, di
         [(request.session, digest, request.message if request.keep_input else None, out.action, json.dumps(proposal.__dict__, ensure_ascii=False), out.text or None, why, need, at)],
         "session_id string, input_hash string, input_text string, action string, proposal string, hints string, fallback string, request string, created_at long",
     )
-    row = row.withColumn("id", identity(F.col("session_id"), F.col("input_hash"), F.col("created_at"), F.lit(str(state["decisions"].count()))))
+    row = row.withColumn("id", identity(F.col("session_id"), F.col("input_hash"), F.col("created_at"), F.lit(uuid4().hex)))
+    row = spark.createDataFrame(row.collect(), row.schema)  # its id once and for all
     changes["decisions"] = state["decisions"].unionByName(row, allowMissingColumns=True)
     return replace(out, decision=row.first().id), changes
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import kept
+
 
 def latest(log: DataFrame, keys: list[str], seq: Column) -> DataFrame:
     """The last row of each key."""
@@ -51,19 +53,28 @@ def mentioned(texts: DataFrame, needles: DataFrame, text: str, needle: str, word
     are looked up by their first GRAM characters, or all if they have fewer, among the runs of as many characters of
     the texts. No join compares every text with every needle.
     """
-    w, tw = F.split(F.col(needle), " "), F.col("_words")
-    long, holds = F.size(w) > words + 1, F.contains(F.col(text), F.col(needle))
-    keyed = needles.where(long).withColumn("_key", F.concat_ws(" ", F.slice(w, 2, words)))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tw) - words + 1, F.lit(1)))
-    runs = texts.where(F.col(text).isNotNull()).withColumn("_words", F.split(F.col(text), " ")).withColumn("_key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tw, i, words)))))).drop("_words")
-    out = runs.join(keyed, "_key").where(holds).drop("_key")
+    w, tw = F.split(F.col(needle), " "), F.split(F.col(text), " ")
+    long = F.size(w) > words + 1
     size = F.least(F.length(needle), F.lit(GRAM))
-    short = needles.where(~long & (F.col(needle) != "")).withColumn("_key", F.left(F.col(needle), size))
-    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, F.lit(n))))
-    for (n,) in short.select(F.length("_key")).distinct().collect():  # GRAM at most
-        met = texts.where(F.length(text) >= n).withColumn("_key", F.explode(grams(n))).join(short.where(F.length("_key") == n), "_key")
-        out = out.unionByName(met.where(holds).drop("_key"))
-    return out
+    # a needle's key, and how many characters it has (0: it is a run of words)
+    key = F.when(long, F.concat_ws(" ", F.slice(w, 2, words))).otherwise(F.left(F.col(needle), size))
+    keyed = needles.where(F.col(needle) != "").withColumns({"_key": key, "_size": F.when(long, 0).otherwise(size)})
+    sizes = [r[0] for r in keyed.select("_size").distinct().collect()]  # GRAM and one at most
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tw) - words + 1, F.lit(1)))
+    runs = {0: F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tw, i, words)))}
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))
+    runs |= {n: grams(n) for n in range(1, GRAM + 1)}
+    # Texts stay where they are: their rows' numbers meet the needles by key, and come back for the literal test.
+    rows = kept(texts.where(F.col(text).isNotNull()).withColumn("_row", F.monotonically_increasing_id()))
+    needs = kept(keyed.withColumn("_needle", F.monotonically_increasing_id()))
+    pairs = None
+    for n in sizes:
+        one = rows.select("_row", F.explode(F.array_distinct(runs[n])).alias("_key")).join(needs.where(F.col("_size") == n).select("_key", "_needle"), "_key").select("_row", "_needle")
+        pairs = one if pairs is None else pairs.unionByName(one)
+    if pairs is None:
+        return rows.drop("_row").join(needs.drop("_key", "_size", "_needle"), F.lit(False), "inner")
+    met = pairs.distinct().join(needs.drop("_key", "_size"), "_needle").join(rows, "_row").drop("_row", "_needle")
+    return met.where(F.contains(F.col(text), F.col(needle)))
 
 
 def mentioned_refs(texts: DataFrame, materials: DataFrame, text: str, key: str, most: int = 64) -> DataFrame:

@@ -332,12 +332,18 @@ def query_context(spark, d):
     return spark.createDataFrame(rows, "place long, id string, signal string")
 
 
-@query("SELECT 'retrieve' AS action, 1 AS place, 'intent:geo.7' AS id, 'bm25' AS match")
+@query(
+    """WITH n AS (SELECT 'intent:geo.' || n_nationkey AS id, 'geo.' || n_nationkey AS path, n_name FROM nation ORDER BY length(id), id LIMIT 3),
+p AS (SELECT row_number() OVER (ORDER BY length(id), id) AS place, id, path, n_name FROM n), l AS (SELECT place, id, '- N' || place || ' `' || path || '` [intent/decision; bm25] ' || n_name AS line FROM p)
+SELECT 'retrieve' AS action, place, id, 'bm25' AS match, line, (355 + sum(strlen(line) + 1) OVER ())::BIGINT AS bytes FROM l"""
+)
 def prepare_message(spark, d):
-    """One call for a message: the first hint, with the decision written down and the session known."""
-    made, changes = prepare.prepare(_world(spark, d), prepare.Request("NATION_7", "agent:1", budget=512), AT)
+    """One call for a message: its hints in order, the lines that show them and the bytes of the whole text, with the decision written down and the session known."""
+    made, changes = prepare.prepare(_world(spark, d), prepare.Request("all about", "agent:1", budget=512), AT)
     assert changes["decisions"].count() == 1 and changes["sessions"].first().agent == "agent"
-    return spark.createDataFrame([(made.action, 1, made.nodes[0]["id"], made.nodes[0]["match"])], "action string, place int, id string, match string")
+    lines = [x for x in made.text.split("\n") if x.startswith("- N")]
+    rows = [(made.action, i, n["id"], n["match"], line, len(made.text.encode())) for i, (n, line) in enumerate(zip(made.nodes, lines, strict=True), 1)]
+    return spark.createDataFrame(rows, "action string, place long, id string, match string, line string, bytes long")
 
 
 def _hints(spark, d):

@@ -296,6 +296,13 @@ def test_mentions_of_short_names(spark):
     assert [r.uri for r in records.mentioned_refs(text, many, "text", "id").orderBy("uri").collect()] == [f"u{i:03d}" for i in range(64)]
 
 
-def test_active_paths_stay_below_their_root(tmp_path):
-    (tmp_path / "Src").mkdir()
-    assert prepare.active_paths(str(tmp_path), ["Src/A.go", "@repo/b", "file:b", "../x", str(tmp_path / "c"), "."]) == ["b", "c", "src/a.go"]
+def test_active_paths_are_compared_below_their_root(spark, tmp_path):
+    (tmp_path / "real").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "real")
+    given = ["Src/A.go", "@repo/b", "file:b", "../x", str(tmp_path / "c"), str(tmp_path / "link" / "new" / "D.go"), "/elsewhere/E"]
+    want = ["src/a.go", "b", "../x", "c", "real/new/d.go", "elsewhere/e"]
+    assert prepare.active_paths(str(tmp_path), given) == want
+    told = []
+    request = prepare.Request("a question", "agent:1", directory=str(tmp_path), paths=tuple(given))
+    prepare.prepare(new_state(spark), request, 1, lambda r, catalog: told.append(r.paths) or prepare.Proposal("skip", "SELF_CONTAINED"))
+    assert told == [tuple(want)]
