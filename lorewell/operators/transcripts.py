@@ -193,6 +193,63 @@ def reduced(groups: DataFrame, key: str, merge: Callable[[str, str], str | None]
     return groups.mapInPandas(of, f"{key} {groups.schema[key].dataType.simpleString()}, value string")
 
 
+#: Candidates as rows, beside the key: their place among those of a key, and the fields of a Candidate.
+CANDIDATE = "place long, value string, evidence array<string>, links array<struct<relation:string,ref:string>>, sources array<string>"
+#: Pairs that a model gets at a time.
+PAIRS = 32
+#: Pairs of candidates to what a model makes of each, in order; nothing for a pair that it cannot join.
+Merge = Callable[[list[tuple[Candidate, Candidate]]], list[Candidate | None]]
+
+
+def _asked(key: str, kind: str, merge: Merge, batch: int):
+    """What a model makes of pairs (key, place, a, b), so many at a time; no value where it makes nothing."""
+
+    def one(c) -> Candidate:
+        listed = lambda name: c[name] if c[name] is not None else []
+        return Candidate(c["value"], tuple(listed("evidence")), tuple((x["relation"], x["ref"]) for x in listed("links")), tuple(listed("sources")))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                made = merge([(one(a), one(b)) for a, b in zip(part["a"], part["b"], strict=True)])
+                if len(made) != len(part):
+                    raise ValueError("the model's answers are not as many as the pairs")
+                rows = [c or Candidate("") for c in made]
+                yield pd.DataFrame({key: part[key], "place": part["place"], "value": [c.value for c in rows], "evidence": [list(c.evidence) for c in rows], "links": [[{"relation": r, "ref": x} for r, x in c.links] for c in rows], "sources": [list(c.sources) for c in rows]})
+
+    return of, f"{key} {kind}, {CANDIDATE}"
+
+
+def consolidated_all(candidates: DataFrame, key: str, merge: Merge, batch: int = PAIRS) -> DataFrame:
+    """One row (key, value, evidence, links, sources) for each key of candidates(key, place, value, evidence, links, sources).
+
+    Neighbours by place are joined pair by pair, in as many rounds as it takes to halve the longest key to one; every
+    round hands all pairs of all keys to the model, batch at a time, wherever their rows lie. What it makes of a pair has
+    to be sound(): a value, evidence and links of these two only, and as sources just `left` and `right`. Sources of the
+    two are then carried on. A key with anything else is left out. Candidates without a place or key are no candidates.
+    """
+    kind = candidates.schema[key].dataType.simpleString()
+    fields = ["value", "evidence", "links", "sources"]
+    whole = [F.coalesce(F.col(c), F.array()).cast(t).alias(c) for c, t in (("evidence", "array<string>"), ("links", "array<struct<relation:string,ref:string>>"), ("sources", "array<string>"))]
+    order = F.row_number().over(Window.partitionBy(key).orderBy("place")) - 1
+    level = kept(candidates.where(F.col(key).isNotNull() & F.col("place").isNotNull()).select(key, order.cast("long").alias("place"), "value", *whole))
+    while (level.agg(F.max("place")).first()[0] or 0) > 0:
+        half = F.struct(*fields)
+        side = lambda odd: F.max(F.when(F.col("place") % 2 == odd, half))
+        pairs = level.groupBy(key, F.floor(F.col("place") / 2).alias("place")).agg(side(0).alias("a"), side(1).alias("b"))
+        of, schema = _asked(key, kind, merge, batch)
+        made = pairs.where("b IS NOT NULL").mapInPandas(of, schema).select(key, "place", F.struct(*fields).alias("m"))
+        met = pairs.where("b IS NOT NULL").join(made, [key, "place"])
+        within = lambda name: F.size(F.array_except(f"m.{name}", F.array_union(f"a.{name}", f"b.{name}"))) == 0
+        fine = (F.coalesce(trim_space(F.col("m.value")), F.lit("")) != "") & within("evidence") & within("links") & (F.sort_array("m.sources") == F.array(F.lit("left"), F.lit("right")))
+        met = kept(met.select(key, "place", fine.alias("fine"), "m.value", F.array_distinct("m.evidence").alias("evidence"), F.array_distinct("m.links").alias("links"), F.array_union("a.sources", "b.sources").alias("sources")))
+        bad = met.where("NOT fine").select(key).distinct()
+        single = pairs.where("b IS NULL").select(key, "place", "a.*")
+        level = kept(met.where("fine").drop("fine").unionByName(single).join(bad, key, "left_anti"))
+    return level.select(key, *fields)
+
+
 def consolidated(candidates: list[Candidate], merge: Callable[[Candidate, Candidate], Candidate | None]) -> Candidate | None:
     """A key's candidates as one, pair by pair; None as soon as what merge gives is not sound. Links and evidence once each."""
     level = list(candidates)

@@ -588,6 +588,28 @@ def pairwise_reduce(spark, d):
     return transcripts.reduced(groups.select("key", "values"), "key", lambda a, b: None if a.endswith("click") and b.startswith("error") else a + b)
 
 
+@query(
+    """WITH k AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), g AS (SELECT user_id AS key, count(*) AS n, string_agg(event_type, '' ORDER BY event_id) AS value,
+string_agg('E' || event_id, ' ' ORDER BY event_id) AS evidence, string_agg('S' || event_id, ' ' ORDER BY event_id) AS sources, (SELECT string_agg(DISTINCT x.event_type, ' ' ORDER BY x.event_type) FROM events x WHERE x.user_id = k.user_id) AS links FROM k GROUP BY user_id)
+SELECT key, value, evidence, sources, links FROM g WHERE n = 1 OR key % 5 <> 0"""
+)
+def consolidated_candidates(spark, d):
+    """Proposals of each user joined round by round with what they rest on; every fifth user's model invents evidence, which drops the key."""
+    e = table(spark, d, "events")
+    name = lambda letter: F.array(F.concat(F.lit(letter), F.col("event_id").cast("string")))
+    links = F.array(F.struct(F.lit("applies_to").alias("relation"), F.col("event_type").alias("ref")))
+    rows = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("place"), F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("!"), "event_type")).otherwise(F.col("event_type")).alias("value"), name("E").alias("evidence"), links.alias("links"), name("S").alias("sources"))
+
+    def merge(pairs):
+        made = lambda a, b: transcripts.Candidate(a.value + b.value, (*a.evidence, *b.evidence, *(("E0",) if a.value.startswith("!") else ())), (*a.links, *b.links), ("left", "right"))
+        return [made(a, b) for a, b in pairs]
+
+    found = transcripts.consolidated_all(rows, "key", merge)
+    numbers = lambda c: F.array_join(F.transform(F.array_sort(F.transform(c, lambda x: F.substr(x, F.lit(2)).cast("long"))), lambda n: F.concat(F.left(F.col(c)[0], F.lit(1)), n.cast("string"))), " ")
+    listed = F.array_join(F.array_sort(F.array_distinct(F.transform("links", lambda x: x["ref"]))), " ")
+    return found.select("key", F.regexp_replace("value", "^!", "").alias("value"), numbers("evidence").alias("evidence"), numbers("sources").alias("sources"), listed.alias("links"))
+
+
 @query("SELECT 's' || user_id AS key, event_id::VARCHAR AS id, event_type AS phase, CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'pending' END AS kind FROM events ORDER BY event_id DESC LIMIT 100")
 def reconcile_runs(spark, d):
     """Pending and completed runs together, newest first."""

@@ -333,3 +333,27 @@ def test_shortest_paths_from_both_ends_are_the_first_in_order(spark, seed):
     for source, target in [("n0", "n7"), ("n7", "n0"), ("n3", "hub5"), ("n1", "nowhere")]:
         want = plain_path(links, source, target)
         assert [tuple(x)[1:] for x in graph.shortest_path(edges, source, target).orderBy("step").collect()] == (want or [])
+
+
+def test_rounds_join_candidates_as_one_after_the_other(spark):
+    r = random.Random(6)
+    kind = "key string, " + transcripts.CANDIDATE
+    groups = {f"k{n}": [transcripts.Candidate(f"v{i}", (f"e{i}", f"e{r.randrange(3)}"), (("applies_to", f"m{r.randrange(3)}"),), (f"s{i}",)) for i in range(n)] for n in (1, 2, 3, 5, 8, 13)}
+    rows = [(k, 10 * i, c.value, list(c.evidence), list(c.links), list(c.sources)) for k, x in groups.items() for i, c in enumerate(x)] + [(None, 1, "x", None, None, None), ("k1", None, "x", None, None, None)]
+    frame = spark.createDataFrame(rows, kind).repartition(3)
+
+    def merged(bad):
+        def of(a, b):
+            c = transcripts.Candidate(f"({a.value} {b.value})", (*a.evidence, *b.evidence), (*a.links, *b.links), ("left", "right"))
+            if "v2" not in a.value:
+                return c
+            return {"none": None, "value": c._replace(value=" "), "evidence": c._replace(evidence=("other",)), "links": c._replace(links=(("x", "y"),)), "sources": c._replace(sources=("left", "left"))}.get(bad, c)
+
+        return of
+
+    for bad in ("nothing", "none", "value", "evidence", "links", "sources"):
+        one = merged(bad)
+        found = {x.key: (x.value, set(x.evidence), {tuple(y) for y in x.links}, set(x.sources)) for x in transcripts.consolidated_all(frame, "key", lambda pairs, one=one: [one(a, b) for a, b in pairs], 2).collect()}
+        want = {k: transcripts.consolidated(x, one) for k, x in groups.items()}
+        assert found == {k: (c.value, set(c.evidence), set(c.links), set(c.sources)) for k, c in want.items() if c is not None}
+    assert transcripts.consolidated_all(frame.limit(0), "key", lambda pairs: []).count() == 0
