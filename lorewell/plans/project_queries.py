@@ -517,7 +517,7 @@ def _published(spark, d) -> dict:
     node = lambda df, key, label, owner: df.select(key.alias("id"), F.col(label).alias("label"), F.lit(owner).alias("owner"), F.lit("active").alias("state"), F.lit("material").alias("kind"), key.alias("ref"))
     links = lambda by, owner: o.where(f"o_orderkey % {by} = 0").select(order.alias("source_id"), F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("target_id"), F.lit("applies_to").alias("relation"), F.lit(owner).alias("owner")).distinct()
     state = new_state(spark, nodes=node(c, person, "c_name", "observed").unionByName(node(o, order, "o_orderpriority", "durable")), edges=links(4, "durable"))
-    fresh = node(c.where("c_custkey % 3 <> 0"), person, "c_name", "observed").select("id", "label", F.lit("").alias("subkind"), "ref", F.lit("file:x").alias("material_uri"), F.lit("m").alias("material_id"), F.lit("").alias("locator"), F.lit("").alias("content"))
+    fresh = node(c.where("c_custkey % 3 <> 0"), person, "c_name", "observed").select("id", "label", "kind", F.lit("").alias("subkind"), "ref", F.lit("file:x").alias("material_uri"), F.lit("m").alias("material_id"), F.lit("").alias("locator"), F.lit("").alias("content"))
     return update.publish(state, state["materials"], fresh, state["claims"], links(6, "observed"))
 
 
