@@ -157,5 +157,10 @@ def numbered(rows: DataFrame, parts: int = 4096) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law (`bytes`), shard, slot and grown_shard (null under this law) of every document.
+
+    A null text counts as an empty one. Equal texts, repeated rows among them, share a shard; a group of them heavier
+    than an even share has one of its own. Rows without an id are dealt as others are. No documents give no rows.
+    """
     out = shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
