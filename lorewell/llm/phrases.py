@@ -26,7 +26,7 @@ LONGEST, LEAST, COVERED, TOP, SCALE = 4, 30, (80, 100), 2000, 2_000_000
 #: Words of a shard, pairs of bitmap bytes that meet at a time, bytes of text that are split at a time.
 SHARD, MEETING, SLICE = 250_000, 1 << 19, 1 << 22
 #: Bits of the filter of frequent phrases: at least, at most, and for each phrase.
-FILTER_BITS, MOST_FILTER_BITS, BITS_PER_PHRASE = 1 << 20, 1 << 28, 16
+FILTER_BITS, MOST_FILTER_BITS, BITS_PER_PHRASE = 1 << 20, 1 << 28, 256
 #: Numbers that pairs are counted by at first, for each word there is; pairs that share one are told apart afterwards.
 KEYS_PER_WORD = 16
 #: Parts the languages of a top list are cut into before they meet.
