@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import kept
+from ..checkpoints import kept, spread
 
 
 def latest(log: DataFrame, keys: list[str], seq: Column) -> DataFrame:
@@ -53,19 +53,21 @@ def mentioned(texts: DataFrame, needles: DataFrame, text: str, needle: str, word
     are looked up by their first GRAM characters, or all if they have fewer, among the runs of as many characters of
     the texts. No join compares every text with every needle.
     """
-    w, tw = F.split(F.col(needle), " "), F.split(F.col(text), " ")
+    w = F.split(F.col(needle), " ")
     long = F.size(w) > words + 1
     size = F.least(F.length(needle), F.lit(GRAM))
     # a needle's key, and how many characters it has (0: it is a run of words)
     key = F.when(long, F.concat_ws(" ", F.slice(w, 2, words))).otherwise(F.left(F.col(needle), size))
     keyed = needles.where(F.col(needle) != "").withColumns({"_key": key, "_size": F.when(long, 0).otherwise(size)})
     sizes = [r[0] for r in keyed.select("_size").distinct().collect()]  # GRAM and one at most
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tw) - words + 1, F.lit(1)))
-    runs = {0: F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tw, i, words)))}
+    # A text is split once and its words are bound to a name: written into the inner lambda, split would run for each word.
+    split = F.array(F.split(F.col(text), " "))
+    starts = lambda tw: F.sequence(F.lit(1), F.greatest(F.size(tw) - words + 1, F.lit(1)))
+    runs = {0: F.transform(split, lambda tw: F.transform(starts(tw), lambda i: F.concat_ws(" ", F.slice(tw, i, words))))[0]}
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))
     runs |= {n: grams(n) for n in range(1, GRAM + 1)}
-    # Texts stay where they are: their rows' numbers meet the needles by key, and come back for the literal test.
-    rows = kept(texts.where(F.col(text).isNotNull()).withColumn("_row", F.monotonically_increasing_id()))
+    # Texts are dealt once: their rows' numbers meet the needles by key, and come back for the literal test.
+    rows = kept(spread(texts.where(F.col(text).isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "_row"))
     needs = kept(keyed.withColumn("_needle", F.monotonically_increasing_id()))
     pairs = None
     for n in sizes:
@@ -73,7 +75,8 @@ def mentioned(texts: DataFrame, needles: DataFrame, text: str, needle: str, word
         pairs = one if pairs is None else pairs.unionByName(one)
     if pairs is None:
         return rows.drop("_row").join(needs.drop("_key", "_size", "_needle"), F.lit(False), "inner")
-    met = pairs.distinct().join(needs.drop("_key", "_size"), "_needle").join(rows, "_row").drop("_row", "_needle")
+    # Texts never go to the driver, however small their files are.
+    met = pairs.distinct().join(needs.drop("_key", "_size"), "_needle").join(rows.hint("merge"), "_row").drop("_row", "_needle")
     return met.where(F.contains(F.col(text), F.col(needle)))
 
 
