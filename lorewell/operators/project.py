@@ -8,11 +8,16 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import spread
 from ..functions.text import identity
 from ..state import State
 from .records import upsert
 
 
+#: Parts over which the resources of one identity are dealt.
+SALTS = 32
+
+
 class Ambiguous(ValueError):
     """More than one project answers."""
 
@@ -35,8 +40,28 @@ def listed(projects: DataFrame) -> DataFrame:
 
 
 def of_resources(resources: DataFrame, projects: DataFrame) -> DataFrame:
-    """(project_id, resource columns): observed resources of the projects that know them by provider and identity."""
-    return resources.join(projects.select("project_id", "provider", "identity"), ["provider", "identity"])
+    """(project_id, resource columns): observed resources of the projects that know them by provider and identity.
+
+    An identity that very many share is met by as many tasks as others: its resources are dealt over SALTS parts, to
+    each of which its projects are copied.
+    """
+    keys = ["provider", "identity", "_salt"]
+    dealt = spread(resources.withColumn("_salt", F.pmod(F.xxhash64(*resources.columns), F.lit(SALTS)).cast("int")), *keys)
+    known = projects.select("project_id", "provider", "identity", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return dealt.join(spread(known, *keys).hint("shuffle_hash"), keys).drop("_salt")
+
+
+def owners(resources: DataFrame, projects: DataFrame, key: str) -> DataFrame:
+    """(key, project_id), each once: which projects know the resource of a key by any provider and identity it has.
+
+    A key with one identity meets a project once, so only the pairs of the others are compared with each other.
+    """
+    known = projects.select("project_id", "provider", "identity").distinct()
+    each = resources.select(key, "provider", "identity").distinct()
+    named = each.groupBy(key).agg(F.min(F.struct("provider", "identity")).alias("x"), F.count("*").alias("n"))
+    one = of_resources(named.where("n = 1").select(key, "x.provider", "x.identity"), known).select(key, "project_id")
+    more = each.join(named.where("n > 1").select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return one.unionByName(of_resources(more, known).select(key, "project_id").distinct())
 
 
 def deepest_roots(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root", owner: str = "project_id") -> DataFrame:

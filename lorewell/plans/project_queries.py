@@ -230,7 +230,7 @@ def project_longest_prefix(spark, d):
 def projects_of_resources(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("provider"), F.col("c_nationkey").cast("string").alias("identity"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("project_id"), F.lit("BUILDING").alias("provider"), F.col("s_nationkey").cast("string").alias("identity"))
-    return project.of_resources(c, s).select("c_custkey", "project_id").distinct()
+    return project.owners(c, s, "c_custkey")
 
 
 # --- the graph

@@ -2,7 +2,7 @@
 
 import time
 
-from lorewell.operators import records
+from lorewell.operators import project, records
 
 
 def plan(df) -> str:
@@ -17,3 +17,12 @@ def test_a_text_is_split_once_for_all_its_words(spark):
     assert [(r.id, r.item) for r in records.mentioned(texts, needles, "text", "needle").collect()] == [(1, "a")]
     assert time.time() - start < 12
     assert "strategy=merge" in plan(records.mentioned(texts, needles, "text", "needle"))
+
+
+def test_owners_meet_each_project_once_without_comparing_all_pairs(spark):
+    resources = spark.createDataFrame([(1, "git", "a"), (1, "git", "b"), (2, "git", "a"), (2, "git", "a"), (3, "git", "z"), (4, "git", None)], "key long, provider string, identity string")
+    projects = spark.createDataFrame([(10, "git", "a"), (10, "git", "b"), (11, "git", "b"), (11, "git", "b"), (12, "svn", "a")], "project_id long, provider string, identity string")
+    found = project.owners(resources, projects, "key")
+    assert sorted(map(tuple, found.collect())) == [(1, 10), (1, 11), (2, 10)]
+    single = project.of_resources(resources, projects)
+    assert sorted((r.key, r.project_id) for r in single.collect()) == [(1, 10), (1, 10), (1, 11), (1, 11), (2, 10), (2, 10)]
