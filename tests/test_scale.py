@@ -3,6 +3,7 @@
 import time
 
 from lorewell.operators import project, records
+from lorewell.sources import golang
 
 
 def plan(df) -> str:
@@ -26,3 +27,10 @@ def test_owners_meet_each_project_once_without_comparing_all_pairs(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 10), (1, 11), (2, 10)]
     single = project.of_resources(resources, projects)
     assert sorted((r.key, r.project_id) for r in single.collect()) == [(1, 10), (1, 10), (1, 11), (1, 11), (2, 10), (2, 10)]
+
+
+def test_go_files_of_one_partition_are_read_by_many_tasks(spark):
+    sources = spark.createDataFrame([(f"m{i}", "package p\n\nfunc f() { g() }\n") for i in range(50)], "material_id string, text string").coalesce(1)
+    found = golang.facts(sources)
+    assert found.rdd.getNumPartitions() > 1
+    assert found.where("label = 'f()' AND calls = array('g()')").count() == 50
