@@ -16,6 +16,8 @@ from .records import upsert
 
 # What a key looks like, and the kind of node that each kind of memory becomes.
 KEY = r"^[A-Za-z0-9][A-Za-z0-9_-]*(\.[A-Za-z0-9][A-Za-z0-9_-]*)*$"
+#: The same with white space of any script around it and 255 characters at most, all ASCII; a longer run fails where it is too long.
+TRIMMED_KEY = r"(?U)^\s*+(?=[A-Za-z0-9_.-]{1,255}+(?![A-Za-z0-9_.-]))" + KEY.strip("^$") + r"\s*+\z"
 NODE_KINDS = {"note": "knowledge", "decision": "intent", "reference": "reference"}
 #: Proposals of one reconciliation.
 MOST = 20
@@ -27,7 +29,7 @@ class Conflict(ValueError):
 
 def valid_key(key: Column) -> Column:
     """Whether a key, trimmed, is a dotted address of at most 255 bytes."""
-    return F.coalesce(trim_space(key).rlike(KEY) & (F.octet_length(trim_space(key)) <= 255), F.lit(False))
+    return F.coalesce(key.rlike(TRIMMED_KEY), F.lit(False))
 
 
 def checked_key(key: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import folder, kept
+from ..checkpoints import folder, kept, spread
 from ..functions import text as tx
 from ..operators import embeddings, graph, memory, postings, prepare, project, ranking, records, transcripts, update
 from ..sources import files
@@ -149,8 +149,14 @@ def needs_reviews(spark, d):
 
 @query("SELECT k AS key, regexp_full_match(trim(k), '[A-Za-z0-9][A-Za-z0-9_-]*(\\.[A-Za-z0-9][A-Za-z0-9_-]*)*') AND length(trim(k)) <= 255 AS valid FROM (SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN ' a.' || page_id || '-x ' WHEN 1 THEN url ELSE repeat('k', page_id::INT) END AS k FROM pages)")
 def key_validation(spark, d):
+    """Keys as a text and how often it is repeated, so that each is told apart before it is long: `k` so many times, or once what it is."""
     n = F.col("page_id")
-    keys = table(spark, d, "pages").select(F.when(n % 3 == 0, F.concat(F.lit(" a."), n.cast("string"), F.lit("-x "))).when(n % 3 == 1, F.col("url")).otherwise(F.repeat(F.lit("k"), n.cast("int"))).alias("key")).distinct()
+    text = F.when(n % 3 == 0, F.concat(F.lit(" a."), n.cast("string"), F.lit("-x "))).when(n % 3 == 1, F.col("url")).otherwise("k")
+    made = table(spark, d, "pages").select(text.alias("text"), F.when(n % 3 < 2, 1).otherwise(n.cast("int")).alias("times"))
+    run = F.col("text").rlike(r"^k*\z")
+    times = F.when(F.col("times") < 0, 0).otherwise(F.col("times"))
+    short = made.select(F.when(F.col("times").isNotNull(), F.when(run, "k").otherwise(F.col("text"))).alias("text"), F.coalesce(F.when(run, F.length("text") * times), F.lit(1)).alias("times"))
+    keys = spread(short, "text", "times").distinct().select(F.repeat("text", F.col("times")).alias("key"))
     return keys.select("key", memory.valid_key(F.col("key")).alias("valid"))
 
 

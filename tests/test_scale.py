@@ -2,7 +2,10 @@
 
 import time
 
-from lorewell.operators import project, records
+from pyspark.sql import functions as F
+
+from lorewell.operators import memory, project, records
+from lorewell.plans.project_queries import key_validation
 from lorewell.sources import golang
 
 
@@ -34,3 +37,14 @@ def test_go_files_of_one_partition_are_read_by_many_tasks(spark):
     found = golang.facts(sources)
     assert found.rdd.getNumPartitions() > 1
     assert found.where("label = 'f()' AND calls = array('g()')").count() == 50
+
+
+def test_keys_are_told_apart_before_they_are_long(spark, tmp_path):
+    rows = [(0, "u"), (1, "kkkkk"), (4, "x.y"), (7, None), (5, "u"), (2, "u"), (5, "u"), (None, "u"), (10, "x.y")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = key_validation(spark, str(tmp_path))
+    assert "Aggregate [repeat" not in plan(found) and "Aggregate [CASE" not in plan(found)
+    want = [(" a.0-x ", True), ("kkkkk", True), ("x.y", True), (None, False), ("kk", True)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    for key, valid in (("k" * 255, True), (" \u3000" + "k" * 255 + "\n", True), ("k" * 256, False), ("a..b", False), ("a b", False), ("", False), (".a", False), ("a.\n", False), ("é", False), ("a-_.b\r\n", True)):
+        assert spark.createDataFrame([(key,)], "key string").select(memory.valid_key(F.col("key"))).first()[0] is valid, key
