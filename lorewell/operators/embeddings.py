@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,23 +48,27 @@ def status(stored: DataFrame, wanted: DataFrame, model: str) -> DataFrame:
 def embedded(texts: DataFrame, model: Model, dimensions: int = DIMENSIONS, batch: int = BATCH) -> DataFrame:
     """texts(…, text) with vector in place of text: tasks hand the model so many texts at a time.
 
+    No more texts than that are Python objects at once; the others stay in Arrow.
+
     An empty text, or an answer of another number, length or with numbers that are not finite, is an error.
     """
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                asked = part["text"].tolist()
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                asked = part.column("text").to_pylist()
                 if not all(x and x.strip() for x in asked):
                     raise ValueError("a text to embed is empty")
                 made = model(asked)
                 if len(made) != len(asked) or any(len(v) != dimensions for v in made) or any(x != x or x in (float("inf"), float("-inf")) for v in made for x in v):
                     raise ValueError("the model's vectors are not as many, as long or as finite as asked")
-                yield part.drop(columns="text").assign(vector=[[float(x) for x in v] for v in made])
+                vectors = pa.array([[float(x) for x in v] for v in made], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], vectors], names=[*names, "vector"])
 
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text"]
-    return texts.mapInPandas(of, ", ".join([*rest, "vector array<double>"]))
+    names = [f.name for f in texts.schema if f.name != "text"]
+    return texts.mapInArrow(of, ", ".join([*rest, "vector array<double>"]))
 
 
 def backfilled(stored: DataFrame, wanted: DataFrame, name: str, model: Model, most: int | None = None, dimensions: int = DIMENSIONS) -> DataFrame:

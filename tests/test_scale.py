@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lorewell.operators import memory, project, records
+from lorewell.operators import embeddings, memory, project, records
 from lorewell.plans.project_queries import key_validation
 from lorewell.sources import golang
 
@@ -48,3 +48,10 @@ def test_keys_are_told_apart_before_they_are_long(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     for key, valid in (("k" * 255, True), (" \u3000" + "k" * 255 + "\n", True), ("k" * 256, False), ("a..b", False), ("a b", False), ("", False), (".a", False), ("a.\n", False), ("é", False), ("a-_.b\r\n", True)):
         assert spark.createDataFrame([(key,)], "key string").select(memory.valid_key(F.col("key"))).first()[0] is valid, key
+
+
+def test_texts_to_embed_stay_in_arrow(spark):
+    texts = spark.createDataFrame([(str(i), "x" * i) for i in range(1, 70)], "node_id string, text string")
+    made = embeddings.embedded(texts, lambda given: [[float(len(t)), 0.0] for t in given], 2)
+    assert "MapInPandas" not in plan(made)
+    assert {r.node_id: r.vector for r in made.collect()} == {str(i): [float(i), 0.0] for i in range(1, 70)}
