@@ -10,14 +10,12 @@ STOP_WORDS = (
     "a an and are as at be by did do does for from how i in is it of on or our should that the this to we what when where which who why with you your"
 ).split()
 KOREAN_SUFFIXES = "에서 에게 부터 까지 으로 은 는 이 가 을 를 과 와 의 에 로 도 만".split()
-TOKEN_PATTERN = "[A-Za-z0-9_-]+|[가-힣]{2,}"
+TOKEN_PATTERN = "[A-Za-z0-9_-]{2,}|[가-힣]{2,}"
 
 
 def lexical_tokens(text: Column) -> Column:
     """Lower-cased tokens of two characters or more that are no stop words, each Korean one followed by its stem."""
-    kept = F.filter(
-        F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0)), F.lower), lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS)
-    )
+    kept = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0)), F.lower), lambda t: ~t.isin(STOP_WORDS))
 
     def stem(t: Column) -> Column:
         out = F.when(F.lit(False), F.lit(""))
@@ -25,7 +23,9 @@ def lexical_tokens(text: Column) -> Column:
             out = out.when(F.endswith(t, F.lit(s)) & (F.length(t) - len(s) >= 2), F.left(t, F.length(t) - len(s)))
         return out
 
-    return F.flatten(F.transform(kept, lambda t: F.array_compact(F.array(t, stem(t)))))
+    # Endings are looked for only where a text has a Korean token at all, and in tokens that are Korean.
+    stemmed = F.flatten(F.transform(kept, lambda t: F.when(t < "가", F.array(t)).otherwise(F.array_compact(F.array(t, stem(t))))))
+    return F.when(F.coalesce(text, F.lit("")).rlike("[가-힣]{2}"), stemmed).otherwise(kept)
 
 
 def trim_space(text: Column) -> Column:

@@ -2,9 +2,11 @@
 
 import time
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lorewell.operators import embeddings, memory, project, records
+from lorewell.functions.text import lexical_tokens
+from lorewell.operators import embeddings, memory, postings, project, records
 from lorewell.plans.project_queries import key_validation
 from lorewell.sources import golang
 
@@ -55,3 +57,13 @@ def test_texts_to_embed_stay_in_arrow(spark):
     made = embeddings.embedded(texts, lambda given: [[float(len(t)), 0.0] for t in given], 2)
     assert "MapInPandas" not in plan(made)
     assert {r.node_id: r.vector for r in made.collect()} == {str(i): [float(i), 0.0] for i in range(1, 70)}
+
+
+def test_an_index_tokenizes_one_partition_by_many_tasks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} The 검색에서 x") for i in range(50)], "id long, text string").coalesce(1)
+    index = postings.Index(spark, f"{tmp_path}/index", 4)
+    index.update(docs, "id", ["text"])
+    parts = [p for p in (tmp_path / "index").glob("part-*/documents/part-*.parquet") if pq.read_metadata(p).num_rows]
+    assert len(parts) > 1
+    assert sorted(r.id for r in index.matches(["검색"]).collect()) == sorted(map(str, range(50)))
+    assert spark.createDataFrame([("A The x 검색에서 가 ab",), ("K The a-b",), (None,)], "text string").select(lexical_tokens(F.col("text"))).collect() == [(["검색에서", "검색", "ab"],), (["a-b"],), ([],)]
