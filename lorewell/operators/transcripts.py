@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -193,8 +194,8 @@ def reduced(groups: DataFrame, key: str, merge: Callable[[str, str], str | None]
     return groups.mapInPandas(of, f"{key} {groups.schema[key].dataType.simpleString()}, value string")
 
 
-#: Candidates as rows, beside the key: their place among those of a key, and the fields of a Candidate.
-CANDIDATE = "place long, value string, evidence array<string>, links array<struct<relation:string,ref:string>>, sources array<string>"
+#: Joined candidates as rows, beside the key: their place among those of a key, whether they are sound, and the fields of a Candidate.
+JOINED = "place long, fine boolean, value string, evidence array<string>, links array<struct<relation:string,ref:string>>, sources array<string>"
 #: Pairs that a model gets at a time.
 PAIRS = 32
 #: Pairs of candidates to what a model makes of each, in order; nothing for a pair that it cannot join.
@@ -202,23 +203,42 @@ Merge = Callable[[list[tuple[Candidate, Candidate]]], list[Candidate | None]]
 
 
 def _asked(key: str, kind: str, merge: Merge, batch: int):
-    """What a model makes of pairs (key, place, a, b), so many at a time; no value where it makes nothing."""
+    """What a model makes of pairs (key, place, a, b), so many at a time, and whether it rests on the pair alone; no value where it makes nothing.
 
-    def one(c) -> Candidate:
-        listed = lambda name: c[name] if c[name] is not None else []
-        return Candidate(c["value"], tuple(listed("evidence")), tuple((x["relation"], x["ref"]) for x in listed("links")), tuple(listed("sources")))
+    Links and evidence stand once each; the sources are those of the two.
+    """
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                made = merge([(one(a), one(b)) for a, b in zip(part["a"], part["b"], strict=True)])
-                if len(made) != len(part):
+    def tuples(lists: pa.ListArray, items: Callable[[pa.Array], list]) -> list[tuple]:
+        ends = lists.offsets.to_pylist()
+        flat = items(lists.values.slice(ends[0], ends[-1] - ends[0]))
+        return [tuple(flat[a - ends[0] : b - ends[0]]) for a, b in zip(ends, ends[1:])]  # noqa: B905
+
+    def read(side: pa.StructArray) -> list[Candidate]:
+        """Column by column: an object for each row's nested fields would take most of the time."""
+        texts = lambda c: c.to_pylist()
+        named = lambda c: list(zip(texts(c.field("relation")), texts(c.field("ref")), strict=True))
+        columns = [texts(side.field("value")), *[tuples(side.field(n), f) for n, f in (("evidence", texts), ("links", named), ("sources", texts))]]
+        return [Candidate(*c) for c in zip(*columns, strict=True)]
+
+    strings, linked = pa.list_(pa.string()), pa.list_(pa.struct([("relation", pa.string()), ("ref", pa.string())]))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for all_ in batches:
+            for at in range(0, all_.num_rows, batch):
+                part = all_.slice(at, batch)
+                pairs = list(zip(read(part.column("a")), read(part.column("b")), strict=True))
+                made = merge(pairs)
+                if len(made) != len(pairs):
                     raise ValueError("the model's answers are not as many as the pairs")
                 rows = [c or Candidate("") for c in made]
-                yield pd.DataFrame({key: part[key], "place": part["place"], "value": [c.value for c in rows], "evidence": [list(c.evidence) for c in rows], "links": [[{"relation": r, "ref": x} for r, x in c.links] for c in rows], "sources": [list(c.sources) for c in rows]})
+                within = [all(set(getattr(c, name)) <= {*getattr(a, name), *getattr(b, name)} for name in ("evidence", "links")) and same_set(c.sources, ("left", "right")) for c, (a, b) in zip(rows, pairs, strict=True)]
+                once = lambda name: [list(dict.fromkeys(getattr(c, name))) for c in rows]
+                carried = [list(dict.fromkeys((*a.sources, *b.sources))) for a, b in pairs]
+                links = [[{"relation": r, "ref": x} for r, x in c] for c in once("links")]
+                columns = {"fine": pa.array(within, pa.bool_()), "value": pa.array([c.value for c in rows], pa.string()), "evidence": pa.array(once("evidence"), strings), "links": pa.array(links, linked), "sources": pa.array(carried, strings)}
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("place"), *columns.values()], names=[key, "place", *columns])
 
-    return of, f"{key} {kind}, {CANDIDATE}"
+    return of, f"{key} {kind}, {JOINED}"
 
 
 def consolidated_all(candidates: DataFrame, key: str, merge: Merge, batch: int = PAIRS) -> DataFrame:
@@ -235,15 +255,14 @@ def consolidated_all(candidates: DataFrame, key: str, merge: Merge, batch: int =
     order = F.row_number().over(Window.partitionBy(key).orderBy("place")) - 1
     level = kept(candidates.where(F.col(key).isNotNull() & F.col("place").isNotNull()).select(key, order.cast("long").alias("place"), "value", *whole))
     while (level.agg(F.max("place")).first()[0] or 0) > 0:
-        half = F.struct(*fields)
-        side = lambda odd: F.max(F.when(F.col("place") % 2 == odd, half))
-        pairs = level.groupBy(key, F.floor(F.col("place") / 2).alias("place")).agg(side(0).alias("a"), side(1).alias("b"))
+        # Rows are dealt by pair once and met within it: both sides of a pair are never compared or joined with others.
+        half, pair = F.struct(*fields), F.floor(F.col("place") / 2)
+        sides = level.select(key, "place", half.alias("a"), F.lead(half).over(Window.partitionBy(key, pair).orderBy("place")).alias("b"))
+        pairs = sides.where("place % 2 = 0").select(key, pair.alias("place"), "a", "b")
         of, schema = _asked(key, kind, merge, batch)
-        made = pairs.where("b IS NOT NULL").mapInPandas(of, schema).select(key, "place", F.struct(*fields).alias("m"))
-        met = pairs.where("b IS NOT NULL").join(made, [key, "place"])
-        within = lambda name: F.size(F.array_except(f"m.{name}", F.array_union(f"a.{name}", f"b.{name}"))) == 0
-        fine = (F.coalesce(trim_space(F.col("m.value")), F.lit("")) != "") & within("evidence") & within("links") & (F.sort_array("m.sources") == F.array(F.lit("left"), F.lit("right")))
-        met = kept(met.select(key, "place", fine.alias("fine"), "m.value", F.array_distinct("m.evidence").alias("evidence"), F.array_distinct("m.links").alias("links"), F.array_union("a.sources", "b.sources").alias("sources")))
+        made = pairs.where("b IS NOT NULL").mapInArrow(of, schema)
+        fine = F.col("fine") & (F.coalesce(trim_space(F.col("value")), F.lit("")) != "")
+        met = kept(made.withColumn("fine", fine))
         bad = met.where("NOT fine").select(key).distinct()
         single = pairs.where("b IS NULL").select(key, "place", "a.*")
         level = kept(met.where("fine").drop("fine").unionByName(single).join(bad, key, "left_anti"))

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import lexical_tokens
-from lorewell.operators import embeddings, memory, postings, project, records
+from lorewell.operators import embeddings, memory, postings, project, records, transcripts
 from lorewell.plans.project_queries import key_validation
 from lorewell.sources import golang
 
@@ -67,3 +67,13 @@ def test_an_index_tokenizes_one_partition_by_many_tasks(spark, tmp_path):
     assert len(parts) > 1
     assert sorted(r.id for r in index.matches(["검색"]).collect()) == sorted(map(str, range(50)))
     assert spark.createDataFrame([("A The x 검색에서 가 ab",), ("K The a-b",), (None,)], "text string").select(lexical_tokens(F.col("text"))).collect() == [(["검색에서", "검색", "ab"],), (["a-b"],), ([],)]
+
+
+def test_pairs_of_candidates_are_not_joined_with_what_is_made_of_them(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(transcripts, "kept", lambda df: plans.append(plan(df)) or df)
+    rows = spark.createDataFrame([("k", i, v, [f"E{i}"], [], [f"S{i}"]) for i, v in enumerate("abc")] + [("j", 0, "x", ["E0"], [], ["S0"]), ("j", 1, "y", None, None, None), ("bad", 0, "!", [], [], []), ("bad", 1, "!", [], [], [])], "key string, place long, value string, evidence array<string>, links array<struct<relation:string,ref:string>>, sources array<string>")
+    merge = lambda pairs: [transcripts.Candidate(a.value + b.value, (*a.evidence, *b.evidence, *(("E9",) if a.value == "!" else ())), (), ("right", "left")) for a, b in pairs]
+    found = {r.key: (r.value, r.evidence, r.sources) for r in transcripts.consolidated_all(rows, "key", merge).collect()}
+    assert found == {"k": ("abc", ["E0", "E1", "E2"], ["S0", "S1", "S2"]), "j": ("xy", ["E0"], ["S0"])}
+    assert not any("Join Inner" in p for p in plans)
