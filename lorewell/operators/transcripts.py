@@ -194,8 +194,9 @@ def reduced(groups: DataFrame, key: str, merge: Callable[[str, str], str | None]
     return groups.mapInPandas(of, f"{key} {groups.schema[key].dataType.simpleString()}, value string")
 
 
-#: Joined candidates as rows, beside the key: their place among those of a key, whether they are sound, and the fields of a Candidate.
-JOINED = "place long, fine boolean, value string, evidence array<string>, links array<struct<relation:string,ref:string>>, sources array<string>"
+#: Candidates as rows, beside the key: their place among those of a key, and the fields of a Candidate; joined ones with whether they are sound.
+CANDIDATE = "place long, value string, evidence array<string>, links array<struct<relation:string,ref:string>>, sources array<string>"
+JOINED = CANDIDATE.replace("place long, ", "place long, fine boolean, ")
 #: Pairs that a model gets at a time.
 PAIRS = 32
 #: Pairs of candidates to what a model makes of each, in order; nothing for a pair that it cannot join.
