@@ -40,14 +40,15 @@ def facts(materials: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     Go, calls: these are knowledge. A material without a text, or with one that cannot be read, is that node only. A
     section and another of the same label and occurrence in a deeper or higher level share an id: the last one stays.
     """
-    met = materials.select(F.col("id").alias("material_id"), "uri", "media_type", "processor").join(texts, "material_id", "left")
+    # A file's scan says nothing of how large the texts are that are made of it: they are never sent to the driver.
+    met = kept(materials.select(F.col("id").alias("material_id"), "uri", "media_type", "processor").join(texts.hint("merge"), "material_id", "left"))
     own = node_id(F.lit("material"), F.col("uri"))
     marked = kept(files.markdown(met.where("processor = 'markdown/v1' AND text IS NOT NULL").select("material_id", "text")))
     before = marked.where("line = 0").select("material_id", F.col("content").alias("before"))
     whole = F.when(F.col("processor") == "text/v1", F.coalesce("text", F.lit(""))).otherwise(F.coalesce("before", F.lit("")))
     label = F.regexp_replace(F.regexp_replace(F.substring_index("uri", "/", -1), "^resource:.*?/file:", ""), "^file:", "")
     root = met.join(before, "material_id", "left").select("material_id", own.alias("id"), label.alias("label"), F.lit("material").alias("kind"), F.lit("").alias("subkind"), F.col("uri").alias("ref"), F.col("uri").alias("material_uri"), F.lit("").alias("locator"), whole.alias("content"))
-    address = materials.select(F.col("id").alias("material_id"), F.col("uri").alias("material_uri"), own.alias("root"))
+    address = met.select("material_id", F.col("uri").alias("material_uri"), own.alias("root")).hint("merge")
     claim = lambda rows, source, target, name, relation: rows.select("material_id", source.alias("source_id"), target.alias("target_id"), name.alias("target"), F.lit(relation).alias("relation"))
 
     def known(rows: DataFrame, subkind, text) -> DataFrame:
@@ -61,7 +62,7 @@ def facts(materials: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     parents = heads.select("material_id", F.col("line").alias("parent_line"), node_id(F.lit("knowledge"), F.col("ref")).alias("parent"))
     inside = claim(heads.join(parents, ["material_id", "parent_line"], "left"), F.coalesce("parent", "root"), node_id(F.lit("knowledge"), F.col("ref")), F.lit(""), "contains")
     code = met.where("processor IN ('source-declarations/v1', 'go/v1') AND text IS NOT NULL").select("material_id", "media_type", "text")
-    found = kept(files.declarations(code)).join(address, "material_id")
+    found = kept(files.declarations(code).join(address, "material_id"))
     self = node_id(F.lit("knowledge"), F.col("ref"))
     holds = claim(found, F.col("root"), self, F.lit(""), "contains")
     calls = claim(found.select("*", F.explode("calls").alias("call")), self, F.lit(""), F.col("call"), "calls")

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import lexical_tokens
-from lorewell.operators import embeddings, memory, postings, project, records, transcripts
+from lorewell.operators import embeddings, memory, postings, project, records, transcripts, update
 from lorewell.plans.project_queries import key_validation
 from lorewell.sources import golang
 
@@ -77,3 +77,15 @@ def test_pairs_of_candidates_are_not_joined_with_what_is_made_of_them(spark, mon
     found = {r.key: (r.value, r.evidence, r.sources) for r in transcripts.consolidated_all(rows, "key", merge).collect()}
     assert found == {"k": ("abc", ["E0", "E1", "E2"], ["S0", "S1", "S2"]), "j": ("xy", ["E0"], ["S0"])}
     assert not any("Join Inner" in p for p in plans)
+
+
+def test_texts_of_files_are_not_sent_to_the_driver(spark, monkeypatch, tmp_path):
+    plans = []
+    whole = update.kept
+    monkeypatch.setattr(update, "kept", lambda df: plans.append(plan(df)) or whole(df))
+    spark.createDataFrame([("file:a.go", "package p\nfunc f() { g() }\n")], "uri string, text string").write.parquet(f"{tmp_path}/files")
+    read = spark.read.parquet(f"{tmp_path}/files").selectExpr("uri AS id", "uri", "'text/x-go' AS media_type", "'go/v1' AS processor", "text")
+    nodes, claims = update.facts(read.drop("text"), read.selectExpr("id AS material_id", "text"))
+    assert (nodes.count(), claims.count()) == (2, 2)
+    assert sum("Join LeftOuter" in p and "strategy=merge" in p for p in plans) == 1
+    assert sum("text#" in p and "Join LeftOuter" in p for p in plans) == 1  # and they are met once
