@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import kept
@@ -73,21 +73,29 @@ def link(state, source: tuple[str, str], target: tuple[str, str], relation: str,
     return True, changes
 
 
+def given() -> Column:
+    """Whether a claim gives the id of its target; only if not, the target's name counts."""
+    return F.coalesce("target_id", F.lit("")) != ""
+
+
 def resolve_claims(nodes: DataFrame, claims: DataFrame) -> DataFrame:
     """Edges from claims (source_id, target_id or target, relation): an id given, or a label that one node alone has.
 
     Only a label that no node has is tried as what follows the last point of a label. Loops and unknown ends go.
+    Labels are looked for once for each name, however many claims have it, and only by claims that give no id.
     """
-    ids = nodes.select("id").distinct()
-    once = lambda key: nodes.where(key.isNotNull()).groupBy(key.alias("target")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("one"))
-    by_label = once(F.col("label")).select("target", F.col("n").alias("n1"), F.col("one").alias("one1"))
+    named = claims.where(~given())
     tail = F.when(F.contains("label", F.lit(".")), F.substring_index("label", ".", -1))
-    by_tail = once(tail).select("target", F.col("n").alias("n2"), F.col("one").alias("one2"))
-    found = claims.join(by_label, "target", "left").join(by_tail, "target", "left")
-    named = F.when(F.col("n1") == 1, F.col("one1")).when(F.col("n1").isNull() & (F.col("n2") == 1), F.col("one2"))
-    given = F.when(F.coalesce("target_id", F.lit("")) != "", F.col("target_id")).otherwise(named)
-    edges = found.select("source_id", given.alias("target_id"), "relation").where("target_id IS NOT NULL AND source_id <> target_id").distinct()
-    return edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(*EDGE)
+    bearers = nodes.select("id", F.posexplode(F.array("label", tail)).alias("place", "target")).join(named.select("target").distinct(), "target", "left_semi")
+    # an id that is both the least and the greatest is the only one; place 0 is the label
+    ends = lambda place: [end(F.when(F.col("place") == place, F.col("id"))).alias(f"{name}{place}") for name, end in (("least", F.min), ("most", F.max))]
+    by_name = bearers.groupBy("target").agg(F.min("place").alias("place"), *ends(0), *ends(1))
+    only = lambda place: F.when(F.col(f"least{place}") == F.col(f"most{place}"), F.col(f"least{place}"))
+    one = by_name.select("target", F.when(F.col("place") == 0, only(0)).otherwise(only(1)).alias("target_id")).where("target_id IS NOT NULL")
+    ids = lambda end: nodes.select(F.col("id").alias(end))
+    edges = claims.where(given()).select(*EDGE).join(ids("target_id"), "target_id", "left_semi").select(*EDGE)
+    edges = edges.unionByName(named.select("source_id", "target", "relation").join(one, "target").select(*EDGE))
+    return edges.where("source_id <> target_id").join(ids("source_id"), "source_id", "left_semi").select(*EDGE).distinct()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..checkpoints import kept
 from ..functions.text import identity, material_id, node_id
 from ..sources import files
 from ..state import State
-from .graph import EDGE, resolve_claims
+from .graph import EDGE, given, resolve_claims
 from .records import snapshot_diff, upsert
 
 #: What of a material tells that it must be read again.
@@ -88,7 +88,7 @@ def publish(state: State, materials: DataFrame, nodes: DataFrame, claims: DataFr
     blank = {"owner": "durable", "state": "missing", "provenance": "durable-link", "material_id": "", "locator": "", "content": ""}
     held = state["nodes"].where("owner = 'observed'").join(touched, "id", "left_semi").withColumns({c: F.lit(v) for c, v in blank.items()})
     fresh = nodes.select("id", "label", "kind", "subkind", F.coalesce(F.nullif("ref", F.lit("")), "id").alias("ref"), F.lit("observed").alias("owner"), F.lit("active").alias("state"), F.col("material_uri").alias("provenance"), "material_id", "material_uri", "locator", "content")
-    now = upsert(state["nodes"].where("owner = 'durable'").unionByName(held.select(*state["nodes"].columns)), fresh, ["id"])
+    now = kept(upsert(state["nodes"].where("owner = 'durable'").unionByName(held.select(*state["nodes"].columns)), fresh, ["id"]))  # its ids are needed twice more
     new = edges.select(*EDGE).distinct().join(durable, EDGE, "left_anti").select(*EDGE, F.lit("observed").alias("owner"), F.lit("update").alias("provenance"))
     ids = now.select("id")
     links = durable.unionByName(new).join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
@@ -108,12 +108,16 @@ def update(state: State, observed: DataFrame, texts: DataFrame) -> tuple[dict[st
     changed = now.join(diff.where("status IN ('added', 'modified')"), "id", "left_semi")
     nodes, claims = map(kept, facts(changed, texts))
     claims = claims.select(*state["claims"].columns)
-    same = diff.where("status = 'unchanged'").select(F.col("id").alias("material_id"))
+    same = diff.where("status = 'unchanged'").select(F.col("id").alias("material_id"), F.lit(True).alias("same")).hint("merge")
+    parted = lambda df: kept(df.join(same, "material_id", "left").withColumn("same", F.col("same").isNotNull()))
     observed_nodes = state["nodes"].where("owner = 'observed'").select(*NODE)
     all_nodes = observed_nodes.join(same, "material_id", "left_semi").unionByName(nodes.select(*NODE))
-    gone = lambda df: df.join(same, "material_id", "left_anti")
-    old_claims = state["claims"].join(same, "material_id", "left_semi").select(*claims.columns)
-    edges = resolved_again(state["edges"], all_nodes, gone(observed_nodes).unionByName(nodes.select(*NODE)), old_claims, gone(state["claims"]), claims)
+    bare, before = parted(observed_nodes.select("material_id", "id", "label")), parted(state["claims"].select(*claims.columns))
+    of = lambda df, kind: df.where("same" if kind else "NOT same").drop("same")
+    fresh = nodes.select("id", "label")
+    stand, gone = (of(bare, x).select("id", "label") for x in (True, False))
+    old_claims = of(before, True)
+    edges = resolved_again(state["edges"], stand.unionByName(fresh), gone.unionByName(fresh), old_claims, of(before, False), claims)
     return counts, publish(state, now, all_nodes, old_claims.unionByName(claims), edges)
 
 
@@ -122,25 +126,17 @@ def resolved_again(edges: DataFrame, nodes: DataFrame, touched: DataFrame, old:
 
     edges are those of claims old and lost; touched are the nodes that came or went. A source is done again if it
     lost or got a claim, or if one of its claims names a touched label, what follows the last point of one, or a
-    touched id: all its claims are then resolved, among the nodes that bear one of their names. The other sources keep
-    their observed edges.
+    touched id: all its claims are then resolved. The other sources keep their observed edges.
     """
-    name, tail = F.col("label"), F.when(F.contains("label", F.lit(".")), F.substring_index("label", ".", -1))
-    names = touched.select(F.explode(F.array_compact(F.array(name, tail))).alias("target")).distinct()
-    ids = touched.select("id").distinct()
-    hit = old.join(names, "target", "left_semi").select("source_id")
-    for end in ("source_id", "target_id"):
-        hit = hit.unionByName(old.join(ids.withColumnRenamed("id", end), end, "left_semi").select("source_id"))
+    tail = F.when(F.contains("label", F.lit(".")), F.substring_index("label", ".", -1))
+    ways = lambda *pairs: F.explode(F.array(*[F.struct(F.lit(by_id).alias("by_id"), name.alias("name")) for by_id, name in pairs])).alias("way")
+    named = touched.select(ways((False, F.col("label")), (False, tail), (True, F.col("id")))).select("way.*").where("name IS NOT NULL").distinct()
+    asked = old.select("source_id", ways((False, F.when(~given(), F.col("target"))), (True, F.col("source_id")), (True, F.when(given(), F.col("target_id"))))).select("source_id", "way.*").where("name IS NOT NULL")
+    hit = asked.join(named, ["by_id", "name"], "left_semi").select("source_id")
     sources = kept(hit.unionByName(lost.select("source_id")).unionByName(new.select("source_id")).distinct())
     again = kept(old.unionByName(new).join(sources, "source_id", "left_semi"))
-    wanted = again.select("target").where("target <> ''").distinct()
-    ends = again.select(F.explode(F.array("source_id", "target_id")).alias("id")).where("id <> ''").distinct()
-    bare = nodes.select("id", "label", tail.alias("tail"))
-    bearers = bare.join(wanted.withColumnRenamed("target", "label"), "label", "left_semi").select("id", "label")
-    bearers = bearers.unionByName(bare.join(wanted.withColumnRenamed("target", "tail"), "tail", "left_semi").select("id", "label"))
-    bearers = bearers.unionByName(bare.join(ends, "id", "left_semi").select("id", "label")).distinct()
     still = edges.where("owner = 'observed'").join(sources, "source_id", "left_anti").select(*EDGE)
-    return still.unionByName(resolve_claims(bearers, again)).distinct()
+    return still.unionByName(resolve_claims(nodes, again))
 
 
 def update_folder(state: State, root: str, resource: str | None = None) -> tuple[dict[str, int], dict[str, DataFrame]]:

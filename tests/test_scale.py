@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import lexical_tokens
-from lorewell.operators import embeddings, memory, postings, project, records, transcripts, update
+from lorewell.operators import embeddings, graph, memory, postings, project, records, transcripts, update
 from lorewell.plans.project_queries import key_validation
 from lorewell.sources import golang
 
@@ -79,6 +79,23 @@ def test_pairs_of_candidates_are_not_joined_with_what_is_made_of_them(spark, mon
     assert not any("Join Inner" in p for p in plans)
 
 
+def test_names_are_looked_up_once_and_only_by_claims_that_give_no_id(spark):
+    nodes = spark.createDataFrame([("s", "S.go"), ("t", "T"), ("u", ""), ("v", "Lib.f()"), ("w", None), (None, "X"), ("a", "twice"), ("b", "twice"), ("c", "o.twice"), ("a", "twice")], "id string, label string")
+    rows = [("s", "t", "", "contains"), ("s", "gone", "", "contains"), ("s", "", "f()", "calls"), ("s", None, "f()", "calls"), ("t", "", "", "calls"), ("s", "", "twice", "calls"), ("s", "", "X", "calls"), ("s", "", None, "calls"), ("s", "s", "T", "calls"), ("gone", "t", "", "calls"), ("t", "s", "T", "calls")]
+    claims = spark.createDataFrame(rows, "source_id string, target_id string, target string, relation string")
+    found = graph.resolve_claims(nodes, claims)
+    want = [("s", "t", "contains"), ("s", "v", "calls"), ("t", "s", "calls"), ("t", "u", "calls")]
+    assert sorted(map(tuple, found.collect())) == want
+    assert "Join LeftOuter" not in plan(found)  # claims that give an id meet no names
+    none = lambda df: df.where("false")
+    edges = none(found).selectExpr("*", "'observed' AS owner")
+    again = update.resolved_again(edges, nodes, nodes, none(claims), none(claims), claims)
+    assert sorted(map(tuple, again.collect())) == want
+    renamed = nodes.where("id <> 'u'")
+    left = update.resolved_again(found.selectExpr("*", "'observed' AS owner"), renamed, nodes.where("id = 'u'").select("id", "label"), claims, none(claims), none(claims))
+    assert sorted(map(tuple, left.collect())) == want[:3]
+
+
 def test_texts_of_files_are_not_sent_to_the_driver(spark, monkeypatch, tmp_path):
     plans = []
     whole = update.kept
