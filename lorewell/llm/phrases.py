@@ -25,10 +25,14 @@ from .common import keep, table
 LONGEST, LEAST, COVERED, TOP, SCALE = 4, 30, (80, 100), 2000, 2_000_000
 #: Words of a shard, pairs of bitmap bytes that meet at a time, bytes of text that are split at a time.
 SHARD, MEETING, SLICE = 250_000, 1 << 19, 1 << 22
+#: How many times as many words a shard has where whole phrases are counted.
+LONG = 2
 #: Bits of the filter of frequent phrases: at least, at most, and for each phrase.
 FILTER_BITS, MOST_FILTER_BITS, BITS_PER_PHRASE = 1 << 20, 1 << 28, 256
 #: Numbers that pairs are counted by at first, for each word there is; pairs that share one are told apart afterwards.
 KEYS_PER_WORD = 16
+#: Parts that longer phrases are dealt over by their first two words.
+PARTS = 1024
 #: Parts the languages of a top list are cut into before they meet.
 SALTS = 64
 UNKNOWN = "und"
@@ -36,7 +40,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
-_FOUND, _KEYED = "lang string, phrase string, f long", "key long, f long"
+_FOUND, _KEYED, _DEALT = "lang string, phrase string, f long", "key long, f long", "part int, lang string, phrases string, counts array<int>"
 
 
 def slices(raw: bytes) -> Iterator[bytes]:
@@ -176,6 +180,23 @@ def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), phrases.cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "phrase", "f"])
 
 
+def _dealt(lang: str, words: pa.Array, first: np.ndarray, phrases: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of phrases, given by the numbers of their words (-1: none), first the key of each one's first two.
+
+    Phrases that begin alike stand next to each other, so that what is shuffled is compressed well. No word holds a line feed.
+    """
+    part = (first % np.uint64(PARTS)).astype(np.int32)
+    order = np.lexsort((*phrases.T[::-1], part))
+    part, phrases, counts = part[order], phrases[order], counts[order]
+    size = (phrases >= 0).sum(1)
+    ends = np.cumsum(size)
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), words.take(pa.array(phrases[phrases >= 0]))), b" ")
+    starts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)).astype(np.int32)
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(starts), values)
+    n = len(starts) - 1
+    return pa.RecordBatch.from_arrays([pa.array(part[starts[:-1]]), pa.array([lang] * n, pa.string()), pc.binary_join(lists(text), b"\n").cast(pa.string()), lists(pa.array(counts.astype(np.int32)))], ["part", "lang", "phrases", "counts"])
+
+
 def word_counts(shard: Shard) -> Iterator[pa.RecordBatch]:
     """The count of each word, and of all of them without a phrase."""
     words, codes, _ = shard.coded()
@@ -199,6 +220,7 @@ def phrase_counts(shard: Shard, words_kept: Frequent, pairs_kept: Frequent | Non
     first_batch = np.full(len(words), np.iinfo(np.int64).max)
     np.minimum.at(first_batch, single.item, batch)
     batch = first_batch[single.item]
+    found: list[tuple] = []
     for n in np.unique(batch):
         prefix = single.part(batch == n)
         phrases = np.arange(len(words))[:, None]
@@ -220,13 +242,20 @@ def phrase_counts(shard: Shard, words_kept: Frequent, pairs_kept: Frequent | Non
             longer, of = np.unique(item * len(words) + word, return_inverse=True)
             phrases = np.column_stack([phrases[longer // len(words)], longer % len(words)])
             counts = np.bincount(of, np.bitwise_count(mask), len(longer))
-            yield _rows(shard.lang, pc.binary_join_element_wise(*[words.take(pa.array(phrases[:, i])) for i in range(length)], b" "), counts)
+            padded = np.full((len(longer), LONGEST), -1, np.int32)
+            padded[:, :length] = phrases
+            found.append((_filter_key(shard.lang, hashes[phrases[:, :2]]), padded, counts))
             prefix = Bitmaps(of.astype(np.int64), byte, mask)
+    if found:
+        yield _dealt(shard.lang, words, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def counted(docs: DataFrame, of_shard, schema: str = _FOUND) -> DataFrame:
     """What of_shard counts in the shards of docs (lang, text), summed over all of them: f by the other columns of schema."""
 
+    # What is dealt is not summed before it is shuffled, so a larger shard shuffles less.
+    words = SHARD * (LONG if schema == _DEALT else 1)
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, Shard] = {}
         for batch in batches:
@@ -234,7 +263,7 @@ def counted(docs: DataFrame, of_shard, schema: str = _FOUND) -> DataFrame:
                 shard = shards.setdefault(lang, Shard(lang))
                 for raw in slices(text.encode("utf-8", "replace").translate(_LOWER)):
                     shard.add(raw)
-                    if shard.size >= SHARD:
+                    if shard.size >= words:
                         yield from of_shard(shard)
                         shard = shards[lang] = Shard(lang)
         for shard in shards.values():
@@ -242,6 +271,10 @@ def counted(docs: DataFrame, of_shard, schema: str = _FOUND) -> DataFrame:
                 yield from of_shard(shard)
 
     made = docs.mapInArrow(found, schema)
+    if schema == _DEALT:
+        each = F.explode(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), F.col("counts").alias("f"))).alias("x")
+        rows = made.repartition("part").select("part", "lang", each).select("part", "lang", "x.phrase", F.col("x.f").cast("long").alias("f"))
+        return rows.groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f")).drop("part")  # a part is whole where it is
     return made.groupBy(*[c for c in made.columns if c != "f"]).agg(F.sum("f").alias("f"))
 
 
@@ -264,7 +297,7 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         keys *= 2
     pairs = keep(counted(texts, lambda shard: phrase_counts(shard, words_kept.value, None, keys), _KEYED).where(f"f >= {LEAST}").select("key"))
     pairs_kept = sc.broadcast(frequent(pairs))
-    longer = keep(counted(texts, lambda shard: phrase_counts(shard, words_kept.value, pairs_kept.value)).where(f"f >= {LEAST}"))
+    longer = keep(counted(texts, lambda shard: phrase_counts(shard, words_kept.value, pairs_kept.value), _DEALT).where(f"f >= {LEAST}"))
     return singles.unionByName(longer), totals
 
 

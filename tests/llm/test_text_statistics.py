@@ -126,6 +126,25 @@ def test_phrases(docs, monkeypatch, sizes):
     assert len(want) > 60 and sorted(out) == want
 
 
+def test_longer_phrases_are_dealt_in_rows_that_begin_alike():
+    """A row holds many phrases, and all that begin with the same two words go to one part."""
+    shard = phrases.Shard("en")
+    text = b"a b c d e. a b c d. a b. b c x\ty " * 3
+    shard.add(text)
+    everything = phrases.Frequent(np.full(1 << 10, 255, np.uint8))
+    made = [b for batch in phrases.phrase_counts(shard, everything, everything) for b in batch.to_pylist()]
+    rows = [(r["part"], p, f) for r in made for p, f in zip(r["phrases"].split("\n"), r["counts"], strict=True)]
+    want = Counter()
+    for piece in text.decode().split("."):
+        w = piece.split()
+        want.update(" ".join(w[i : i + m]) for m in range(2, 5) for i in range(len(w) - m + 1))
+    assert {p: f for _, p, f in rows} == want and len(rows) == len(want)
+    heads = {}
+    for part, p, _ in rows:
+        heads.setdefault(tuple(p.split()[:2]), set()).add(part)
+    assert all(len(parts) == 1 for parts in heads.values()) and len(made) == len({r["part"] for r in made}) < len(rows)
+
+
 def test_bitmaps_shift_and_meet():
     r = np.random.default_rng(2)
     place = np.sort(r.choice(500, 200, replace=False))
