@@ -1,13 +1,17 @@
 """N-gram Jaccard join: an index of count vectors, its tree descended from the top, verified links, components.
 
-Exact for any pair of texts. Shingles have one order for all texts: rare ones first, then by hash. Two sets that link
-with similarity t share at least ceil(t n) shingles, n the size of either; the first shared one is among the first
-n - ceil(t n) + 1 of both. These shingles are the root level of the index. The texts that share one form a group,
-named after the smallest of them, so the groups of copies of one text are few. In a group, texts are points, their
-counts of shingles in DIMS hashed groups, packed into a tree of boxes; the summed minima of two upper corners bound the
-overlap from above, and pairs of boxes are followed down from the root while the bound allows a link. Texts that pairs
-which may link connect form a cell. A text is in one cell at most, where it meets the others with its whole set, and
-only links that join two parts leave the task.
+Exact for any pair of texts. Hash deals the shingles of a set over parts, more of them than shingles that two linked
+sets of its size do not share, so some parts of both are alike. These parts, of about three shingles and more, are the
+root level of the index: texts that meet by chance share a shingle now and then, a whole part hardly ever, however many
+they are. Parts have one order for all texts, those with many rare shingles first, and only the first ones that must
+hold an equal one are keys. The texts that share one form a group, named after the smallest of them, so the groups of
+copies of one text are few. In a group, texts are points, their counts of shingles in DIMS hashed groups, packed into a
+tree of boxes; the summed minima of two upper corners bound the overlap from above, and pairs of boxes are followed
+down from the root while the bound allows a link. Texts that pairs which may link connect form a cell. A text is in one
+cell at most, where it meets the others with its whole set, and only links that join two components leave the task.
+
+At thresholds below PARTED parts would hold a shingle or none; the first shingles of each set, rare ones first, are the
+keys there.
 
 A tree over all texts alone would not do: boxes around unrelated texts bound nothing, so each text would visit all.
 """
@@ -19,7 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, perhaps_among, table
@@ -35,8 +39,10 @@ PART = 1 << 20
 #: A counter that is full: its coordinate bounds nothing.
 FULL = 255
 #: Bits of a shingle's hash that name its counter; counters that may stand as frequent. Both shape the order of
-#: shingles, and with it the work, never the result.
+#: shingles and parts, and with it the work, never the result.
 COUNTER_BITS, FREQUENT = 20, 1 << 16
+#: Parts beyond those that linked sets need, in percent; the threshold below which single shingles are keys.
+SPARE, PARTED = 30, Fraction(3, 4)
 #: Bits of a shingle's hash; the five above them hold how frequent it is.
 HASH_BITS = 59
 
@@ -84,6 +90,57 @@ def prefix(n: np.ndarray, t: Fraction) -> np.ndarray:
     return np.where(n > 0, n - -((-t.numerator * n) // t.denominator) + 1, 0)
 
 
+def apart(n: np.ndarray, t: Fraction) -> np.ndarray:
+    """The most shingles that a set of n and one that links with it do not share, both sides counted."""
+    return (t.denominator - t.numerator) * n // t.numerator
+
+
+def spans(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places starts, starts + 1, ... of ranges of n, one range after another."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def part_keys(s: np.ndarray, sizes: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sets and the index of the set that each is of: any two unlike sets that link share a key.
+
+    For each range of sizes, up to twice the smallest, hash deals all shingles over more parts than linked sets in it
+    differ in. What two linked sets do not share is in apart(n) parts at most, n the size of the smaller one; all other
+    parts are alike. Parts have one order for all sets, those with many rare shingles first, so an equal one is among
+    the first apart(n) + 1 of both. A set is dealt in the range of its size, and in those below where a smaller set that
+    links with it can be.
+    """
+    keys, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    far, starts = apart(sizes, t), np.cumsum(sizes) - sizes
+    power = lambda n: np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+    own, least = power(np.maximum(sizes, 1)), power(np.maximum(-((-t.numerator * sizes) // t.denominator), 1))
+    h = mixed(s & np.uint64((1 << HASH_BITS) - 1), 11)
+    g, rare = mixed(h, 13), s < np.uint64(1 << HASH_BITS)
+    low, high = (g & np.uint64(0xFFFFFFFF)).astype(np.float64), (g >> np.uint64(32)).astype(np.float64)
+    for down in range(int((own - least).max(initial=0)) + 1):
+        at = np.flatnonzero((far > 0) & (own - down >= least))
+        top = apart((2 << (own[at] - down)) - 1, t)
+        m = top + 1 + np.maximum(3, top * SPARE // 100)
+        n, begin = sizes[at], np.cumsum(m) - m
+        x = spans(starts[at], n)
+        cell = np.repeat(begin, n) + (((h[x] >> np.uint64(32)) * np.repeat(m.astype(np.uint64), n)) >> np.uint64(32)).astype(np.int64)
+        sums = [np.bincount(cell, w[x], m.sum()).astype(np.uint64) for w in (low, high, rare)]
+        name = mixed(spans(np.zeros(len(at), np.int64), m).astype(np.uint64) | np.repeat((own[at] - down).astype(np.uint64) << np.uint64(56), m), 15)
+        name = mixed(mixed(sums[0], 17) ^ mixed(sums[1], 19) ^ name, 23)
+        name = (np.uint64(255) - np.minimum(sums[2], np.uint64(255))) << np.uint64(56) | name >> np.uint64(8)
+        for a, e in zip(begin.tolist(), (begin + m).tolist(), strict=True):
+            name[a:e].sort()
+        n = np.minimum(far[at], top) + 1
+        keys.append(name[spans(begin, n)])
+        of.append(np.repeat(at, n))
+    return np.concatenate(keys), np.concatenate(of)
+
+
+def first_keys(s: np.ndarray, sizes: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """As part_keys: the first shingles of each set. At low thresholds parts would have a shingle or none each."""
+    n = prefix(sizes, t)
+    return s[spans(np.cumsum(sizes) - sizes, n)], np.repeat(np.arange(len(sizes)), n)
+
+
 def dims(n: np.ndarray) -> np.ndarray:
     """The coordinates of the points of sets of n shingles."""
     return DIMS << np.ceil(np.log2(np.maximum(n, SMALL) / SMALL)).astype(np.int64)
@@ -234,15 +291,17 @@ def frequent(base: DataFrame) -> np.ndarray:
 
 
 def _keys(k: int, t: Fraction, levels: np.ndarray):
-    """The first shingles of each text, with the digest of its set."""
+    """The keys of each set once a task, with its digest."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, texts in _parts(batches):
             s, sizes = _sets(texts, k, levels)
-            n = prefix(sizes, t)
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            keys = s[np.repeat(np.cumsum(sizes) - sizes, n) + within]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(_digests(s, sizes), n))], ["key", "d"])
+            d = _digests(s, sizes)
+            new = np.array([not (x in seen or seen.add(x)) for x in d.tolist()], bool)
+            s, sizes, d = s[np.repeat(new, sizes)], sizes[new], d[new]
+            keys, at = (part_keys if t >= PARTED else first_keys)(s, sizes, t)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(d[at])], ["key", "d"])
 
     return of
 
@@ -438,10 +497,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> Data
     texts = keep(some.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("times")))
     named = docs.where("doc_id IS NOT NULL")
 
-    # groups: texts that share one of their first shingles, named after the smallest of them
+    # groups: texts that share a key, named after the smallest of them
     keys = named.mapInArrow(_keys(k, t, levels), "key long, d long")
-    pivots = keys.groupBy("key").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot < last").select("key", "pivot")
-    members = keep(keys.join(pivots, "key").select("pivot", "d").distinct())
+    pivot = F.first("d").over(Window.partitionBy("key").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    others = keep(keys.select(pivot.alias("pivot"), "d").where("pivot < d").distinct())
+    members = others.unionByName(others.select("pivot", F.col("pivot").alias("d")).distinct())
 
     def loads(of: DataFrame, points: bool) -> DataFrame:
         ids = keep(texts.join(of.select("d").distinct(), "d", "left_semi").select(F.col("first").alias("doc_id")))

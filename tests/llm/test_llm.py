@@ -127,6 +127,46 @@ def test_tree_bound_loses_no_pair(n):
     assert {(a, b) for a, b in linked if a < cut <= b} <= set(across) and len(across) == len(set(across))
 
 
+@pytest.mark.parametrize("t", ["0.75", "0.8", "0.85", "0.95", "1"])
+def test_linked_sets_share_a_key(t):
+    """Sets of all sizes with edits up to the threshold; strangers of a small universe share shingles but hardly a key."""
+    from fractions import Fraction
+
+    r, t = np.random.default_rng(2), Fraction(t)
+    universe = np.unique(r.integers(0, 1 << jaccard.HASH_BITS, 5000).astype(np.uint64))
+    universe[::9] |= np.uint64(3 << jaccard.HASH_BITS)
+    for n in [1, 2, 3, 5, 6, 7, 8, 9, 15, 16, 17, 31, 33, 63, 64, 70, 127, 130, 255, 300, 511, 520, 1000]:
+        sets = []
+        for _ in range(20):
+            a = r.choice(universe, n, replace=False)
+            lost = r.integers(0, n - int(-(-t * n // 1)) + 1)
+            b = np.concatenate([a[lost:], np.setdiff1d(r.choice(universe, n, replace=False), a)[: r.integers(0, lost + n // 5 + 1)]])
+            sets += [np.sort(a), np.sort(b)]
+        keys, of = jaccard.part_keys(np.concatenate(sets), np.array([len(x) for x in sets]), t)
+        found = [set(keys[of == i].tolist()) for i in range(len(sets))]
+        for i in range(len(sets)):
+            assert len(found[i]) <= 2 * (jaccard.apart(np.array(len(sets[i])), t) + 1)
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both < len(sets[i]) + len(sets[j]) - both and both >= t * (len(sets[i]) + len(sets[j]) - both):
+                    assert found[i] & found[j], (n, i, j)
+        if n >= 300 and t > Fraction("0.8"):
+            meet = sum(bool(found[i] & found[j]) for i in range(0, len(sets), 2) for j in range(0, i, 2))
+            assert meet <= 10  # of 190; first_keys lets all meet
+
+
+def test_strangers_that_share_shingles_form_no_group(spark, monkeypatch):
+    """Long texts of few words meet in a shingle each; only near copies are dealt, so points do not grow with chance."""
+    r, dealt, members = random.Random(8), jaccard.dealt, []
+    monkeypatch.setattr(jaccard, "dealt", lambda m, load, t: members.append(m.count()) or dealt(m, load, t))
+    texts = [[f"w{r.randrange(20)}" for _ in range(r.randrange(380, 420))] for _ in range(60)]
+    texts += [x[:200] + ["new"] + x[201:] for x in texts[:3]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    out = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, "0.85").collect()}
+    assert out == brute_components(rows, 4, 0.85) and [out[i][1] for i in (60, 61, 62)] == [0, 1, 2]
+    assert members == [6, 6]
+
+
 def test_parts_are_united():
     r = np.random.default_rng(5)
     for n in (2, 30, 200):
