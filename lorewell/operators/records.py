@@ -31,6 +31,26 @@ def snapshot_diff(before: DataFrame, now: DataFrame, key: str, compared: list[st
     return both.select(key, F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") == F.col("b"), "unchanged").otherwise("modified").alias("status"))
 
 
+#: Bits of the filter of perhaps_among: at least, at most (32 MB), and for each value.
+FILTER_BITS, MOST_FILTER_BITS, BITS_PER_VALUE = 1 << 15, 1 << 28, 16
+
+
+def perhaps_among(df: DataFrame, values: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of df whose key is among the n of values, and a few others: an exact join must follow, which moves no more than these.
+
+    A bitmap of hashes decides, small enough to be broadcast however many values there are. Rows without key go.
+    """
+    bits = FILTER_BITS
+    while bits < min(MOST_FILTER_BITS, BITS_PER_VALUE * n):
+        bits *= 2
+    spot = F.pmod(F.xxhash64(key), F.lit(bits))
+    held = values.select(spot.alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_held"))
+    place = F.bitmap_bit_position(spot).cast("int")
+    byte = F.conv(F.hex(F.substr("_held", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = df.where(F.col(key).isNotNull()).withColumn("_number", F.bitmap_bucket_number(spot)).join(F.broadcast(kept(held)), "_number")
+    return met.where(F.getbit(byte, place % 8) == 1).select(*df.columns)
+
+
 def reusable(facts: DataFrame, before: DataFrame, now: DataFrame, key: str, compared: list[str]) -> DataFrame:
     """Facts of materials that are still there unchanged."""
     same = snapshot_diff(before, now, key, compared).where("status = 'unchanged'")

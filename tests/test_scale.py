@@ -106,3 +106,46 @@ def test_texts_of_files_are_not_sent_to_the_driver(spark, monkeypatch, tmp_path)
     assert (nodes.count(), claims.count()) == (2, 2)
     assert sum("Join LeftOuter" in p and "strategy=merge" in p for p in plans) == 1
     assert sum("text#" in p and "Join LeftOuter" in p for p in plans) == 1  # and they are met once
+
+
+def test_terms_of_a_text_are_packed_by_group_with_their_counts(spark):
+    words = ["b", "a-1", "b", "가나", "c_", "b", "a-1", *(f"w{i}" for i in range(60))]
+    texts = spark.createDataFrame([(0, words), (1, []), (2, ["x"])], "id int, tokens array<string>")
+    for groups in (1, 4, 16):
+        found = {r.id: r.rows for r in texts.select("id", postings.packed_terms(F.col("tokens"), 64, groups).alias("rows")).collect()}
+        lines = [(r["group"], line.split("\t")) for r in found[0] for line in r.terms.split("\n")]
+        assert {x[0]: int(x[1]) if x[1:] else 1 for _, x in lines} == {w: words.count(w) for w in words} and len(lines) == len(set(words))
+        assert len({r["group"] for r in found[0]}) == len(found[0]) <= groups
+        where = dict(spark.createDataFrame([(w,) for w in set(words)], "w string").select("w", postings.bucket(F.col("w"), 64) % groups).collect())
+        assert all(where[x[0]] == g for g, x in lines)
+        assert found[1] == [] and [r.terms for r in found[2]] == ["x"]
+
+
+def test_an_index_keeps_no_tokens_and_moves_changed_texts_only(spark, tmp_path, monkeypatch):
+    steps, written, whole, write = [], [], postings.kept, postings.Index._write
+    monkeypatch.setattr(postings, "kept", lambda df: steps.append(plan(df)) or whole(df))
+    monkeypatch.setattr(postings.Index, "_write", lambda self, texts, *a: written.append(plan(texts)) or write(self, texts, *a))
+    make = lambda changed: spark.createDataFrame([(i, f"common word{i} " * (3 if i in changed else 2)) for i in range(400)] + [(None, "common")], "id long, text string").repartition(8)
+    index = postings.Index(spark, f"{tmp_path}/index", 4)
+    index.update(make(()), "id", ["text"])
+    assert index.update(make((5, 7)), "id", ["text"]) == {"added": 0, "modified": 2, "unchanged": 398, "removed": 0}
+    assert not any("regexp_extract_all" in p for p in steps)  # no tokens are stored
+    first, second = written
+    assert first.count("RepartitionByExpression") == 0  # texts that lie in many tasks stay there
+    assert "getbit" in second[second.index("RepartitionByExpression") :] and "LeftSemi" not in second  # others leave before any shuffle
+    state = index.manifest()
+    assert (state["n"], state["tokens"]) == (400, 1604) and index.documents().count() == 400
+    held = {r.id: (r.tf, r.dl) for r in index.matches(["common"]).collect()}
+    assert held == {str(i): (3, 6) if i in (5, 7) else (2, 4) for i in range(400)}
+    common = spark.range(1).select(postings.bucket(F.lit("common"), 4)).first()[0]
+    files = [pq.read_table(p, columns=["term"])["term"].to_pylist() for p in (tmp_path / "index").glob(f"{state['parts'][0]}/postings/bucket={common}/*.parquet")]
+    assert sum("common" in f for f in files) > 1 and all(f == sorted(f) for f in files)  # no term lies in one task
+    assert index.update(make((5, 7)).where("id < 100"), "id", ["text"])["removed"] == 300
+    assert index.manifest()["parts"] == state["parts"] and index.manifest()["n"] == 100 == len(index.search("common").collect())
+
+
+def test_a_bitmap_lets_all_that_is_looked_for_pass_and_little_else(spark):
+    rows = spark.createDataFrame([(str(i), i) for i in range(3000)] + [(None, -1)], "id string, x int")
+    found = {r.x for r in records.perhaps_among(rows, rows.where("x % 100 = 7").select("id"), "id", 30).collect()}
+    assert {x for x in range(3000) if x % 100 == 7} <= found and len(found) < 60 and -1 not in found
+    assert records.perhaps_among(rows, rows.where("x < 1000").select("id"), "id", 1000).columns == ["id", "x"]
